@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.operators.validation import CALENDAR_MISMATCH
@@ -12,6 +13,9 @@ from tickloom.schema import GREGORIAN, JALALI
 from tickloom.session import ensure_checkpoint_dir
 
 
+REJECTED = "request_id string, code string, reason string"
+
+
 class Resolution(NamedTuple):
     """Requests refused by the registry, and the symbols the others register."""
 
@@ -59,16 +63,6 @@ def _request_ids(df: DataFrame) -> DataFrame:
     return df.select("request_id").distinct()
 
 
-def _contested(claims: DataFrame) -> DataFrame:
-    """Symbols still claimed with both calendars."""
-    return (
-        claims.groupBy("symbol")
-        .agg(F.min("calendar").alias("low"), F.max("calendar").alias("high"))
-        .filter(F.col("low") != F.col("high"))
-        .select("symbol")
-    )
-
-
 def _losers(claims: DataFrame) -> DataFrame:
     """Requests that lose a contested symbol to an earlier request.
 
@@ -79,11 +73,9 @@ def _losers(claims: DataFrame) -> DataFrame:
     against, then refuses those that disagree with them. The earliest undecided
     request is always accepted, so the rounds end.
     """
-    empty = _request_ids(claims).limit(0)
-    if claims.isEmpty():
-        return empty
-    open_claims, losers = claims, empty
-    while True:
+    own = W.partitionBy("request_id")
+    open_claims, losers = claims, _request_ids(claims.filter(F.lit(False)))
+    while not open_claims.isEmpty():
         firsts = open_claims.groupBy("symbol").agg(
             F.min(F.when(F.col("calendar") == GREGORIAN, F.col("turn"))).alias("gregorian_turn"),
             F.min(F.when(F.col("calendar") == JALALI, F.col("turn"))).alias("jalali_turn"),
@@ -91,24 +83,34 @@ def _losers(claims: DataFrame) -> DataFrame:
         rival = F.when(F.col("calendar") == GREGORIAN, F.col("jalali_turn")).otherwise(
             F.col("gregorian_turn")
         )
-        blocked = _request_ids(open_claims.join(firsts, "symbol").filter(rival < F.col("turn")))
-        winners = open_claims.join(blocked, "request_id", "left_anti")
-        settled = winners.select("symbol", F.col("calendar").alias("settled")).distinct()
+        behind = F.coalesce(rival < F.col("turn"), F.lit(False))
+        marked = (
+            open_claims.join(firsts, "symbol")
+            .withColumn("blocked", F.max(behind).over(own))
+            .select("request_id", "symbol", "calendar", "turn", "blocked")
+            .checkpoint()
+        )
+        settled = (
+            marked.filter(~F.col("blocked"))
+            .select("symbol", F.col("calendar").alias("settled"))
+            .distinct()
+        )
+        contradicted = F.coalesce(F.col("settled") != F.col("calendar"), F.lit(False))
         waiting = (
-            open_claims.join(blocked, "request_id", "left_semi")
+            marked.filter("blocked")
             .join(settled, "symbol", "left")
+            .withColumn("refused", F.max(contradicted).over(own))
             .checkpoint()
         )
-        refused = _request_ids(waiting.filter(F.col("settled") != F.col("calendar")))
-        losers = losers.union(refused).checkpoint()
-        open_claims = (
-            waiting.filter(F.col("settled").isNull())
-            .drop("settled")
-            .join(refused, "request_id", "left_anti")
-            .checkpoint()
+        losers = losers.union(_request_ids(waiting.filter("refused"))).checkpoint()
+        open_claims = waiting.filter(~F.col("refused") & F.col("settled").isNull()).select(
+            "request_id", "symbol", "calendar", "turn"
         )
-        if open_claims.isEmpty():
-            return losers
+    return losers
+
+
+def _registrations(firsts: DataFrame) -> DataFrame:
+    return firsts.select("symbol", "calendar", F.col("turn.received_at").alias("created_at"))
 
 
 def resolve(claims: DataFrame, registry: DataFrame) -> Resolution:
@@ -117,38 +119,61 @@ def resolve(claims: DataFrame, registry: DataFrame) -> Resolution:
     ``claims`` has one row per request and symbol (request_id, received_at,
     symbol, calendar, pos), free of conflicts inside a request. A refused
     request registers nothing.
+
+    The registry meets one row per symbol and calendar, however many requests
+    name the symbol; claims themselves are only joined to the few symbols
+    something is wrong with, and not at all when nothing is.
     """
     ensure_checkpoint_dir(claims.sparkSession)
-    turn = F.struct("received_at", "request_id")
     known = registry.select("symbol", F.col("calendar").alias("registered"))
-    checked = claims.join(known, "symbol", "left").withColumn("turn", turn)
-
-    stale = _request_ids(checked.filter(F.col("registered") != F.col("calendar")))
-    fresh = checked.filter(F.col("registered").isNull()).join(stale, "request_id", "left_anti")
-    disputed = fresh.join(_contested(fresh), "symbol", "left_semi").select(
-        "request_id", "symbol", "calendar", "turn"
+    claims = claims.withColumn("turn", F.struct("received_at", "request_id"))
+    pairs = (
+        claims.groupBy("symbol", "calendar")
+        .agg(F.min("turn").alias("turn"))
+        .join(known, "symbol", "left")
+        .checkpoint()
     )
-    losers = _losers(disputed.checkpoint())
+    fresh = pairs.filter(F.col("registered").isNull())
+    stale_pairs = pairs.filter(F.col("registered") != F.col("calendar"))
+    contested = (
+        fresh.groupBy("symbol")
+        .agg(F.count(F.lit(1)).alias("calendars"))
+        .filter(F.col("calendars") > 1)
+        .select("symbol")
+    )
+    if stale_pairs.isEmpty() and contested.isEmpty():
+        # nobody disagrees: all requests stand, and pairs already hold the first turns
+        session = claims.sparkSession
+        return Resolution(session.createDataFrame([], REJECTED), _registrations(fresh))
+
+    claims = claims.checkpoint()
+    stale = _request_ids(claims.join(stale_pairs, ["symbol", "calendar"], "left_semi")).checkpoint()
+    disputed = (
+        claims.join(contested, "symbol", "left_semi")
+        .join(stale, "request_id", "left_anti")
+        .select("request_id", "symbol", "calendar", "turn")
+    )
+    refused = stale.union(_losers(disputed.checkpoint())).checkpoint()
     registered = (
-        fresh.join(losers, "request_id", "left_anti")
+        claims.join(refused, "request_id", "left_anti")
         .groupBy("symbol")
         .agg(F.min(F.struct("turn", "calendar")).alias("first"))
         .select("symbol", "first.calendar", F.col("first.turn").alias("turn"))
+        .join(known, "symbol", "left_anti")
+        .checkpoint()
     )
 
     # What a request is told depends on the registry as it stood at its turn.
-    taken = registered.select(
-        "symbol", F.col("calendar").alias("taken"), F.col("turn").alias("taken_turn")
-    )
-    refused = stale.union(losers)
-    standing = F.coalesce(
-        F.col("registered"), F.when(F.col("taken_turn") < F.col("turn"), F.col("taken"))
+    standing = known.select(
+        "symbol", F.col("registered").alias("standing"), F.lit(None).cast(claims.schema["turn"].dataType).alias("since")
+    ).unionByName(
+        registered.select("symbol", F.col("calendar").alias("standing"), F.col("turn").alias("since"))
     )
     reports = (
-        checked.join(refused, "request_id", "left_semi")
-        .join(taken, "symbol", "left")
-        .withColumn("standing", standing)
+        claims.join(refused, "request_id", "left_semi")
+        .join(standing, "symbol")
         .filter(F.col("standing") != F.col("calendar"))
+        .filter(F.col("since").isNull() | (F.col("since") < F.col("turn")))
         .groupBy("request_id")
         .agg(F.min(F.struct("pos", "symbol", "standing", "calendar")).alias("first"))
         .select(
@@ -161,7 +186,5 @@ def resolve(claims: DataFrame, registry: DataFrame) -> Resolution:
     )
     return Resolution(
         rejected=reports,
-        new_symbols=registered.select(
-            "symbol", "calendar", F.col("turn.received_at").alias("created_at")
-        ),
+        new_symbols=_registrations(registered),
     )

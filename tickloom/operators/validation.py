@@ -28,10 +28,11 @@ _NO_INSTANT = "0001-01-01 00:00:00"
 
 
 class Split(NamedTuple):
-    """Ticks of the requests that passed, and one row per request that did not."""
+    """Ticks and claims of the requests that passed, one row per request that did not."""
 
     accepted: DataFrame
     rejected: DataFrame
+    claims: DataFrame
 
 
 def validate(ticks_raw: DataFrame) -> DataFrame:
@@ -184,15 +185,19 @@ def request_faults(validated: DataFrame) -> DataFrame:
 def split_batches(validated: DataFrame) -> Split:
     """Reject every request with a bad tick or with two calendars for one symbol."""
     faults = request_faults(validated)
-    sound = validated.join(faults, "request_id", "left_anti")
-    conflicts = batch_conflicts(batch_claims(sound)).select(
+    claims = batch_claims(validated.filter(F.col("pos").isNotNull())).join(
+        faults, "request_id", "left_anti"
+    )
+    conflicts = batch_conflicts(claims).select(
         "request_id",
         F.lit(CALENDAR_MISMATCH).alias("code"),
         _conflict_text().alias("reason"),
     )
+    rejected = faults.unionByName(conflicts)
     return Split(
-        accepted=sound.join(conflicts, "request_id", "left_anti"),
-        rejected=faults.unionByName(conflicts),
+        accepted=validated.join(rejected, "request_id", "left_anti"),
+        rejected=rejected,
+        claims=claims.join(conflicts, "request_id", "left_anti").drop("conflict_pos"),
     )
 
 

@@ -522,7 +522,7 @@ def resolve_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests in order of arrival against a registry that starts empty."""
     inputs = _colliding_inputs(spark, sf_dir)
     split = V.split_batches(V.validate(inputs))
-    resolution = G.resolve(V.batch_claims(split.accepted), spark.createDataFrame([], REGISTRY))
+    resolution = G.resolve(split.claims, spark.createDataFrame([], REGISTRY))
     registered = resolution.new_symbols.select(
         F.lit("registered").alias("outcome"), F.col("symbol").alias("name"), F.col("calendar").alias("detail")
     )

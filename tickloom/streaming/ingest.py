@@ -9,7 +9,6 @@ from pyspark.sql.streaming import StreamingQuery
 from tickloom.operators.registry import resolve
 from tickloom.operators.validation import (
     accepted_counts,
-    batch_claims,
     normalize,
     split_batches,
     validate,
@@ -32,8 +31,7 @@ def ingest_batch(warehouse: Warehouse, requests: DataFrame, batch_id: int | None
     try:
         split = split_batches(checked)
         registry = warehouse.registry(before_batch=batch_id)
-        claims = batch_claims(split.accepted)
-        resolution = resolve(claims, registry)
+        resolution = resolve(split.claims, registry)
 
         refused = split.rejected.unionByName(resolution.rejected)
         counts = accepted_counts(checked.filter(F.col("pos").isNotNull()))
