@@ -83,7 +83,7 @@ def test_ties_are_settled_by_value(spark):
     ticks = spark.createDataFrame(
         [("a", GREGORIAN, Decimal(v), Decimal(1), at) for v in (5, 3, 9, 4)], TICKS
     )
-    row = C.day_states(ticks).first()
+    row = C.finish(C.day_states(ticks)).first()
     assert (row["open"], row["close"]) == (Decimal(3), Decimal(9))
 
 

@@ -89,10 +89,18 @@ def test_page_plan_takes_ordered_rows_only(spark):
     assert "TakeOrderedAndProject" in rows._jdf.queryExecution().executedPlan().toString()
 
 
-def test_ranges_reach_the_scan(spark):
-    path = "/root/testdata/sf0.001/events.parquet"
-    ticks = spark.read.parquet(path).select(
-        F.col("ts").cast("timestamp").alias("ts"), F.lit("jalali").alias("calendar")
-    )
-    ranged = R.ticks_in_range(ticks, R.parse_range("2024-01-05", "2024-01-06"))
-    assert ranged.count() > 0
+def test_ranges_and_routes_reach_the_scan(spark, folder):
+    path = folder + "/ticks"
+    spark.sql(
+        "SELECT 'a' AS symbol, calendar, timestamp '2024-01-05 20:30:00' AS ts"
+        " FROM VALUES ('gregorian'), ('jalali') AS t(calendar)"
+    ).write.partitionBy("calendar").parquet(path)
+    ticks = spark.read.parquet(path)
+    days = R.parse_range("2024-01-06", "2024-01-06")
+    assert [r["calendar"] for r in R.ticks_in_range(ticks, days).collect()] == ["jalali"]
+    wanted = R.ticks_in_range(ticks.filter(R.route_predicate({"a": "jalali"})), days)
+    plan = wanted._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters: ")[1].split("\n")[0]
+    assert "GreaterThanOrEqual(ts,2024-01-05 20:30:00" in pushed and "EqualTo(symbol,a)" in pushed
+    assert "(calendar" in plan.split("PartitionFilters: ")[1].split("DataFilters")[0]
+    assert wanted.count() == 1 and ticks.filter(R.route_predicate({})).count() == 0

@@ -29,21 +29,6 @@ def _check_timeframe(timeframe: str) -> None:
         raise ValueError("timeframe must be one of " + ", ".join(TIMEFRAMES))
 
 
-def _unpacked(keys: Sequence[str]) -> list[Column]:
-    first, last = F.col("first_tick"), F.col("last_tick")
-    return [
-        *(F.col(k) for k in keys),
-        packed_value(first).alias("open"),
-        packed_ts(first).alias("open_ts"),
-        F.col("high"),
-        F.col("low"),
-        packed_value(last).alias("close"),
-        packed_ts(last).alias("close_ts"),
-        F.col("volume"),
-        F.col("ticks"),
-    ]
-
-
 def aggregate_ticks(ticks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """States of raw ticks per ``keys``: one partial and one final hash aggregate."""
     return (
@@ -57,25 +42,31 @@ def aggregate_ticks(ticks: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.sum(F.col("volume").cast(TOTAL)).cast(TOTAL).alias("volume"),
             F.count(F.lit(1)).alias("ticks"),
         )
-        .select(*_unpacked(keys))
     )
 
 
 def merge_states(states: DataFrame, keys: Sequence[str] = STATE_KEYS) -> DataFrame:
     """Combine states of equal keys, in any order and any number of times."""
-    return (
-        states.withColumn("opened", pack_tick(F.col("open_ts"), F.col("open")))
-        .withColumn("closed", pack_tick(F.col("close_ts"), F.col("close")))
-        .groupBy(*keys)
-        .agg(
-            F.min("opened").alias("first_tick"),
-            F.max("closed").alias("last_tick"),
-            F.max("high").alias("high"),
-            F.min("low").alias("low"),
-            F.sum("volume").cast(TOTAL).alias("volume"),
-            F.sum("ticks").alias("ticks"),
-        )
-        .select(*_unpacked(keys))
+    return states.groupBy(*keys).agg(
+        F.min("first_tick").alias("first_tick"),
+        F.max("last_tick").alias("last_tick"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.sum("volume").cast(TOTAL).alias("volume"),
+        F.sum("ticks").alias("ticks"),
+    )
+
+
+def open_close(states: DataFrame) -> DataFrame:
+    """Add what the packed ticks hold: open and close, each with its instant."""
+    first, last = F.col("first_tick"), F.col("last_tick")
+    return states.withColumns(
+        {
+            "open": packed_value(first),
+            "open_ts": packed_ts(first),
+            "close": packed_value(last),
+            "close_ts": packed_ts(last),
+        }
     )
 
 
@@ -167,7 +158,7 @@ def rollup(
 
 def finish(states: DataFrame) -> DataFrame:
     """Drop what only merging needs: the candle as it is served."""
-    return states.select(
+    return open_close(states).select(
         *STATE_KEYS,
         "open",
         "high",

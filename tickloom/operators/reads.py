@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -98,16 +98,29 @@ def symbols_predicate(symbols: Sequence[str], buckets: int | None = None) -> Col
     return wanted
 
 
+def day_range(days: DayRange) -> Column:
+    """The tick's day, in its own calendar's zone, lies in the range."""
+    ts, calendar = F.col("ts"), F.col("calendar")
+    return ((calendar == GREGORIAN) & utc_day_range(ts, *days)) | (
+        (calendar == JALALI) & tehran_day_range(ts, *days)
+    )
+
+
 def ticks_in_range(ticks: DataFrame, days: DayRange) -> DataFrame:
-    """Ticks whose day, in their own calendar's zone, lies in the range.
+    return ticks.filter(day_range(days))
+
+
+def route_predicate(routes: Mapping[str, str]) -> Column:
+    """Rows of the given symbols in the calendar each is registered with.
 
-    The outer range spans both zones and is what the scan prunes by.
+    Plain comparisons with literals, so that scans skip the files of the other
+    calendar and of other symbols.
     """
-    ts, calendar = F.col("ts"), F.col("calendar")
-    utc, tehran = utc_day_range(ts, *days), tehran_day_range(ts, *days)
-    return ticks.filter(utc | tehran).filter(
-        F.when(calendar == GREGORIAN, utc).otherwise(tehran)
-    )
+    wanted = F.lit(False)
+    for calendar in sorted(set(routes.values())):
+        symbols = sorted(s for s, c in routes.items() if c == calendar)
+        wanted = wanted | ((F.col("calendar") == calendar) & F.col("symbol").isin(symbols))
+    return wanted
 
 
 def ticks_in_utc_range(ticks: DataFrame, days: DayRange) -> DataFrame:
@@ -123,21 +136,15 @@ def candles_in_range(states: DataFrame, days: DayRange) -> DataFrame:
     return states.filter(F.col("bucket_start").between(F.lit(days.first), F.lit(days.last)))
 
 
-def read_candles(
-    states: DataFrame, routes: DataFrame, days: DayRange, timeframe: str
-) -> DataFrame:
-    """Finished candles of the symbols in ``routes`` (symbol, calendar).
-
-    The calendar comes from the registry alone: a state of the other calendar
-    never matches its route.
-    """
+def read_candles(states: DataFrame, days: DayRange, timeframe: str) -> DataFrame:
+    """Finished candles of one timeframe whose bucket starts in the range."""
     check_timeframe(timeframe)
-    wanted = candles_in_range(states.filter(F.col("timeframe") == timeframe), days)
-    return finish(merge_states(wanted.join(routes, ["symbol", "calendar"], "left_semi")))
+    return finish(merge_states(candles_in_range(states.filter(F.col("timeframe") == timeframe), days)))
 
 
-def read_ticks(ticks: DataFrame, routes: DataFrame, days: DayRange) -> DataFrame:
-    return ticks_in_range(ticks, days).join(routes, ["symbol", "calendar"], "left_semi")
+def routed(rows: DataFrame, routes: DataFrame) -> DataFrame:
+    """Rows of the symbols in ``routes``, however many, each in its registered calendar."""
+    return rows.join(routes.select("symbol", "calendar"), ["symbol", "calendar"], "left_semi")
 
 
 def format_ticks(ticks: DataFrame) -> DataFrame:

@@ -118,7 +118,7 @@ def _day_key(df: DataFrame) -> DataFrame:
 @query("ohlcv_open_close")
 def ohlcv_open_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = C.aggregate_ticks(_day_key(A.orders_ticks(spark, sf_dir)), ["symbol", "day"])
-    return states.select(
+    return C.open_close(states).select(
         "symbol",
         F.col("day").cast("string").alias("day"),
         format_decimal(F.col("open")).alias("open"),
@@ -312,9 +312,8 @@ def read_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = G.registry_resolve(ticks.select("symbol", "calendar", F.col("ts").alias("created_at")))
     found = G.symbol_lookup(_low_balance_symbols(spark, sf_dir), registry).filter("found")
     labels = label_calendar(spark)
-    wanted = ticks.join(found.select("symbol"), "symbol", "left_semi")
-    states = C.rollup(C.day_states(wanted), labels, ["1m"])
-    candles = R.read_candles(states, found.select("symbol", "calendar"), RANGE, "1m")
+    states = C.rollup(C.day_states(R.routed(ticks, found)), labels, ["1m"])
+    candles = R.read_candles(states, RANGE, "1m")
     return C.format_candles(C.with_jalali_labels(candles, labels)).drop("timeframe")
 
 

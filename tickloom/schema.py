@@ -56,16 +56,17 @@ JALALI_CALENDAR = T.StructType(
     ]
 )
 
-# One mergeable candle: every column can be combined with the same column of
-# another state of the same key (see operators.candles.merge_states).
+# An instant and a value in one number, ordered by instant, then value.
+PACKED_TICK = T.DecimalType(37, 8)
+
+# One mergeable candle: each column combines with the same column of another
+# state of the same key by min, max or sum (see operators.candles.merge_states).
 STATE_MEASURES = T.StructType(
     [
-        T.StructField("open", PRICE),
-        T.StructField("open_ts", T.TimestampType()),
+        T.StructField("first_tick", PACKED_TICK),
+        T.StructField("last_tick", PACKED_TICK),
         T.StructField("high", PRICE),
         T.StructField("low", PRICE),
-        T.StructField("close", PRICE),
-        T.StructField("close_ts", T.TimestampType()),
         T.StructField("volume", TOTAL),
         T.StructField("ticks", T.LongType()),
     ]

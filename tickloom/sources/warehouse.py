@@ -49,8 +49,9 @@ from tickloom.operators.reads import (
     page_of,
     parse_range,
     read_candles,
-    read_ticks,
+    route_predicate,
     symbols_predicate,
+    ticks_in_range,
 )
 from tickloom.operators.registry import registry_resolve, symbol_lookup
 from tickloom.schema import CANDLE_STATE, JALALI_CALENDAR, REGISTRY, TICKS, TIMEFRAMES
@@ -88,6 +89,7 @@ _STATES_BASE = _partitioned(
     _BUCKET,
 )
 _REGISTRY_DELTA = _partitioned(REGISTRY, _BATCH)
+_REGISTRY_BASE = _partitioned(T.StructType(REGISTRY.fields + [T.StructField(*_BATCH)]), _RUN)
 _RESPONSES_BATCH = T.StructType(
     [
         T.StructField("request_id", T.StringType()),
@@ -275,11 +277,18 @@ class Warehouse:
         delta = delta.select(*CANDLE_STATE.fieldNames())
         return delta if base is None else delta.unionByName(base.drop("batch_id"))
 
+    def _registrations(self, seen: Snapshot) -> DataFrame:
+        columns = [*REGISTRY.fieldNames(), "batch_id"]
+        rows = self._delta("symbols", _REGISTRY_DELTA, seen).select(*columns)
+        base = self._base("symbols", _REGISTRY_BASE, seen)
+        return self._undeleted(rows if base is None else rows.unionByName(base.select(*columns)))
+
     def registry(self, seen: Snapshot | None = None, before_batch: int | None = None) -> DataFrame:
         """Registered symbols; ``before_batch`` leaves out that batch and later ones."""
-        last = (seen or self.snapshot()).last_batch if before_batch is None else before_batch - 1
-        versions = self._read(_REGISTRY_DELTA, "symbols", "delta").filter(F.col("batch_id") <= last)
-        return registry_resolve(self._undeleted(versions))
+        rows = self._registrations(seen or self.snapshot())
+        if before_batch is not None:
+            rows = rows.filter(F.col("batch_id") < before_batch)
+        return registry_resolve(rows)
 
     def calendar(self) -> DataFrame:
         return self._read(JALALI_CALENDAR, "jalali_calendar")
@@ -334,8 +343,10 @@ class Warehouse:
         requested = self.spark.createDataFrame([(s,) for s in sorted(set(symbols))], "symbol string")
         return symbol_lookup(requested, self.registry(seen).filter(wanted))
 
-    def _routes(self, symbols: Sequence[str], seen: Snapshot) -> DataFrame:
-        return self.lookup(symbols, seen).filter("found").select("symbol", "calendar")
+    def _routes(self, symbols: Sequence[str], seen: Snapshot) -> dict[str, str]:
+        """Calendar of each known symbol: no more rows than the caller asked for."""
+        found = self.lookup(symbols, seen).filter("found").collect()
+        return {r["symbol"]: r["calendar"] for r in found}
 
     def read_candles(
         self,
@@ -355,8 +366,9 @@ class Warehouse:
         check_timeframe(timeframe)
         days = parse_range(from_, to)
         seen = self.snapshot()
-        states = self.states([timeframe], symbols, seen)
-        candles = read_candles(states, self._routes(symbols, seen), days, timeframe)
+        routes = self._routes(symbols, seen)
+        states = self.states([timeframe], symbols, seen).filter(route_predicate(routes))
+        candles = read_candles(states, days, timeframe)
         order = ["symbol", "bucket_start"]
         if after is not None:
             found = page_after(candles, order, after, limit)
@@ -376,7 +388,8 @@ class Warehouse:
         """Ticks of ``symbols`` in (symbol, ts) order; days follow each symbol's calendar."""
         days = parse_range(from_, to)
         seen = self.snapshot()
-        rows = read_ticks(self.ticks(symbols, days, seen), self._routes(symbols, seen), days)
+        routes = self._routes(symbols, seen)
+        rows = ticks_in_range(self.ticks(symbols, days, seen).filter(route_predicate(routes)), days)
         order = ["symbol", "ts", "value", "volume"]
         found = page_of(rows.drop("batch_id"), order, page, limit)
         return Page(format_ticks(found.rows.orderBy(*order)), found.metadata)
@@ -450,20 +463,20 @@ class Warehouse:
         rewrites all visible rows and so drops deleted and expired ones.
         """
         seen = self.snapshot()
-        if seen.last_batch < 0:
-            return
-        source = seen if complete else seen._replace(
-            runs={table: ([], up_to) for table, (_, up_to) in seen.runs.items()}
-        )
-        self._compact_ticks(source, complete)
-        self._compact_states(source, complete)
-
-    def _record_run(self, table: str, run: str, up_to: int, complete: bool) -> None:
-        now = dt.datetime.now(dt.timezone.utc)
-        self._append([(table, run, up_to, complete, now)], _RUNS, "runs")
-
-    def _compact_ticks(self, seen: Snapshot, complete: bool) -> None:
-        run = uuid.uuid4().hex
+        if not complete:
+            # look at what no run holds yet
+            seen = seen._replace(runs={t: ([], up_to) for t, (_, up_to) in seen.runs.items()})
+        jobs = {"ticks": self._tick_run, "states": self._state_run, "symbols": self._symbol_run}
+        for table, rows_of in jobs.items():
+            if not complete and seen.runs.get(table, ([], -1))[1] >= seen.last_batch:
+                continue
+            run = uuid.uuid4().hex
+            rows, partition_by = rows_of(seen)
+            rows.write.partitionBy(*partition_by).parquet(self._at(table, "base", f"run={run}"))
+            now = dt.datetime.now(dt.timezone.utc)
+            self._append([(table, run, seen.last_batch, complete, now)], _RUNS, "runs")
+
+    def _tick_run(self, seen: Snapshot) -> tuple[DataFrame, list[str]]:
         rows = (
             self.ticks(seen=seen)
             .withColumn("batch_id", F.lit(seen.last_batch))
@@ -472,13 +485,11 @@ class Warehouse:
             .hint("rebalance", "ts_month", "symbol_bucket")
             .sortWithinPartitions("ts_month", "symbol_bucket", "symbol", "ts")
         )
-        rows.write.partitionBy("ts_month", "symbol_bucket").parquet(self._at("ticks", "base", f"run={run}"))
-        self._record_run("ticks", run, seen.last_batch, complete)
+        return rows, ["ts_month", "symbol_bucket"]
 
-    def _compact_states(self, seen: Snapshot, complete: bool) -> None:
-        run = uuid.uuid4().hex
+    def _state_run(self, seen: Snapshot) -> tuple[DataFrame, list[str]]:
         delta, base = self._state_rows(TIMEFRAMES, None, seen)
-        merged = rollup(merge_states(delta), self.calendar())
+        merged = rollup(delta, self.calendar())
         if base is not None:
             merged = merge_states(merged.unionByName(base.drop("batch_id")))
         rows = (
@@ -487,21 +498,28 @@ class Warehouse:
             .hint("rebalance", "calendar", "timeframe", "symbol_bucket")
             .sortWithinPartitions("calendar", "timeframe", "symbol_bucket", "symbol", "bucket_start")
         )
-        rows.write.partitionBy("calendar", "timeframe", "symbol_bucket").parquet(
-            self._at("states", "base", f"run={run}")
-        )
-        self._record_run("states", run, seen.last_batch, complete)
+        return rows, ["calendar", "timeframe", "symbol_bucket"]
+
+    def _symbol_run(self, seen: Snapshot) -> tuple[DataFrame, list[str]]:
+        return self._registrations(seen).hint("rebalance"), []
 
     def vacuum(self) -> None:
         """Remove folders no current reader needs: merged batches, replaced runs."""
         seen = self.snapshot()
+        merged = {table: up_to for table, (_, up_to) in seen.runs.items()}
         for table, (runs, up_to) in seen.runs.items():
-            for folder in self._children(table, "delta"):
-                if int(folder.removeprefix("batch_id=")) <= up_to:
-                    self._delete(table, "delta", folder)
+            self._drop_batches(up_to, table, "delta")
             for folder in self._children(table, "base"):
                 if folder.removeprefix("run=") not in runs:
                     self._delete(table, "base", folder)
+        if {"ticks", "states", "symbols"} <= merged.keys():
+            # a run stands for the batches it holds, their commits are not needed
+            self._drop_batches(min(merged.values()), "commits")
+
+    def _drop_batches(self, up_to: int, *parts: str) -> None:
+        for folder in self._children(*parts):
+            if folder.startswith("batch_id=") and int(folder.removeprefix("batch_id=")) <= up_to:
+                self._delete(*parts, folder)
 
 
 def _one_row(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
