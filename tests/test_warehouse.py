@@ -209,6 +209,15 @@ def test_expiry_keeps_candles(spark, warehouse):
 def test_check_lists_every_table(spark, warehouse):
     rows = {r["name"]: r["rows"] for r in warehouse.check().collect()}
     assert len(rows) == 11 and rows["jalali_calendar"] == 69398 and rows["ticks"] == 0
+    assert {r["name"] for r in warehouse.check().filter("exists").collect()} == {"jalali_calendar"}
+    ingest_batch(warehouse, make_requests(spark, 3))
+    assert warehouse.check().filter("NOT exists").isEmpty() and warehouse.uncovered_days().isEmpty()
+    early = '{"ticks":[{"symbol":"OLD","value":"1","volume":"1","calendar":"jalali","timestamp":"1905-01-01T00:00:00Z"}]}'
+    at = dt.datetime(2026, 3, 1, tzinfo=UTC)
+    ingest_batch(warehouse, spark.createDataFrame([("old", at, early)], REQUESTS))
+    for _ in range(2):
+        assert [tuple(r) for r in warehouse.uncovered_days().collect()] == [("OLD", dt.date(1905, 1, 1), 1)]
+        warehouse.compact()
     warehouse.seed_calendar()
     assert warehouse.calendar().count() == 69398
 

@@ -45,8 +45,13 @@ def aggregate_ticks(ticks: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def merge_states(states: DataFrame, keys: Sequence[str] = STATE_KEYS) -> DataFrame:
-    """Combine states of equal keys, in any order and any number of times."""
+def merge_states(
+    states: DataFrame, keys: Sequence[str] = STATE_KEYS, *more: Column
+) -> DataFrame:
+    """Combine states of equal keys, in any order and any number of times.
+
+    ``more`` are further aggregates over the states of a key.
+    """
     return states.groupBy(*keys).agg(
         F.min("first_tick").alias("first_tick"),
         F.max("last_tick").alias("last_tick"),
@@ -54,6 +59,7 @@ def merge_states(states: DataFrame, keys: Sequence[str] = STATE_KEYS) -> DataFra
         F.min("low").alias("low"),
         F.sum("volume").cast(TOTAL).alias("volume"),
         F.sum("ticks").alias("ticks"),
+        *more,
     )
 
 
@@ -156,8 +162,8 @@ def rollup(
     return merge_states(repeated.filter(F.col("bucket_start").isNotNull()))
 
 
-def finish(states: DataFrame) -> DataFrame:
-    """Drop what only merging needs: the candle as it is served."""
+def finish(states: DataFrame, *more: str) -> DataFrame:
+    """Drop what only merging needs: the candle as it is served, and ``more``."""
     return open_close(states).select(
         *STATE_KEYS,
         "open",
@@ -166,6 +172,7 @@ def finish(states: DataFrame) -> DataFrame:
         "close",
         "volume",
         F.col("ticks").alias("tick_count"),
+        *more,
     )
 
 

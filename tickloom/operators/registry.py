@@ -24,11 +24,22 @@ class Resolution(NamedTuple):
 
 
 def registry_resolve(versions: DataFrame) -> DataFrame:
-    """One row per symbol out of many versions: the first registration stands."""
+    """One row per symbol out of many versions: the first registration stands.
+
+    Instant and calendar share one integer, the calendar in its lowest bit, so
+    the earliest is a plain minimum.
+    """
+    late = F.when(F.col("calendar") == JALALI, F.lit(1)).otherwise(F.lit(0))
+    version = F.unix_micros("created_at") * 2 + late
+    first = F.col("first")
     return (
         versions.groupBy("symbol")
-        .agg(F.min(F.struct("created_at", "calendar")).alias("first"))
-        .select("symbol", "first.calendar", "first.created_at")
+        .agg(F.min(version).alias("first"))
+        .select(
+            "symbol",
+            F.when(first.bitwiseAND(F.lit(1)) == 1, JALALI).otherwise(GREGORIAN).alias("calendar"),
+            F.timestamp_micros(F.shiftright(first, 1)).alias("created_at"),
+        )
     )
 
 

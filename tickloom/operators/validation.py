@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -85,7 +86,7 @@ def distinct_symbols(ticks: DataFrame) -> DataFrame:
     return ticks.select("symbol").distinct()
 
 
-def first_calendars(ticks: DataFrame, *keys: str) -> DataFrame:
+def first_calendars(ticks: DataFrame, *keys: str, more: Sequence[Column] = ()) -> DataFrame:
     """First position of each calendar per ``keys``, and the calendar that came first."""
     pos, calendar = F.col("pos"), F.col("calendar")
     return (
@@ -93,6 +94,7 @@ def first_calendars(ticks: DataFrame, *keys: str) -> DataFrame:
         .agg(
             F.min(F.when(calendar == GREGORIAN, pos)).alias("gregorian_pos"),
             F.min(F.when(calendar == JALALI, pos)).alias("jalali_pos"),
+            *more,
         )
         .withColumn(
             "calendar",
@@ -105,18 +107,16 @@ def first_calendars(ticks: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def _conflict_pos() -> Column:
+    """Where a second calendar follows, if one does."""
+    both = F.col("gregorian_pos").isNotNull() & F.col("jalali_pos").isNotNull()
+    return F.when(both, F.greatest("gregorian_pos", "jalali_pos")).alias("conflict_pos")
+
+
 def batch_claims(ticks: DataFrame) -> DataFrame:
     """One row per request and symbol: its first calendar and where another follows."""
     return first_calendars(ticks, "request_id", "received_at", "symbol").select(
-        "request_id",
-        "received_at",
-        "symbol",
-        "calendar",
-        "pos",
-        F.when(
-            F.col("gregorian_pos").isNotNull() & F.col("jalali_pos").isNotNull(),
-            F.greatest("gregorian_pos", "jalali_pos"),
-        ).alias("conflict_pos"),
+        "request_id", "received_at", "symbol", "calendar", "pos", _conflict_pos()
     )
 
 
@@ -141,63 +141,81 @@ def batch_conflicts(claims: DataFrame) -> DataFrame:
     )
 
 
-def _conflict_text() -> Column:
-    return F.concat(
-        F.lit("symbol "),
-        F.col("symbol"),
-        F.lit(" has conflicting calendars in batch: "),
-        F.col("calendar"),
-        F.lit(" and "),
-        F.col("other"),
-    )
-
+def _verdicts(validated: DataFrame) -> DataFrame:
+    """One row per request with all that may be wrong with it.
 
-def request_faults(validated: DataFrame) -> DataFrame:
-    """Requests that fail on their own text, with the report of the lowest tick.
-
-    Position and fault share one number, so the lowest is a plain minimum; the
-    ticks of a request sit together and collapse before the shuffle.
+    The ticks of a request sit together, so they collapse to a row per symbol
+    before the first shuffle. Position and fault share one number, whose
+    minimum is the first fault of the lowest tick.
     """
-    slots = len(TICK_REASONS)
-    worst = F.min(
-        F.when(F.col("fault").isNotNull(), F.col("pos").cast("bigint") * slots + F.col("fault"))
-    )
-    per_request = validated.groupBy("request_id").agg(
+    fault = F.col("pos").cast("bigint") * len(TICK_REASONS) + F.col("fault")
+    marks = first_calendars(
+        validated,
+        "request_id",
+        "received_at",
+        "symbol",
+        more=(
+            F.bool_or("malformed").alias("malformed"),
+            F.bool_or(F.col("pos").isNull()).alias("empty"),
+            F.min(fault).alias("worst"),
+        ),
+    ).withColumn("conflict_pos", _conflict_pos())
+    conflict = F.struct("conflict_pos", "symbol", "calendar")
+    return marks.groupBy("request_id").agg(
         F.bool_or("malformed").alias("malformed"),
-        F.bool_or(F.col("pos").isNull()).alias("empty"),
-        worst.alias("worst"),
+        F.bool_or("empty").alias("empty"),
+        F.min("worst").alias("worst"),
+        F.min(F.when(F.col("conflict_pos").isNotNull(), conflict)).alias("conflict"),
     )
-    pos = F.floor(F.col("worst") / slots).cast("int")
-    reason = (
+
+
+def _reason() -> Column:
+    """What a request is told: its first failure, in the order of the checks."""
+    slots = len(TICK_REASONS)
+    pos = F.floor(F.col("worst") / slots).cast("string")
+    clash = F.col("conflict")
+    return (
         F.when(F.col("malformed"), MALFORMED)
         .when(F.col("empty"), NO_TICKS)
+        .when(
+            F.col("worst").isNotNull(),
+            F.concat(F.lit("ticks["), pos, F.lit("]: "), reason_of(F.col("worst") % slots)),
+        )
         .otherwise(
             F.concat(
-                F.lit("ticks["), pos.cast("string"), F.lit("]: "), reason_of(F.col("worst") % slots)
+                F.lit("symbol "),
+                clash["symbol"],
+                F.lit(" has conflicting calendars in batch: "),
+                clash["calendar"],
+                F.lit(" and "),
+                other_calendar(clash["calendar"]),
             )
         )
     )
-    return per_request.filter(
-        F.col("malformed") | F.col("empty") | F.col("worst").isNotNull()
-    ).select("request_id", F.lit(INVALID_REQUEST).alias("code"), reason.alias("reason"))
 
 
-def split_batches(validated: DataFrame) -> Split:
-    """Reject every request with a bad tick or with two calendars for one symbol."""
-    faults = request_faults(validated)
-    claims = batch_claims(validated.filter(F.col("pos").isNotNull())).join(
-        faults, "request_id", "left_anti"
-    )
-    conflicts = batch_conflicts(claims).select(
-        "request_id",
-        F.lit(CALENDAR_MISMATCH).alias("code"),
-        _conflict_text().alias("reason"),
+def rejected_requests(validated: DataFrame) -> DataFrame:
+    """Requests with a bad tick, or with two calendars for one symbol, and why."""
+    invalid = F.col("malformed") | F.col("empty") | F.col("worst").isNotNull()
+    return (
+        _verdicts(validated)
+        .filter(invalid | F.col("conflict").isNotNull())
+        .select(
+            "request_id",
+            F.when(invalid, INVALID_REQUEST).otherwise(CALENDAR_MISMATCH).alias("code"),
+            _reason().alias("reason"),
+        )
     )
-    rejected = faults.unionByName(conflicts)
+
+
+def split_batches(validated: DataFrame) -> Split:
+    """Reject whole requests; keep the ticks and claims of the others."""
+    rejected = rejected_requests(validated)
+    claims = batch_claims(validated.filter(F.col("pos").isNotNull()))
     return Split(
         accepted=validated.join(rejected, "request_id", "left_anti"),
         rejected=rejected,
-        claims=claims.join(conflicts, "request_id", "left_anti").drop("conflict_pos"),
+        claims=claims.join(rejected, "request_id", "left_anti").drop("conflict_pos"),
     )
 
 

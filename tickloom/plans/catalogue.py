@@ -181,10 +181,8 @@ def late_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     partial = C.aggregate_ticks(keyed, ["symbol", "calendar", "timeframe", "bucket_start", "batch_id"])
-    merged = _candle_rows(C.merge_states(partial))
-    parts = partial.groupBy("symbol", "bucket_start").agg(F.count(F.lit(1)).alias("batches"))
-    parts = parts.withColumn("bucket_start", F.concat(F.col("bucket_start").cast("string"), F.lit(" 00:00:00")))
-    return merged.join(parts, ["symbol", "bucket_start"])
+    merged = C.merge_states(partial, C.STATE_KEYS, F.count(F.lit(1)).alias("batches"))
+    return C.format_candles(C.finish(merged, "batches"))
 
 
 # --- calendars --------------------------------------------------------------

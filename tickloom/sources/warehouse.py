@@ -26,7 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.buckets import symbol_bucket, utc_day_range
-from tickloom.functions.jalali import build_jalali_calendar, check_calendar, label_calendar
+from tickloom.functions.jalali import (
+    FIRST_DAY,
+    LAST_DAY,
+    build_jalali_calendar,
+    check_calendar,
+    label_calendar,
+)
 from tickloom.operators.candles import (
     day_states,
     format_candles,
@@ -54,7 +60,7 @@ from tickloom.operators.reads import (
     ticks_in_range,
 )
 from tickloom.operators.registry import registry_resolve, symbol_lookup
-from tickloom.schema import CANDLE_STATE, JALALI_CALENDAR, REGISTRY, TICKS, TIMEFRAMES
+from tickloom.schema import CANDLE_STATE, JALALI, JALALI_CALENDAR, REGISTRY, TICKS, TIMEFRAMES
 
 _RUNS = "table string, run string, up_to long, complete boolean, created_at timestamp"
 _COMMITS = "ticks long, rejected long, committed_at timestamp, batch_id long"
@@ -418,7 +424,17 @@ class Warehouse:
             raise RuntimeError("jalali_calendar is empty; call seed_calendar")
         counts = table_counts(self.ticks(seen=seen), self.states(seen=seen), self.registry(seen))
         days = calendar.agg(F.count(F.lit(1)).alias("rows"))
-        return counts.unionByName(days.select(F.lit("jalali_calendar").alias("name"), "rows"))
+        counts = counts.unionByName(days.select(F.lit("jalali_calendar").alias("name"), "rows"))
+        stored = [t for t in ("ticks", "symbols", "jalali_calendar") if self._exists(t)]
+        if self._exists("states"):
+            stored += list(CANDLE_TABLES)
+        return counts.select("name", F.col("name").isin(stored).alias("exists"), "rows")
+
+    def uncovered_days(self) -> DataFrame:
+        """Jalali days outside the calendar: served by day and week, in no month or year."""
+        days = merge_states(self.states(["1d"])).filter(F.col("calendar") == JALALI)
+        covered = F.col("bucket_start").between(F.lit(FIRST_DAY), F.lit(LAST_DAY))
+        return days.filter(~covered).select("symbol", "bucket_start", "ticks")
 
     def delete_symbols(self, symbols: Sequence[str]) -> DataFrame:
         """Delete symbols everywhere but the calendar; one summary row per table.
