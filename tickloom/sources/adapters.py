@@ -18,9 +18,8 @@ def _millis(ts: Column) -> Column:
 
 def lineitem_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One symbol per supplier and line status; finished lines trade in Jalali days."""
-    ts = F.col("l_shipdate").cast("timestamp") + F.make_dt_interval(
-        secs=(F.col("l_orderkey") % 86400).cast("decimal(18,6)")
-    )
+    shipped = F.unix_seconds(F.col("l_shipdate").cast("timestamp"))
+    ts = F.timestamp_seconds(shipped + F.col("l_orderkey") % 86400)
     return table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("S"), F.col("l_suppkey"), F.lit("-"), F.col("l_linestatus")).alias("symbol"),
         F.when(F.col("l_linestatus") == "F", JALALI).otherwise(GREGORIAN).alias("calendar"),

@@ -62,8 +62,10 @@ from tickloom.operators.reads import (
 from tickloom.operators.registry import registry_resolve, symbol_lookup
 from tickloom.schema import CANDLE_STATE, JALALI, JALALI_CALENDAR, REGISTRY, TICKS, TIMEFRAMES
 
+# Reads of more buckets than this list the whole table instead.
+_MAX_FOLDERS = 64
+
 _RUNS = "table string, run string, up_to long, complete boolean, created_at timestamp"
-_COMMITS = "ticks long, rejected long, committed_at timestamp, batch_id long"
 _DELETIONS = "symbol string, since long, deleted_at timestamp"
 _RETENTION = "cutoff timestamp"
 
@@ -83,16 +85,16 @@ _TICKS_DELTA = _partitioned(TICKS, _BATCH, _BUCKET)
 _TICKS_BASE = _partitioned(
     T.StructType(TICKS.fields + [T.StructField(*_BATCH)]),
     _RUN,
-    ("ts_month", T.StringType()),
     _BUCKET,
+    ("ts_month", T.StringType()),
 )
 _STATES_DELTA = _partitioned(CANDLE_STATE, _BATCH, _BUCKET)
 _STATES_BASE = _partitioned(
     T.StructType(CANDLE_STATE.fields + [T.StructField(*_BATCH)]),
     _RUN,
-    ("calendar", T.StringType()),
     ("timeframe", T.StringType()),
     _BUCKET,
+    ("calendar", T.StringType()),
 )
 _REGISTRY_DELTA = _partitioned(REGISTRY, _BATCH)
 _REGISTRY_BASE = _partitioned(T.StructType(REGISTRY.fields + [T.StructField(*_BATCH)]), _RUN)
@@ -193,33 +195,60 @@ class Warehouse:
 
     # --- what is visible --------------------------------------------------
 
+    def _committed(self) -> int:
+        """The last batch whose commit file is in place, by listing alone."""
+        fs, target = self._fs("commits", "batch_id=*", "part-*")
+        found = fs.globStatus(target) or []
+        batches = (f.getPath().getParent().getName().removeprefix("batch_id=") for f in found)
+        return max(map(int, batches), default=-1)
+
     def snapshot(self) -> Snapshot:
-        commits = self._read(_COMMITS, "commits", form="json").agg(F.max("batch_id")).first()[0]
-        last = -1 if commits is None else commits
-        entries = self._read(_RUNS, "runs", form="json").orderBy("created_at").collect()
+        last, cutoff = self._committed(), None
         runs: dict[str, tuple[list[str], int]] = {}
-        for entry in entries:
-            earlier = [] if entry["complete"] else runs.get(entry["table"], ([], -1))[0]
-            runs[entry["table"]] = (earlier + [entry["run"]], entry["up_to"])
-            last = max(last, entry["up_to"])
-        cutoff = self._read(_RETENTION, "retention", form="json").agg(F.max("cutoff")).first()[0]
+        if self._exists("runs"):
+            for entry in self._read(_RUNS, "runs", form="json").orderBy("created_at").collect():
+                earlier = [] if entry["complete"] else runs.get(entry["table"], ([], -1))[0]
+                runs[entry["table"]] = (earlier + [entry["run"]], entry["up_to"])
+                last = max(last, entry["up_to"])
+        if self._exists("retention"):
+            cutoff = self._read(_RETENTION, "retention", form="json").agg(F.max("cutoff")).first()[0]
         return Snapshot(last, runs, cutoff)
 
-    def _delta(self, table: str, schema: T.StructType, seen: Snapshot) -> DataFrame:
+    def _load(self, schema: T.StructType, root: str, folders: Sequence[str]) -> DataFrame:
+        """Rows below those ``folders`` (patterns) of ``root`` that exist."""
+        found = []
+        for folder in folders:
+            fs, target = self._fs(root, folder)
+            if fs.globStatus(target):
+                found.append(self._at(root, folder))
+        if not found:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self._at(root)).parquet(*found)
+
+    def _visited(self, symbols: Sequence[str] | None) -> list[str]:
+        """Folders of the storage buckets of ``symbols``; all of them for many or none."""
+        if symbols is None:
+            return [""]
+        names = self.spark.createDataFrame([(s,) for s in set(symbols)], "symbol string")
+        rows = names.select(symbol_bucket(F.col("symbol"), self.buckets)).collect()
+        folders = sorted({f"/symbol_bucket={row[0]}" for row in rows})
+        return folders if len(folders) <= _MAX_FOLDERS else [""]
+
+    def _delta(
+        self, table: str, schema: T.StructType, seen: Snapshot, buckets: Sequence[str] = ("",)
+    ) -> DataFrame:
         merged = seen.runs.get(table, ([], -1))[1]
         batch = F.col("batch_id")
-        return self._read(schema, table, "delta").filter((batch > merged) & (batch <= seen.last_batch))
+        rows = self._load(schema, f"{table}/delta", [f"batch_id=*{b}" for b in buckets])
+        return rows.filter((batch > merged) & (batch <= seen.last_batch))
 
-    def _base(self, table: str, schema: T.StructType, seen: Snapshot) -> DataFrame | None:
+    def _base(
+        self, table: str, schema: T.StructType, seen: Snapshot, folders: Sequence[str] = ("",)
+    ) -> DataFrame | None:
         runs = seen.runs.get(table, ([], -1))[0]
         if not runs:
             return None
-        root = self._at(table, "base")
-        return (
-            self.spark.read.schema(schema)
-            .option("basePath", root)
-            .parquet(*(f"{root}/run={run}" for run in runs))
-        )
+        return self._load(schema, f"{table}/base", [f"run={r}{f}" for r in runs for f in folders])
 
     def _undeleted(self, rows: DataFrame) -> DataFrame:
         if not self._exists("deletions"):
@@ -234,8 +263,9 @@ class Warehouse:
     ) -> DataFrame:
         """Visible ticks; ``symbols`` and ``days`` prune files, they do not refine rows."""
         seen = seen or self.snapshot()
-        delta = self._delta("ticks", _TICKS_DELTA, seen)
-        base = self._base("ticks", _TICKS_BASE, seen)
+        buckets = self._visited(symbols)
+        delta = self._delta("ticks", _TICKS_DELTA, seen, buckets)
+        base = self._base("ticks", _TICKS_BASE, seen, buckets)
         if symbols is not None:
             wanted = symbols_predicate(symbols, self.buckets)
             delta = delta.filter(wanted)
@@ -258,8 +288,10 @@ class Warehouse:
 
     def _state_rows(self, timeframes: Sequence[str], symbols: Sequence[str] | None, seen: Snapshot):
         """Visible states: of merged batches in all ``timeframes``, of later ones by day."""
-        delta = self._delta("states", _STATES_DELTA, seen)
-        base = self._base("states", _STATES_BASE, seen)
+        buckets = self._visited(symbols)
+        delta = self._delta("states", _STATES_DELTA, seen, buckets)
+        folders = [f"/timeframe={tf}{b}" for tf in timeframes for b in buckets]
+        base = self._base("states", _STATES_BASE, seen, folders)
         if symbols is not None:
             wanted = symbols_predicate(symbols, self.buckets)
             delta = delta.filter(wanted)
@@ -267,7 +299,7 @@ class Warehouse:
         columns = [*CANDLE_STATE.fieldNames(), "batch_id"]
         delta = self._undeleted(delta.select(*columns))
         if base is not None:
-            base = self._undeleted(base.filter(F.col("timeframe").isin(*timeframes)).select(*columns))
+            base = self._undeleted(base.select(*columns))
         return delta, base
 
     def states(
@@ -335,11 +367,18 @@ class Warehouse:
             .sortWithinPartitions("symbol_bucket", "symbol", time)
         )
 
+    def withdraw(self, batch_id: int) -> None:
+        """Hide a batch that is about to be written again."""
+        self._delete("commits", f"batch_id={batch_id}")
+
     def commit(self, batch_id: int, ticks: int, rejected: int) -> None:
-        now = dt.datetime.now(dt.timezone.utc)
-        _one_row(
-            self.spark, [(ticks, rejected, now)], "ticks long, rejected long, committed_at timestamp"
-        ).write.mode("overwrite").json(self._at("commits", f"batch_id={batch_id}"))
+        """Make a batch visible: one row saying what it took in."""
+        row = self.spark.range(0, 1, 1, 1).select(
+            F.lit(ticks).alias("ticks"),
+            F.lit(rejected).alias("rejected"),
+            F.current_timestamp().alias("committed_at"),
+        )
+        row.write.mode("overwrite").json(self._at("commits", f"batch_id={batch_id}"))
 
     # --- reads ------------------------------------------------------------
 
@@ -466,10 +505,15 @@ class Warehouse:
         cutoff = as_of.astimezone(dt.timezone.utc) - dt.timedelta(days=days)
         self._append([(cutoff,)], _RETENTION, "retention")
         first_kept = f"ts_month={cutoff:%Y-%m}"
-        for run in self._children("ticks", "base"):
-            for month in self._children("ticks", "base", run):
+        bases = [
+            ("ticks", "base", run, bucket)
+            for run in self._children("ticks", "base")
+            for bucket in self._children("ticks", "base", run)
+        ]
+        for parts in bases:
+            for month in self._children(*parts):
                 if month.startswith("ts_month=") and month < first_kept:
-                    self._delete("ticks", "base", run, month)
+                    self._delete(*parts, month)
         return cutoff
 
     def compact(self, complete: bool = False) -> None:
@@ -498,10 +542,10 @@ class Warehouse:
             .withColumn("batch_id", F.lit(seen.last_batch))
             .withColumn("symbol_bucket", symbol_bucket(F.col("symbol"), self.buckets))
             .withColumn("ts_month", F.date_format("ts", "yyyy-MM"))
-            .hint("rebalance", "ts_month", "symbol_bucket")
-            .sortWithinPartitions("ts_month", "symbol_bucket", "symbol", "ts")
+            .hint("rebalance", "symbol_bucket", "ts_month")
+            .sortWithinPartitions("symbol_bucket", "ts_month", "symbol", "ts")
         )
-        return rows, ["ts_month", "symbol_bucket"]
+        return rows, ["symbol_bucket", "ts_month"]
 
     def _state_run(self, seen: Snapshot) -> tuple[DataFrame, list[str]]:
         delta, base = self._state_rows(TIMEFRAMES, None, seen)
@@ -511,10 +555,10 @@ class Warehouse:
         rows = (
             merged.withColumn("batch_id", F.lit(seen.last_batch))
             .withColumn("symbol_bucket", symbol_bucket(F.col("symbol"), self.buckets))
-            .hint("rebalance", "calendar", "timeframe", "symbol_bucket")
-            .sortWithinPartitions("calendar", "timeframe", "symbol_bucket", "symbol", "bucket_start")
+            .hint("rebalance", "timeframe", "symbol_bucket", "calendar")
+            .sortWithinPartitions("timeframe", "symbol_bucket", "calendar", "symbol", "bucket_start")
         )
-        return rows, ["calendar", "timeframe", "symbol_bucket"]
+        return rows, ["timeframe", "symbol_bucket", "calendar"]
 
     def _symbol_run(self, seen: Snapshot) -> tuple[DataFrame, list[str]]:
         return self._registrations(seen).hint("rebalance"), []

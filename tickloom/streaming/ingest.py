@@ -27,6 +27,7 @@ def ingest_batch(warehouse: Warehouse, requests: DataFrame, batch_id: int | None
     """
     if batch_id is None:
         batch_id = warehouse.snapshot().last_batch + 1
+    warehouse.withdraw(batch_id)
     checked = validate(parse_requests(requests)).persist()
     try:
         split = split_batches(checked)
