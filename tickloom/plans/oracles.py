@@ -162,7 +162,7 @@ _COLLIDED = {
               FROM ei) a
         WHERE a.calendar <> a.first GROUP BY a.request_id""",
     "sound": """
-        SELECT * FROM ei WHERE request_id NOT IN (SELECT request_id FROM ei WHERE k <= 0)""",
+        SELECT * FROM ei WHERE request_id NOT IN (SELECT request_id FROM ei WHERE k <= 0 OR value <= 0)""",
 }
 
 _RESOLVE = (
@@ -201,11 +201,11 @@ _FAULTS = """
 
 _REGISTRY = "SELECT supplier AS symbol, arg_min(calendar, (ts, calendar)) AS calendar, min(ts) AS created_at FROM li GROUP BY 1"
 
-# requests with a zero volume are refused whole, so the stored ticks are the others
+# requests with a zero value or volume are refused whole, so the stored ticks are the others
 _STORED = {
     "stored": """
         SELECT event_type AS symbol, calendar, value, CAST(k AS DECIMAL(18,8)) AS volume, ts FROM ei
-        WHERE request_id NOT IN (SELECT request_id FROM ei WHERE k <= 0)"""
+        WHERE request_id NOT IN (SELECT request_id FROM ei WHERE k <= 0 OR value <= 0)"""
 }
 
 
@@ -321,8 +321,9 @@ def all_oracles() -> dict[str, str]:
             FROM checked WHERE request_id NOT IN (SELECT request_id FROM bad))"""
     sql["reject_batches"] = _with("ei", **_MIXED, **_COLLIDED) + f"""{_FAULTS}
         UNION ALL
-        SELECT request_id, 'invalid_request', 'ticks[' || min(pos) || ']: volume must be a positive decimal'
-        FROM ei WHERE k <= 0 GROUP BY request_id
+        SELECT request_id, 'invalid_request', 'ticks[' || min(pos) || ']: ' ||
+               arg_min(CASE WHEN value <= 0 THEN 'value' ELSE 'volume' END, pos) || ' must be a positive decimal'
+        FROM ei WHERE k <= 0 OR value <= 0 GROUP BY request_id
         UNION ALL
         SELECT request_id, 'calendar_mismatch',
                'symbol ' || symbol || ' has conflicting calendars in batch: ' || calendar || ' and ' || other
