@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,9 @@ from tickloom.schema import GREGORIAN, JALALI
 from tickloom.session import ensure_checkpoint_dir
 
 
+# Rounds whose results stay apart before they are written together.
+_KEPT_ROUNDS = 16
+
 REJECTED = "request_id string, code string, reason string"
 
 
@@ -84,8 +88,9 @@ def _losers(claims: DataFrame) -> DataFrame:
     against, then refuses those that disagree with them. The earliest undecided
     request is always accepted, so the rounds end.
     """
+    # a request's claims fit one task: its body is limited in size
     own = W.partitionBy("request_id")
-    open_claims, losers = claims, _request_ids(claims.filter(F.lit(False)))
+    open_claims, losers = claims, [_request_ids(claims.filter(F.lit(False)))]
     while not open_claims.isEmpty():
         firsts = open_claims.groupBy("symbol").agg(
             F.min(F.when(F.col("calendar") == GREGORIAN, F.col("turn"))).alias("gregorian_turn"),
@@ -113,11 +118,13 @@ def _losers(claims: DataFrame) -> DataFrame:
             .withColumn("refused", F.max(contradicted).over(own))
             .checkpoint()
         )
-        losers = losers.union(_request_ids(waiting.filter("refused"))).checkpoint()
+        losers.append(_request_ids(waiting.filter("refused")))
+        if len(losers) > _KEPT_ROUNDS:
+            losers = [reduce(DataFrame.union, losers).checkpoint()]
         open_claims = waiting.filter(~F.col("refused") & F.col("settled").isNull()).select(
             "request_id", "symbol", "calendar", "turn"
         )
-    return losers
+    return reduce(DataFrame.union, losers)
 
 
 def _registrations(firsts: DataFrame) -> DataFrame:
