@@ -209,34 +209,38 @@ def jalali_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("gregorian_to_jalali")
 def gregorian_to_jalali(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines shipped per Jalali date of the UTC day."""
-    lines = A.table(spark, sf_dir, "lineitem").select(
-        utc_date(F.col("l_shipdate").cast("timestamp")).alias("day")
+    days = (
+        A.table(spark, sf_dir, "lineitem")
+        .groupBy(utc_date(F.col("l_shipdate").cast("timestamp")).alias("day"))
+        .agg(F.count(F.lit(1)).alias("lines"))
     )
     labels = ["jalali_year", "jalali_month", "jalali_day"]
-    joined = C.with_calendar_row(lines, F.col("day"), build_jalali_calendar(spark), labels)
-    return joined.groupBy(*labels).agg(F.count(F.lit(1)).alias("lines"))
+    return C.with_calendar_row(days, F.col("day"), build_jalali_calendar(spark), labels).drop("day")
 
 
 @query("jalali_buckets")
 def jalali_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tehran day of every tick with the week, month and year it falls in."""
     columns = ["jalali_week_start_date", "jalali_month_start_date", "jalali_year_start_date"]
-    ticks = A.lineitem_ticks(spark, sf_dir).select(tehran_date(F.col("ts")).alias("local_date"))
-    joined = C.with_calendar_row(ticks, F.col("local_date"), build_jalali_calendar(spark), columns)
-    counted = joined.groupBy("local_date", *columns).agg(F.count(F.lit(1)).alias("ticks"))
-    return counted.withColumns({c: F.col(c).cast("string") for c in ["local_date", *columns]})
+    days = (
+        A.lineitem_ticks(spark, sf_dir)
+        .groupBy(tehran_date(F.col("ts")).alias("local_date"))
+        .agg(F.count(F.lit(1)).alias("ticks"))
+    )
+    joined = C.with_calendar_row(days, F.col("local_date"), build_jalali_calendar(spark), columns)
+    return joined.withColumns({c: F.col(c).cast("string") for c in ["local_date", *columns]})
 
 
 @query("bucket_functions")
 def bucket_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = utc_date(F.col("ts"))
-    buckets = {tf: gregorian_bucket(day, tf) for tf in TIMEFRAMES}
-    keyed = A.events_ticks(spark, sf_dir).unionByName(
+    ticks = A.events_ticks(spark, sf_dir).unionByName(
         A.lineitem_ticks(spark, sf_dir).drop("batch_id")
     )
-    return keyed.groupBy(
-        *(b.cast("string").alias(f"start_{tf}") for tf, b in buckets.items())
-    ).agg(F.count(F.lit(1)).alias("ticks"))
+    days = ticks.groupBy(utc_date(F.col("ts")).alias("day")).agg(F.count(F.lit(1)).alias("ticks"))
+    return days.select(
+        *(gregorian_bucket(F.col("day"), tf).cast("string").alias(f"start_{tf}") for tf in TIMEFRAMES),
+        "ticks",
+    )
 
 
 @query("tehran_local_date")
@@ -310,7 +314,7 @@ def read_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = G.registry_resolve(ticks.select("symbol", "calendar", F.col("ts").alias("created_at")))
     found = G.symbol_lookup(_low_balance_symbols(spark, sf_dir), registry).filter("found")
     labels = label_calendar(spark)
-    states = C.rollup(C.day_states(R.routed(ticks, found)), labels, ["1m"])
+    states = C.rollup(R.routed(C.day_states(ticks), found), labels, ["1m"])
     candles = R.read_candles(states, RANGE, "1m")
     return C.format_candles(C.with_jalali_labels(candles, labels)).drop("timeframe")
 
@@ -490,10 +494,10 @@ def registry_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("calendar_mismatches")
 def calendar_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wrong = G.calendar_mismatches(_shipments(spark, sf_dir), _supplier_registry(spark, sf_dir))
-    return wrong.groupBy("symbol", "registered", F.col("calendar").alias("received")).agg(
-        F.count(F.lit(1)).alias("ticks")
-    )
+    # ticks only count here, so they collapse before they meet the registry
+    counted = _shipments(spark, sf_dir).groupBy("symbol", "calendar").agg(F.count(F.lit(1)).alias("ticks"))
+    wrong = G.calendar_mismatches(counted, _supplier_registry(spark, sf_dir))
+    return wrong.select("symbol", "registered", F.col("calendar").alias("received"), "ticks")
 
 
 @query("new_symbols")

@@ -13,6 +13,7 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def configure(spark: SparkSession) -> SparkSession:
     """Pin the settings the results depend on; leave sizing to the cluster."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.ansi.enabled", "true")
     # a repeated JSON key is legal; its last value counts
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return spark
