@@ -129,15 +129,10 @@ def day_states(ticks: DataFrame) -> DataFrame:
     )
 
 
-def rollup(
+def rebucket(
     days: DataFrame, dim: DataFrame, timeframes: Sequence[str] = TIMEFRAMES
 ) -> DataFrame:
-    """Day states of both calendars rolled up to ``timeframes``.
-
-    Every day state is repeated once per timeframe and merged under its coarser
-    bucket, so one scan and one shuffle serve all timeframes; map-side merging
-    collapses months and years before the shuffle.
-    """
+    """Every day state once per timeframe, under its coarser bucket, not yet merged."""
     for timeframe in timeframes:
         _check_timeframe(timeframe)
     day = F.col("bucket_start")
@@ -159,7 +154,18 @@ def rollup(
     repeated = labelled.select(
         "symbol", "calendar", target.alias("target"), *_MEASURES
     ).select("symbol", "calendar", "target.timeframe", "target.bucket_start", *_MEASURES)
-    return merge_states(repeated.filter(F.col("bucket_start").isNotNull()))
+    return repeated.filter(F.col("bucket_start").isNotNull())
+
+
+def rollup(
+    days: DataFrame, dim: DataFrame, timeframes: Sequence[str] = TIMEFRAMES
+) -> DataFrame:
+    """Day states of both calendars rolled up to ``timeframes``.
+
+    One scan and one shuffle serve all timeframes; map-side merging collapses
+    months and years before the shuffle.
+    """
+    return merge_states(rebucket(days, dim, timeframes))
 
 
 def finish(states: DataFrame, *more: str) -> DataFrame:

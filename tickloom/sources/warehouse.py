@@ -37,7 +37,7 @@ from tickloom.operators.candles import (
     day_states,
     format_candles,
     merge_states,
-    rollup,
+    rebucket,
     with_jalali_labels,
 )
 from tickloom.operators.lifecycle import (
@@ -307,13 +307,22 @@ class Warehouse:
         timeframes: Sequence[str] = TIMEFRAMES,
         symbols: Sequence[str] | None = None,
         seen: Snapshot | None = None,
+        days: DayRange | None = None,
     ) -> DataFrame:
-        """Visible states of ``timeframes``, not merged across batches and runs."""
+        """Visible states of ``timeframes``, left to the reader to merge.
+
+        ``symbols`` and ``days`` prune files, they do not refine rows.
+        """
         delta, base = self._state_rows(timeframes, symbols, seen or self.snapshot())
+        if days is not None:
+            # a bucket that starts in the range ends within a year of it
+            last = days.last + dt.timedelta(days=366)
+            delta = delta.filter(F.col("bucket_start").between(F.lit(days.first), F.lit(last)))
+        columns = CANDLE_STATE.fieldNames()
         if list(timeframes) != ["1d"]:
-            delta = rollup(delta, self.calendar(), timeframes)
-        delta = delta.select(*CANDLE_STATE.fieldNames())
-        return delta if base is None else delta.unionByName(base.drop("batch_id"))
+            delta = rebucket(delta, self.calendar(), timeframes)
+        delta = delta.select(*columns)
+        return delta if base is None else delta.unionByName(base.select(*columns))
 
     def _registrations(self, seen: Snapshot) -> DataFrame:
         columns = [*REGISTRY.fieldNames(), "batch_id"]
@@ -412,7 +421,7 @@ class Warehouse:
         days = parse_range(from_, to)
         seen = self.snapshot()
         routes = self._routes(symbols, seen)
-        states = self.states([timeframe], symbols, seen).filter(route_predicate(routes))
+        states = self.states([timeframe], symbols, seen, days).filter(route_predicate(routes))
         candles = read_candles(states, days, timeframe)
         order = ["symbol", "bucket_start"]
         if after is not None:
@@ -548,10 +557,7 @@ class Warehouse:
         return rows, ["symbol_bucket", "ts_month"]
 
     def _state_run(self, seen: Snapshot) -> tuple[DataFrame, list[str]]:
-        delta, base = self._state_rows(TIMEFRAMES, None, seen)
-        merged = rollup(delta, self.calendar())
-        if base is not None:
-            merged = merge_states(merged.unionByName(base.drop("batch_id")))
+        merged = merge_states(self.states(seen=seen))
         rows = (
             merged.withColumn("batch_id", F.lit(seen.last_batch))
             .withColumn("symbol_bucket", symbol_bucket(F.col("symbol"), self.buckets))
