@@ -5,8 +5,8 @@ by the pairs of names at a growing offset. Ranking every byte position of a
 corpus in every round would shuffle 16 bytes a position, so rounds are thinned:
 in the round of length l every start s of a 400-byte string stands by the least
 l-byte name within [s, s + 400). Equal strings have equal least names, so a name
-that only one run of starts has drops those starts for good; Spark groups the
-names and counts them again. In the last round l is the whole length and each
+that stands at one place only drops its starts for good; Spark groups the
+names and counts their places. In the last round l is the whole length and each
 surviving start stands by its own name.
 """
 
@@ -59,21 +59,37 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
+def _places(name: np.ndarray, low: np.ndarray, high: np.ndarray, short: np.ndarray, found: np.ndarray, width: int) -> np.ndarray:
+    """At how many places the least name of each run of starts stands within its strings."""
+    if not len(name):
+        return np.empty(0, np.int64)
+    pad = np.zeros(width - 1, np.uint64)
+    chosen = np.flatnonzero(short == ~least(~np.concatenate([pad, found, pad]), width))
+    first = np.searchsorted(chosen, low, "left")
+    counts = np.searchsorted(chosen, high + width - 1, "right") - first
+    hit = short[chosen[ranges(first, counts)]] == np.repeat(name, counts)
+    return np.bincount(np.repeat(np.arange(len(name)), counts), hit, len(name)).astype(np.int64)
+
+
 def _runs(length: int, short: int):
     """Of each text: the runs of starts with one least name."""
+    width = length - short + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in slabs(batch.column("text")):
-                found = least(names(data, short), length - short + 1) if len(data) >= length else np.empty(0, np.uint64)
+                shorts = names(data, short)
+                every = least(shorts, width) if len(data) >= length else np.empty(0, np.uint64)
                 counts = np.maximum(np.diff(offsets) - length + 1, 0)
                 # starts whose string would reach into the next text are left out
                 starts = ranges(offsets[:-1], counts)
-                found = found[starts]
+                found = every[starts]
                 row = np.repeat(np.arange(len(counts)), counts)
                 new = np.ones(len(found), bool)
                 new[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
                 at = np.flatnonzero(new)
+                last = np.append(at[1:], len(found))[: len(at)] - 1
+                places = _places(found[at], starts[at], starts[last], shorts, every, width)
                 bounds = np.searchsorted(row[at], np.arange(len(counts) + 1))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -82,8 +98,9 @@ def _runs(length: int, short: int):
                         pa.array(np.diff(offsets), pa.int64()),
                         lists(found[at].view(np.int64), bounds, pa.int64()),
                         lists((starts[at] - offsets[row[at]]).astype(np.int32), bounds, pa.int32()),
+                        lists(places.astype(np.int32), bounds, pa.int32()),
                     ],
-                    ["doc_id", "digest", "n_bytes", "names", "starts"],
+                    ["doc_id", "digest", "n_bytes", "names", "starts", "places"],
                 )
 
     return run
@@ -226,19 +243,19 @@ def repeats(docs: DataFrame, length: int = LENGTH, short: int = SHORT) -> Repeat
     doc_id or lack one. Other columns are not looked at.
     """
     docs = _digested(docs)
-    kind = "doc_id long, digest binary, n_bytes long, names array<long>, starts array<int>"
+    kind = "doc_id long, digest binary, n_bytes long, names array<long>, starts array<int>, places array<int>"
     first = stored(docs.mapInArrow(_runs(length, short), kind), "runs")
     copies = first.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"))
     rows = stored(first.join(copies, "digest"), "runs-of-texts")
     # one row stands for each text; the others are copies of it
     runs = rows.filter((F.col("n_bytes") >= length) & F.col("doc_id").eqNullSafe(F.col("rep"))).select(
-        "digest", "rep", "n_bytes", F.explode(F.arrays_zip("names", "starts", F.slice("starts", 2, F.size("starts")).alias("ends"))).alias("r")
+        "digest", "rep", "n_bytes", F.explode(F.arrays_zip("names", "starts", "places", F.slice("starts", 2, F.size("starts")).alias("ends"))).alias("r")
     )
     runs = runs.select(
-        "digest", "rep", F.col("r.names").alias("name"), F.col("r.starts").alias("low"),
+        "digest", "rep", F.col("r.names").alias("name"), F.col("r.starts").alias("low"), F.col("r.places").alias("places"),
         F.coalesce(F.col("r.ends"), (F.col("n_bytes") - (length - 1)).cast("int")).alias("high"),
     )
-    frequent = runs.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    frequent = runs.groupBy("name").agg(F.sum("places").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / RUNS).cast("long").alias("parts")
     active = runs.join(frequent, "name").groupBy("digest", "rep").agg(F.collect_list(F.struct("name", "low", "high", parts)).alias("runs"))
     texts = docs.join(active, "digest").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("digest", "text", "runs")
