@@ -40,3 +40,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.repeats import removed, repeats
 
     return removed(repeats(table(spark, sf_dir, "documents")))
+
+
+@query("op6_minhash_forest")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2)
