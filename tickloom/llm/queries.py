@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import table
+from tickloom.llm.common import crc_of, table
 from tickloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,3 +47,23 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.toxicity import learn, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = learn(docs, table(spark, sf_dir, "labels"), crc_of("doc_id") % 5 != 0)
+    held_out = F.coalesce(crc_of("doc_id") % 5 == 0, F.lit(False)).alias("held_out")
+    return score(docs, lexicon).select("doc_id", held_out, "score", "predicted")
+
+
+@query("op3_languages")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.langid import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs, crc_of("doc_id") % 4 != 2)
+    held_out = F.coalesce(crc_of("doc_id") % 4 == 2, F.lit(False)).alias("held_out")
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score", "shares")
