@@ -67,3 +67,15 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learn(docs, crc_of("doc_id") % 4 != 2)
     held_out = F.coalesce(crc_of("doc_id") % 4 == 2, F.lit(False)).alias("held_out")
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score", "shares")
+
+
+@query("op8_byte_bpe")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tickloom.llm.bpe import decode, encode
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    ids = ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    return decode(ids, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
