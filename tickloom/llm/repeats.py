@@ -135,9 +135,11 @@ def _starts(length: int):
                         pa.array(flat.field("name").to_numpy()[head], pa.int64()),
                         pa.array(sub[cut[:-1]].astype(np.int64), pa.int64()),
                         binaries(mine, cut),
-                        binaries(starts.astype(np.int32), cut),
+                        pa.array(starts[cut[:-1]].astype(np.int32)),
+                        # where a run is whole its places follow from the first
+                        binaries(starts.astype(np.int32)[parts[run_of] > 1], np.concatenate([[0], np.cumsum(np.where(parts[head] > 1, np.diff(cut), 0))])),
                     ],
-                    ["digest", "name", "sub", "strings", "places"],
+                    ["digest", "name", "sub", "strings", "low", "places"],
                 )
 
     return run
@@ -153,8 +155,10 @@ def _repeated(length: int):
                 continue
             sizes = np.array([len(x) // 8 for x in group["strings"].to_pylist()])
             strings = np.frombuffer(b"".join(group["strings"].to_pylist()), np.uint64)
-            places = np.frombuffer(b"".join(group["places"].to_pylist()), np.int32).astype(np.int64)
             row = np.repeat(np.arange(len(sizes)), sizes)
+            given = np.array([len(x) > 0 for x in group["places"].to_pylist()])
+            places = ranges(group["low"].to_numpy(), sizes)
+            places[given[row]] = np.frombuffer(b"".join(group["places"].to_pylist()), np.int32)
             order = np.argsort(strings, kind="stable")
             same = strings[order[1:]] == strings[order[:-1]]
             twice = np.zeros(len(strings), bool)
@@ -260,7 +264,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, short: int = SHORT) -> Repeat
     active = runs.join(frequent, "name").groupBy("digest", "rep").agg(F.collect_list(F.struct("name", "low", "high", parts)).alias("runs"))
     texts = docs.join(active, "digest").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("digest", "text", "runs")
     texts = stored(texts, "active-texts")
-    dealt = texts.mapInArrow(_starts(length), "digest binary, name long, sub long, strings binary, places binary")
+    dealt = texts.mapInArrow(_starts(length), "digest binary, name long, sub long, strings binary, low int, places binary")
     dealt = dealt.repartition("name", "sub").sortWithinPartitions("name", "sub")
     found = dealt.mapInArrow(_repeated(length), "digest binary, low int, high int")
     found = found.groupBy("digest").agg(F.collect_list(F.struct("low", "high")).alias("cut"))
