@@ -79,3 +79,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
     ids = ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
     return decode(ids, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op7_differencing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tickloom.llm.packing import cut, pack
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(cut(docs, public_tokenizers.path("word_bpe_49k.json")))
