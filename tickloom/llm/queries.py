@@ -89,3 +89,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack(cut(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query("op2_transactions")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.warc import page_digests
+
+    return page_digests(table(spark, sf_dir, "pages"))
+
+
+_ORACLES["op2_transactions"] = """
+SELECT page_id,
+       strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
+       sha256(coalesce(html, '')) AS payload_digest,
+       CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id <> first THEN first END AS refers_to
+FROM (SELECT *, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+"""
