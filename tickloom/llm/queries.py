@@ -106,3 +106,26 @@ SELECT page_id,
        CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id <> first THEN first END AS refers_to
 FROM (SELECT *, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
 """
+
+
+@query("op1_lattice_vectors")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.lattice import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+_ORACLES["op1_lattice_vectors"] = """
+WITH RECURSIVE clean AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x <> 0]) > 0
+      AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM clean a JOIN clean b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), reach(a, b) AS (
+    SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), smallest AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN smallest USING (vec_id) LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = e.vec_id
+"""
