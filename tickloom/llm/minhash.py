@@ -40,9 +40,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Of a slab of texts: a 64-bit name of every word, and the words' bounds by text."""
-    letter = ~_SPACE[data]
+    letter = ~space[data]
     before = np.zeros(len(data), bool)
     before[1:] = letter[:-1]
     before[offsets[:-1][offsets[:-1] < len(data)]] = False

@@ -129,3 +129,33 @@ WITH RECURSIVE clean AS (
 SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
 FROM embeddings e JOIN smallest USING (vec_id) LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = e.vec_id
 """
+
+
+@query("op4_block_max_search")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.search import top_k
+
+    return top_k(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id") % 100 == 0)
+
+
+_ORACLES["op4_block_max_search"] = r"""
+WITH words AS (
+    SELECT doc_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+')) AS term
+    FROM documents
+), tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+lengths AS (SELECT doc_id, coalesce(n, 0) AS length FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM words GROUP BY 1) USING (doc_id)),
+stats AS (SELECT count(*)::DOUBLE AS n, avg(length) AS mean FROM lengths),
+df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY 1),
+scored AS (
+    SELECT q.doc_id AS query_id, d.doc_id,
+           sum(floor(ln(1 + (n - df + 0.5) / (df + 0.5))
+               * (d.tf::DOUBLE * (1.2::DOUBLE + 1) / (d.tf::DOUBLE + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * length / mean)))
+               * 1000000 + 0.5)::BIGINT) AS units
+    FROM tf q JOIN df USING (term) JOIN tf d USING (term) JOIN lengths l ON l.doc_id = d.doc_id CROSS JOIN stats
+    WHERE q.doc_id % 100 = 0 GROUP BY ALL
+)
+SELECT query_id, rank::INTEGER AS rank, doc_id, units::DOUBLE / 1000000 AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY units DESC, doc_id) AS rank FROM scored) WHERE rank <= 10
+"""
