@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import binaries, carried, once_per_worker, ranges, texts_of
+from tickloom.llm.common import binaries, carried, once_per_worker, ranges
 
 #: Bytes of text whose words are merged together.
-BLOCK = 12 << 20
+BLOCK = 8 << 20
 #: Words kept with their ids between blocks of a task.
 KEPT_WORDS = 200_000
 
@@ -241,7 +241,7 @@ class Ranks:
 def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Rows with about ``limit`` characters of text, and the texts."""
     for batch in batches:
-        texts = texts_of(batch)
+        texts = batch.column("text")
         sizes = np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False))
         first = 0
         while first < batch.num_rows:
@@ -268,7 +268,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     ``path``: a rank file that every executor can open, as the tokenizer package's are.
     A null text is encoded as an empty one. Special tokens' strings are ordinary text.
     """
-    rows = carried(docs.drop("ids"), with_text=False)
+    rows = carried(docs.drop("ids"))
     kind = T.StructType([rows.schema["row"], T.StructField("ids", T.BinaryType())])
     return rows.mapInArrow(_encoded(path, pattern), kind).select("row.*", "ids")
 

@@ -156,16 +156,7 @@ def once_per_worker(key: str, make):
     return kept[key]
 
 
-def carried(docs: DataFrame, with_text: bool, *more: Column) -> DataFrame:
-    """The columns of ``docs`` as a struct ``row``; the text within it or, if it need not come back, beside it."""
-    kept = [c for c in docs.columns if with_text or c != "text"] or [F.lit(None).cast("string").alias("_")]
-    row = F.struct(*(F.col(f"`{c}`") if isinstance(c, str) else c for c in kept)).alias("row")
-    text = [] if with_text else [F.coalesce(F.col("text"), F.lit("")).alias("text")]
-    return docs.select(row, *text, *more)
-
-
-def texts_of(batch: pa.RecordBatch) -> pa.Array:
-    """The texts of carried rows, empty for null."""
-    if "text" in batch.schema.names:
-        return batch.column("text")
-    return batch.column("row").field("text").fill_null("")
+def carried(docs: DataFrame, *more: Column) -> DataFrame:
+    """The columns of ``docs`` but its text as a struct ``row``, and ``text``, empty for null."""
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != "text"] or [F.lit(None).cast("string").alias("_")]
+    return docs.select(F.struct(*kept).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

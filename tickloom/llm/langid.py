@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import carried, slabs, texts_of
+from tickloom.llm.common import carried, slabs
 
 #: Hashed trigrams a language is described by.
 BUCKETS = 1 << 17
@@ -135,7 +135,7 @@ def _predicted(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = model.value.names, model.value.table
         for batch in batches:
-            for first, end, data, offsets in slabs(texts_of(batch)):
+            for first, end, data, offsets in slabs(batch.column("text")):
                 bucket, starts, bounds = trigrams(data, offsets)
                 full = np.flatnonzero(np.diff(bounds))
                 shares = np.zeros((end - first, len(names)), np.float32)
@@ -160,14 +160,13 @@ def _predicted(model):
     return run
 
 
-def identify(docs: DataFrame, model: Languages, with_text: bool = False) -> DataFrame:
-    """The columns of ``docs`` with lang_pred, score (the language's proportion) and shares (all proportions).
+def identify(docs: DataFrame, model: Languages) -> DataFrame:
+    """The columns of ``docs`` but text, with lang_pred, score (the language's proportion) and shares (all proportions).
 
     ``und`` with score 0 where text is null or has no letter, or nothing was learned.
-    Ties go to the language that sorts first. Only ``text`` is looked at, and it comes
-    back only ``with_text``.
+    Ties go to the language that sorts first. Only ``text`` is looked at.
     """
-    rows = carried(docs.drop("lang_pred", "score", "shares"), with_text, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    rows = carried(docs.drop("lang_pred", "score", "shares"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     shares = T.MapType(T.StringType(), T.DoubleType())
     kind = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("shares", shares)])
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -114,7 +114,7 @@ def cut(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     A null text is an empty one; each text ends with an id of its own. place: the
     row's number within its partition.
     """
-    rows = carried(docs.drop("place", "doc_tokens", "crcs"), with_text=False)
+    rows = carried(docs.drop("place", "doc_tokens", "crcs"))
     kind = T.StructType(
         [rows.schema["row"], T.StructField("place", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("crcs", T.ArrayType(T.LongType()))]
     )

@@ -159,3 +159,16 @@ scored AS (
 SELECT query_id, rank::INTEGER AS rank, doc_id, units::DOUBLE / 1000000 AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY units DESC, doc_id) AS rank FROM scored) WHERE rank <= 10
 """
+
+
+@query("op5_ordinal_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graded 0: poor, 1: good but toxic, 2: good and not toxic."""
+    from tickloom.llm.quality import grade, learn
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, F.when(F.coalesce("toxic", F.lit(0)) == 1, 1).otherwise(2))
+    ratings = table(spark, sf_dir, "labels").select("doc_id", good.alias("grade"))
+    model = learn(docs, ratings, crc_of("doc_id") % 5 != 0)
+    held_out = F.coalesce(crc_of("doc_id") % 5 == 0, F.lit(False)).alias("held_out")
+    return grade(docs, model).select("doc_id", held_out, "expected_grade", "tail", "kept")

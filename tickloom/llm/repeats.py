@@ -295,8 +295,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     left = found.kept(as_text=True).select(F.lit(False).alias("whole"), "digest", "kept_text")
     whole = found.documents.filter((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select(F.lit(True).alias("whole"), "digest").distinct()
     changed = left.unionByName(whole.withColumn("kept_text", F.lit("")))
-    changed = changed.select(F.col("digest").alias("_digest"), F.col("kept_text").alias("_kept"))
-    keyed = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
-    text = F.coalesce(F.col("_kept"), F.col("text"))
+    changed = changed.select(F.col("digest").alias("_text_digest"), F.col("kept_text").alias("_text_kept"))
+    keyed = docs.withColumn("_text_digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+    text = F.coalesce(F.col("_text_kept"), F.col("text"))
     columns = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return keyed.join(changed, "_digest", "left").select(*(columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+    return keyed.join(changed, "_text_digest", "left").select(*(columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))

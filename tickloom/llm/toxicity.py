@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import carried, once_per_worker, stored, texts_of
+from tickloom.llm.common import carried, once_per_worker, stored
 
 #: Labelled documents to learn from, at most; taken by a hash of their id.
 MAX_TRAIN = 40_000
@@ -119,7 +119,7 @@ def hits(found: ahocorasick.Automaton, text: str) -> tuple[np.ndarray, np.ndarra
 def _blocks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20):
     """Rows with about a million characters: the batch's first and end row, and the texts."""
     for batch in batches:
-        texts = texts_of(batch).to_pylist()
+        texts = batch.column("text").to_pylist()
         first = size = 0
         for i, text in enumerate(texts):
             size += len(text)
@@ -262,12 +262,12 @@ def _scored(sent):
     return run
 
 
-def score(docs: DataFrame, lexicon: Lexicon, with_text: bool = False) -> DataFrame:
-    """The columns of ``docs`` with score (0 to 1, likelihood of label 1) and predicted (1 from 0.5 on).
+def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The columns of ``docs`` but text, with score (0 to 1, likelihood of label 1) and predicted (1 from 0.5 on).
 
-    Only ``text`` is looked at, and it comes back only ``with_text``; a null text is scored as an empty one.
+    Only ``text`` is looked at; a null one is scored as an empty one.
     """
-    rows = carried(docs.drop("score", "predicted"), with_text)
+    rows = carried(docs.drop("score", "predicted"))
     kind = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
     return rows.mapInArrow(_scored(sent), kind).select("row.*", "score", "predicted")
