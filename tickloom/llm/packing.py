@@ -32,6 +32,8 @@ WINDOW = 2048
 GROUP = 2048
 #: Small items hold at most so many ids.
 GRAIN = 192
+#: Characters of text whose words are merged together.
+TEXT = 24 << 20
 #: The id that ends every document.
 END = 1
 
@@ -86,7 +88,7 @@ def _cut(path: str, window: int):
         words = once_per_worker(f"words {path}", lambda: word_bpe(path))
         words.clear()
         at = 0
-        for batch, texts in text_blocks(batches):
+        for batch, texts in text_blocks(batches, TEXT):
             ids, bounds = words.encode(texts)
             ids = ids.astype("<u4")
             end = np.array([END], "<u4").tobytes()
@@ -121,6 +123,12 @@ def cut(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     return rows.mapInArrow(_cut(path, window), kind).select("row.*", "place", "doc_tokens", "crcs")
 
 
+def _inserted(x: np.ndarray, at: int, value: int) -> np.ndarray:
+    out = np.empty(len(x) + 1, x.dtype)
+    out[:at], out[at], out[at + 1 :] = x[:at], value, x[at:]
+    return out
+
+
 def differenced(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarray]:
     """The window of each item, and the windows' sums."""
     n = len(sizes)
@@ -128,31 +136,40 @@ def differenced(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarray
         return np.zeros(n, np.int64), np.array([sizes.sum()])
     # nodes: items first, then pairs of nodes that share a window
     children: list[tuple[int, int]] = []
-    parts = {}
-    heap = []
+    parts, heap = {}, []
     for i in range(n):
-        # the windows that hold nothing are left implicit: sums and nodes of the filled ones, fullest first
+        # windows that hold nothing are left implicit: sums and nodes of the others, emptiest first
         parts[i] = (np.array([sizes[i]], np.int64), np.array([i], np.int64))
         heap.append((-int(sizes[i]), i))
     heapq.heapify(heap)
     for made in range(n, 2 * n - 1):
         (_, a), (_, b) = heapq.heappop(heap), heapq.heappop(heap)
         (sum_a, node_a), (sum_b, node_b) = parts.pop(a), parts.pop(b)
+        if len(sum_a) < len(sum_b):
+            sum_a, node_a, sum_b, node_b = sum_b, node_b, sum_a, node_a
         over = len(sum_a) + len(sum_b) - windows
-        if over <= 0:
-            total, node = np.concatenate([sum_a, sum_b]), np.concatenate([node_a, node_b])
+        first = n + len(children)
+        if over > 0:
+            # the fullest of one meet the emptiest of the other; windows that are empty there stay as they are
+            children += list(zip(node_a[:over].tolist(), node_b[:over][::-1].tolist(), strict=True))
+        if len(sum_b) == 1:
+            # one item: into the emptiest window, which moves up to its place
+            value = sum_b[0] + (sum_a[0] if over > 0 else 0)
+            at = int(np.searchsorted(sum_a, value))
+            if over > 0:
+                total, node = sum_a, node_a
+                total[: at - 1], node[: at - 1] = total[1:at].copy(), node[1:at].copy()
+                total[at - 1], node[at - 1] = value, first
+            else:
+                total, node = _inserted(sum_a, at, value), _inserted(node_a, at, node_b[0])
         else:
-            # fullest of a with emptiest of b: only the least filled of both meet
-            meet_a, meet_b = node_a[len(node_a) - over :], node_b[len(node_b) - over :][::-1]
-            first = n + len(children)
-            children += list(zip(meet_a.tolist(), meet_b.tolist(), strict=True))
-            both = sum_a[len(sum_a) - over :] + sum_b[len(sum_b) - over :][::-1]
-            total = np.concatenate([sum_a[: len(sum_a) - over], sum_b[: len(sum_b) - over], both])
-            node = np.concatenate([node_a[: len(node_a) - over], node_b[: len(node_b) - over], np.arange(first, first + over)])
-        order = np.argsort(-total, kind="stable")
-        total, node = total[order], node[order]
+            over = max(over, 0)
+            total = np.concatenate([sum_a[:over] + sum_b[:over][::-1], sum_a[over:], sum_b[over:]])
+            node = np.concatenate([np.arange(first, first + over), node_a[over:], node_b[over:]])
+            order = np.argsort(total, kind="stable")
+            total, node = total[order], node[order]
         parts[made] = (total, node)
-        gap = int(total[0]) - (int(total[-1]) if len(total) == windows else 0)
+        gap = int(total[-1]) - (int(total[0]) if len(total) == windows else 0)
         heapq.heappush(heap, (-gap, made))
     ((total, node),) = parts.values()
     at = np.zeros(n, np.int64)
