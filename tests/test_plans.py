@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from tickloom.plans.catalogue import all_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,6 +24,16 @@ def test_candles_aggregate_by_hash_with_one_partial_step(spark, name):
     assert "SortAggregate" not in text and "ObjectHashAggregate" not in text
 
 
+@pytest.mark.parametrize("name", ["reject_batches", "accepted_counts", "batch_conflicts"])
+def test_ingest_aggregates_by_hash(spark, name):
+    assert "SortAggregate" not in plan(spark, name)
+
+
+def test_a_read_merges_once(spark):
+    text = plan(spark, "read_candles")
+    assert text.count("FileScan") == 3 and text.count("partial_sum") == 3
+
+
 def test_all_timeframes_share_one_scan_and_two_shuffles(spark):
     text = plan(spark, "rollup_from_days")
     assert text.count("FileScan") == 1
@@ -45,9 +56,9 @@ def test_scans_read_only_what_they_need(spark):
     assert "user_id" not in schema and "props" not in schema
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_no_cross_joins_no_python(spark, name):
-    if name in ("stream_candles", "compact_candles", "resolve_registrations"):
+    if name in ("stream_candles", "compact_candles", "resolve_registrations", "ingest_then_stream"):
         pytest.skip("runs jobs while it is built")
     text = plan(spark, name)
     for forbidden in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "EvalPython", "InPandas"):

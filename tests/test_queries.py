@@ -8,10 +8,12 @@ import pytest
 from oracle import connect, duck_digest, spark_digest
 
 import __spark_entry__ as entry
+from tickloom.plans.catalogue import all_queries
+from tickloom.plans.oracles import all_oracles
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = all_queries()
+ORACLES = all_oracles()
 
 
 @functools.cache
@@ -23,6 +25,10 @@ def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_the_contract_has_them_all():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 

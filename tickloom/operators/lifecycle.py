@@ -66,8 +66,12 @@ def retention_limit(as_of: Column, days: int) -> Column:
     return as_of - F.make_dt_interval(days=F.lit(days))
 
 
+def kept_since(ticks: DataFrame, cutoff: Column) -> DataFrame:
+    return ticks.filter(F.col("ts") >= cutoff)
+
+
 def unexpired(ticks: DataFrame, days: int, as_of: Column) -> DataFrame:
-    return ticks.filter(F.col("ts") >= retention_limit(as_of, days))
+    return kept_since(ticks, retention_limit(as_of, days))
 
 
 def old_tick_count(ticks: DataFrame, as_of: Column, days: int = 6) -> DataFrame:

@@ -26,16 +26,21 @@ class ArgumentError(ValueError):
     """A read was asked for with an argument it does not accept."""
 
 
+class UnknownSymbolError(LookupError):
+    """None of the symbols a read asked for is registered."""
+
+
 class DayRange(NamedTuple):
     first: dt.date
     last: dt.date
 
 
 class Page(NamedTuple):
-    """One page of rows and its one-row metadata."""
+    """One page of rows, its one-row metadata, and symbols asked for that are not registered."""
 
     rows: DataFrame
     metadata: DataFrame
+    unknown: tuple[str, ...] = ()
 
 
 def _parse_bound(text: str, field: str) -> dt.datetime:
@@ -162,10 +167,19 @@ def page_of(
     page: int | None = None,
     limit: int | None = None,
     max_limit: int = MAX_LIMIT,
+    hold: bool = False,
 ) -> Page:
-    """One page in ``order``, probing one row further to learn whether more follow."""
+    """One page in ``order``, probing one row further to learn whether more follow.
+
+    With ``hold`` the read runs at once and only once; its rows, a page and one, are kept by the caller.
+    """
     page, limit = check_page(page, limit, max_limit)
-    probe = rows.orderBy(*order).offset((page - 1) * limit).limit(limit + 1)
+    return _page(rows.orderBy(*order).offset((page - 1) * limit).limit(limit + 1), page, limit, hold)
+
+
+def _page(probe: DataFrame, page: int, limit: int, hold: bool) -> Page:
+    if hold:
+        probe = probe.sparkSession.createDataFrame(probe.toArrow(), probe.schema)
     seen = F.count(F.lit(1))
     metadata = probe.agg(
         F.lit(page).alias("page"),
@@ -177,18 +191,26 @@ def page_of(
 
 
 def page_after(
-    rows: DataFrame, order: Sequence[str], after: Sequence[object], limit: int | None = None
+    rows: DataFrame,
+    order: Sequence[str],
+    after: Sequence[object],
+    limit: int | None = None,
+    max_limit: int = MAX_LIMIT,
+    copies: int | None = None,
+    hold: bool = False,
 ) -> Page:
     """The page following the row whose ``order`` values are ``after``.
 
     Costs the same at any depth, where an offset reads and drops all it skips.
-    ``order`` must identify a row, as (symbol, bucket_start) does for candles.
+    ``order`` must identify a row, as (symbol, bucket_start) does for candles, or be
+    all that tells rows apart: then ``copies`` says how many equal rows were read.
     """
-    beyond = F.lit(False)
+    _, limit = check_page(1, limit, max_limit)
+    beyond = F.lit(copies is not None)
     for name, value in reversed(list(zip(order, after))):
-        column, mark = F.col(name), F.lit(value)
+        column, mark = F.col(name), F.lit(value).cast(rows.schema[name].dataType)
         beyond = (column > mark) | ((column == mark) & beyond)
-    return page_of(rows.filter(beyond), order, 1, limit)
+    return _page(rows.filter(beyond).orderBy(*order).offset(copies or 0).limit(limit + 1), 1, limit, hold)
 
 
 def latest(rows: DataFrame, time: str, n: int, *ties: str) -> DataFrame:

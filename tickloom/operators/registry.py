@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -13,10 +12,6 @@ from tickloom.operators.validation import CALENDAR_MISMATCH
 from tickloom.schema import GREGORIAN, JALALI
 from tickloom.session import ensure_checkpoint_dir
 
-
-# Rounds whose results stay apart before they are written together.
-_KEPT_ROUNDS = 16
-
 REJECTED = "request_id string, code string, reason string"
 
 
@@ -85,13 +80,17 @@ def _losers(claims: DataFrame) -> DataFrame:
     one: one is accepted unless an earlier accepted one claims a symbol of its
     own with the other calendar. Only requests touching contested symbols take
     part. Each round accepts all requests no earlier undecided one stands
-    against, then refuses those that disagree with them. The earliest undecided
-    request is always accepted, so the rounds end.
+    against, then refuses those that disagree with them; all rounds are folded
+    into one checkpoint each. The earliest undecided request is always accepted,
+    so the rounds end.
     """
     # a request's claims fit one task: its body is limited in size
     own = W.partitionBy("request_id")
-    open_claims, losers = claims, [_request_ids(claims.filter(F.lit(False)))]
-    while not open_claims.isEmpty():
+    state = claims.withColumn("fate", F.lit("open")).checkpoint()
+    while True:
+        open_claims = state.filter("fate = 'open'")
+        if open_claims.isEmpty():
+            return _request_ids(state.filter("fate = 'refused'"))
         firsts = open_claims.groupBy("symbol").agg(
             F.min(F.when(F.col("calendar") == GREGORIAN, F.col("turn"))).alias("gregorian_turn"),
             F.min(F.when(F.col("calendar") == JALALI, F.col("turn"))).alias("jalali_turn"),
@@ -100,35 +99,30 @@ def _losers(claims: DataFrame) -> DataFrame:
             F.col("gregorian_turn")
         )
         behind = F.coalesce(rival < F.col("turn"), F.lit(False))
-        marked = (
-            open_claims.join(firsts, "symbol")
-            .withColumn("blocked", F.max(behind).over(own))
-            .select("request_id", "symbol", "calendar", "turn", "blocked")
-            .checkpoint()
-        )
+        marked = open_claims.join(firsts, "symbol").withColumn("blocked", F.max(behind).over(own))
         settled = (
             marked.filter(~F.col("blocked"))
             .select("symbol", F.col("calendar").alias("settled"))
             .distinct()
         )
         contradicted = F.coalesce(F.col("settled") != F.col("calendar"), F.lit(False))
-        waiting = (
-            marked.filter("blocked")
-            .join(settled, "symbol", "left")
+        decided = (
+            marked.join(settled, "symbol", "left")
             .withColumn("refused", F.max(contradicted).over(own))
-            .checkpoint()
+            # a claim whose symbol is settled its way asks for nothing any more
+            .withColumn(
+                "fate",
+                F.when(F.col("refused"), "refused")
+                .when(~F.col("blocked") | F.col("settled").isNotNull(), "served")
+                .otherwise("open"),
+            )
+            .select(*state.columns)
         )
-        losers.append(_request_ids(waiting.filter("refused")))
-        if len(losers) > _KEPT_ROUNDS:
-            losers = [reduce(DataFrame.union, losers).checkpoint()]
-        open_claims = waiting.filter(~F.col("refused") & F.col("settled").isNull()).select(
-            "request_id", "symbol", "calendar", "turn"
-        )
-    return reduce(DataFrame.union, losers)
+        state = state.filter("fate <> 'open'").unionByName(decided).checkpoint()
 
 
 def _registrations(firsts: DataFrame) -> DataFrame:
-    return firsts.select("symbol", "calendar", F.col("turn.received_at").alias("created_at"))
+    return firsts.select("symbol", "calendar", F.timestamp_micros("first").alias("created_at"))
 
 
 def resolve(claims: DataFrame, registry: DataFrame) -> Resolution:
@@ -147,9 +141,8 @@ def resolve(claims: DataFrame, registry: DataFrame) -> Resolution:
     claims = claims.withColumn("turn", F.struct("received_at", "request_id"))
     pairs = (
         claims.groupBy("symbol", "calendar")
-        .agg(F.min("turn").alias("turn"))
+        .agg(F.min(F.unix_micros("received_at")).alias("first"))
         .join(known, "symbol", "left")
-        .checkpoint()
     )
     fresh = pairs.filter(F.col("registered").isNull())
     stale_pairs = pairs.filter(F.col("registered") != F.col("calendar"))
@@ -159,8 +152,8 @@ def resolve(claims: DataFrame, registry: DataFrame) -> Resolution:
         .filter(F.col("calendars") > 1)
         .select("symbol")
     )
-    if stale_pairs.isEmpty() and contested.isEmpty():
-        # nobody disagrees: all requests stand, and pairs already hold the first turns
+    if stale_pairs.select("symbol").unionByName(contested).isEmpty():
+        # nobody disagrees: all requests stand, and pairs already hold the first instants
         session = claims.sparkSession
         return Resolution(session.createDataFrame([], REJECTED), _registrations(fresh))
 
@@ -176,7 +169,7 @@ def resolve(claims: DataFrame, registry: DataFrame) -> Resolution:
         claims.join(refused, "request_id", "left_anti")
         .groupBy("symbol")
         .agg(F.min(F.struct("turn", "calendar")).alias("first"))
-        .select("symbol", "first.calendar", F.col("first.turn").alias("turn"))
+        .select("symbol", "first.calendar", F.col("first.turn").alias("turn"), F.unix_micros("first.turn.received_at").alias("first"))
         .join(known, "symbol", "left_anti")
         .checkpoint()
     )

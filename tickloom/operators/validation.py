@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions.text import parse_decimal, parse_instant, trimmed
@@ -125,31 +126,38 @@ def other_calendar(calendar: Column) -> Column:
 
 
 def batch_conflicts(claims: DataFrame) -> DataFrame:
-    """The first conflict inside each request: symbol, first and other calendar."""
-    first = F.min(F.struct("conflict_pos", "symbol", "calendar")).alias("first")
+    """The first conflict inside each request: symbol, first and other calendar.
+
+    The place is aggregated as a number; the few rows there are joined back. Where
+    deliveries share a request id, the symbol that sorts first is told.
+    """
+    found = claims.filter(F.col("conflict_pos").isNotNull())
+    first = found.groupBy("request_id").agg(F.min("conflict_pos").alias("conflict_pos"))
+    told = F.row_number().over(W.partitionBy("request_id").orderBy("symbol"))
     return (
-        claims.filter(F.col("conflict_pos").isNotNull())
-        .groupBy("request_id")
-        .agg(first)
+        found.select("request_id", "conflict_pos", "symbol", "calendar")
+        .join(first, ["request_id", "conflict_pos"])
+        .withColumn("_told", told)
+        .filter("_told = 1")
         .select(
             "request_id",
-            F.col("first.conflict_pos").cast("int").alias("pos"),
-            F.col("first.symbol").alias("symbol"),
-            F.col("first.calendar").alias("calendar"),
-            other_calendar(F.col("first.calendar")).alias("other"),
+            F.col("conflict_pos").cast("int").alias("pos"),
+            "symbol",
+            "calendar",
+            other_calendar(F.col("calendar")).alias("other"),
         )
     )
 
 
-def _verdicts(validated: DataFrame) -> DataFrame:
-    """One row per request with all that may be wrong with it.
+def _marks(validated: DataFrame) -> DataFrame:
+    """One row per request and symbol with all that may be wrong with it.
 
-    The ticks of a request sit together, so they collapse to a row per symbol
-    before the first shuffle. Position and fault share one number, whose
-    minimum is the first fault of the lowest tick.
+    The ticks of a request sit together, so they collapse before the first
+    shuffle. Position and fault share one number, whose minimum is the first
+    fault of the lowest tick.
     """
     fault = F.col("pos").cast("bigint") * len(TICK_REASONS) + F.col("fault")
-    marks = first_calendars(
+    return first_calendars(
         validated,
         "request_id",
         "received_at",
@@ -160,20 +168,12 @@ def _verdicts(validated: DataFrame) -> DataFrame:
             F.min(fault).alias("worst"),
         ),
     ).withColumn("conflict_pos", _conflict_pos())
-    conflict = F.struct("conflict_pos", "symbol", "calendar")
-    return marks.groupBy("request_id").agg(
-        F.bool_or("malformed").alias("malformed"),
-        F.bool_or("empty").alias("empty"),
-        F.min("worst").alias("worst"),
-        F.min(F.when(F.col("conflict_pos").isNotNull(), conflict)).alias("conflict"),
-    )
 
 
 def _reason() -> Column:
     """What a request is told: its first failure, in the order of the checks."""
     slots = len(TICK_REASONS)
     pos = F.floor(F.col("worst") / slots).cast("string")
-    clash = F.col("conflict")
     return (
         F.when(F.col("malformed"), MALFORMED)
         .when(F.col("empty"), NO_TICKS)
@@ -184,11 +184,11 @@ def _reason() -> Column:
         .otherwise(
             F.concat(
                 F.lit("symbol "),
-                clash["symbol"],
+                F.col("symbol"),
                 F.lit(" has conflicting calendars in batch: "),
-                clash["calendar"],
+                F.col("calendar"),
                 F.lit(" and "),
-                other_calendar(clash["calendar"]),
+                F.col("other"),
             )
         )
     )
@@ -196,10 +196,17 @@ def _reason() -> Column:
 
 def rejected_requests(validated: DataFrame) -> DataFrame:
     """Requests with a bad tick, or with two calendars for one symbol, and why."""
+    marks = _marks(validated)
+    verdicts = marks.groupBy("request_id").agg(
+        F.bool_or("malformed").alias("malformed"),
+        F.bool_or("empty").alias("empty"),
+        F.min("worst").alias("worst"),
+        F.min("conflict_pos").alias("conflict_pos"),
+    )
     invalid = F.col("malformed") | F.col("empty") | F.col("worst").isNotNull()
     return (
-        _verdicts(validated)
-        .filter(invalid | F.col("conflict").isNotNull())
+        verdicts.filter(invalid | F.col("conflict_pos").isNotNull())
+        .join(batch_conflicts(marks), "request_id", "left")
         .select(
             "request_id",
             F.when(invalid, INVALID_REQUEST).otherwise(CALENDAR_MISMATCH).alias("code"),

@@ -22,7 +22,7 @@ from tickloom.operators import reads as R
 from tickloom.operators import registry as G
 from tickloom.operators import validation as V
 from tickloom.schema import GREGORIAN, JALALI, PRICE, REGISTRY, TIMEFRAMES
-from tickloom.session import configure, scratch_path
+from tickloom.session import configure, ensure_checkpoint_dir, scratch_path
 from tickloom.sources import adapters as A
 from tickloom.sources.requests import parse_requests
 from tickloom.sources.warehouse import Warehouse
@@ -314,8 +314,9 @@ def read_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = G.registry_resolve(ticks.select("symbol", "calendar", F.col("ts").alias("created_at")))
     found = G.symbol_lookup(_low_balance_symbols(spark, sf_dir), registry).filter("found")
     labels = label_calendar(spark)
-    states = C.rollup(R.routed(C.day_states(ticks), found), labels, ["1m"])
-    candles = R.read_candles(states, RANGE, "1m")
+    # a month that starts in the range ends within a month of it
+    days = C.day_states(ticks).filter(F.col("bucket_start").between(F.lit(RANGE.first), F.lit(RANGE.last + dt.timedelta(days=31))))
+    candles = R.read_candles(C.rebucket(R.routed(days, found), labels, ["1m"]), RANGE, "1m")
     return C.format_candles(C.with_jalali_labels(candles, labels)).drop("timeframe")
 
 
@@ -338,7 +339,8 @@ def candles_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("page_has_more")
 def page_has_more(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata of the first, a middle, the last and a page past the end."""
-    days = _event_days(spark, sf_dir)
+    ensure_checkpoint_dir(spark)
+    days = _event_days(spark, sf_dir).checkpoint()
     order = ["symbol", "bucket_start"]
     pages = [R.page_of(days, order, n, 50).metadata for n in (1, 2, 4, 99)]
     result = pages[0]
@@ -545,7 +547,12 @@ def stream_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request bodies streamed in several micro-batches into a new warehouse."""
     source, path = scratch_path(spark, "requests"), scratch_path(spark, "warehouse")
     requests = A.as_requests(A.event_inputs(spark, sf_dir))
-    requests.repartitionByRange(3, "received_at").write.parquet(source)
+    # as many files as the data calls for, several in any case
+    requests.write.option("maxRecordsPerFile", 50_000).parquet(f"{source}/all")
+    requests = spark.read.schema(requests.schema).parquet(f"{source}/all")
+    halves = F.pmod(F.crc32(F.col("request_id").cast("binary")), F.lit(2))
+    requests.withColumn("half", halves).write.partitionBy("half").parquet(f"{source}/parts")
+    source = f"{source}/parts/*"
     Warehouse.create(spark, path, buckets=4)
     stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(source)
     run = start_stream(stream, path, scratch_path(spark, "stream"), availableNow=True)
@@ -565,6 +572,31 @@ def compact_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _served(warehouse)
 
 
+@query("ingest_then_stream")
+def ingest_then_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches, then a stream with a checkpoint of its own over the rest."""
+    source, path = scratch_path(spark, "requests"), scratch_path(spark, "warehouse")
+    requests = A.as_requests(A.event_inputs(spark, sf_dir))
+    third = F.pmod(F.crc32(F.col("request_id").cast("binary")), F.lit(3))
+    warehouse = Warehouse.create(spark, path, buckets=4)
+    for k in (0, 1):
+        ingest_batch(warehouse, requests.filter(third == k))
+    requests.filter(third == 2).write.parquet(source)
+    stream = spark.readStream.schema(requests.schema).parquet(source)
+    start_stream(stream, path, scratch_path(spark, "stream"), availableNow=True).awaitTermination()
+    return _served(warehouse)
+
+
+@query("stored_reads")
+def stored_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks of all registered symbols, read back from a warehouse as a user does."""
+    warehouse = Warehouse.create(spark, scratch_path(spark, "warehouse"), buckets=4)
+    ingest_batch(warehouse, A.as_requests(A.event_inputs(spark, sf_dir)))
+    symbols = warehouse.registry().select("symbol")
+    candles, _ = warehouse.candles(symbols, "2023-01-01", "2024-12-31", "1w")
+    return C.format_candles(C.with_jalali_labels(candles, label_calendar(spark))).drop("timeframe")
+
+
 @query("expired_ticks")
 def expired_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks left per symbol when the last seven days are kept."""

@@ -215,11 +215,11 @@ def _every_timeframe(source: str) -> str:
 
 def all_oracles() -> dict[str, str]:
     sql = {f"candles_{tf}_{c}": _single(c, tf) for c in CALENDARS for tf in TIMEFRAMES}
+    jalali_only = "calendar = 'jalali'"
     sql["candles_all_calendars"] = _with("nz", "li") + (
-        f"SELECT {_PLAIN}, calendar, {_BUCKET_TEXT} AS bucket_start, {_labels('b', chr(39).join(['calendar = ', 'jalali', '']))} "
+        f"SELECT {_PLAIN}, calendar, {_BUCKET_TEXT} AS bucket_start, {_labels('b', jalali_only)} "
         f"FROM ({_candles('li', '1m')})"
     )
-    jalali_only = "calendar = 'jalali'"
     sql["candles_formatted"] = _with("nz", "ei", "ev") + (
         f"SELECT {_PLAIN}, calendar, timeframe, {_BUCKET_TEXT} AS bucket_start, {_labels('b', jalali_only)} "
         f"FROM ({_candles('ev', '1d')})"
@@ -364,6 +364,11 @@ def all_oracles() -> dict[str, str]:
     stored = _with("nz", "ei", **_STORED) + _every_timeframe("stored")
     sql["stream_candles"] = stored
     sql["compact_candles"] = stored
+    sql["ingest_then_stream"] = stored
+    sql["stored_reads"] = _with("nz", "ei", **_STORED) + (
+        f"SELECT {_PLAIN}, calendar, {_BUCKET_TEXT} AS bucket_start, {_labels('b', jalali_only)} "
+        f"FROM ({_candles('stored', '1w')}) WHERE b BETWEEN DATE '2023-01-01' AND DATE '2024-12-31'"
+    )
     sql["expired_ticks"] = _with("ei", "ev") + f"""
         SELECT symbol, count(*) AS ticks, {_MILLIS.format('min(ts)')} AS oldest FROM ev
         WHERE ts >= TIMESTAMP '2024-01-24' GROUP BY symbol"""
@@ -376,10 +381,9 @@ def all_oracles() -> dict[str, str]:
     suffix = {GREGORIAN: "greg", JALALI: "jalali"}
     tables = {"ticks": "SELECT count(*) AS c FROM gone", "symbols": "SELECT count(DISTINCT symbol) FROM gone"}
     for calendar in CALENDARS:
+        only = f"calendar = '{calendar}'"
         for tf in TIMEFRAMES:
-            tables[f"candles_{tf}_{suffix[calendar]}"] = (
-                f"SELECT count(*) FROM ({_candles('gone', tf, chr(39).join(['calendar = ', calendar, '']))})"
-            )
+            tables[f"candles_{tf}_{suffix[calendar]}"] = f"SELECT count(*) FROM ({_candles('gone', tf, only)})"
     counts = " UNION ALL ".join(f"SELECT '{name}' AS name, ({sub}) AS rows" for name, sub in tables.items())
     sql["delete_summary"] = _with("nz", "li", "debtors", gone=gone) + f"""
         SELECT name, rows, CASE WHEN rows = 0 THEN 'no-op' WHEN name = 'symbols' THEN 'deleted' ELSE 'dropped' END

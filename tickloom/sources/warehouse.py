@@ -1,26 +1,33 @@
 """Tables on shared storage: batches as they arrive, and runs that merge them.
 
     <path>/settings                         one row, fixed when created
-    <path>/jalali_calendar                  the date dimension
-    <path>/<table>/delta/batch_id=N/...     one folder per ingested batch
+    <path>/jalali_calendar/version=V        the date dimension, the last version counts
+    <path>/<table>/delta/batch_id=N/...     one folder per attempt to ingest a batch
     <path>/<table>/base/run=R/...           batches merged by ``compact``
-    <path>/commits/batch_id=N               written last: makes batch N visible
+    <path>/attempts/N                       numbers given out
+    <path>/sources/<source>/<number>        which attempt stands for a source's batch
+    <path>/commits/batch_id=N               makes attempt N visible
     <path>/runs                             which run covers which batches
     <path>/deletions, <path>/retention      symbols deleted, ticks expired
 
-Batches and runs are only ever written to a folder of their own and become
-visible by one small write at the end. A batch that is run again replaces its
-folder, so replay neither doubles nor leaves stale files. One writer at a time;
-any number of readers.
+The warehouse numbers its batches itself: every attempt gets a number of its own,
+so no two sources and no two attempts share a folder. An attempt whose data is
+written is decided on by a file that only one can create, named after the source
+and its own batch number; a batch that is run again finds it and does nothing.
+Readers see exactly the committed attempts. One writer at a time; any number of
+readers. Storage must create a file only once when asked to (HDFS does).
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
+import urllib.parse
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,12 +50,15 @@ from tickloom.operators.candles import (
 from tickloom.operators.lifecycle import (
     CANDLE_TABLES,
     delete_summary,
+    kept_since,
+    old_tick_count,
     table_counts,
     undeleted,
 )
 from tickloom.operators.reads import (
     DayRange,
     Page,
+    UnknownSymbolError,
     check_timeframe,
     format_ticks,
     page_after,
@@ -56,16 +66,21 @@ from tickloom.operators.reads import (
     parse_range,
     read_candles,
     route_predicate,
+    routed,
     symbols_predicate,
     ticks_in_range,
 )
 from tickloom.operators.registry import registry_resolve, symbol_lookup
-from tickloom.schema import CANDLE_STATE, JALALI, JALALI_CALENDAR, REGISTRY, TICKS, TIMEFRAMES
+from tickloom.schema import CANDLE_STATE, JALALI, JALALI_CALENDAR, MAX_LIMIT, REGISTRY, TICKS, TIMEFRAMES
+from tickloom.session import configure
 
-# Reads of more buckets than this list the whole table instead.
-_MAX_FOLDERS = 64
+#: Files that no reader needs any more stay this long, for readers that planned before.
+MIN_AGE = dt.timedelta(hours=24)
 
 _RUNS = "table string, run string, up_to long, complete boolean, created_at timestamp"
+_COMMITS = (
+    "batch_id long, source string, number string, ticks long, rejected long, uncovered long, committed_at string"
+)
 _DELETIONS = "symbol string, since long, deleted_at timestamp"
 _RETENTION = "cutoff timestamp"
 
@@ -116,9 +131,10 @@ _BATCH_SCHEMAS = {
 
 
 class Snapshot(NamedTuple):
-    """What is visible: batches up to ``last_batch``, and the runs standing for them."""
+    """What is visible: the committed ``batches``, and the runs standing for earlier ones."""
 
     last_batch: int
+    batches: tuple[int, ...]
     runs: dict[str, tuple[list[str], int]]
     cutoff: dt.datetime | None
 
@@ -126,9 +142,14 @@ class Snapshot(NamedTuple):
 class Warehouse:
     """Ticks, symbols, calendar and candles below one path."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, path: str, max_limit: int = MAX_LIMIT):
+        """Open the warehouse at ``path``; ``max_limit`` bounds the rows of a page.
+
+        Days and buckets depend on the session's settings, so they are pinned here.
+        """
+        self.spark = configure(spark)
         self.path = path.rstrip("/")
+        self.max_limit = max_limit
         if not self._exists("settings"):
             raise FileNotFoundError(f"no warehouse at {path}; use Warehouse.create")
         self.buckets = spark.read.schema("buckets int").json(self._at("settings")).first()["buckets"]
@@ -138,13 +159,14 @@ class Warehouse:
     @classmethod
     def create(cls, spark: SparkSession, path: str, buckets: int = 64) -> Warehouse:
         """Create what is missing; an existing warehouse is opened as it is."""
+        configure(spark)
         path = path.rstrip("/")
         settings = f"{path}/settings"
         target = spark._jvm.org.apache.hadoop.fs.Path(settings)
         if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
             _one_row(spark, [(buckets,)], "buckets int").write.json(settings)
         warehouse = cls(spark, path)
-        if not warehouse._exists("jalali_calendar"):
+        if not warehouse._versions():
             warehouse.seed_calendar()
         return warehouse
 
@@ -158,9 +180,15 @@ class Warehouse:
         return cls.create(spark, path, buckets)
 
     def seed_calendar(self) -> None:
-        """Check, then replace the date dimension; running it again changes nothing."""
+        """Check the date dimension and write it beside the one in use, which it then replaces."""
         dim = check_calendar(build_jalali_calendar(self.spark))
-        dim.coalesce(1).write.mode("overwrite").parquet(self._at("jalali_calendar"))
+        version = max(self._versions(), default=-1) + 1
+        dim.coalesce(1).write.mode("overwrite").parquet(self._at("jalali_calendar", f"version={version}"))
+
+    def _versions(self) -> list[int]:
+        """Versions of the date dimension that are complete."""
+        found = (f.removeprefix("version=") for f in self._children("jalali_calendar"))
+        return [int(v) for v in found if v.isdigit() and self._exists("jalali_calendar", f"version={v}", "_SUCCESS")]
 
     # --- files ------------------------------------------------------------
 
@@ -179,11 +207,35 @@ class Warehouse:
         fs, target = self._fs(*parts)
         fs.delete(target, True)
 
+    def _listed(self, *parts: str):
+        fs, target = self._fs(*parts)
+        return list(fs.listStatus(target)) if fs.exists(target) else []
+
     def _children(self, *parts: str) -> list[str]:
+        return [s.getPath().getName() for s in self._listed(*parts) if s.isDirectory()]
+
+    def _create(self, text: str, *parts: str) -> bool:
+        """Write a small file, unless it is there already."""
+        fs, target = self._fs(*parts)
+        try:
+            out = fs.create(target, False)
+        except Py4JJavaError:
+            if fs.exists(target):
+                return False
+            raise
+        out.write(text.encode())
+        out.close()
+        return True
+
+    def _text(self, *parts: str) -> str | None:
         fs, target = self._fs(*parts)
         if not fs.exists(target):
-            return []
-        return [s.getPath().getName() for s in fs.listStatus(target) if s.isDirectory()]
+            return None
+        stream = fs.open(target)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def _read(self, schema, *parts: str, form: str = "parquet") -> DataFrame:
         if not self._exists(*parts):
@@ -195,60 +247,43 @@ class Warehouse:
 
     # --- what is visible --------------------------------------------------
 
-    def _committed(self) -> int:
-        """The last batch whose commit file is in place, by listing alone."""
+    def _committed(self) -> list[int]:
+        """Attempts whose commit file is in place, by listing alone."""
         fs, target = self._fs("commits", "batch_id=*", "part-*")
         found = fs.globStatus(target) or []
-        batches = (f.getPath().getParent().getName().removeprefix("batch_id=") for f in found)
-        return max(map(int, batches), default=-1)
+        return sorted(int(f.getPath().getParent().getName().removeprefix("batch_id=")) for f in found)
 
-    def snapshot(self) -> Snapshot:
-        last, cutoff = self._committed(), None
+    def _runs(self) -> dict[str, tuple[list[str], int]]:
+        """The runs of each table that count, and the last batch they hold."""
         runs: dict[str, tuple[list[str], int]] = {}
         if self._exists("runs"):
             for entry in self._read(_RUNS, "runs", form="json").orderBy("created_at").collect():
                 earlier = [] if entry["complete"] else runs.get(entry["table"], ([], -1))[0]
                 runs[entry["table"]] = (earlier + [entry["run"]], entry["up_to"])
-                last = max(last, entry["up_to"])
+        return runs
+
+    def snapshot(self) -> Snapshot:
+        batches, runs, cutoff = self._committed(), self._runs(), None
         if self._exists("retention"):
             cutoff = self._read(_RETENTION, "retention", form="json").agg(F.max("cutoff")).first()[0]
-        return Snapshot(last, runs, cutoff)
+        last = max([*batches[-1:], *(up_to for _, up_to in runs.values())], default=-1)
+        return Snapshot(last, tuple(batches), runs, cutoff)
 
     def _load(self, schema: T.StructType, root: str, folders: Sequence[str]) -> DataFrame:
-        """Rows below those ``folders`` (patterns) of ``root`` that exist."""
-        found = []
-        for folder in folders:
-            fs, target = self._fs(root, folder)
-            if fs.globStatus(target):
-                found.append(self._at(root, folder))
-        if not found:
+        """Rows below those ``folders`` of ``root``; predicates on their columns prune them further."""
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", self._at(root)).parquet(*found)
-
-    def _visited(self, symbols: Sequence[str] | None) -> list[str]:
-        """Folders of the storage buckets of ``symbols``; all of them for many or none."""
-        if symbols is None:
-            return [""]
-        names = self.spark.createDataFrame([(s,) for s in set(symbols)], "symbol string")
-        rows = names.select(symbol_bucket(F.col("symbol"), self.buckets)).collect()
-        folders = sorted({f"/symbol_bucket={row[0]}" for row in rows})
-        return folders if len(folders) <= _MAX_FOLDERS else [""]
-
-    def _delta(
-        self, table: str, schema: T.StructType, seen: Snapshot, buckets: Sequence[str] = ("",)
-    ) -> DataFrame:
+        paths = [self._at(root, folder) for folder in folders]
+        return self.spark.read.schema(schema).option("basePath", self._at(root)).parquet(*paths)
+
+    def _delta(self, table: str, schema: T.StructType, seen: Snapshot) -> DataFrame:
+        """Rows of the committed batches that no run holds: of these folders and no others."""
         merged = seen.runs.get(table, ([], -1))[1]
-        batch = F.col("batch_id")
-        rows = self._load(schema, f"{table}/delta", [f"batch_id=*{b}" for b in buckets])
-        return rows.filter((batch > merged) & (batch <= seen.last_batch))
+        return self._load(schema, f"{table}/delta", [f"batch_id={n}" for n in seen.batches if n > merged])
 
-    def _base(
-        self, table: str, schema: T.StructType, seen: Snapshot, folders: Sequence[str] = ("",)
-    ) -> DataFrame | None:
+    def _base(self, table: str, schema: T.StructType, seen: Snapshot) -> DataFrame | None:
         runs = seen.runs.get(table, ([], -1))[0]
-        if not runs:
-            return None
-        return self._load(schema, f"{table}/base", [f"run={r}{f}" for r in runs for f in folders])
+        return self._load(schema, f"{table}/base", [f"run={r}" for r in runs]) if runs else None
 
     def _undeleted(self, rows: DataFrame) -> DataFrame:
         if not self._exists("deletions"):
@@ -263,9 +298,8 @@ class Warehouse:
     ) -> DataFrame:
         """Visible ticks; ``symbols`` and ``days`` prune files, they do not refine rows."""
         seen = seen or self.snapshot()
-        buckets = self._visited(symbols)
-        delta = self._delta("ticks", _TICKS_DELTA, seen, buckets)
-        base = self._base("ticks", _TICKS_BASE, seen, buckets)
+        delta = self._delta("ticks", _TICKS_DELTA, seen)
+        base = self._base("ticks", _TICKS_BASE, seen)
         if symbols is not None:
             wanted = symbols_predicate(symbols, self.buckets)
             delta = delta.filter(wanted)
@@ -283,15 +317,14 @@ class Warehouse:
         if base is not None:
             rows = rows.unionByName(base.select(*columns))
         if seen.cutoff is not None:
-            rows = rows.filter(F.col("ts") >= F.lit(seen.cutoff))
+            rows = kept_since(rows, F.lit(seen.cutoff))
         return self._undeleted(rows)
 
     def _state_rows(self, timeframes: Sequence[str], symbols: Sequence[str] | None, seen: Snapshot):
         """Visible states: of merged batches in all ``timeframes``, of later ones by day."""
-        buckets = self._visited(symbols)
-        delta = self._delta("states", _STATES_DELTA, seen, buckets)
-        folders = [f"/timeframe={tf}{b}" for tf in timeframes for b in buckets]
-        base = self._base("states", _STATES_BASE, seen, folders)
+        delta = self._delta("states", _STATES_DELTA, seen)
+        base = self._base("states", _STATES_BASE, seen)
+        base = base if base is None else base.filter(F.col("timeframe").isin(list(timeframes)))
         if symbols is not None:
             wanted = symbols_predicate(symbols, self.buckets)
             delta = delta.filter(wanted)
@@ -338,7 +371,10 @@ class Warehouse:
         return registry_resolve(rows)
 
     def calendar(self) -> DataFrame:
-        return self._read(JALALI_CALENDAR, "jalali_calendar")
+        versions = self._versions()
+        if not versions:
+            return self.spark.createDataFrame([], JALALI_CALENDAR)
+        return self._read(JALALI_CALENDAR, "jalali_calendar", f"version={max(versions)}")
 
     def responses(self, batch_id: int | None = None) -> DataFrame:
         rows = self._read(_RESPONSES_DELTA, "responses", "delta")
@@ -364,6 +400,11 @@ class Warehouse:
         states = day_states(self.read_batch("ticks", batch_id))
         self.write_batch("states", batch_id, self._clustered(states, "bucket_start"), "symbol_bucket")
 
+    def uncovered_ticks(self, batch_id: int) -> int:
+        """Jalali ticks of a batch outside the date dimension."""
+        outside = (F.col("calendar") == JALALI) & ~F.col("bucket_start").between(F.lit(FIRST_DAY), F.lit(LAST_DAY))
+        return self.read_batch("states", batch_id).filter(outside).agg(F.sum("ticks")).first()[0] or 0
+
     def _clustered(self, rows: DataFrame, time: str) -> DataFrame:
         """Lay rows out by bucket and month, so that a busy symbol spreads over
         tasks; the runtime splits what is still too large and joins what is small."""
@@ -376,35 +417,76 @@ class Warehouse:
             .sortWithinPartitions("symbol_bucket", "symbol", time)
         )
 
-    def withdraw(self, batch_id: int) -> None:
-        """Hide a batch that is about to be written again."""
-        self._delete("commits", f"batch_id={batch_id}")
-
-    def commit(self, batch_id: int, ticks: int, rejected: int) -> None:
-        """Make a batch visible: one row saying what it took in."""
-        row = self.spark.range(0, 1, 1, 1).select(
-            F.lit(ticks).alias("ticks"),
-            F.lit(rejected).alias("rejected"),
-            F.current_timestamp().alias("committed_at"),
-        )
-        row.write.mode("overwrite").json(self._at("commits", f"batch_id={batch_id}"))
+    def begin(self, source: str, number: str) -> tuple[int, bool]:
+        """The attempt that stands for a source's batch, or a new one; and whether it is done."""
+        decided = self._text("sources", _quoted(source), _quoted(number))
+        if decided:
+            entry = json.loads(decided)
+            # the writer may have stopped between deciding and showing
+            self._show(entry)
+            return entry["batch_id"], True
+        given = [int(f.getPath().getName()) for f in self._listed("attempts")]
+        known = [*given, *self._committed(), *(up_to for _, up_to in self._runs().values())]
+        batch_id = max(known, default=-1) + 1
+        while not self._create("", "attempts", str(batch_id)):
+            batch_id += 1
+        return batch_id, False
+
+    def commit(self, batch_id: int, source: str, number: str, ticks: int, rejected: int, uncovered: int) -> int:
+        """Make a written attempt stand for its source's batch, and visible; the one that stands.
+
+        ``uncovered``: Jalali ticks outside the date dimension, which are in no month or year.
+        """
+        if batch_id <= max((up_to for _, up_to in self._runs().values()), default=-1):
+            raise RuntimeError(f"batch {batch_id} was written while later ones were compacted; run it again")
+        entry = {
+            "batch_id": batch_id, "source": source, "number": number, "ticks": ticks, "rejected": rejected,
+            "uncovered": uncovered, "committed_at": dt.datetime.now(dt.timezone.utc).isoformat(),
+        }
+        if not self._create(json.dumps(entry), "sources", _quoted(source), _quoted(number)):
+            return self.begin(source, number)[0]
+        self._show(entry)
+        return batch_id
+
+    def _show(self, entry: dict) -> None:
+        merged = max((up_to for _, up_to in self._runs().values()), default=-1)
+        if entry["batch_id"] > merged:
+            self._create(json.dumps(entry) + "\n", "commits", f"batch_id={entry['batch_id']}", "part-0.json")
+
+    def commits(self) -> DataFrame:
+        """What each visible batch took in."""
+        return self._read(_COMMITS, "commits", form="json")
 
     # --- reads ------------------------------------------------------------
 
-    def lookup(self, symbols: Sequence[str], seen: Snapshot | None = None) -> DataFrame:
+    def lookup(self, symbols: Sequence[str] | DataFrame, seen: Snapshot | None = None) -> DataFrame:
         """Calendar of each symbol asked for, and whether it is known at all."""
+        registry = self.registry(seen)
+        if isinstance(symbols, DataFrame):
+            return symbol_lookup(symbols.select("symbol").distinct(), registry)
         wanted = symbols_predicate(symbols)
         requested = self.spark.createDataFrame([(s,) for s in sorted(set(symbols))], "symbol string")
-        return symbol_lookup(requested, self.registry(seen).filter(wanted))
+        return symbol_lookup(requested, registry.filter(wanted))
 
-    def _routes(self, symbols: Sequence[str], seen: Snapshot) -> dict[str, str]:
-        """Calendar of each known symbol: no more rows than the caller asked for."""
-        found = self.lookup(symbols, seen).filter("found").collect()
-        return {r["symbol"]: r["calendar"] for r in found}
+    def _routed(self, rows_of: Callable[[Sequence[str] | None], DataFrame], symbols: Sequence[str] | DataFrame, seen: Snapshot) -> tuple[DataFrame, tuple[str, ...]]:
+        """Rows of the symbols asked for, each in its registered calendar; and the unknown symbols.
+
+        A list becomes literals that scans skip files by. A DataFrame, however
+        many symbols it has, is joined; its unknown symbols have no rows.
+        """
+        found = self.lookup(symbols, seen)
+        if isinstance(symbols, DataFrame):
+            return routed(rows_of(None), found.filter("found")), ()
+        # no more rows than the caller asked for
+        routes = {r["symbol"]: r["calendar"] for r in found.collect()}
+        unknown = tuple(sorted(s for s, c in routes.items() if c is None))
+        if len(unknown) == len(routes):
+            raise UnknownSymbolError("symbol not found: " + ", ".join(unknown))
+        return rows_of(symbols).filter(route_predicate({s: c for s, c in routes.items() if c})), unknown
 
     def read_candles(
         self,
-        symbols: Sequence[str],
+        symbols: Sequence[str] | DataFrame,
         from_: str,
         to: str,
         timeframe: str,
@@ -415,38 +497,55 @@ class Warehouse:
         """Candles of ``symbols`` in (symbol, bucket_start) order, as result strings.
 
         ``after`` continues behind a known (symbol, bucket_start) instead of
-        counting pages.
+        counting pages. Symbols that are not registered are named in the page's
+        ``unknown``; if none is, the read fails.
         """
-        check_timeframe(timeframe)
-        days = parse_range(from_, to)
-        seen = self.snapshot()
-        routes = self._routes(symbols, seen)
-        states = self.states([timeframe], symbols, seen, days).filter(route_predicate(routes))
-        candles = read_candles(states, days, timeframe)
+        candles, unknown = self.candles(symbols, from_, to, timeframe)
         order = ["symbol", "bucket_start"]
         if after is not None:
-            found = page_after(candles, order, after, limit)
+            found = page_after(candles, order, after, limit, self.max_limit, hold=True)
         else:
-            found = page_of(candles, order, page, limit)
+            found = page_of(candles, order, page, limit, self.max_limit, hold=True)
         rows = with_jalali_labels(found.rows, label_calendar(self.spark)).orderBy(*order)
-        return Page(format_candles(rows).drop("timeframe"), found.metadata)
+        return Page(format_candles(rows).drop("timeframe"), found.metadata, unknown)
+
+    def candles(self, symbols: Sequence[str] | DataFrame, from_: str, to: str, timeframe: str) -> tuple[DataFrame, tuple[str, ...]]:
+        """All candles of a range, typed; and the symbols that are not registered."""
+        check_timeframe(timeframe)
+        days = parse_range(from_, to)
+        seen = self.snapshot()
+        states, unknown = self._routed(lambda names: self.states([timeframe], names, seen, days), symbols, seen)
+        return read_candles(states, days, timeframe), unknown
 
     def read_ticks(
         self,
-        symbols: Sequence[str],
+        symbols: Sequence[str] | DataFrame,
         from_: str,
         to: str,
         page: int | None = None,
         limit: int | None = None,
+        after: Sequence[object] | None = None,
     ) -> Page:
-        """Ticks of ``symbols`` in (symbol, ts) order; days follow each symbol's calendar."""
+        """Ticks of ``symbols`` in (symbol, ts) order; days follow each symbol's calendar.
+
+        ``after`` continues behind a known (symbol, ts, value, volume, copies):
+        ``copies`` of that very tick have been read. A tick sent again is a row of
+        its own, but equal rows cannot be told apart, so counting them is enough.
+        """
         days = parse_range(from_, to)
         seen = self.snapshot()
-        routes = self._routes(symbols, seen)
-        rows = ticks_in_range(self.ticks(symbols, days, seen).filter(route_predicate(routes)), days)
+        rows, unknown = self._routed(lambda names: self.ticks(names, days, seen), symbols, seen)
+        rows = ticks_in_range(rows, days).drop("batch_id")
         order = ["symbol", "ts", "value", "volume"]
-        found = page_of(rows.drop("batch_id"), order, page, limit)
-        return Page(format_ticks(found.rows.orderBy(*order)), found.metadata)
+        if after is not None:
+            found = page_after(rows, order, after[:-1], limit, self.max_limit, copies=int(after[-1]), hold=True)
+        else:
+            found = page_of(rows, order, page, limit, self.max_limit, hold=True)
+        return Page(format_ticks(found.rows.orderBy(*order)), found.metadata, unknown)
+
+    def old_tick_count(self, as_of: dt.datetime, days: int = 6) -> int:
+        """Early warning: how many stored ticks are older than ``days`` before ``as_of``."""
+        return old_tick_count(self.ticks(), F.lit(_utc(as_of)), days).first()[0]
 
     def create_views(self) -> None:
         """Temporary views under the table names users query, candles merged."""
@@ -464,19 +563,29 @@ class Warehouse:
 
     # --- upkeep -----------------------------------------------------------
 
-    def check(self) -> DataFrame:
-        """One row per table with its rows; raises when the calendar is missing."""
+    def check(self, counts: bool = True) -> DataFrame:
+        """One row per table, with its rows if ``counts``; raises where a table is missing.
+
+        Raw ticks, states and symbols are there once a batch is committed. Without
+        counts nothing but the calendar's first row is read.
+        """
         seen = self.snapshot()
         calendar = self.calendar()
         if calendar.isEmpty():
             raise RuntimeError("jalali_calendar is empty; call seed_calendar")
-        counts = table_counts(self.ticks(seen=seen), self.states(seen=seen), self.registry(seen))
+        missing = [t for t in ("ticks", "states", "symbols") if seen.last_batch >= 0 and not self._exists(t)]
+        if missing:
+            raise RuntimeError("missing: " + ", ".join(missing))
+        stored = ["jalali_calendar"]
+        if seen.last_batch >= 0:
+            stored += ["ticks", "symbols", *CANDLE_TABLES]
+        if not counts:
+            names = [*CANDLE_TABLES, "ticks", "symbols", "jalali_calendar"]
+            return self.spark.createDataFrame([(n, n in stored, None) for n in names], "name string, exists boolean, rows long")
+        found = table_counts(self.ticks(seen=seen), self.states(seen=seen), self.registry(seen))
         days = calendar.agg(F.count(F.lit(1)).alias("rows"))
-        counts = counts.unionByName(days.select(F.lit("jalali_calendar").alias("name"), "rows"))
-        stored = [t for t in ("ticks", "symbols", "jalali_calendar") if self._exists(t)]
-        if self._exists("states"):
-            stored += list(CANDLE_TABLES)
-        return counts.select("name", F.col("name").isin(stored).alias("exists"), "rows")
+        found = found.unionByName(days.select(F.lit("jalali_calendar").alias("name"), "rows"))
+        return found.select("name", F.col("name").isin(stored).alias("exists"), "rows")
 
     def uncovered_days(self) -> DataFrame:
         """Jalali days outside the calendar: served by day and week, in no month or year."""
@@ -507,22 +616,10 @@ class Warehouse:
     def expire_ticks(self, days: int, as_of: dt.datetime) -> dt.datetime:
         """Hide ticks older than ``days`` before ``as_of``; candles and symbols stay.
 
-        Months wholly past leave the disk at once, the rest with compaction.
+        They leave the disk with the next complete compaction and vacuum.
         """
-        if as_of.tzinfo is None:
-            as_of = as_of.replace(tzinfo=dt.timezone.utc)
-        cutoff = as_of.astimezone(dt.timezone.utc) - dt.timedelta(days=days)
+        cutoff = _utc(as_of) - dt.timedelta(days=days)
         self._append([(cutoff,)], _RETENTION, "retention")
-        first_kept = f"ts_month={cutoff:%Y-%m}"
-        bases = [
-            ("ticks", "base", run, bucket)
-            for run in self._children("ticks", "base")
-            for bucket in self._children("ticks", "base", run)
-        ]
-        for parts in bases:
-            for month in self._children(*parts):
-                if month.startswith("ts_month=") and month < first_kept:
-                    self._delete(*parts, month)
         return cutoff
 
     def compact(self, complete: bool = False) -> None:
@@ -569,23 +666,45 @@ class Warehouse:
     def _symbol_run(self, seen: Snapshot) -> tuple[DataFrame, list[str]]:
         return self._registrations(seen).hint("rebalance"), []
 
-    def vacuum(self) -> None:
-        """Remove folders no current reader needs: merged batches, replaced runs."""
+    def vacuum(self, min_age: dt.timedelta = MIN_AGE) -> None:
+        """Remove folders no new reader needs: merged batches, replaced runs, old calendars.
+
+        Only what was written more than ``min_age`` ago goes, so that readers that
+        planned before can finish; name an age that is longer than any read.
+        """
         seen = self.snapshot()
+        before = (dt.datetime.now(dt.timezone.utc) - min_age).timestamp() * 1000
         merged = {table: up_to for table, (_, up_to) in seen.runs.items()}
         for table, (runs, up_to) in seen.runs.items():
-            self._drop_batches(up_to, table, "delta")
-            for folder in self._children(table, "base"):
-                if folder.removeprefix("run=") not in runs:
-                    self._delete(table, "base", folder)
+            self._drop_batches(up_to, before, table, "delta")
+            self._drop(before, table, "base", keep={f"run={r}" for r in runs})
+        self._drop(before, "jalali_calendar", keep={f"version={max(self._versions(), default=0)}"})
         if {"ticks", "states", "symbols"} <= merged.keys():
             # a run stands for the batches it holds, their commits are not needed
-            self._drop_batches(min(merged.values()), "commits")
+            self._drop_batches(min(merged.values()), before, "commits")
+            for entry in self._listed("attempts"):
+                name = entry.getPath().getName()
+                if int(name) < min(merged.values()) and entry.getModificationTime() <= before:
+                    self._delete("attempts", name)
+
+    def _drop(self, before: float, *parts: str, keep: set[str]) -> None:
+        for entry in self._listed(*parts):
+            name = entry.getPath().getName()
+            if name not in keep and entry.getModificationTime() <= before:
+                self._delete(*parts, name)
+
+    def _drop_batches(self, up_to: int, before: float, *parts: str) -> None:
+        batches = [f.removeprefix("batch_id=") for f in self._children(*parts) if f.startswith("batch_id=")]
+        later = {f"batch_id={n}" for n in batches if int(n) > up_to}
+        self._drop(before, *parts, keep=later)
+
+
+def _quoted(name: str) -> str:
+    return urllib.parse.quote(str(name), safe="")
+
 
-    def _drop_batches(self, up_to: int, *parts: str) -> None:
-        for folder in self._children(*parts):
-            if folder.startswith("batch_id=") and int(folder.removeprefix("batch_id=")) <= up_to:
-                self._delete(*parts, folder)
+def _utc(at: dt.datetime) -> dt.datetime:
+    return at.replace(tzinfo=dt.timezone.utc) if at.tzinfo is None else at.astimezone(dt.timezone.utc)
 
 
 def _one_row(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,21 +15,25 @@ from tickloom.operators.validation import (
     split_batches,
     validate,
 )
-from tickloom.session import configure
 from tickloom.sources.requests import parse_requests
 from tickloom.sources.warehouse import Warehouse
 
 
-def ingest_batch(warehouse: Warehouse, requests: DataFrame, batch_id: int | None = None) -> int:
-    """Take in one batch of requests; running a batch again replaces it.
+def ingest_batch(
+    warehouse: Warehouse, requests: DataFrame, number: int | str | None = None, source: str = "batch"
+) -> int:
+    """Take in one batch of requests; the warehouse's number for it.
 
-    Everything is checked before anything is written: requests that fail write
-    nothing but their response. Then symbols, ticks and day states are stored,
-    and the commit makes all of them visible together.
+    ``source`` and ``number`` name the batch: one that was taken in before is not taken
+    in again. Without a number it is a new batch. Everything is checked before anything is
+    written: requests that fail write nothing but their response. Then symbols, ticks and
+    day states are stored, and the commit makes all of them visible together. Deliveries
+    with one request id get one response: refused if any is, else with all their ticks.
     """
-    if batch_id is None:
-        batch_id = warehouse.snapshot().last_batch + 1
-    warehouse.withdraw(batch_id)
+    number = uuid.uuid4().hex if number is None else str(number)
+    batch_id, done = warehouse.begin(source, number)
+    if done:
+        return batch_id
     checked = validate(parse_requests(requests)).persist()
     try:
         split = split_batches(checked)
@@ -38,6 +44,7 @@ def ingest_batch(warehouse: Warehouse, requests: DataFrame, batch_id: int | None
         counts = accepted_counts(checked.filter(F.col("pos").isNotNull()))
         responses = (
             requests.select("request_id")
+            .distinct()
             .join(counts, "request_id", "left")
             .join(refused, "request_id", "left")
             .select(
@@ -57,8 +64,9 @@ def ingest_batch(warehouse: Warehouse, requests: DataFrame, batch_id: int | None
         checked.unpersist()
     warehouse.write_day_states(batch_id)
     totals = outcome.agg(F.sum("accepted"), F.count("code")).first()
-    warehouse.commit(batch_id, totals[0] or 0, totals[1])
-    return batch_id
+    uncovered = warehouse.uncovered_ticks(batch_id)
+    standing = warehouse.commit(batch_id, source, number, totals[0] or 0, totals[1], uncovered)
+    return batch_id if standing is None else standing
 
 
 def start_stream(
@@ -67,13 +75,15 @@ def start_stream(
     """Ingest a stream into the warehouse at ``path``; every late tick still finds its old candle.
 
     No watermark and no state store: what a batch adds to a candle is written
-    as a partial state and merged when candles are read. ``trigger`` takes the
-    arguments of ``DataStreamWriter.trigger``.
+    as a partial state and merged when candles are read. The checkpoint's own id
+    names the source, so a stream with a new checkpoint is a new source.
+    ``trigger`` takes the arguments of ``DataStreamWriter.trigger``.
     """
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        session = configure(batch.sparkSession)
-        ingest_batch(Warehouse(session, path), batch, batch_id)
+        session = batch.sparkSession
+        about = session.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").first()
+        ingest_batch(Warehouse(session, path), batch, batch_id, f"stream:{about['id']}")
 
     writer = requests.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     if trigger:
