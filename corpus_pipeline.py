@@ -31,8 +31,13 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def in_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that have no letters, or no language with a share of ``LEAST_SHARE``."""
+    """Documents go that have no letters, or no language with a share of ``LEAST_SHARE``.
+
+    Where no document names a language none is known, and only those without letters go.
+    """
     model = langid.learn(docs, F.lit(True))
+    if not model.names:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = langid.identify(_whole(docs), model)
     return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select("document.*")
 

@@ -145,7 +145,7 @@ def components(edges: DataFrame) -> DataFrame:
         links = stored(to(to(links, "a"), "b").filter("a <> b").distinct(), "links")
     if labels is None:
         return edges.sparkSession.createDataFrame([], "id long, component long")
-    return labels
+    return labels.select("id", "component")
 
 
 def once_per_worker(key: str, make):

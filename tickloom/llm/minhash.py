@@ -157,7 +157,7 @@ def _strongest(signature: np.ndarray, least: float) -> list[tuple[int, int, floa
         left[at] = False
         near = _alike(signature, signature[at])
         near[at] = -1
-        own = np.argpartition(near, -OWN)[-OWN:]
+        own = np.argpartition(near, -OWN)[-OWN:] if m > OWN else range(m)
         links += [(at, int(i), float(near[i])) for i in own if near[i] >= least]
         better = left & (near > best)
         best[better], by[better] = near[better], at
@@ -312,7 +312,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     )
     pairs = stored(pairs.filter("a <> b").groupBy("a", "b").agg(F.max("alike").alias("alike")), "candidates")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.withColumnRenamed("doc_id", "id").join(ids, "id")
+    # the same join at every size: a broadcast of ids would not last
+    texts = docs.withColumnRenamed("doc_id", "id").join(ids.hint("merge"), "id")
     sets = stored(texts.mapInArrow(_sets(size), "id long, set binary"), "sets")
 
     def confirmed(some: DataFrame) -> DataFrame:
