@@ -4,11 +4,11 @@ Terms are runs of letters and digits, A-Z lowered. Document frequencies, the num
 of documents and their mean length are taken over all rows. Rows are dealt to
 shards; a shard inverts its rows into posting lists with impacts in whole
 millionths, so that sums are exact in any order, and keeps the greatest impact of
-each list in each block of documents. A query adds up its lists from the heaviest
-to the lightest. The k-th best sum so far is a bar; what a block's greatest
-impacts of the lists still to come cannot lift over the bar is out, and once few
-documents are left the other lists are looked up for these alone. Each shard's
-top k are merged. Queries come in blocks; every shard meets every block.
+each common list in each block of documents. A query adds up its rare lists first,
+then the common ones from the heaviest to the lightest. The k-th best sum so far is
+a bar; what a block's greatest impacts of the lists still to come cannot lift over
+the bar is out, and once few documents are left those lists are looked up for these
+alone. Each shard's top k are merged. Queries come in blocks; every shard meets every block.
 """
 
 from __future__ import annotations
@@ -22,14 +22,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import binaries, slabs, stored
+from tickloom.llm.common import binaries, ranges, slabs, stored
 from tickloom.llm.minhash import words
 
 K1, B = 1.2, 0.75
 #: Whole units of score to one.
 UNIT = 1_000_000
 #: Documents of a shard, about; queries of a block, about; documents of a pruning block.
-SHARD, QUERIES, BLOCK = 16_384, 2_048, 128
+SHARD, QUERIES, BLOCK = 16_384, 8_192, 128
+#: A term in more than one of so many documents is common; common lists between two looks at the bar.
+COMMON, LISTS = 16, 12
 
 _NO_TERM = np.ones(256, bool)
 _NO_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -96,60 +98,50 @@ class Shard:
         by = np.argsort(at, kind="stable")
         self.doc, self.impact, at = doc[by], impact[by], at[by]
         self.bounds = np.searchsorted(at, np.arange(len(vocabulary) + 1))
-        # the greatest impact of each list in each block of documents
-        self.blocks = -(-n // BLOCK)
-        cell = at.astype(np.int64) * self.blocks + self.doc // BLOCK
-        new = np.ones(len(cell), bool)
-        new[1:] = cell[1:] != cell[:-1]
-        heads = np.flatnonzero(new)
-        self.most = np.maximum.reduceat(self.impact, heads) if len(heads) else np.empty(0, np.int64)
-        self.most_block = self.doc[heads] // BLOCK
-        self.most_bounds = np.searchsorted(at[heads], np.arange(len(vocabulary) + 1))
+        # lists of common terms as rows over all documents, with the greatest impact in each block of documents
+        sizes = np.diff(self.bounds)
+        common = np.flatnonzero(sizes * COMMON > n)
+        self.row = np.full(len(vocabulary), -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), n))
+        for i, t in enumerate(common.tolist()):
+            low, high = self.bounds[t], self.bounds[t + 1]
+            self.rows[i, self.doc[low:high]] = self.impact[low:high]
+        heads = np.arange(0, n, BLOCK)
+        self.most = np.maximum.reduceat(self.rows, heads, axis=1) if n and len(common) else np.zeros((len(common), len(heads)))
 
     def top(self, terms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the best k rows; of equal scores the smaller ids."""
-        terms = terms[self.bounds[terms + 1] > self.bounds[terms]]
-        n = len(self.ids)
-        if not len(terms):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        bound = np.zeros((len(terms) + 1, self.blocks), np.int64)
-        for i, t in enumerate(terms.tolist()):
-            low, high = self.most_bounds[t], self.most_bounds[t + 1]
-            bound[i, self.most_block[low:high]] = self.most[low:high]
-        order = np.argsort(-bound[:-1].max(axis=1), kind="stable")
-        terms = terms[order]
-        bound[:-1] = bound[order]
-        # what the lists from i on can add in each block
-        bound = bound[::-1].cumsum(axis=0)[::-1]
-        total, left, since = np.zeros(n, np.int64), None, 0
-        for i, t in enumerate(terms.tolist()):
-            low, high = self.bounds[t], self.bounds[t + 1]
-            total[self.doc[low:high]] += self.impact[low:high]
-            since += high - low
-            if since * 4 >= n and i + 1 < len(terms) and n > k:
-                since = 0
+        """Ids and scores of the best k rows; of equal scores the smaller ids.
+
+        Sums are whole numbers far below 2 ** 53, so doubles hold them exactly.
+        """
+        n, row = len(self.ids), self.row[terms]
+        rare = terms[row < 0]
+        at = ranges(self.bounds[rare], self.bounds[rare + 1] - self.bounds[rare])
+        total = np.bincount(self.doc[at], self.impact[at], n).astype(np.float64)
+        row = row[row >= 0]
+        row = row[np.argsort(-self.most[row].max(axis=1), kind="stable")] if len(row) else row
+        left = None
+        for first in range(0, len(row), LISTS):
+            if n > k:
+                # the bar, and what the lists still to come can add in each block at most
                 bar = np.partition(total, n - k)[n - k]
-                if bar > 0:
-                    may = total + np.repeat(bound[i + 1], BLOCK)[:n] >= bar
-                    if np.count_nonzero(may) * 16 <= n:
-                        left, rest = np.flatnonzero(may), terms[i + 1 :]
-                        break
+                bound = self.most[row[first:]].sum(axis=0)
+                may = np.flatnonzero(total + np.repeat(bound, BLOCK)[:n] >= bar)
+                if len(may) * 4 <= n:
+                    left = may
+                    total[left] += self.rows[row[first:, None], left].sum(axis=0)
+                    break
+            for r in row[first : first + LISTS].tolist():
+                total += self.rows[r]
         if left is None:
             left = np.flatnonzero(total)
-        else:
-            for t in rest.tolist():
-                low, high = self.bounds[t], self.bounds[t + 1]
-                docs = self.doc[low:high]
-                at = np.searchsorted(docs, left)
-                at[at == len(docs)] = 0
-                hit = docs[at] == left
-                total[left[hit]] += self.impact[low:high][at[hit]]
         if len(left) > k:
             bar = np.partition(total[left], len(left) - k)[len(left) - k]
             left = left[total[left] >= bar]
         best = left[np.lexsort((self.ids[left], -total[left]))][:k]
         best = best[total[best] > 0]
-        return self.ids[best], total[best]
+        return self.ids[best], total[best].astype(np.int64)
 
 
 def _searched(k: int, mean: float):
