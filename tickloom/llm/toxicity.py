@@ -2,7 +2,7 @@
 
 Text is folded first: lower case, accents off, homoglyphs and digits that stand
 for letters replaced, all else a blank. The lexicon holds word beginnings and
-short words that labelled toxic documents have far more often than others, by
+short words that labelled toxic documents have more often than others, by
 log-odds; phrases around its terms that clean documents have are its exceptions.
 An Aho-Corasick automaton finds terms and exceptions in one pass; what an
 exception covers does not count. A logistic curve over the sum of weights, plain
@@ -29,8 +29,8 @@ from tickloom.llm.common import carried, once_per_worker, stored
 MAX_TRAIN = 40_000
 #: Lengths of word beginnings that may become terms; shorter words count as wholes.
 STEMS = (4, 5, 6, 7)
-#: Least log-odds of a term, and least standard errors it must be away from 0.
-LEAST_ODDS, LEAST_Z = 2.5, 2.75
+#: Least log-odds of a term with the least standard errors it must be away from 0: rare elsewhere, or surely more frequent.
+LEAST = ((2.5, 2.75), (1.0, 6.0))
 
 #: Letters that look like Latin ones, and signs that stand for letters.
 HOMOGLYPHS = {
@@ -78,7 +78,7 @@ class Lexicon:
 
     terms: dict[str, float] = field(default_factory=dict)
     exceptions: list[str] = field(default_factory=list)
-    curve: tuple[float, float, float] = (-3.0, 0.0, 0.0)
+    curve: tuple[float, ...] = (-3.0, 0.0, 0.0, 0.0)
 
 
 def automaton(lexicon: Lexicon) -> ahocorasick.Automaton:
@@ -183,7 +183,7 @@ def _features(found: ahocorasick.Automaton, texts: list[str]) -> np.ndarray:
     whole, bounds, words = folded(texts)
     at, weight = hits(found, whole)
     total = np.bincount(np.searchsorted(bounds, at, "right") - 1, weight, len(texts))
-    return np.stack([np.log1p(total), total / np.sqrt(words + 1)], axis=1)
+    return np.stack([np.log1p(total), total / np.sqrt(words + 1), np.log1p(100 * total / (words + 1))], axis=1)
 
 
 def _described(lexicon: Lexicon):
@@ -191,16 +191,16 @@ def _described(lexicon: Lexicon):
         found = automaton(lexicon)
         for batch, texts in _blocks(batches):
             x = _features(found, texts)
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x[:, 0]), pa.array(x[:, 1])], ["label", "x1", "x2"])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), *(pa.array(c) for c in x.T)], ["label", "x1", "x2", "x3"])
 
     return run
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Logistic regression by Newton's method, slightly held towards 0."""
     x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(3)
-    hold = np.diag([1e-3, 0.1, 0.1])
+    w = np.zeros(x.shape[1])
+    hold = np.diag([1e-3] + [0.1] * (x.shape[1] - 1))
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + hold, x.T @ (y - p) - hold @ w)
@@ -223,7 +223,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, max_train: int =
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
     if not bad or not good:
-        return Lexicon(curve=(float(np.log((bad + 0.5) / (good + 0.5))), 0.0, 0.0))
+        return Lexicon(curve=(float(np.log((bad + 0.5) / (good + 0.5))), 0.0, 0.0, 0.0))
 
     def counted(label: Column, wanted: set[str] | None) -> DataFrame:
         return sample.filter(label).select("text").mapInArrow(_counted(wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
@@ -235,7 +235,8 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, max_train: int =
     for term, t in toxic.items():
         c = clean.get(term, 0)
         odds = float(np.log((t + 0.5) / (bad + 1)) - np.log((c + 0.5) / (good + 1)))
-        if odds >= LEAST_ODDS and odds >= LEAST_Z * np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)):
+        error = np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+        if any(odds >= least and odds >= sure * error for least, sure in LEAST):
             terms[term] = odds
     lexicon = Lexicon(terms)
     seen = sample.mapInArrow(_phrases(lexicon), "phrase string, label int, n long").groupBy("phrase").agg(
@@ -244,8 +245,8 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, max_train: int =
     # at least three clean documents have it, and it is rarer among toxic ones
     usual = seen.filter((F.col("c") >= 3) & (F.col("c") * bad > 2 * F.col("t") * good))
     lexicon.exceptions = sorted(r["phrase"] for r in usual.select("phrase").collect())
-    got = sample.mapInArrow(_described(lexicon), "label int, x1 double, x2 double").toPandas()
-    lexicon.curve = _curve(got[["x1", "x2"]].to_numpy(), (got["label"] == 1).to_numpy(float))
+    got = sample.mapInArrow(_described(lexicon), "label int, x1 double, x2 double, x3 double").toPandas()
+    lexicon.curve = _curve(got[["x1", "x2", "x3"]].to_numpy(), (got["label"] == 1).to_numpy(float))
     return lexicon
 
 
