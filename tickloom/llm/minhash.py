@@ -12,7 +12,8 @@ central one. Candidates are confirmed on whole shingle sets.
 
 Only what links to what counts in the end, so of all candidates each document's
 strongest is confirmed first, and of the others those that would still join two
-groups.
+groups. Large regions are then gone through once more: whatever in a part is not in
+its main group yet is held against all of the part.
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.llm.common import binaries, buffers, components, mix, pair, ranges, slabs, stored
 
-TREES, DEPTH, LEAST_DEPTH = 12, 8, 3
+TREES, DEPTH, LEAST_DEPTH = 16, 8, 3
 #: Rows of a region that are compared in full by signature.
 SMALL, PART = 16, 1024
 #: Own strongest links of a row of a larger part, besides those that hold the part together.
-OWN = 3
+OWN = 8
 #: Estimates this far below the threshold still become candidates: over four standard errors.
 SLACK = 0.18
 
@@ -137,9 +139,7 @@ def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key[:, 0] = tree
             key[:, 1:] = signature[:, tree * wide : (tree + 1) * wide]
             bounds = np.arange(batch.num_rows + 1) * (1 + wide)
-            yield pa.RecordBatch.from_arrays(
-                [binaries(key.reshape(-1), bounds), batch.column("id"), batch.column("signature")], ["key", "id", "signature"]
-            )
+            yield pa.RecordBatch.from_arrays([binaries(key.reshape(-1), bounds), *batch.columns], ["key", *batch.schema.names])
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -179,10 +179,45 @@ def _parts(keys: np.ndarray, low: int, high: int, depth: int) -> Iterator[tuple[
             yield from _parts(keys, int(a), int(b), depth + 1)
 
 
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]]:
+    """Of a sorted partition: whole regions at a time, as the bounds of regions in order, keys, signatures and all columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in _with_end(batches):
+        if batch is not None and not batch.num_rows:
+            continue
+        held += [batch] if batch is not None else []
+        if not held:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        matrix = lambda c, n: np.frombuffer(b"".join(rows[c].to_pylist()), np.uint8).reshape(n, -1)  # noqa: E731, B023
+        keys, signature = (matrix(c, rows.num_rows) for c in ("key", "signature"))
+        prefix = keys[:, : 1 + 2 * LEAST_DEPTH]
+        edges = np.concatenate([[0], 1 + np.flatnonzero((prefix[1:] != prefix[:-1]).any(axis=1)), [len(keys)]])
+        held = []
+        if batch is not None:
+            # the last region may go on in the next batch, unless it is large already
+            if len(edges) == 2 and len(keys) < 16 * PART:
+                held = rows.to_batches()
+                continue
+            if len(edges) > 2:
+                held = rows.slice(int(edges[-2])).to_batches()
+                edges = edges[:-1]
+        yield edges, keys, np.ascontiguousarray(signature).view(np.uint16), rows
+
+
+def _pairs(ids: np.ndarray, links: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (ids[np.concatenate([x[i] for x in links])] for i in (0, 1))
+    alike = np.concatenate([x[2] for x in links]).astype(np.float32)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(alike)], ["a", "b", "alike"])
+
+
 def _candidates(least: float):
-    """Of a sorted partition: pairs of ids that share a prefix and whose signatures are alike."""
+    """Of a sorted partition: pairs of ids that share a prefix and whose signatures are alike.
+
+    Of regions too large to give all such pairs, each id once more, paired with itself.
+    """
 
-    def region(keys: np.ndarray, ids: np.ndarray, signature: np.ndarray, low: int, high: int) -> list[tuple]:
+    def large(keys: np.ndarray, signature: np.ndarray, low: int, high: int) -> list[tuple]:
         links = []
         for a, b in _parts(keys, low, high, LEAST_DEPTH):
             if b - a > 1:
@@ -199,62 +234,49 @@ def _candidates(least: float):
         # parts also meet their neighbours in the order
         near = _alike(signature[low : high - 1], signature[low + 1 : high])
         links += [(low + int(i), low + int(i) + 1, float(near[i])) for i in np.flatnonzero(near >= least)]
-        return links
+        return links + [(i, i, 0.0) for i in range(low, high)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in _with_end(batches):
-            if batch is not None:
-                if not batch.num_rows:
-                    continue
-                o, d = buffers(batch.column("key"))
-                keys = d[o[0] : o[-1]].reshape(batch.num_rows, -1)
-                o, d = buffers(batch.column("signature"))
-                signature = np.ascontiguousarray(d[o[0] : o[-1]].reshape(batch.num_rows, -1)).view(np.uint16)
-                new = (keys, batch.column("id").to_numpy(), signature)
-                held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
-            if held is None:
-                return
-            keys, ids, signature = held
-            prefix = keys[:, : 1 + 2 * LEAST_DEPTH]
-            cuts = 1 + np.flatnonzero((prefix[1:] != prefix[:-1]).any(axis=1))
-            edges = np.concatenate([[0], cuts, [len(keys)]])
-            if batch is not None:
-                # the last region may go on in the next batch, unless it is large already
-                if len(edges) == 2 and len(keys) < 16 * PART:
-                    continue
-                if len(edges) > 2:
-                    held = tuple(x[edges[-2] :] for x in held)
-                    edges = edges[:-1]
-                else:
-                    held = None
-            sizes = np.diff(edges)
+        for edges, keys, signature, rows in _regions(batches):
+            sizes, links = np.diff(edges), []
             some = np.flatnonzero((sizes > 1) & (sizes <= SMALL))
-            a, b, e = [], [], []
             for m in np.unique(sizes[some]):
                 i, j = np.triu_indices(int(m), 1)
-                heads = edges[some[sizes[some] == m]]
+                heads = edges[:-1][some[sizes[some] == m]]
                 left, right = (heads[:, None] + i).ravel(), (heads[:, None] + j).ravel()
                 for at in range(0, len(left), 1 << 16):
                     x, y = left[at : at + (1 << 16)], right[at : at + (1 << 16)]
                     near = _alike(signature[x], signature[y])
                     good = near >= least
-                    a.append(x[good])
-                    b.append(y[good])
-                    e.append(near[good])
+                    links.append((x[good], y[good], near[good]))
             for k in np.flatnonzero(sizes > SMALL):
-                links = region(keys, ids, signature, int(edges[k]), int(edges[k + 1]))
-                if links:
-                    x, y, near = zip(*links, strict=True)
-                    a.append(np.array(x))
-                    b.append(np.array(y))
-                    e.append(np.array(near, np.float32))
-            if a and sum(map(len, a)):
-                a, b = ids[np.concatenate(a)], ids[np.concatenate(b)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.concatenate(e).astype(np.float32))],
-                    ["a", "b", "alike"],
-                )
+                x, y, near = zip(*large(keys, signature, int(edges[k]), int(edges[k + 1])), strict=True)
+                links.append((np.array(x), np.array(y), np.array(near)))
+            if links:
+                yield _pairs(rows["id"].to_numpy(), links)
+
+    return run
+
+
+def _apart(least: float, percent: int):
+    """Of a sorted partition of large regions: all pairs alike whose ids are still in different groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for edges, keys, signature, rows in _regions(batches):
+            label, size, links = rows["label"].to_numpy(), rows["n_shingles"].to_numpy(), []
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                for a, b in _parts(keys, low, high, LEAST_DEPTH):
+                    groups, at = np.unique(label[a:b], return_inverse=True)
+                    if len(groups) == 1:
+                        continue
+                    # rows of the part's main group need not be held against each other
+                    for i in np.flatnonzero(at != np.argmax(np.bincount(at))).tolist():
+                        near = _alike(signature[a:b], signature[a + i])
+                        small, big = np.minimum(size[a:b], size[a + i]), np.maximum(size[a:b], size[a + i])
+                        j = np.flatnonzero((near >= least) & (at != at[i]) & (100 * small >= percent * big))
+                        links.append((np.full(len(j), a + i), a + j, near[j]))
+            if links:
+                yield _pairs(rows["id"].to_numpy(), links)
 
     return run
 
@@ -305,12 +327,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     keys = ["n_shingles", "k1", "k2"]
     nodes = stored(full.groupBy(*keys).agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "nodes")
-    trees = nodes.select("id", "signature").mapInArrow(_planted, "key binary, id long, signature binary")
     least = percent / 100 - SLACK
-    pairs = (
-        trees.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(_candidates(least), "a long, b long, alike float")
-    )
-    pairs = stored(pairs.filter("a <> b").groupBy("a", "b").agg(F.max("alike").alias("alike")), "candidates")
+
+    def sorted_trees(some: DataFrame) -> DataFrame:
+        kind = T.StructType([T.StructField("key", T.BinaryType()), *some.schema.fields])
+        return some.mapInArrow(_planted, kind).repartitionByRange("key").sortWithinPartitions("key")
+
+    pairs = sorted_trees(nodes.select("id", "signature")).mapInArrow(_candidates(least), "a long, b long, alike float")
+    pairs = stored(pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")), "candidates")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     # the same join at every size: a broadcast of ids would not last
     texts = docs.withColumnRenamed("doc_id", "id").join(ids.hint("merge"), "id")
@@ -321,6 +345,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         return some.select("a", "b").join(one, "a").join(other, "b").mapInArrow(_confirmed(percent), "a long, b long")
 
     # of each document its strongest candidate, then whatever still joins two groups
+    crowded = pairs.filter("a = b").select(F.col("a").alias("id"))
+    pairs = pairs.filter("a <> b")
     turned = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "alike"))
     best = turned.groupBy("a").agg(F.max_by("b", F.struct("alike", "b")).alias("b"))
     best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -333,7 +359,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # equal sets of one id: rows that share a doc_id
     shared = full.join(nodes.select(*keys, "id"), keys).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).filter("a <> b")
     shared = shared.join(full.groupBy("doc_id").agg(F.count_distinct("k1", "k2").alias("n")).filter("n > 1").select(F.col("doc_id").alias("a")), "a", "left_semi")
-    groups = components(links.unionByName(confirmed(rest)).unionByName(shared))
+    links = stored(links.unionByName(confirmed(rest)).unionByName(shared), "more-links")
+    groups = components(links)
+    # large regions once more: of what is still apart, every pair
+    again = nodes.select("id", "signature", "n_shingles").join(crowded, "id").join(groups, "id", "left")
+    again = again.select("id", "signature", "n_shingles", F.coalesce("component", "id").alias("label"))
+    last = sorted_trees(again).mapInArrow(_apart(least, percent), "a long, b long, alike float").select("a", "b").distinct()
+    groups = components(links.unionByName(confirmed(last.join(pairs, ["a", "b"], "left_anti"))))
     member = full.join(nodes.select(*keys, "id"), keys).join(groups, "id", "left")
     member = member.select("doc_id", F.coalesce("component", "id").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     rows = signed.select("doc_id", "n_shingles").join(member, "doc_id", "left")
