@@ -234,7 +234,7 @@ def test_toxicity_of_held_out_documents(spark):
 
 
 def test_folding_terms_and_exceptions():
-    lexicon = toxicity.Lexicon({" idiot": 3.0, " kys ": 5.0}, [" idiot savant "], (-2.0, 1.0, 1.0))
+    lexicon = toxicity.Lexicon({" idiot": 3.0, " kys ": 5.0}, [" idiot savant "], (-2.0, 1.0, 1.0, 1.0, 1.0))
     found = toxicity.automaton(lexicon)
     texts = ["1D10T!", "ѕome іdíоts", "an idiot savant spoke", "idiot savants", "kys", "kysx", "videoidiot", "", "IDIOT idiot"]
     whole, bounds, words = toxicity.folded(texts)

@@ -131,9 +131,9 @@ def mixtures(loglik: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return best
 
 
-def _predicted(model):
+def _predicted(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, table = model.value.names, model.value.table
+        names, table = sent.value["names"], sent.value["table"]
         for batch in batches:
             for first, end, data, offsets in slabs(batch.column("text")):
                 bucket, starts, bounds = trigrams(data, offsets)
@@ -169,5 +169,5 @@ def identify(docs: DataFrame, model: Languages) -> DataFrame:
     rows = carried(docs.drop("lang_pred", "score", "shares"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     shares = T.MapType(T.StringType(), T.DoubleType())
     kind = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("shares", shares)])
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(vars(model))
     return rows.mapInArrow(_predicted(sent), kind).select("row.*", "lang_pred", "score", "shares")

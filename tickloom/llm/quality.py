@@ -161,7 +161,7 @@ def learn(docs: DataFrame, ratings: DataFrame, allowed: Column, max_train: int =
 
 def _graded(sent, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = Grades(**sent.value)
         grades = np.array(model.grades, float)
         for batch in batches:
             for first, end, data, offsets in slabs(batch.column("text")):
@@ -183,6 +183,6 @@ def grade(docs: DataFrame, model: Grades, least: int = 1) -> DataFrame:
     """
     rows = carried(docs.drop("expected_grade", "tail", "kept"))
     kind = T.StructType([rows.schema["row"], T.StructField("expected_grade", T.DoubleType()), T.StructField("tail", T.DoubleType())])
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(vars(model))
     out = rows.mapInArrow(_graded(sent, least), kind)
     return out.select("row.*", "expected_grade", "tail", (F.col("tail") >= 0.5).alias("kept"))

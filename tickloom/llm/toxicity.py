@@ -5,8 +5,8 @@ for letters replaced, all else a blank. The lexicon holds word beginnings and
 short words that labelled toxic documents have more often than others, by
 log-odds; phrases around its terms that clean documents have are its exceptions.
 An Aho-Corasick automaton finds terms and exceptions in one pass; what an
-exception covers does not count. A logistic curve over the sum of weights, plain
-and by length, gives the score.
+exception covers does not count. A logistic curve over sums of weights, plain and
+normalised by length, gives the score.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ MAX_TRAIN = 40_000
 STEMS = (4, 5, 6, 7)
 #: Least log-odds of a term with the least standard errors it must be away from 0: rare elsewhere, or surely more frequent.
 LEAST = ((2.5, 2.75), (1.0, 6.0))
+#: The sum of weights, by length, by share of all words, and of the terms that are rare elsewhere.
+FEATURES = ["total", "by_length", "share", "strong"]
 
 #: Letters that look like Latin ones, and signs that stand for letters.
 HOMOGLYPHS = {
@@ -78,7 +80,7 @@ class Lexicon:
 
     terms: dict[str, float] = field(default_factory=dict)
     exceptions: list[str] = field(default_factory=list)
-    curve: tuple[float, ...] = (-3.0, 0.0, 0.0, 0.0)
+    curve: tuple[float, ...] = (-3.0, 0.0, 0.0, 0.0, 0.0)
 
 
 def automaton(lexicon: Lexicon) -> ahocorasick.Automaton:
@@ -182,8 +184,9 @@ def _phrases(lexicon: Lexicon):
 def _features(found: ahocorasick.Automaton, texts: list[str]) -> np.ndarray:
     whole, bounds, words = folded(texts)
     at, weight = hits(found, whole)
-    total = np.bincount(np.searchsorted(bounds, at, "right") - 1, weight, len(texts))
-    return np.stack([np.log1p(total), total / np.sqrt(words + 1), np.log1p(100 * total / (words + 1))], axis=1)
+    doc = np.searchsorted(bounds, at, "right") - 1
+    total, strong = (np.bincount(doc, w, len(texts)) for w in (weight, np.where(weight >= LEAST[0][0], weight, 0)))
+    return np.stack([np.log1p(total), total / np.sqrt(words + 1), np.log1p(100 * total / (words + 1)), np.log1p(strong)], axis=1)
 
 
 def _described(lexicon: Lexicon):
@@ -191,21 +194,33 @@ def _described(lexicon: Lexicon):
         found = automaton(lexicon)
         for batch, texts in _blocks(batches):
             x = _features(found, texts)
-            yield pa.RecordBatch.from_arrays([batch.column("label"), *(pa.array(c) for c in x.T)], ["label", "x1", "x2", "x3"])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), *(pa.array(c) for c in x.T)], ["label", *FEATURES])
 
     return run
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Logistic regression by Newton's method, slightly held towards 0."""
+    """Logistic regression by Newton's method, slightly held towards 0; steps are halved until they help."""
     x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x.shape[1])
     hold = np.diag([1e-3] + [0.1] * (x.shape[1] - 1))
-    for _ in range(25):
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * w @ hold @ w)
+
+    w = np.zeros(x.shape[1])
+    now = loss(w)
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + hold, x.T @ (y - p) - hold @ w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) >= now:
+            size /= 2
+        if size <= 1e-6:
+            break
+        w = w + size * step
+        now, before = loss(w), now
+        if before - now < 1e-9 * max(1.0, before):
             break
     return tuple(map(float, w))
 
@@ -223,7 +238,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, max_train: int =
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
     if not bad or not good:
-        return Lexicon(curve=(float(np.log((bad + 0.5) / (good + 0.5))), 0.0, 0.0, 0.0))
+        return Lexicon(curve=(float(np.log((bad + 0.5) / (good + 0.5))), 0.0, 0.0, 0.0, 0.0))
 
     def counted(label: Column, wanted: set[str] | None) -> DataFrame:
         return sample.filter(label).select("text").mapInArrow(_counted(wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
@@ -245,14 +260,14 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, max_train: int =
     # at least three clean documents have it, and it is rarer among toxic ones
     usual = seen.filter((F.col("c") >= 3) & (F.col("c") * bad > 2 * F.col("t") * good))
     lexicon.exceptions = sorted(r["phrase"] for r in usual.select("phrase").collect())
-    got = sample.mapInArrow(_described(lexicon), "label int, x1 double, x2 double, x3 double").toPandas()
-    lexicon.curve = _curve(got[["x1", "x2", "x3"]].to_numpy(), (got["label"] == 1).to_numpy(float))
+    got = sample.mapInArrow(_described(lexicon), "label int, " + ", ".join(f"{x} double" for x in FEATURES)).toPandas()
+    lexicon.curve = _curve(got[FEATURES].to_numpy(), (got["label"] == 1).to_numpy(float))
     return lexicon
 
 
 def _scored(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = sent.value
+        lexicon = Lexicon(**sent.value)
         found = automaton(lexicon)
         for batch, texts in _blocks(batches):
             x = _features(found, texts)
@@ -270,5 +285,5 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """
     rows = carried(docs.drop("score", "predicted"))
     kind = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon)
+    sent = docs.sparkSession.sparkContext.broadcast(vars(lexicon))
     return rows.mapInArrow(_scored(sent), kind).select("row.*", "score", "predicted")
