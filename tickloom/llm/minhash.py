@@ -28,13 +28,13 @@ from pyspark.sql import types as T
 
 from tickloom.llm.common import binaries, buffers, components, mix, pair, ranges, slabs, stored
 
-TREES, DEPTH, LEAST_DEPTH = 16, 8, 3
+LENGTH, TREES, DEPTH, LEAST_DEPTH = 128, 12, 8, 3
 #: Rows of a region that are compared in full by signature.
 SMALL, PART = 16, 1024
 #: Own strongest links of a row of a larger part, besides those that hold the part together.
-OWN = 8
-#: Estimates this far below the threshold still become candidates: over four standard errors.
-SLACK = 0.18
+OWN = 1
+#: Estimates this far below the threshold still become candidates: over three standard errors.
+SLACK = 0.12
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -93,7 +93,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
 
 def _signed(size: int):
     """Of each text: how many shingles, a 128-bit name of the set, its signature."""
-    length = TREES * DEPTH
+    length = LENGTH
     seeds = mix(np.arange(1, length + 1, dtype=np.uint64))
     factors = mix(seeds) | np.uint64(1)
 
@@ -133,7 +133,7 @@ def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         offsets, data = buffers(batch.column("signature"))
-        signature = data[offsets[0] : offsets[-1]].reshape(batch.num_rows, TREES * wide)
+        signature = data[offsets[0] : offsets[-1]].reshape(batch.num_rows, 2 * LENGTH)
         for tree in range(TREES):
             key = np.empty((batch.num_rows, 1 + wide), np.uint8)
             key[:, 0] = tree
@@ -231,10 +231,8 @@ def _candidates(least: float):
             hub = low + int(np.argmax(_alike(mine, usual)))
             near = _alike(mine, signature[hub])
             links += [(low + int(i), hub, float(near[i])) for i in np.flatnonzero(near >= least) if low + i != hub]
-        # parts also meet their neighbours in the order
-        near = _alike(signature[low : high - 1], signature[low + 1 : high])
-        links += [(low + int(i), low + int(i) + 1, float(near[i])) for i in np.flatnonzero(near >= least)]
-        return links + [(i, i, 0.0) for i in range(low, high)]
+        links = {(min(a, b), max(a, b)): e for a, b, e in links}
+        return [(a, b, e) for (a, b), e in links.items()] + [(i, i, 0.0) for i in range(low, high)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for edges, keys, signature, rows in _regions(batches):
