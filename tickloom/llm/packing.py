@@ -6,13 +6,15 @@ leave. Documents are dealt to groups of bounded size. In a group every item begi
 a partition of its own over all windows. The two partitions with the greatest
 imbalance are merged, again and again, the fullest windows of one with the
 emptiest of the other, so that opposing imbalances cancel. If a window then
-holds more than its capacity, the group gets a window more and starts again.
+holds more than its capacity, the group gets more windows and starts again.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import json
+import math
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -123,12 +125,6 @@ def cut(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     return rows.mapInArrow(_cut(path, window), kind).select("row.*", "place", "doc_tokens", "crcs")
 
 
-def _inserted(x: np.ndarray, at: int, value: int) -> np.ndarray:
-    out = np.empty(len(x) + 1, x.dtype)
-    out[:at], out[at], out[at + 1 :] = x[:at], value, x[at:]
-    return out
-
-
 def differenced(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarray]:
     """The window of each item, and the windows' sums."""
     n = len(sizes)
@@ -136,44 +132,37 @@ def differenced(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarray
         return np.zeros(n, np.int64), np.array([sizes.sum()])
     # nodes: items first, then pairs of nodes that share a window
     children: list[tuple[int, int]] = []
-    parts, heap = {}, []
-    for i in range(n):
-        # windows that hold nothing are left implicit: sums and nodes of the others, emptiest first
-        parts[i] = (np.array([sizes[i]], np.int64), np.array([i], np.int64))
-        heap.append((-int(sizes[i]), i))
+    # windows that hold nothing are left implicit: sums and nodes of the others, emptiest first
+    parts = {i: ([size], [i]) for i, size in enumerate(sizes.tolist())}
+    heap = [(-sums[0], i) for i, (sums, _) in parts.items()]
     heapq.heapify(heap)
     for made in range(n, 2 * n - 1):
         (_, a), (_, b) = heapq.heappop(heap), heapq.heappop(heap)
-        (sum_a, node_a), (sum_b, node_b) = parts.pop(a), parts.pop(b)
-        if len(sum_a) < len(sum_b):
-            sum_a, node_a, sum_b, node_b = sum_b, node_b, sum_a, node_a
-        over = len(sum_a) + len(sum_b) - windows
+        (total, node), (sum_b, node_b) = parts.pop(a), parts.pop(b)
+        if len(total) < len(sum_b):
+            total, node, sum_b, node_b = sum_b, node_b, total, node
+        over = max(len(total) + len(sum_b) - windows, 0)
         first = n + len(children)
-        if over > 0:
-            # the fullest of one meet the emptiest of the other; windows that are empty there stay as they are
-            children += list(zip(node_a[:over].tolist(), node_b[:over][::-1].tolist(), strict=True))
+        # the fullest of one meet the emptiest of the other; windows that are empty there stay as they are
+        children += zip(node[:over], reversed(node_b[:over]), strict=True)
         if len(sum_b) == 1:
             # one item: into the emptiest window, which moves up to its place
-            value = sum_b[0] + (sum_a[0] if over > 0 else 0)
-            at = int(np.searchsorted(sum_a, value))
-            if over > 0:
-                total, node = sum_a, node_a
-                total[: at - 1], node[: at - 1] = total[1:at].copy(), node[1:at].copy()
-                total[at - 1], node[at - 1] = value, first
-            else:
-                total, node = _inserted(sum_a, at, value), _inserted(node_a, at, node_b[0])
+            value, new = sum_b[0], node_b[0]
+            if over:
+                value, new = value + total[0], first
+                del total[0], node[0]
+            at = bisect.bisect_left(total, value)
+            total.insert(at, value)
+            node.insert(at, new)
         else:
-            over = max(over, 0)
-            total = np.concatenate([sum_a[:over] + sum_b[:over][::-1], sum_a[over:], sum_b[over:]])
-            node = np.concatenate([np.arange(first, first + over), node_a[over:], node_b[over:]])
-            order = np.argsort(total, kind="stable")
-            total, node = total[order], node[order]
+            met = [(x + y, first + i) for i, (x, y) in enumerate(zip(total[:over], reversed(sum_b[:over]), strict=True))]
+            both = sorted([*met, *zip(total[over:], node[over:], strict=True), *zip(sum_b[over:], node_b[over:], strict=True)])
+            total, node = [x for x, _ in both], [x for _, x in both]
         parts[made] = (total, node)
-        gap = int(total[-1]) - (int(total[0]) if len(total) == windows else 0)
-        heapq.heappush(heap, (-gap, made))
+        heapq.heappush(heap, ((total[0] if len(total) == windows else 0) - total[-1], made))
     ((total, node),) = parts.values()
     at = np.zeros(n, np.int64)
-    for w, root in enumerate(node.tolist()):
+    for w, root in enumerate(node):
         open_nodes = [root]
         while open_nodes:
             x = open_nodes.pop()
@@ -181,11 +170,11 @@ def differenced(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarray
                 at[x] = w
             else:
                 open_nodes += children[x - n]
-    return at, np.concatenate([total, np.zeros(windows - len(total), np.int64)])
+    return at, np.array(total + [0] * (windows - len(total)), np.int64)
 
 
 def packed(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The window of each item, none over capacity: a window more until all fit."""
+    """The window of each item, none over capacity: more windows until all fit."""
     sizes = np.asarray(sizes, np.int64)
     if not len(sizes):
         return np.empty(0, np.int64)
@@ -194,8 +183,9 @@ def packed(sizes: np.ndarray, capacity: int) -> np.ndarray:
         at, sums = differenced(sizes, windows)
         if sums.max() <= capacity:
             return at
-        # at least as many more as the overfull ones carry too much
-        windows += max(1, int(np.maximum(sums - capacity, 0).sum()) // capacity)
+        # as many windows as bring their mean down by what the fullest has too much
+        mean, excess = sums.sum() / windows, int(sums.max()) - capacity
+        windows = max(windows + 1, math.ceil(sums.sum() / (mean - excess)) if excess < mean else 0)
 
 
 def _pieces(keys: list[str], window: int):
