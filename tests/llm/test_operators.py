@@ -302,6 +302,27 @@ def test_near_copies_as_by_brute_force(spark, size, monkeypatch):
     assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(brute_groups(docs, size, 80), key=repr)
 
 
+def test_near_copies_among_rows_of_one_template(spark, monkeypatch):
+    """Lone pairs of similarity 0.82 among rows that share 80 % of their words: in regions of any size."""
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    monkeypatch.setattr(minhash, "PART", 32)
+    rng = np.random.default_rng(11)
+    template = [f"t{i}" for i in range(72)]
+    docs, pairs = [], {}
+    for i in range(2000):
+        text = template + [f"u{i}x{j}" for j in range(18)]
+        docs.append((i, text))
+        if i % 25 == 0:
+            pairs[10_000 + i] = i
+            docs.append((10_000 + i, text[:-9] + [f"y{i}x{j}" for j in range(9)]))
+    # a group of many copies beside them
+    docs += [(20_000 + i, [f"c{j}" for j in range(86)] + [f"c{i}x{j}" for j in range(4)]) for i in range(600)]
+    rng.shuffle(docs := [(d, " ".join(t)) for d, t in docs])
+    frame = spark.createDataFrame([(int(d), t) for d, t in docs], "doc_id long, text string")
+    got = dict(minhash.near_duplicates(frame, 2).select("doc_id", "component_id").collect())
+    assert got == {int(d): pairs.get(int(d), 20_000 if int(d) >= 20_000 else int(d)) for d, _ in docs}
+
+
 def test_near_copies_at_the_edges(spark):
     got = collections.defaultdict(set)
     for r in minhash.near_duplicates(odd_documents(spark), 2).collect():

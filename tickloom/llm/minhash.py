@@ -12,8 +12,10 @@ central one. Candidates are confirmed on whole shingle sets.
 
 Only what links to what counts in the end, so of all candidates each document's
 strongest is confirmed first, and of the others those that would still join two
-groups. Large regions are then gone through once more: whatever in a part is not in
-its main group yet is held against all of the part.
+groups. What these cuts may have kept apart is then found exactly: the documents of
+all regions that were not compared in full, or lie across the bound of a task, are
+joined on their rarest shingles, of which two sets alike must share one, wherever
+they are in different groups.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ LENGTH, TREES, DEPTH, LEAST_DEPTH = 128, 12, 8, 3
 SMALL, PART = 16, 1024
 #: Own strongest links of a row of a larger part, besides those that hold the part together.
 OWN = 1
+#: Sets whose shingles are counted, and how many of the frequent ones are told apart, to know which are rare.
+SAMPLE, FREQUENT = 50_000, 65_536
 #: Estimates this far below the threshold still become candidates: over three standard errors.
 SLACK = 0.12
 
@@ -179,9 +183,13 @@ def _parts(keys: np.ndarray, low: int, high: int, depth: int) -> Iterator[tuple[
             yield from _parts(keys, int(a), int(b), depth + 1)
 
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]]:
-    """Of a sorted partition: whole regions at a time, as the bounds of regions in order, keys, signatures and all columns."""
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table, tuple[bool, bool]]]:
+    """Of a sorted partition: regions in order, as their bounds, keys, signatures and all columns.
+
+    At last, whether the first and the last of them may go on in what came before or comes after.
+    """
     held: list[pa.RecordBatch] = []
+    cut = True
     for batch in _with_end(batches):
         if batch is not None and not batch.num_rows:
             continue
@@ -194,6 +202,7 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
         prefix = keys[:, : 1 + 2 * LEAST_DEPTH]
         edges = np.concatenate([[0], 1 + np.flatnonzero((prefix[1:] != prefix[:-1]).any(axis=1)), [len(keys)]])
         held = []
+        ends = True
         if batch is not None:
             # the last region may go on in the next batch, unless it is large already
             if len(edges) == 2 and len(keys) < 16 * PART:
@@ -202,7 +211,9 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
             if len(edges) > 2:
                 held = rows.slice(int(edges[-2])).to_batches()
                 edges = edges[:-1]
-        yield edges, keys, np.ascontiguousarray(signature).view(np.uint16), rows
+                ends = False
+        yield edges, keys, np.ascontiguousarray(signature).view(np.uint16), rows, (cut, ends)
+        cut = ends
 
 
 def _pairs(ids: np.ndarray, links: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -214,7 +225,8 @@ def _pairs(ids: np.ndarray, links: list[tuple[np.ndarray, np.ndarray, np.ndarray
 def _candidates(least: float):
     """Of a sorted partition: pairs of ids that share a prefix and whose signatures are alike.
 
-    Of regions too large to give all such pairs, each id once more, paired with itself.
+    Of regions that may not give all such pairs, each id once more, paired with itself:
+    those too large, and those that may go on in another partition or batch.
     """
 
     def large(keys: np.ndarray, signature: np.ndarray, low: int, high: int) -> list[tuple]:
@@ -235,7 +247,7 @@ def _candidates(least: float):
         return [(a, b, e) for (a, b), e in links.items()] + [(i, i, 0.0) for i in range(low, high)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for edges, keys, signature, rows in _regions(batches):
+        for edges, keys, signature, rows, (cut, ends) in _regions(batches):
             sizes, links = np.diff(edges), []
             some = np.flatnonzero((sizes > 1) & (sizes <= SMALL))
             for m in np.unique(sizes[some]):
@@ -250,35 +262,98 @@ def _candidates(least: float):
             for k in np.flatnonzero(sizes > SMALL):
                 x, y, near = zip(*large(keys, signature, int(edges[k]), int(edges[k + 1])), strict=True)
                 links.append((np.array(x), np.array(y), np.array(near)))
+            for k in ({0} if cut else set()) | ({len(sizes) - 1} if ends else set()):
+                i = np.arange(edges[k], edges[k + 1])
+                links.append((i, i, np.zeros(len(i), np.float32)))
             if links:
                 yield _pairs(rows["id"].to_numpy(), links)
 
     return run
 
 
-def _apart(least: float, percent: int):
-    """Of a sorted partition of large regions: all pairs alike whose ids are still in different groups."""
+def _shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        offsets, data = buffers(batch.column("set"))
+        yield pa.RecordBatch.from_arrays([pa.array(data[offsets[0] : offsets[-1]].view(np.int64))], ["shingle"])
+
+
+def _rarest(percent: int, frequent: np.ndarray):
+    """Of each set its rarest shingles, so many that any set alike shares one of them.
+
+    Rare ones first, by value, then ``frequent`` in its order; place: how many of the set come before.
+    Of two sets alike the smaller one shares one of its ``early`` shingles.
+    """
+    by_value = np.argsort(frequent)
+    values = frequent[by_value]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for edges, keys, signature, rows in _regions(batches):
-            label, size, links = rows["label"].to_numpy(), rows["n_shingles"].to_numpy(), []
-            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                for a, b in _parts(keys, low, high, LEAST_DEPTH):
-                    groups, at = np.unique(label[a:b], return_inverse=True)
-                    if len(groups) == 1:
-                        continue
-                    # rows of the part's main group need not be held against each other
-                    for i in np.flatnonzero(at != np.argmax(np.bincount(at))).tolist():
-                        near = _alike(signature[a:b], signature[a + i])
-                        small, big = np.minimum(size[a:b], size[a + i]), np.maximum(size[a:b], size[a + i])
-                        j = np.flatnonzero((near >= least) & (at != at[i]) & (100 * small >= percent * big))
-                        links.append((np.full(len(j), a + i), a + j, near[j]))
-            if links:
-                yield _pairs(rows["id"].to_numpy(), links)
+        for batch in batches:
+            offsets, data = buffers(batch.column("set"))
+            got = data[offsets[0] : offsets[-1]].view(np.uint64)
+            bounds = (offsets - offsets[0]) // 8
+            n = np.diff(bounds)
+            row = np.repeat(np.arange(len(n)), n)
+            rank = np.zeros(len(got), np.int64)
+            if len(values):
+                at = np.minimum(np.searchsorted(values, got), len(values) - 1)
+                rank = np.where(values[at] == got, by_value[at] + 1, 0)
+            order = np.lexsort((got, rank, row))
+            place = np.arange(len(got)) - bounds[row]
+            kept = place <= (n + -percent * n // 100)[row]
+            chosen, row, place = got[order[kept]], row[kept], place[kept]
+            of = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(chosen.view(np.int64)),
+                    *(batch.column(c).take(of) for c in ("id", "label", "big")),
+                    pa.array(n[row].astype(np.int32)),
+                    pa.array(place.astype(np.int32)),
+                    pa.array(place <= (n + -2 * percent * n // (100 + percent))[row]),
+                ],
+                ["shingle", "id", "label", "big", "n", "place", "early"],
+            )
 
     return run
 
 
+def _apart(sets: DataFrame, percent: int) -> DataFrame:
+    """Of sets (id, label, set): all pairs (a, b) of different labels that may be alike, by the shingle they share first.
+
+    Two sets alike share, from the first common shingle on, no more than what either has left.
+    """
+    rows = sets.count()
+    sample = sets.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, rows // SAMPLE))) == 0)
+    counts = sample.mapInArrow(_shingles_of, "shingle long").groupBy("shingle").count().filter("count > 1")
+    frequent = counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT).select("shingle").collect()
+    frequent = np.array([r[0] for r in reversed(frequent)], np.int64).view(np.uint64)
+    big = sets.groupBy("label").count().filter(F.col("count") > PART).select("label", F.lit(True).alias("big"))
+    sets = sets.join(big, "label", "left").withColumn("big", F.coalesce("big", F.lit(False)))
+    kind = "shingle long, id long, label long, big boolean, n int, place int, early boolean"
+    rare = stored(sets.mapInArrow(_rarest(percent, frequent), kind), "rare")
+
+    def side(some: DataFrame, c: str, on: list[str]) -> DataFrame:
+        return some.select(*on, *(F.col(k).alias(f"{k}_{c}") for k in ("id", "label", "n", "place") if k not in on))
+
+    alike = F.expr(
+        f"(n_x < n_y OR n_x = n_y AND id_x < id_y) AND 100L * n_x >= {percent}L * n_y"
+        f" AND {100 + percent}L * least(n_x - place_x, n_y - place_y) >= {percent}L * (n_x + n_y)"
+    )
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        both = side(x, "x", ["shingle"]).join(side(y, "y", ["shingle"]).hint("merge"), "shingle")
+        return both.filter((F.col("label_x") != F.col("label_y")) & alike).select("id_x", "id_y")
+
+    early, few, many = F.col("early"), ~F.col("big"), F.col("big")
+    # rows of one large group never meet: of such groups, only where two of them share the shingle
+    names = rare.filter(many).select("shingle", "label").distinct()
+    shared = names.withColumnRenamed("label", "label_x").join(names.withColumnRenamed("label", "label_y").hint("merge"), "shingle").filter("label_x <> label_y")
+    x, y = side(rare.filter(early & many), "x", ["shingle"]), side(rare.filter(many), "y", ["shingle"])
+    two = shared.join(x.hint("merge"), ["shingle", "label_x"]).join(y.hint("merge"), ["shingle", "label_y"])
+    pairs = met(rare.filter(early & few), rare).unionByName(met(rare.filter(early & many), rare.filter(few)))
+    pairs = pairs.unionByName(two.filter(alike).select("id_x", "id_y"))
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+
+
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
@@ -359,10 +434,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     shared = shared.join(full.groupBy("doc_id").agg(F.count_distinct("k1", "k2").alias("n")).filter("n > 1").select(F.col("doc_id").alias("a")), "a", "left_semi")
     links = stored(links.unionByName(confirmed(rest)).unionByName(shared), "more-links")
     groups = components(links)
-    # large regions once more: of what is still apart, every pair
-    again = nodes.select("id", "signature", "n_shingles").join(crowded, "id").join(groups, "id", "left")
-    again = again.select("id", "signature", "n_shingles", F.coalesce("component", "id").alias("label"))
-    last = sorted_trees(again).mapInArrow(_apart(least, percent), "a long, b long, alike float").select("a", "b").distinct()
+    # of what may have been kept apart by cuts, every pair
+    label = crowded.distinct().join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("label"))
+    last = _apart(stored(sets.join(label, "id"), "crowded"), percent)
     groups = components(links.unionByName(confirmed(last.join(pairs, ["a", "b"], "left_anti"))))
     member = full.join(nodes.select(*keys, "id"), keys).join(groups, "id", "left")
     member = member.select("doc_id", F.coalesce("component", "id").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
