@@ -323,6 +323,15 @@ def test_near_copies_among_rows_of_one_template(spark, monkeypatch):
     assert got == {int(d): pairs.get(int(d), 20_000 if int(d) >= 20_000 else int(d)) for d, _ in docs}
 
 
+def test_a_lone_pair_at_the_threshold_is_hardly_missed():
+    error = math.sqrt(0.8 * 0.2 / minhash.LENGTH)
+    assert (1 - 0.8**minhash.LEAST_DEPTH) ** minhash.TREES < 2e-5 and minhash.SLACK > 5 * error
+    size = np.array([80, 100, 79])
+    assert minhash._fits(size, size[1], 80).tolist() == [True, True, False]
+    signature = np.ones((3, minhash.LENGTH), np.uint16)
+    assert {(min(i, j), max(i, j)) for i, j, _ in minhash._strongest(signature, size, 0.6, 80)} == {(0, 1), (0, 2)}
+
+
 def test_near_copies_at_the_edges(spark):
     got = collections.defaultdict(set)
     for r in minhash.near_duplicates(odd_documents(spark), 2).collect():

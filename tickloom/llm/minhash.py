@@ -30,15 +30,16 @@ from pyspark.sql import types as T
 
 from tickloom.llm.common import binaries, buffers, components, mix, pair, ranges, slabs, stored
 
-LENGTH, TREES, DEPTH, LEAST_DEPTH = 128, 12, 8, 3
+LENGTH, TREES, DEPTH, LEAST_DEPTH = 128, 16, 8, 3
 #: Rows of a region that are compared in full by signature.
 SMALL, PART = 16, 1024
 #: Own strongest links of a row of a larger part, besides those that hold the part together.
 OWN = 1
 #: Sets whose shingles are counted, and how many of the frequent ones are told apart, to know which are rare.
 SAMPLE, FREQUENT = 50_000, 65_536
-#: Estimates this far below the threshold still become candidates: over three standard errors.
-SLACK = 0.12
+#: Estimates this far below the threshold still become candidates: five standard errors. In larger
+#: regions, whose rows are joined exactly later on, a smaller margin loses nothing.
+SLACK, NEAR = 0.18, 0.12
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -150,7 +151,12 @@ def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=-1, dtype=np.float32)
 
 
-def _strongest(signature: np.ndarray, least: float) -> list[tuple[int, int, float]]:
+def _fits(size: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can be alike at all."""
+    return 100 * np.minimum(size, other) >= percent * np.maximum(size, other)
+
+
+def _strongest(signature: np.ndarray, size: np.ndarray, least: float, percent: int) -> list[tuple[int, int, float]]:
     """Links of a forest of greatest estimates over rows and each row's own strongest ones, none below ``least``."""
     m = len(signature)
     best, by = np.full(m, -1.0, np.float32), np.zeros(m, np.int64)
@@ -160,6 +166,7 @@ def _strongest(signature: np.ndarray, least: float) -> list[tuple[int, int, floa
             links.append((int(by[at]), at, float(best[at])))
         left[at] = False
         near = _alike(signature, signature[at])
+        near[~_fits(size, size[at], percent)] = -1
         near[at] = -1
         own = np.argpartition(near, -OWN)[-OWN:] if m > OWN else range(m)
         links += [(at, int(i), float(near[i])) for i in own if near[i] >= least]
@@ -222,18 +229,20 @@ def _pairs(ids: np.ndarray, links: list[tuple[np.ndarray, np.ndarray, np.ndarray
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(alike)], ["a", "b", "alike"])
 
 
-def _candidates(least: float):
+def _candidates(percent: int):
     """Of a sorted partition: pairs of ids that share a prefix and whose signatures are alike.
 
     Of regions that may not give all such pairs, each id once more, paired with itself:
     those too large, and those that may go on in another partition or batch.
     """
 
-    def large(keys: np.ndarray, signature: np.ndarray, low: int, high: int) -> list[tuple]:
+    least, close = percent / 100 - SLACK, percent / 100 - NEAR
+
+    def large(keys: np.ndarray, signature: np.ndarray, size: np.ndarray, low: int, high: int) -> list[tuple]:
         links = []
         for a, b in _parts(keys, low, high, LEAST_DEPTH):
             if b - a > 1:
-                links += [(a + i, a + j, e) for i, j, e in _strongest(signature[a:b], least)]
+                links += [(a + i, a + j, e) for i, j, e in _strongest(signature[a:b], size[a:b], close, percent)]
         if high - low > PART:
             mine = signature[low:high]
             usual = np.empty(mine.shape[1], mine.dtype)
@@ -242,12 +251,13 @@ def _candidates(least: float):
                 usual[i] = values[np.argmax(counts)]
             hub = low + int(np.argmax(_alike(mine, usual)))
             near = _alike(mine, signature[hub])
-            links += [(low + int(i), hub, float(near[i])) for i in np.flatnonzero(near >= least) if low + i != hub]
+            links += [(low + int(i), hub, float(near[i])) for i in np.flatnonzero((near >= close) & _fits(size[low:high], size[hub], percent)) if low + i != hub]
         links = {(min(a, b), max(a, b)): e for a, b, e in links}
         return [(a, b, e) for (a, b), e in links.items()] + [(i, i, 0.0) for i in range(low, high)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for edges, keys, signature, rows, (cut, ends) in _regions(batches):
+            size = rows["n_shingles"].to_numpy()
             sizes, links = np.diff(edges), []
             some = np.flatnonzero((sizes > 1) & (sizes <= SMALL))
             for m in np.unique(sizes[some]):
@@ -257,10 +267,10 @@ def _candidates(least: float):
                 for at in range(0, len(left), 1 << 16):
                     x, y = left[at : at + (1 << 16)], right[at : at + (1 << 16)]
                     near = _alike(signature[x], signature[y])
-                    good = near >= least
+                    good = (near >= least) & _fits(size[x], size[y], percent)
                     links.append((x[good], y[good], near[good]))
             for k in np.flatnonzero(sizes > SMALL):
-                x, y, near = zip(*large(keys, signature, int(edges[k]), int(edges[k + 1])), strict=True)
+                x, y, near = zip(*large(keys, signature, size, int(edges[k]), int(edges[k + 1])), strict=True)
                 links.append((np.array(x), np.array(y), np.array(near)))
             for k in ({0} if cut else set()) | ({len(sizes) - 1} if ends else set()):
                 i = np.arange(edges[k], edges[k + 1])
@@ -400,13 +410,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     keys = ["n_shingles", "k1", "k2"]
     nodes = stored(full.groupBy(*keys).agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "nodes")
-    least = percent / 100 - SLACK
 
     def sorted_trees(some: DataFrame) -> DataFrame:
         kind = T.StructType([T.StructField("key", T.BinaryType()), *some.schema.fields])
         return some.mapInArrow(_planted, kind).repartitionByRange("key").sortWithinPartitions("key")
 
-    pairs = sorted_trees(nodes.select("id", "signature")).mapInArrow(_candidates(least), "a long, b long, alike float")
+    pairs = sorted_trees(nodes.select("id", "n_shingles", "signature")).mapInArrow(_candidates(percent), "a long, b long, alike float")
     pairs = stored(pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")), "candidates")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     # the same join at every size: a broadcast of ids would not last
