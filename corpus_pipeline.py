@@ -59,7 +59,7 @@ def without_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def in_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document in a window of 2048 ids."""
-    return packing.pack(packing.cut(docs.select("doc_id", "text"), VOCABULARY))
+    return packing.pack(packing.cut(docs.select("doc_id", "text"), VOCABULARY, added=True))
 
 
 STAGES = [

@@ -7,6 +7,7 @@ import hashlib
 import math
 import os
 import re
+import tempfile
 import zlib
 
 import numpy as np
@@ -443,6 +444,18 @@ def test_pieces_tile_documents_and_windows(spark):
     assert sorted(r["length"] for r in packing.pack(packing.cut(twice, WORDS)).collect()) == [1, 1, 3, 3]
 
 
+def test_added_tokens_are_ids_as_in_the_library(spark):
+    tokenizer = Tokenizer.from_file(WORDS)
+    texts = ["<|endoftext|> x", "a<|ENDOFTEXT|>b", "a <|endoftext|><|startoftext|>  b", "e<|endoftext|>\u0301's", "<|endoftext", "", "x"]
+    ids, bounds = packing.word_bpe(WORDS, added=True).encode(texts)
+    wanted = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == wanted
+    folder = tempfile.mkdtemp(prefix="run-")
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    got = queries.all_queries()["op7_differencing"](spark, folder).select("doc_id", "doc_tokens").distinct().collect()
+    assert dict(got) == {i: len(w) + 1 for i, w in enumerate(wanted)}
+
+
 def test_differencing_keeps_every_item_and_evens_out():
     rng = np.random.default_rng(7)
     for n, windows in ((1, 1), (1, 4), (5, 2), (40, 7), (300, 31)):

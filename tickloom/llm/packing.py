@@ -15,6 +15,7 @@ import bisect
 import heapq
 import json
 import math
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -51,10 +52,18 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
-def word_bpe(path: str) -> Words:
-    """Ids of a BPE vocabulary with word ends (a tokenizers JSON file): lower case, white space dropped."""
+def word_bpe(path: str, added: bool = False) -> Words:
+    """Ids of a BPE vocabulary with word ends (a tokenizers JSON file): lower case, white space dropped.
+
+    added: the file's added tokens are found in the text as they stand, and are ids of their own.
+    """
     with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
+        whole = json.load(file)
+    model = whole["model"]
+    special = {t["content"]: t["id"] for t in whole["added_tokens"]} if added else {}
+    if any(t[k] for t in whole["added_tokens"] if added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens are matched as they stand only")
+    between = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
     vocabulary, suffix = model["vocab"], model["end_of_word_suffix"]
     joined = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     left, right, merged = (np.array([vocabulary[f(m)] for m in joined]) for f in (lambda m: m[0], lambda m: m[1], "".join))
@@ -62,19 +71,32 @@ def word_bpe(path: str) -> Words:
     inner, last = (np.array([vocabulary[c + s] for c in letters], np.int32) for s in ("", suffix))
     split = splitter(_PLAIN, _EXACT)
 
-    def words(text: str) -> list[str]:
+    def plain(text: str) -> list[str]:
         # a last sigma is no exception for this vocabulary
         return split(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
+    def words(text: str) -> list[str]:
+        if not any(t in text for t in special):
+            return plain(text)
+        out, at = [], 0
+        for hit in between.finditer(text):
+            out += [*plain(text[at : hit.start()]), hit.group()]
+            at = hit.end()
+        return out + plain(text[at:])
+
     def spell(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        raw = [w.encode() for w in found]
+        # an added token is one symbol: no other word has letters and signs
+        raw = [b" " if w in special else w.encode() for w in found]
         bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))])
         data = np.frombuffer(b"".join(raw), np.uint8)
         symbols = inner[data]
         symbols[bounds[1:] - 1] = last[data[bounds[1:] - 1]]
+        for i, w in enumerate(found) if special else ():
+            if w in special:
+                symbols[bounds[i]] = special[w]
         return symbols, bounds
 
-    return Words(words, spell, Merges.of(max(vocabulary.values()) + 1, left, right, np.arange(len(joined)), merged))
+    return Words(words, spell, Merges.of(max([*vocabulary.values(), *special.values()]) + 1, left, right, np.arange(len(joined)), merged))
 
 
 def stretches(tokens: int, window: int = WINDOW) -> list[int]:
@@ -85,9 +107,9 @@ def stretches(tokens: int, window: int = WINDOW) -> list[int]:
     return [window] * (tokens // window) + [x for x in (large, rest - large - tail, tail) if x]
 
 
-def _cut(path: str, window: int):
+def _cut(path: str, window: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = once_per_worker(f"words {path}", lambda: word_bpe(path))
+        words = once_per_worker(f"words {path} {added}", lambda: word_bpe(path, added))
         words.clear()
         at = 0
         for batch, texts in text_blocks(batches, TEXT):
@@ -112,17 +134,17 @@ def _cut(path: str, window: int):
     return run
 
 
-def cut(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
+def cut(docs: DataFrame, path: str, window: int = WINDOW, added: bool = False) -> DataFrame:
     """The columns of ``docs`` but text, with doc_tokens and the CRC-32 of each of their stretches.
 
     A null text is an empty one; each text ends with an id of its own. place: the
-    row's number within its partition.
+    row's number within its partition. added: as for word_bpe.
     """
     rows = carried(docs.drop("place", "doc_tokens", "crcs"))
     kind = T.StructType(
         [rows.schema["row"], T.StructField("place", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("crcs", T.ArrayType(T.LongType()))]
     )
-    return rows.mapInArrow(_cut(path, window), kind).select("row.*", "place", "doc_tokens", "crcs")
+    return rows.mapInArrow(_cut(path, window, added), kind).select("row.*", "place", "doc_tokens", "crcs")
 
 
 def differenced(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarray]:

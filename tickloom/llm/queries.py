@@ -88,7 +88,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.packing import cut, pack
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pack(cut(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return pack(cut(docs, public_tokenizers.path("word_bpe_49k.json"), added=True))
 
 
 @query("op2_transactions")
