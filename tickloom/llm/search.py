@@ -1,4 +1,4 @@
-"""Exact BM25 top-k search over an inverted index with block-max WAND pruning.
+"""Exact BM25 top-k search over an inverted index, term at a time with block-max bounds.
 
 Terms are runs of letters and digits, A-Z lowered. Document frequencies, the number
 of documents and their mean length are taken over all rows. Rows are dealt to
