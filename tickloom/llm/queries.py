@@ -172,3 +172,41 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learn(docs, ratings, crc_of("doc_id") % 5 != 0)
     held_out = F.coalesce(crc_of("doc_id") % 5 == 0, F.lit(False)).alias("held_out")
     return grade(docs, model).select("doc_id", held_out, "expected_grade", "tail", "kept")
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.conversations import damaged, repair
+
+    rows = table(spark, sf_dir, "conversations")
+    found = repair(damaged(rows)).withColumnRenamed("conv_id", "found_id")
+    every = rows.select("conv_id").distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left").select(
+        "conv_id",
+        *(F.coalesce(c, F.lit(0)).alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_stateful_digests")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.exact import exact_duplicates
+
+    found = exact_duplicates(spark, f"{sf_dir}/documents.parquet")
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+_ORACLES["op13_stateful_digests"] = """
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(text) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS text, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size
+      FROM documents WINDOW same AS (PARTITION BY coalesce(text, '')))
+"""
