@@ -216,3 +216,56 @@ def test_a_chain_is_resolved_to_its_end(spark):
     assert sorted(rejected) == ["r1", "r3", "r5"]
     assert {r["request_id"]: r["reason"] for r in resolution.rejected.collect()} == rejected
     assert {r["symbol"]: r["calendar"] for r in resolution.new_symbols.collect()} == new
+
+
+def _claims(spark, batches):
+    return spark.createDataFrame(
+        [(n, t, s, c, pos) for n, t, cl in batches for pos, (s, c) in enumerate(cl)],
+        "request_id string, received_at timestamp, symbol string, calendar string, pos int",
+    )
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_rounds_equal_serving_requests_in_turn(spark, seed):
+    rng = random.Random(100 + seed)
+    at = dt.datetime(2026, 1, 1, tzinfo=UTC)
+    symbols = [f"s{i}" for i in range(12)]
+    batches = [
+        (f"r{i:02}", at + dt.timedelta(seconds=rng.randrange(30)), [(s, rng.choice(CALENDARS)) for s in rng.sample(symbols, rng.randint(1, 3))])
+        for i in range(40)
+    ]
+    registry = {"s0": "jalali"} if seed else {}
+    stored = spark.createDataFrame([(s, c, at) for s, c in registry.items()], REGISTRY)
+    rejected, new = one_by_one(batches, registry)
+    resolution = G.settle(_claims(spark, batches), stored, small=0)
+    assert {r["request_id"]: r["reason"] for r in resolution.rejected.collect()} == rejected
+    assert {r["symbol"]: r["calendar"] for r in resolution.new_symbols.collect()} == new
+
+
+def test_a_round_writes_only_what_is_new(spark, folder):
+    """Over a chain of links each decided after the one before, rows written grow with the claims."""
+    written = {}
+    for links in (8, 24):
+        rows = [(i, f"s{i + k}", c) for i in range(links) for k, c in enumerate(CALENDARS)]
+        path = f"{folder}/{links}"
+        lost = G.losers(spark.createDataFrame(rows, "turn long, symbol string, calendar string"), path, small=0)
+        assert sorted(r["turn"] for r in lost.collect()) == list(range(1, links, 2)) == G.served_in_turn(rows)
+        written[links] = spark.read.option("recursiveFileLookup", "true").schema("turn long").parquet(path).count()
+    assert written[24] <= 3.5 * written[8] and written[24] <= 6 * 2 * 24
+
+
+def test_a_chain_of_many_links_is_one_look_for_the_driver(spark):
+    at = dt.datetime(2026, 1, 1, tzinfo=UTC)
+    batches = [(f"r{i:03}", at, [(f"s{i}", "gregorian"), (f"s{i + 1}", "jalali")]) for i in range(200)]
+    resolution = G.resolve(_claims(spark, batches), spark.createDataFrame([], REGISTRY))
+    rejected, new = one_by_one(batches, {})
+    assert {r["request_id"]: r["reason"] for r in resolution.rejected.collect()} == rejected
+    assert {r["symbol"]: r["calendar"] for r in resolution.new_symbols.collect()} == new
+
+
+def test_deliveries_with_one_id_are_one_request(spark):
+    texts = [body(GOOD), body(tick(calendar="jalali"))]
+    at = dt.datetime(2026, 1, 1, tzinfo=UTC)
+    both = spark.createDataFrame([("r", at + dt.timedelta(seconds=i), t) for i, t in enumerate(texts)], REQUESTS)
+    split = V.split_batches(V.validate(parse_requests(both)))
+    assert [r["code"] for r in split.rejected.collect()] == [V.CALENDAR_MISMATCH] and split.claims.isEmpty()

@@ -45,6 +45,23 @@ def test_direct_candles_shuffle_once(spark):
         assert plan(spark, name).count("Exchange hashpartitioning") == 1
 
 
+def test_a_deletion_is_counted_in_one_scan(spark):
+    text = plan(spark, "delete_summary")
+    assert text.count("FileScan") == 2 and text.count("lineitem.parquet") == 1
+
+
+def test_disputes_aggregate_by_hash(spark, folder):
+    from pyspark.sql import functions as F
+
+    from tickloom.operators.registry import registrations
+
+    rows = "request_id string, received_at timestamp, symbol string, calendar string, pos int"
+    claims = spark.createDataFrame([], rows)
+    registry = claims.select("symbol", "calendar", F.col("received_at").alias("created_at"))
+    text = registrations(claims, registry)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in text and text.count("HashAggregate") >= 2
+
+
 def test_dimension_is_broadcast(spark):
     text = plan(spark, "candles_1m_jalali")
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
@@ -58,7 +75,7 @@ def test_scans_read_only_what_they_need(spark):
 
 @pytest.mark.parametrize("name", sorted(all_queries()))
 def test_no_cross_joins_no_python(spark, name):
-    if name in ("stream_candles", "compact_candles", "resolve_registrations", "ingest_then_stream"):
+    if name in ("stream_candles", "resolve_registrations", "ingest_then_stream"):
         pytest.skip("runs jobs while it is built")
     text = plan(spark, name)
     for forbidden in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "EvalPython", "InPandas"):

@@ -104,3 +104,27 @@ def test_ranges_and_routes_reach_the_scan(spark, folder):
     assert "GreaterThanOrEqual(ts,2024-01-05 20:30:00" in pushed and "EqualTo(symbol,a)" in pushed
     assert "(calendar" in plan.split("PartitionFilters: ")[1].split("DataFilters")[0]
     assert wanted.count() == 1 and ticks.filter(R.route_predicate({})).count() == 0
+
+
+@pytest.mark.parametrize("skip,rows", [(0, 1), (0, 30), (7, 5), (24, 6), (25, 100), (29, 1), (30, 1), (99, 5)])
+def test_a_span_holds_exactly_the_rows_of_a_page(spark, skip, rows):
+    """Thirty rows of three symbols over days of uneven size."""
+    sizes = {("a", 1): 3, ("a", 2): 0, ("a", 5): 10, ("b", 2): 1, ("c", 1): 6, ("c", 9): 10}
+    day = lambda d: dt.date(2026, 1, d)
+    counts = spark.createDataFrame([(s, day(d), n) for (s, d), n in sizes.items()], "symbol string, day date, n long")
+    every = [(s, day(d), i) for (s, d), n in sorted(sizes.items()) for i in range(n)]
+    table = spark.createDataFrame(every, "symbol string, day date, i int")
+    span = R.page_span(counts.unionByName(counts.limit(0)), skip, rows)
+    if skip >= 30:
+        assert span is None
+        return
+    near = sorted(tuple(r) for r in table.filter(R.in_span(span, F.col("day"))).collect())
+    assert near[span.skip :][:rows] == every[skip : skip + rows]
+    # no more than the days the page begins and ends in
+    assert len(near) <= rows + 20 and (skip, rows) != (24, 6) or len(near) == 10
+
+
+def test_newest_days(spark):
+    counts = spark.sql("SELECT date_add(date '2026-01-01', CAST(id AS INT)) AS day, id % 3 AS n FROM range(10)")
+    assert R.newest_days(counts, 1) == dt.date(2026, 1, 9) and R.newest_days(counts, 3) == dt.date(2026, 1, 8)
+    assert R.newest_days(counts, 99) == dt.date(2026, 1, 2) and R.newest_days(counts.limit(0), 5) is None

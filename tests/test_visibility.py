@@ -50,7 +50,7 @@ def test_an_attempt_that_stops_stays_hidden_and_can_be_run_again(spark, warehous
     parts = [requests.filter(F.col("request_id").between(f"{4 * i:05}", f"{4 * i + 3:05}")) for i in range(3)]
     ingest_batch(warehouse, parts[0], 0)
     with monkeypatch.context() as stopped:
-        stopped.setattr(Warehouse, "commit", lambda *_: None)
+        stopped.setattr(Warehouse, "commit", lambda *_, **__: None)
         ingest_batch(warehouse, parts[1], 1)
     ingest_batch(warehouse, parts[2], 2)
     other = whole(spark, folder, parts[0].unionByName(parts[2]))
@@ -65,15 +65,133 @@ def test_an_attempt_that_stops_stays_hidden_and_can_be_run_again(spark, warehous
     assert warehouse.ticks().count() == everything.ticks().count()
 
 
-def test_a_decided_attempt_is_shown_by_the_next_run(spark, warehouse, monkeypatch):
-    requests = make_requests(spark, 4)
+STEPS = ("write_batch", "write_day_states", "commit", "_rename")
+
+
+class Stop(Exception):
+    """A writer ends here."""
+
+
+@pytest.mark.parametrize("step", STEPS)
+@pytest.mark.parametrize("after", [False, True])
+def test_a_writer_that_stops_at_any_step_can_be_run_again(spark, warehouse, monkeypatch, step, after):
+    requests = make_requests(spark, 2)
+    real = getattr(Warehouse, step)
+
+    def stopping(*args, **kwargs):
+        if after:
+            real(*args, **kwargs)
+        raise Stop
+
     with monkeypatch.context() as stopped:
-        stopped.setattr(Warehouse, "_show", lambda *_: None)
-        first = ingest_batch(warehouse, requests, 7)
-    assert warehouse.ticks().isEmpty()
-    assert ingest_batch(warehouse, requests, 7) == first
-    assert not warehouse.ticks().isEmpty()
-    assert warehouse.commits().select("source", "number").first() == ("batch", "7")
+        stopped.setattr(Warehouse, step, stopping)
+        with pytest.raises(Stop):
+            ingest_batch(warehouse, requests, 7)
+    shown = after and step in ("commit", "_rename")
+    assert warehouse.ticks().isEmpty() != shown and warehouse.responses().isEmpty() != shown
+    batch = ingest_batch(warehouse, requests, 7)
+    assert batch in warehouse.snapshot().batches and ingest_batch(warehouse, requests, 7) == batch
+    told = warehouse.responses().collect()
+    assert sorted(r["request_id"] for r in told) == ["00000", "00001"] and {r["batch_id"] for r in told} == {batch}
+    assert warehouse.ticks().count() == sum(r["accepted"] for r in told) == warehouse.commits().first()["ticks"]
+    assert warehouse.commits().select("source", "number").collect() == [("batch", "7")]
+
+
+def test_a_place_in_the_log_is_taken_once(spark, warehouse):
+    assert warehouse._publish(0, "batch-0-a.json", "{}") and not warehouse._publish(0, "batch-1-b.json", "{}")
+    assert [e.name for e in warehouse._log()] == ["batch-0-a.json"] and not warehouse._listed("pending")
+
+
+def request_of(spark, name, second, *ticks):
+    full = [{"value": "1", "volume": "1", "timestamp": "2026-01-01T00:00:00Z"} | t for t in ticks]
+    at = dt.datetime(2026, 1, 1, tzinfo=UTC) + dt.timedelta(seconds=second)
+    return spark.createDataFrame([(name, at, json.dumps({"ticks": full}))], REQUESTS)
+
+
+def between(monkeypatch, act):
+    """Run ``act`` once, after the next attempt is written and before it commits."""
+    real, left = Warehouse.commit, [act]
+
+    def commit(self, *args, **kwargs):
+        if left:
+            left.pop()()
+        return real(self, *args, **kwargs)
+
+    monkeypatch.setattr(Warehouse, "commit", commit)
+
+
+def test_two_writers_give_what_one_after_the_other_does(spark, warehouse, monkeypatch):
+    first = request_of(spark, "a", 0, {"symbol": "X", "calendar": "gregorian"})
+    second = request_of(spark, "b", 1, {"symbol": "X", "calendar": "jalali"}).unionByName(
+        request_of(spark, "c", 2, {"symbol": "Y", "calendar": "jalali"})
+    )
+    between(monkeypatch, lambda: ingest_batch(warehouse, first))
+    ingest_batch(warehouse, second)
+    told = {r["request_id"]: (r["accepted"], r["code"]) for r in warehouse.responses().collect()}
+    assert told == {"a": (1, None), "b": (0, "calendar_mismatch"), "c": (1, None)}
+    assert {r["symbol"]: r["calendar"] for r in warehouse.registry().collect()} == {"X": "gregorian", "Y": "jalali"}
+    assert sorted((r["symbol"], r["calendar"]) for r in warehouse.ticks().collect()) == [("X", "gregorian"), ("Y", "jalali")]
+
+
+def test_writers_of_other_symbols_do_not_wait(spark, warehouse, monkeypatch):
+    between(monkeypatch, lambda: ingest_batch(warehouse, request_of(spark, "a", 0, {"symbol": "X", "calendar": "gregorian"})))
+    ingest_batch(warehouse, request_of(spark, "b", 1, {"symbol": "Y", "calendar": "jalali"}))
+    # two attempts, none of them repeated
+    assert warehouse.snapshot().batches == (0, 1) and warehouse.ticks().count() == 2
+
+
+def test_the_same_batch_from_two_writers_counts_once(spark, warehouse, monkeypatch):
+    batch = request_of(spark, "a", 0, {"symbol": "X", "calendar": "gregorian"})
+    between(monkeypatch, lambda: ingest_batch(warehouse, batch, 3))
+    assert ingest_batch(warehouse, batch, 3) in warehouse.snapshot().batches
+    assert warehouse.ticks().count() == 1 and warehouse.responses().count() == 1
+
+
+@pytest.mark.parametrize("act", ["delete", "compact"])
+def test_a_batch_beside_a_deletion_or_a_run_is_not_lost(spark, warehouse, monkeypatch, act):
+    ingest_batch(warehouse, request_of(spark, "a", 0, {"symbol": "X", "calendar": "gregorian"}))
+
+    def meanwhile():
+        if act == "delete":
+            warehouse.delete_symbols(["X"])
+        else:
+            ingest_batch(warehouse, request_of(spark, "c", 2, {"symbol": "Z", "calendar": "gregorian"}))
+            warehouse.compact()
+
+    between(monkeypatch, meanwhile)
+    ingest_batch(warehouse, request_of(spark, "b", 1, {"symbol": "X", "calendar": "gregorian"}))
+    kept = [r["symbol"] for r in warehouse.ticks().collect()]
+    assert sorted(kept) == (["X"] if act == "delete" else ["X", "X", "Z"])
+    assert "X" in {r["symbol"] for r in warehouse.registry().collect()}
+    warehouse.compact()
+    warehouse.vacuum(min_age=dt.timedelta(0))
+    assert sorted(r["symbol"] for r in warehouse.ticks().collect()) == sorted(kept)
+
+
+def test_vacuum_trims_marks_and_entries_no_row_lies_under(spark, warehouse):
+    batch = request_of(spark, "a", 0, {"symbol": "X", "calendar": "gregorian"}, {"symbol": "Y", "calendar": "jalali"})
+    first = ingest_batch(warehouse, batch, 1)
+    warehouse.delete_symbols(["X"])
+    warehouse.compact()
+    # merged rows are clean, but runs written before might not be
+    warehouse.compact(complete=True)
+    warehouse.vacuum(min_age=dt.timedelta(0))
+    assert warehouse.snapshot().deletions == () and [r["symbol"] for r in warehouse.ticks().collect()] == ["Y"]
+    assert warehouse.responses().isEmpty() and len(warehouse._log()) <= 3
+    # the source's batch is still known
+    assert ingest_batch(warehouse, batch, 1) == first and warehouse.ticks().count() == 1
+    ingest_batch(warehouse, request_of(spark, "b", 1, {"symbol": "X", "calendar": "jalali"}), 2)
+    assert {r["symbol"]: r["calendar"] for r in warehouse.registry().collect()} == {"X": "jalali", "Y": "jalali"}
+
+
+def test_an_undisputed_batch_takes_few_jobs(spark, warehouse):
+    requests, group = make_requests(spark, 6), "one-batch"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        ingest_batch(warehouse, requests)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 20
 
 
 def test_one_request_id_twice_gets_one_response(spark, warehouse):

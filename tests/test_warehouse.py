@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,7 +84,7 @@ def test_running_a_batch_again_changes_nothing(spark, warehouse):
 def test_a_batch_without_commit_is_not_seen(spark, warehouse, monkeypatch):
     ingest_batch(warehouse, make_requests(spark, 5))
     want = served(warehouse)
-    monkeypatch.setattr(Warehouse, "commit", lambda *_: None)
+    monkeypatch.setattr(Warehouse, "commit", lambda *_, **__: None)
     ingest_batch(warehouse, make_requests(spark, 5, seed=2, symbols={"NEW": "jalali"}, start=100))
     assert served(warehouse) == want
     assert warehouse.registry().filter("symbol = 'NEW'").isEmpty()
@@ -264,3 +265,96 @@ def test_state_schema_is_stable(spark, warehouse):
     assert warehouse.states().columns == names
     warehouse.compact()
     assert warehouse.states().columns == names
+
+
+def scans(df):
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in text.splitlines() if "FileScan" in line]
+
+
+def test_pages_by_number_equal_the_offset_form_and_read_no_more_far_in(spark, warehouse):
+    from tickloom.operators import reads as R
+
+    many = make_requests(spark, 200, symbols={"BTC": "gregorian", "IRR": "jalali"})
+    ingest_batch(warehouse, many.filter("request_id < '00100'"))
+    warehouse.compact()
+    ingest_batch(warehouse, many.filter("request_id >= '00100'"))
+    warehouse.expire_ticks(0, dt.datetime(2020, 6, 10, 9, tzinfo=UTC))
+    ticks = R.ticks_in_range(warehouse.ticks(), R.parse_range("2020-04-01", "2021-03-01"))
+    want = [tuple(r) for r in R.format_ticks(ticks.orderBy("symbol", "ts", "value", "volume")).collect()]
+    for page in (1, len(want) // 60, 1 + len(want) // 30, 99):
+        found = warehouse.read_ticks(["BTC", "IRR"], "2020-04-01", "2021-03-01", page=page, limit=30)
+        part = want[30 * (page - 1) :][:30]
+        assert [tuple(r) for r in found.rows.collect()] == part
+        assert tuple(found.metadata.first()) == (page, 30, len(want) > 30 * page, len(part))
+    candles = warehouse.read_candles(["BTC", "IRR"], "2020-04-01", "2021-03-01", "1d", limit=1000).rows.collect()
+    for page in (4, len(candles) // 20 + 1, 99):
+        found = warehouse.read_candles(["BTC", "IRR"], "2020-04-01", "2021-03-01", "1d", page=page, limit=20)
+        assert found.rows.collect() == candles[20 * (page - 1) :][:20]
+
+
+def test_a_far_page_sorts_a_few_days_only(spark, warehouse):
+    from tickloom.operators import reads as R
+
+    ingest_batch(warehouse, make_requests(spark, 300, symbols={"BTC": "gregorian"}))
+    seen = warehouse.snapshot()
+    total = warehouse.ticks().count()
+    rows = warehouse.ticks(["BTC"], None, seen)
+    day = F.to_date("ts")
+    read = []
+    for page in (1, total // 20):
+        _, span = R.page_in(rows, ["symbol", "ts", "value", "volume"], warehouse._day_counts(["BTC"], seen), day, page, 10)
+        read.append(rows.filter(R.in_span(span, day)).count())
+    assert max(read) < 40 < total / 5
+
+
+def test_latest_of_stored_rows(spark, warehouse):
+    from tickloom.operators import reads as R
+
+    assert warehouse.latest_ticks(5).isEmpty() and warehouse.latest_candles(5, "1m").isEmpty()
+    many = make_requests(spark, 80)
+    ingest_batch(warehouse, many.filter("request_id < '00040'"))
+    warehouse.compact()
+    ingest_batch(warehouse, many.filter("request_id >= '00040'"))
+    for n, names in ((1, None), (25, None), (1000, None), (10, ["IRR", "NOPE"])):
+        rows = warehouse.ticks() if names is None else warehouse.ticks().filter(F.col("symbol").isin(names))
+        want = R.format_ticks(R.latest(rows, "ts", n, "symbol", "value", "volume")).collect()
+        assert warehouse.latest_ticks(n, names).collect() == want
+    states = warehouse.states(TIMEFRAMES)
+    for timeframe, n in (("1d", 12), ("1m", 5), ("1y", 50)):
+        every = finish(merge_states(states.filter(F.col("timeframe") == timeframe)))
+        got = [(r["symbol"], r["bucket_start"][:10]) for r in warehouse.latest_candles(n, timeframe).collect()]
+        assert got == [(r["symbol"], str(r["bucket_start"])) for r in R.latest(every, "bucket_start", n, "symbol").collect()]
+    # older months are not read
+    warehouse.compact()
+    text = warehouse.latest_ticks(3)._jdf.queryExecution().executedPlan().toString()
+    assert "(ts_month" in text.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_a_table_of_symbols_prunes_buckets(spark, folder):
+    warehouse = Warehouse.create(spark, folder + "/wide", buckets=64)
+    symbols = {f"s{i:03}": "gregorian" for i in range(300)}
+    at = dt.datetime(2026, 1, 1, tzinfo=UTC)
+    tick = {"value": "1", "volume": "1", "calendar": "gregorian", "timestamp": "2026-01-01T00:00:00Z"}
+    body = json.dumps({"ticks": [tick | {"symbol": s} for s in symbols]})
+    ingest_batch(warehouse, spark.createDataFrame([("r", at, body)], REQUESTS))
+    names = spark.createDataFrame([("s001",), ("s002",), ("NOPE",)], "symbol string")
+    for _ in range(2):
+        found, _ = warehouse.candles(names, "2026-01-01", "2026-01-01", "1d")
+        text = found._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"SubqueryAdaptiveBroadcast dynamicpruning#\d+, \[2\]", text)
+        assert {r["symbol"] for r in found.collect()} == {"s001", "s002"}
+        ticks = warehouse.read_ticks(names, "2026-01-01", "2026-01-01").rows
+        assert ticks.count() == 2
+        warehouse.compact()
+
+
+def test_counts_read_keys_and_no_ticks(spark, warehouse):
+    ingest_batch(warehouse, make_requests(spark, 20))
+    for _ in range(2):
+        lines = scans(warehouse.check())
+        assert sum("first_tick" in line or "high" in line for line in lines) == 0
+        assert sum("/ticks/" in line for line in lines) == 0
+        found = {r["name"]: r["rows"] for r in warehouse.check().collect()}
+        assert found["ticks"] == warehouse.ticks().count() and found["symbols"] == 4
+        warehouse.compact()

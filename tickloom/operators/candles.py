@@ -130,9 +130,9 @@ def day_states(ticks: DataFrame) -> DataFrame:
 
 
 def rebucket(
-    days: DataFrame, dim: DataFrame, timeframes: Sequence[str] = TIMEFRAMES
+    days: DataFrame, dim: DataFrame, timeframes: Sequence[str] = TIMEFRAMES, more: Sequence[str] = ()
 ) -> DataFrame:
-    """Every day state once per timeframe, under its coarser bucket, not yet merged."""
+    """Every day state once per timeframe, under its coarser bucket, not yet merged; ``more`` columns are kept."""
     for timeframe in timeframes:
         _check_timeframe(timeframe)
     day = F.col("bucket_start")
@@ -152,8 +152,8 @@ def rebucket(
     ]
     target = F.explode(F.array(*targets)) if len(targets) > 1 else targets[0]
     repeated = labelled.select(
-        "symbol", "calendar", target.alias("target"), *_MEASURES
-    ).select("symbol", "calendar", "target.timeframe", "target.bucket_start", *_MEASURES)
+        "symbol", "calendar", target.alias("target"), *_MEASURES, *more
+    ).select("symbol", "calendar", "target.timeframe", "target.bucket_start", *_MEASURES, *more)
     return repeated.filter(F.col("bucket_start").isNotNull())
 
 

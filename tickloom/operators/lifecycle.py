@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.candles import merge_states
 from tickloom.schema import CALENDARS, TIMEFRAMES
 
 # Suffixes of the candle tables, as users know them.
@@ -35,29 +34,32 @@ def candle_table(calendar: Column, timeframe: Column) -> Column:
     return F.concat(F.lit("candles_"), timeframe, F.lit("_"), suffix)
 
 
-def table_counts(ticks: DataFrame, states: DataFrame, registry: DataFrame) -> DataFrame:
-    """Rows per table, candles merged; every table is listed."""
-    rows = F.count(F.lit(1)).alias("rows")
-    candles = (
-        merge_states(states)
-        .groupBy(candle_table(F.col("calendar"), F.col("timeframe")).alias("name"))
-        .agg(rows)
-    )
-    names = states.sparkSession.createDataFrame([(n,) for n in CANDLE_TABLES], "name string")
-    return (
-        ticks.agg(rows)
-        .select(F.lit("ticks").alias("name"), "rows")
-        .unionByName(
-            names.join(candles, "name", "left").select("name", F.coalesce("rows", F.lit(0)).alias("rows"))
-        )
-        .unionByName(registry.agg(rows).select(F.lit("symbols").alias("name"), "rows"))
+def table_counts(states: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
+    """Rows per table, out of one pass over the states of all timeframes; every table is listed.
+
+    A candle is a key of the states, a symbol one that has day states, and the ticks are counted in these.
+    ``ticks`` are counted themselves if given, as where some have expired.
+    """
+    name = candle_table(F.col("calendar"), F.col("timeframe"))
+    keys = states.groupBy("symbol", "calendar", "timeframe", "bucket_start").agg(F.sum("ticks").alias("ticks"))
+    rows, day = F.count(F.lit(1)), F.col("timeframe") == "1d"
+    found = keys.agg(
+        F.coalesce(F.sum(F.when(day, F.col("ticks"))), F.lit(0)).alias("ticks"),
+        *(F.count(F.when(name == table, 1)).alias(table) for table in CANDLE_TABLES),
+        F.count_distinct(F.when(day, F.col("symbol"))).alias("symbols"),
     )
+    if ticks is not None:
+        found = found.drop("ticks").crossJoin(ticks.agg(rows.alias("ticks")))
+    # one row to one for each table
+    tables = ["ticks", *CANDLE_TABLES, "symbols"]
+    listed = F.explode(F.array(*(F.struct(F.lit(t).alias("name"), F.col(t).alias("rows")) for t in tables)))
+    return found.select(listed.alias("t")).select("t.name", "t.rows")
 
 
-def delete_summary(ticks: DataFrame, states: DataFrame, registry: DataFrame) -> DataFrame:
-    """What deleting the given rows does to each table."""
+def delete_summary(states: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
+    """What deleting the given rows does to each table; as :func:`table_counts`."""
     done = F.when(F.col("name") == "symbols", "deleted").otherwise("dropped")
-    return table_counts(ticks, states, registry).select(
+    return table_counts(states, ticks).select(
         "name", "rows", F.when(F.col("rows") > 0, done).otherwise("no-op").alias("outcome")
     )
 

@@ -148,8 +148,12 @@ def read_candles(states: DataFrame, days: DayRange, timeframe: str) -> DataFrame
 
 
 def routed(rows: DataFrame, routes: DataFrame) -> DataFrame:
-    """Rows of the symbols in ``routes``, however many, each in its registered calendar."""
-    return rows.join(routes.select("symbol", "calendar"), ["symbol", "calendar"], "left_semi")
+    """Rows of the symbols in ``routes``, however many, each in its registered calendar.
+
+    Where both sides know the storage bucket it is joined on, so that scans skip buckets no route leads to.
+    """
+    keys = [c for c in ("symbol", "calendar", "symbol_bucket") if c in rows.columns and c in routes.columns]
+    return rows.join(routes.select(*keys), keys, "left_semi")
 
 
 def format_ticks(ticks: DataFrame) -> DataFrame:
@@ -213,6 +217,86 @@ def page_after(
     return _page(rows.filter(beyond).orderBy(*order).offset(copies or 0).limit(limit + 1), 1, limit, hold)
 
 
+class Span(NamedTuple):
+    """Where the rows of a page lie: from one symbol's day to another's, the first ``skip`` rows not counted."""
+
+    first: tuple[str, dt.date]
+    last: tuple[str, dt.date]
+    skip: int
+
+
+def _reached(counts: Sequence[tuple[object, int]], position: int) -> tuple[object, int] | None:
+    """The key whose rows hold ``position``, and how many rows come before it."""
+    before = 0
+    for key, n in counts:
+        if before + n > position:
+            return key, before
+        before += n
+    return None
+
+
+def page_span(counts: DataFrame, skip: int, rows: int) -> Span | None:
+    """The span of ``rows`` rows after the first ``skip``, in order of symbol and day; nothing beyond the last.
+
+    ``counts`` (symbol, day, n) tells how many rows each day has. What comes to the driver is a number for each
+    symbol, and for each day of the two symbols the page begins and ends in.
+    """
+    by_symbol = counts.groupBy("symbol").agg(F.sum("n").alias("n")).orderBy("symbol")
+    totals = [(r["symbol"], r["n"]) for r in by_symbol.collect()]
+    total = sum(n for _, n in totals)
+    if skip >= total:
+        return None
+    ends = [_reached(totals, at) for at in (skip, min(skip + rows, total) - 1)]
+    wanted = counts.filter(F.col("symbol").isin([symbol for symbol, _ in ends]))
+    by_day = wanted.groupBy("symbol", "day").agg(F.sum("n").alias("n")).orderBy("day").collect()
+    places = []
+    for (symbol, before), at in zip(ends, (skip, min(skip + rows, total) - 1)):
+        day, earlier = _reached([(r["day"], r["n"]) for r in by_day if r["symbol"] == symbol], at - before)
+        places.append(((symbol, day), before + earlier))
+    return Span(places[0][0], places[1][0], skip - places[0][1])
+
+
+def in_span(span: Span, day: Column) -> Column:
+    """Rows of a span, by symbol and ``day``: plain comparisons, so that scans skip other symbols and days."""
+    symbol = F.col("symbol")
+    (first, first_day), (last, last_day) = span.first, span.last
+    after = (symbol > first) | ((symbol == first) & (day >= F.lit(first_day)))
+    before = (symbol < last) | ((symbol == last) & (day <= F.lit(last_day)))
+    return symbol.between(first, last) & after & before
+
+
+def page_in(
+    rows: DataFrame,
+    order: Sequence[str],
+    counts: DataFrame,
+    day: Column,
+    page: int | None = None,
+    limit: int | None = None,
+    max_limit: int = MAX_LIMIT,
+) -> tuple[Page, Span | None]:
+    """One page by number, as :func:`page_of` with ``hold``, but only the days it lies in are read and sorted.
+
+    ``order`` begins with the symbol and goes on by what ``day`` rises with; ``counts`` as in :func:`page_span`.
+    """
+    page, limit = check_page(page, limit, max_limit)
+    span = page_span(counts, (page - 1) * limit, limit + 1)
+    if span is None:
+        return _page(rows.limit(0), page, limit, hold=True), None
+    near = rows.filter(in_span(span, day)).orderBy(*order).offset(span.skip).limit(limit + 1)
+    return _page(near, page, limit, hold=True), span
+
+
+def newest_days(counts: DataFrame, n: int) -> dt.date | None:
+    """The day from which on there are ``n`` rows, or the first; at most ``n`` days come to the driver."""
+    by_day = counts.groupBy("day").agg(F.sum("n").alias("n")).filter("n > 0").orderBy(F.desc("day")).limit(n).collect()
+    found = 0
+    for row in by_day:
+        found += row["n"]
+        if found >= n:
+            return row["day"]
+    return by_day[-1]["day"] if by_day else None
+
+
 def latest(rows: DataFrame, time: str, n: int, *ties: str) -> DataFrame:
     """The ``n`` most recent rows, newest first."""
     return rows.orderBy(F.col(time).desc(), *ties).limit(n)

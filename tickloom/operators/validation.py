@@ -115,8 +115,12 @@ def _conflict_pos() -> Column:
 
 
 def batch_claims(ticks: DataFrame) -> DataFrame:
-    """One row per request and symbol: its first calendar and where another follows."""
-    return first_calendars(ticks, "request_id", "received_at", "symbol").select(
+    """One row per request and symbol: its first calendar and where another follows.
+
+    Deliveries that share a request id are one request, received when the first was.
+    """
+    received = F.min("received_at").alias("received_at")
+    return first_calendars(ticks, "request_id", "symbol", more=(received,)).select(
         "request_id", "received_at", "symbol", "calendar", "pos", _conflict_pos()
     )
 
@@ -149,8 +153,8 @@ def batch_conflicts(claims: DataFrame) -> DataFrame:
     )
 
 
-def _marks(validated: DataFrame) -> DataFrame:
-    """One row per request and symbol with all that may be wrong with it.
+def request_marks(validated: DataFrame) -> DataFrame:
+    """One row per request and symbol with its ticks and all that may be wrong with it.
 
     The ticks of a request sit together, so they collapse before the first
     shuffle. Position and fault share one number, whose minimum is the first
@@ -160,9 +164,10 @@ def _marks(validated: DataFrame) -> DataFrame:
     return first_calendars(
         validated,
         "request_id",
-        "received_at",
         "symbol",
         more=(
+            F.min("received_at").alias("received_at"),
+            F.count("pos").alias("ticks"),
             F.bool_or("malformed").alias("malformed"),
             F.bool_or(F.col("pos").isNull()).alias("empty"),
             F.min(fault).alias("worst"),
@@ -194,25 +199,43 @@ def _reason() -> Column:
     )
 
 
-def rejected_requests(validated: DataFrame) -> DataFrame:
-    """Requests with a bad tick, or with two calendars for one symbol, and why."""
-    marks = _marks(validated)
-    verdicts = marks.groupBy("request_id").agg(
+def request_verdicts(marks: DataFrame) -> DataFrame:
+    """One row per request: its ticks, and what is wrong with it.
+
+    ``code`` is NULL for a sound request; a conflict of calendars is marked, the symbol it is
+    about is left to :func:`told`.
+    """
+    found = marks.groupBy("request_id").agg(
+        F.sum("ticks").alias("ticks"),
         F.bool_or("malformed").alias("malformed"),
         F.bool_or("empty").alias("empty"),
         F.min("worst").alias("worst"),
         F.min("conflict_pos").alias("conflict_pos"),
     )
     invalid = F.col("malformed") | F.col("empty") | F.col("worst").isNotNull()
-    return (
-        verdicts.filter(invalid | F.col("conflict_pos").isNotNull())
-        .join(batch_conflicts(marks), "request_id", "left")
-        .select(
-            "request_id",
-            F.when(invalid, INVALID_REQUEST).otherwise(CALENDAR_MISMATCH).alias("code"),
-            _reason().alias("reason"),
-        )
-    )
+    code = F.when(invalid, INVALID_REQUEST).when(F.col("conflict_pos").isNotNull(), CALENDAR_MISMATCH)
+    return found.withColumn("code", code)
+
+
+def told(verdicts: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """``verdicts`` with the ``reason`` of each request that is refused.
+
+    ``marks`` may be left out where no request is in conflict with itself.
+    """
+    if marks is None:
+        nothing = F.lit(None).cast("string")
+        known = verdicts.withColumns({name: nothing for name in ("symbol", "calendar", "other")})
+    else:
+        known = verdicts.join(batch_conflicts(marks).drop("pos"), "request_id", "left")
+    reason = F.when(F.col("code").isNotNull(), _reason()).alias("reason")
+    return known.select(*verdicts.columns, reason)
+
+
+def rejected_requests(validated: DataFrame) -> DataFrame:
+    """Requests with a bad tick, or with two calendars for one symbol, and why."""
+    marks = request_marks(validated)
+    wrong = request_verdicts(marks).filter(F.col("code").isNotNull())
+    return told(wrong, marks).select("request_id", "code", "reason")
 
 
 def split_batches(validated: DataFrame) -> Split:

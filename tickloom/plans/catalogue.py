@@ -198,10 +198,10 @@ def _order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("jalali_calendar")
 def jalali_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dimension's rows for every day something was ordered."""
-    days = _order_days(spark, sf_dir)
-    dim = F.broadcast(build_jalali_calendar(spark))
-    joined = days.join(dim, F.col("day") == F.col("gregorian_date"))
+    """Every day of the dimension, and how many orders it has."""
+    dim = build_jalali_calendar(spark)
+    joined = dim.join(_order_days(spark, sf_dir), F.col("day") == F.col("gregorian_date"), "left")
+    joined = joined.withColumn("orders", F.coalesce("orders", F.lit(0)))
     dates = [f.name for f in joined.schema if f.name.endswith("date")]
     return joined.drop("day").withColumns({c: F.col(c).cast("string") for c in dates})
 
@@ -550,6 +550,7 @@ def stream_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     # as many files as the data calls for, several in any case
     requests.write.option("maxRecordsPerFile", 50_000).parquet(f"{source}/all")
     requests = spark.read.schema(requests.schema).parquet(f"{source}/all")
+    requests = requests.coalesce(1 + requests.count() // 50_000)
     halves = F.pmod(F.crc32(F.col("request_id").cast("binary")), F.lit(2))
     requests.withColumn("half", halves).write.partitionBy("half").parquet(f"{source}/parts")
     source = f"{source}/parts/*"
@@ -560,18 +561,6 @@ def stream_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _served(Warehouse(spark, path))
 
 
-@query("compact_candles")
-def compact_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two batches, one compacted and one after it, merged on read."""
-    warehouse = Warehouse.create(spark, scratch_path(spark, "warehouse"), buckets=4)
-    requests = A.as_requests(A.event_inputs(spark, sf_dir))
-    early = F.col("received_at") < F.lit("1970-01-01 00:02:00").cast("timestamp")
-    ingest_batch(warehouse, requests.filter(~early))
-    warehouse.compact()
-    ingest_batch(warehouse, requests.filter(early))
-    return _served(warehouse)
-
-
 @query("ingest_then_stream")
 def ingest_then_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches, then a stream with a checkpoint of its own over the rest."""
@@ -597,6 +586,39 @@ def stored_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.format_candles(C.with_jalali_labels(candles, label_calendar(spark))).drop("timeframe")
 
 
+def _stored_events(spark: SparkSession, sf_dir: str) -> Warehouse:
+    """All events, half of them merged, and early ones expired."""
+    warehouse = Warehouse.create(spark, scratch_path(spark, "warehouse"), buckets=4)
+    requests = A.as_requests(A.event_inputs(spark, sf_dir))
+    half = F.pmod(F.crc32(F.col("request_id").cast("binary")), F.lit(2))
+    ingest_batch(warehouse, requests.filter(half == 0))
+    warehouse.compact()
+    ingest_batch(warehouse, requests.filter(half == 1))
+    warehouse.expire_ticks(22, AS_OF)
+    return warehouse
+
+
+@query("stored_tick_pages")
+def stored_tick_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page by its number, and the latest ticks, read back from a warehouse."""
+    warehouse = _stored_events(spark, sf_dir)
+    symbols = ["click", "purchase", "signup", "view"]
+    page = warehouse.read_ticks(symbols, "2024-01-05", "2024-01-28", page=4, limit=90).rows
+    parts = {"page": page, "latest": warehouse.latest_ticks(70), "latest views": warehouse.latest_ticks(40, ["view"])}
+    rows = [df.select(F.lit(name).alias("part"), "*") for name, df in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("stored_candle_pages")
+def stored_candle_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page by its number, and the latest candles of a timeframe, read back from a warehouse."""
+    warehouse = _stored_events(spark, sf_dir)
+    page = warehouse.read_candles(["click", "purchase", "view"], "2024-01-01", "2024-12-31", "1d", page=2, limit=20).rows
+    parts = {"page": page, "latest": warehouse.latest_candles(9, "1w"), "latest jalali": warehouse.latest_candles(3, "1d", calendar=JALALI)}
+    rows = [df.select(F.lit(name).alias("part"), "*") for name, df in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query("expired_ticks")
 def expired_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks left per symbol when the last seven days are kept."""
@@ -624,6 +646,4 @@ def delete_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = A.lineitem_ticks(spark, sf_dir).join(
         _low_balance_symbols(spark, sf_dir), "symbol", "left_semi"
     )
-    states = C.rollup(C.day_states(ticks), label_calendar(spark))
-    registry = G.registry_resolve(ticks.select("symbol", "calendar", F.col("ts").alias("created_at")))
-    return L.delete_summary(ticks, states, registry)
+    return L.delete_summary(C.rollup(C.day_states(ticks), label_calendar(spark)))

@@ -243,11 +243,17 @@ def all_oracles() -> dict[str, str]:
         f"FROM ({_candles('od', '1w', extra=', count(DISTINCT batch_id) AS batches')})"
     )
 
-    placed_orders = "SELECT d, orders, jy, ys, d - ys AS n FROM days ASOF JOIN nz ON d >= ys"
-    days = {"days": "SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS orders FROM orders GROUP BY 1"}
+    placed_orders = "SELECT d, orders, jy, ys, d - ys AS n FROM days ASOF JOIN every_year ON d >= ys"
+    # fixed value: 8 of 33 Jalali years are leap years, counted by one division
+    every_year = "SELECT jy, DATE '2024-03-20' + CAST(365 * (jy - 1403) + (8 * jy + 21) // 33 - (8 * 1403 + 21) // 33 AS INT) AS ys FROM range(1287, 1481) AS r(jy)"
+    days = {
+        "every_year": every_year,
+        "days": """SELECT CAST(r.d AS DATE) AS d, coalesce(c, 0) AS orders FROM range(DATE '1910-01-01', DATE '2100-01-02', INTERVAL 1 DAY) AS r(d)
+            LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS o, count(*) AS c FROM orders GROUP BY 1) ON o = CAST(r.d AS DATE)""",
+    }
     month = "CAST(CASE WHEN n < 186 THEN n // 31 + 1 ELSE (n - 186) // 30 + 7 END AS INT)"
     dom = "CAST(CASE WHEN n < 186 THEN n % 31 + 1 ELSE (n - 186) % 30 + 1 END AS INT)"
-    sql["jalali_calendar"] = _with("nz", **days) + f"""
+    sql["jalali_calendar"] = _with(**days) + f"""
         SELECT orders, CAST(d AS VARCHAR) AS gregorian_date, CAST(jy AS INT) AS jalali_year, {month} AS jalali_month,
                {dom} AS jalali_day, CAST({_SATURDAY} AS VARCHAR) AS jalali_week_start_date,
                CAST({_MONTH_START} AS VARCHAR) AS jalali_month_start_date, CAST(ys AS VARCHAR) AS jalali_year_start_date
@@ -273,7 +279,7 @@ def all_oracles() -> dict[str, str]:
         f"SELECT CAST({_tehran('ts')} AS VARCHAR) AS local_date, count(*) AS ticks FROM every GROUP BY 1"
     )
     sql["saturday_week"] = _with(**days) + f"""
-        SELECT CAST(d AS VARCHAR) AS day, CAST({_SATURDAY} AS VARCHAR) AS week_start, orders FROM days"""
+        SELECT CAST(d AS VARCHAR) AS day, CAST({_SATURDAY} AS VARCHAR) AS week_start, orders FROM days WHERE orders > 0"""
 
     ticks = f"SELECT symbol, {_TICK_TEXT} FROM "
     sql["ticks_by_symbol"] = _with("ei", "ev") + ticks + "ev WHERE symbol = 'purchase'"
@@ -363,12 +369,30 @@ def all_oracles() -> dict[str, str]:
 
     stored = _with("nz", "ei", **_STORED) + _every_timeframe("stored")
     sql["stream_candles"] = stored
-    sql["compact_candles"] = stored
     sql["ingest_then_stream"] = stored
     sql["stored_reads"] = _with("nz", "ei", **_STORED) + (
         f"SELECT {_PLAIN}, calendar, {_BUCKET_TEXT} AS bucket_start, {_labels('b', jalali_only)} "
         f"FROM ({_candles('stored', '1w')}) WHERE b BETWEEN DATE '2023-01-01' AND DATE '2024-12-31'"
     )
+    kept = {"kept": "SELECT * FROM stored WHERE ts >= TIMESTAMP '2024-01-09'"}
+    parts = {
+        "page": f"(SELECT * FROM ({_day('kept')}) WHERE symbol IN ('click', 'purchase', 'signup', 'view') "
+        "AND d BETWEEN DATE '2024-01-05' AND DATE '2024-01-28' ORDER BY symbol, ts, value, volume LIMIT 90 OFFSET 270)",
+        "latest": "(SELECT * FROM kept ORDER BY ts DESC, symbol, value, volume LIMIT 70)",
+        "latest views": "(SELECT * FROM kept WHERE symbol = 'view' ORDER BY ts DESC, value, volume LIMIT 40)",
+    }
+    sql["stored_tick_pages"] = _with("ei", **_STORED, **kept) + " UNION ALL ".join(
+        f"SELECT '{part}' AS part, symbol, {_TICK_TEXT} FROM {rows}" for part, rows in parts.items()
+    )
+    parts = {
+        "page": f"(SELECT * FROM ({_candles('stored', '1d')}) WHERE symbol IN ('click', 'purchase', 'view') ORDER BY symbol, b LIMIT 20 OFFSET 20)",
+        "latest": f"({_candles('stored', '1w')} ORDER BY b DESC, symbol LIMIT 9)",
+        "latest jalali": f"(SELECT * FROM ({_candles('stored', '1d')}) WHERE calendar = 'jalali' ORDER BY b DESC, symbol LIMIT 3)",
+    }
+    sql["stored_candle_pages"] = _with("nz", "ei", **_STORED) + " UNION ALL ".join(
+        f"SELECT '{part}' AS part, {_PLAIN}, calendar, {_BUCKET_TEXT} AS bucket_start, {_labels('b', jalali_only)} FROM {rows}"
+        for part, rows in parts.items()
+    )
     sql["expired_ticks"] = _with("ei", "ev") + f"""
         SELECT symbol, count(*) AS ticks, {_MILLIS.format('min(ts)')} AS oldest FROM ev
         WHERE ts >= TIMESTAMP '2024-01-24' GROUP BY symbol"""

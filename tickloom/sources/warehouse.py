@@ -5,34 +5,36 @@
     <path>/<table>/delta/batch_id=N/...     one folder per attempt to ingest a batch
     <path>/<table>/base/run=R/...           batches merged by ``compact``
     <path>/attempts/N                       numbers given out
-    <path>/sources/<source>/<number>        which attempt stands for a source's batch
-    <path>/commits/batch_id=N               makes attempt N visible
-    <path>/runs                             which run covers which batches
-    <path>/deletions, <path>/retention      symbols deleted, ticks expired
+    <path>/log/version=V/...                what changed, one entry after the other
+    <path>/sources/<key>                    batches whose entries are no longer in the log
+    <path>/retention                        ticks expired
 
 The warehouse numbers its batches itself: every attempt gets a number of its own,
-so no two sources and no two attempts share a folder. An attempt whose data is
-written is decided on by a file that only one can create, named after the source
-and its own batch number; a batch that is run again finds it and does nothing.
-Readers see exactly the committed attempts. One writer at a time; any number of
-readers. Storage must create a file only once when asked to (HDFS does).
+so no two sources and no two attempts share a folder. Whatever changes what readers see is an entry of the
+log: a batch, a deletion, a run of merged batches. An entry is written aside and put in its
+place by one renaming, which fails if the place is taken: so it is there as a whole or not
+at all, and all entries have one order. A batch's entry names the source's batch, so that one that is run
+again is found and nothing is done. A writer that finds entries later than those it read
+looks whether they touch its symbols; if so its batch is resolved anew, as if it came after them.
+Any number of readers and writers. Storage must rename a folder in one step, and only to a free
+place (HDFS and local disks do).
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import json
-import urllib.parse
 import uuid
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.buckets import symbol_bucket, utc_day_range
+from tickloom.functions.buckets import local_date, symbol_bucket, utc_day_range
 from tickloom.functions.jalali import (
     FIRST_DAY,
     LAST_DAY,
@@ -42,6 +44,7 @@ from tickloom.functions.jalali import (
 )
 from tickloom.operators.candles import (
     day_states,
+    finish,
     format_candles,
     merge_states,
     rebucket,
@@ -59,9 +62,14 @@ from tickloom.operators.reads import (
     DayRange,
     Page,
     UnknownSymbolError,
+    candles_in_range,
+    check_page,
     check_timeframe,
     format_ticks,
+    latest,
+    newest_days,
     page_after,
+    page_in,
     page_of,
     parse_range,
     read_candles,
@@ -71,13 +79,12 @@ from tickloom.operators.reads import (
     ticks_in_range,
 )
 from tickloom.operators.registry import registry_resolve, symbol_lookup
-from tickloom.schema import CANDLE_STATE, JALALI, JALALI_CALENDAR, MAX_LIMIT, REGISTRY, TICKS, TIMEFRAMES
-from tickloom.session import configure
+from tickloom.schema import CANDLE_STATE, GREGORIAN, JALALI, JALALI_CALENDAR, MAX_LIMIT, REGISTRY, TICKS, TIMEFRAMES
+from tickloom.session import configure, scratch_path
 
 #: Files that no reader needs any more stay this long, for readers that planned before.
 MIN_AGE = dt.timedelta(hours=24)
 
-_RUNS = "table string, run string, up_to long, complete boolean, created_at timestamp"
 _COMMITS = (
     "batch_id long, source string, number string, ticks long, rejected long, uncovered long, committed_at string"
 )
@@ -130,12 +137,51 @@ _BATCH_SCHEMAS = {
 }
 
 
+class RegistryMovedError(RuntimeError):
+    """Another writer changed what a batch was checked against."""
+
+
+class Entry(NamedTuple):
+    """An entry of the log, told from its place and name alone.
+
+    ``batch-<batch>-<key>``, ``deletion-<last batch hidden>``,
+    ``run-<table>-<run>-<last batch merged>-<last version seen>-<1 if complete>``.
+    """
+
+    version: int
+    name: str
+
+    @property
+    def kind(self) -> str:
+        return self.name.split("-")[0]
+
+    @property
+    def parts(self) -> list[str]:
+        return self.name.removesuffix(".json").split("-")[1:]
+
+    @property
+    def place(self) -> str:
+        return f"log/version={self.version}/{self.name}"
+
+
+class Run(NamedTuple):
+    """Merged batches of a table: the folder, the last batch, and the log it was written from."""
+
+    table: str
+    run: str
+    up_to: int
+    seen: int
+    complete: bool
+
+
 class Snapshot(NamedTuple):
-    """What is visible: the committed ``batches``, and the runs standing for earlier ones."""
+    """What is visible: the committed ``batches``, the runs standing for earlier ones, and what is hidden."""
 
+    version: int
     last_batch: int
     batches: tuple[int, ...]
     runs: dict[str, tuple[list[str], int]]
+    deletions: tuple[str, ...]
     cutoff: dt.datetime | None
 
 
@@ -237,6 +283,38 @@ class Warehouse:
         finally:
             stream.close()
 
+    def _publish(self, version: int, name: str, text: str) -> bool:
+        """Put an entry at ``version`` of the log, unless another is there; in one step, with its content."""
+        aside = f"pending/{uuid.uuid4().hex}"
+        self._create(text, aside, name)
+        taken = self._rename(aside, f"log/version={version}")
+        if not taken:
+            self._delete(aside)
+        return taken
+
+    def _rename(self, source: str, target: str) -> bool:
+        """Rename a folder in one step, unless the target is there."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        (fs, to), (_, origin) = self._fs(target), self._fs(source)
+        fs.mkdirs(to.getParent())
+        try:
+            if fs.getUri().getScheme() == "file":
+                # the system refuses to put a folder in the place of one that has files
+                how = self.spark.sparkContext._gateway.new_array(jvm.java.nio.file.CopyOption, 1)
+                how[0] = jvm.java.nio.file.StandardCopyOption.ATOMIC_MOVE
+                path = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+                jvm.java.nio.file.Files.move(path(origin), path(to), how)
+            else:
+                kind = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+                how = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+                how[0] = kind.getEnumConstants()[0]
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(origin, to, how)
+        except Py4JJavaError:
+            if fs.exists(to):
+                return False
+            raise
+        return True
+
     def _read(self, schema, *parts: str, form: str = "parquet") -> DataFrame:
         if not self._exists(*parts):
             return self.spark.createDataFrame([], schema)
@@ -247,27 +325,33 @@ class Warehouse:
 
     # --- what is visible --------------------------------------------------
 
-    def _committed(self) -> list[int]:
-        """Attempts whose commit file is in place, by listing alone."""
-        fs, target = self._fs("commits", "batch_id=*", "part-*")
+    def _log(self) -> list[Entry]:
+        """The entries in order, by listing alone."""
+        fs, target = self._fs("log", "version=*", "*.json")
         found = fs.globStatus(target) or []
-        return sorted(int(f.getPath().getParent().getName().removeprefix("batch_id=")) for f in found)
-
-    def _runs(self) -> dict[str, tuple[list[str], int]]:
-        """The runs of each table that count, and the last batch they hold."""
-        runs: dict[str, tuple[list[str], int]] = {}
-        if self._exists("runs"):
-            for entry in self._read(_RUNS, "runs", form="json").orderBy("created_at").collect():
-                earlier = [] if entry["complete"] else runs.get(entry["table"], ([], -1))[0]
-                runs[entry["table"]] = (earlier + [entry["run"]], entry["up_to"])
+        paths = [f.getPath() for f in found]
+        return sorted(Entry(int(p.getParent().getName().removeprefix("version=")), p.getName()) for p in paths)
+
+    @staticmethod
+    def _runs(log: list[Entry]) -> dict[str, list[Run]]:
+        """The runs of each table that count: the last complete one and those after it."""
+        runs: dict[str, list[Run]] = {}
+        for entry in log:
+            if entry.kind == "run":
+                table, run, up_to, seen, complete = entry.parts
+                earlier = [] if complete == "1" else runs.get(table, [])
+                runs[table] = [*earlier, Run(table, run, int(up_to), int(seen), complete == "1")]
         return runs
 
     def snapshot(self) -> Snapshot:
-        batches, runs, cutoff = self._committed(), self._runs(), None
+        log, cutoff = self._log(), None
+        runs = {table: ([r.run for r in found], found[-1].up_to) for table, found in self._runs(log).items()}
+        batches = sorted(int(e.parts[0]) for e in log if e.kind == "batch")
         if self._exists("retention"):
             cutoff = self._read(_RETENTION, "retention", form="json").agg(F.max("cutoff")).first()[0]
         last = max([*batches[-1:], *(up_to for _, up_to in runs.values())], default=-1)
-        return Snapshot(last, tuple(batches), runs, cutoff)
+        deletions = tuple(e.place for e in log if e.kind == "deletion")
+        return Snapshot(log[-1].version if log else -1, last, tuple(batches), runs, deletions, cutoff)
 
     def _load(self, schema: T.StructType, root: str, folders: Sequence[str]) -> DataFrame:
         """Rows below those ``folders`` of ``root``; predicates on their columns prune them further."""
@@ -285,16 +369,18 @@ class Warehouse:
         runs = seen.runs.get(table, ([], -1))[0]
         return self._load(schema, f"{table}/base", [f"run={r}" for r in runs]) if runs else None
 
-    def _undeleted(self, rows: DataFrame) -> DataFrame:
-        if not self._exists("deletions"):
-            return rows
-        return undeleted(rows, self._read(_DELETIONS, "deletions", form="json"))
+    def _deletions(self, places: Sequence[str]) -> DataFrame:
+        return self.spark.read.schema(_DELETIONS).json([self._at(p) for p in places])
+
+    def _undeleted(self, rows: DataFrame, seen: Snapshot) -> DataFrame:
+        return undeleted(rows, self._deletions(seen.deletions)) if seen.deletions else rows
 
     def ticks(
         self,
         symbols: Sequence[str] | None = None,
         days: DayRange | None = None,
         seen: Snapshot | None = None,
+        more: Sequence[str] = (),
     ) -> DataFrame:
         """Visible ticks; ``symbols`` and ``days`` prune files, they do not refine rows."""
         seen = seen or self.snapshot()
@@ -312,15 +398,15 @@ class Warehouse:
             if base is not None:
                 months = F.col("ts_month").between(f"{wide.first:%Y-%m}", f"{wide.last:%Y-%m}")
                 base = base.filter(span & months)
-        columns = [*TICKS.fieldNames(), "batch_id"]
+        columns = [*TICKS.fieldNames(), "batch_id", *more]
         rows = delta.select(*columns)
         if base is not None:
             rows = rows.unionByName(base.select(*columns))
         if seen.cutoff is not None:
             rows = kept_since(rows, F.lit(seen.cutoff))
-        return self._undeleted(rows)
+        return self._undeleted(rows, seen)
 
-    def _state_rows(self, timeframes: Sequence[str], symbols: Sequence[str] | None, seen: Snapshot):
+    def _state_rows(self, timeframes: Sequence[str], symbols: Sequence[str] | None, seen: Snapshot, more: Sequence[str]):
         """Visible states: of merged batches in all ``timeframes``, of later ones by day."""
         delta = self._delta("states", _STATES_DELTA, seen)
         base = self._base("states", _STATES_BASE, seen)
@@ -329,10 +415,10 @@ class Warehouse:
             wanted = symbols_predicate(symbols, self.buckets)
             delta = delta.filter(wanted)
             base = base if base is None else base.filter(wanted)
-        columns = [*CANDLE_STATE.fieldNames(), "batch_id"]
-        delta = self._undeleted(delta.select(*columns))
+        columns = [*CANDLE_STATE.fieldNames(), "batch_id", *more]
+        delta = self._undeleted(delta.select(*columns), seen)
         if base is not None:
-            base = self._undeleted(base.select(*columns))
+            base = self._undeleted(base.select(*columns), seen)
         return delta, base
 
     def states(
@@ -341,19 +427,20 @@ class Warehouse:
         symbols: Sequence[str] | None = None,
         seen: Snapshot | None = None,
         days: DayRange | None = None,
+        more: Sequence[str] = (),
     ) -> DataFrame:
         """Visible states of ``timeframes``, left to the reader to merge.
 
         ``symbols`` and ``days`` prune files, they do not refine rows.
         """
-        delta, base = self._state_rows(timeframes, symbols, seen or self.snapshot())
+        delta, base = self._state_rows(timeframes, symbols, seen or self.snapshot(), more)
         if days is not None:
             # a bucket that starts in the range ends within a year of it
             last = days.last + dt.timedelta(days=366)
             delta = delta.filter(F.col("bucket_start").between(F.lit(days.first), F.lit(last)))
-        columns = CANDLE_STATE.fieldNames()
+        columns = [*CANDLE_STATE.fieldNames(), *more]
         if list(timeframes) != ["1d"]:
-            delta = rebucket(delta, self.calendar(), timeframes)
+            delta = rebucket(delta, self.calendar(), timeframes, more)
         delta = delta.select(*columns)
         return delta if base is None else delta.unionByName(base.select(*columns))
 
@@ -361,14 +448,10 @@ class Warehouse:
         columns = [*REGISTRY.fieldNames(), "batch_id"]
         rows = self._delta("symbols", _REGISTRY_DELTA, seen).select(*columns)
         base = self._base("symbols", _REGISTRY_BASE, seen)
-        return self._undeleted(rows if base is None else rows.unionByName(base.select(*columns)))
+        return self._undeleted(rows if base is None else rows.unionByName(base.select(*columns)), seen)
 
-    def registry(self, seen: Snapshot | None = None, before_batch: int | None = None) -> DataFrame:
-        """Registered symbols; ``before_batch`` leaves out that batch and later ones."""
-        rows = self._registrations(seen or self.snapshot())
-        if before_batch is not None:
-            rows = rows.filter(F.col("batch_id") < before_batch)
-        return registry_resolve(rows)
+    def registry(self, seen: Snapshot | None = None) -> DataFrame:
+        return registry_resolve(self._registrations(seen or self.snapshot()))
 
     def calendar(self) -> DataFrame:
         versions = self._versions()
@@ -377,14 +460,22 @@ class Warehouse:
         return self._read(JALALI_CALENDAR, "jalali_calendar", f"version={max(versions)}")
 
     def responses(self, batch_id: int | None = None) -> DataFrame:
-        rows = self._read(_RESPONSES_DELTA, "responses", "delta")
-        return rows if batch_id is None else rows.filter(F.col("batch_id") == batch_id)
+        """What the requests of committed batches were told; ``vacuum`` removes old ones with the batches it merges."""
+        batches = self.snapshot().batches
+        wanted = batches if batch_id is None else [n for n in batches if n == batch_id]
+        return self._load(_RESPONSES_DELTA, "responses/delta", [f"batch_id={n}" for n in wanted])
 
     # --- batches ----------------------------------------------------------
 
-    def write_batch(self, table: str, batch_id: int, rows: DataFrame, *partition_by: str) -> None:
+    def write_batch(self, table: str, batch_id: int, rows: DataFrame, *partition_by: str, **observed: Column) -> dict:
+        """Store rows of a batch; what ``observed`` counts on the way."""
+        seen = Observation()
+        if observed:
+            rows = rows.observe(seen, *(column.alias(name) for name, column in observed.items()))
+        rows = rows.select(*_BATCH_SCHEMAS[table].fieldNames())
         target = self._at(table, "delta", f"batch_id={batch_id}")
         rows.write.mode("overwrite").partitionBy(*partition_by).parquet(target)
+        return seen.get if observed else {}
 
     def read_batch(self, table: str, batch_id: int) -> DataFrame:
         """A batch as just written, committed or not."""
@@ -395,15 +486,12 @@ class Warehouse:
         """Store typed ticks of one batch, clustered by (symbol, ts) in each bucket."""
         self.write_batch("ticks", batch_id, self._clustered(ticks, "ts"), "symbol_bucket")
 
-    def write_day_states(self, batch_id: int) -> None:
-        """Day states of a stored batch, read back from its ticks."""
-        states = day_states(self.read_batch("ticks", batch_id))
-        self.write_batch("states", batch_id, self._clustered(states, "bucket_start"), "symbol_bucket")
-
-    def uncovered_ticks(self, batch_id: int) -> int:
-        """Jalali ticks of a batch outside the date dimension."""
+    def write_day_states(self, ticks: DataFrame, batch_id: int) -> int:
+        """Store the day states of a batch's ticks; how many Jalali ticks lie outside the date dimension."""
         outside = (F.col("calendar") == JALALI) & ~F.col("bucket_start").between(F.lit(FIRST_DAY), F.lit(LAST_DAY))
-        return self.read_batch("states", batch_id).filter(outside).agg(F.sum("ticks")).first()[0] or 0
+        uncovered = F.sum(F.when(outside, F.col("ticks")))
+        states = self._clustered(day_states(ticks), "bucket_start")
+        return self.write_batch("states", batch_id, states, "symbol_bucket", uncovered=uncovered)["uncovered"] or 0
 
     def _clustered(self, rows: DataFrame, time: str) -> DataFrame:
         """Lay rows out by bucket and month, so that a busy symbol spreads over
@@ -417,45 +505,80 @@ class Warehouse:
             .sortWithinPartitions("symbol_bucket", "symbol", time)
         )
 
-    def begin(self, source: str, number: str) -> tuple[int, bool]:
-        """The attempt that stands for a source's batch, or a new one; and whether it is done."""
-        decided = self._text("sources", _quoted(source), _quoted(number))
-        if decided:
-            entry = json.loads(decided)
-            # the writer may have stopped between deciding and showing
-            self._show(entry)
-            return entry["batch_id"], True
+    def begin(self, source: str, number: str) -> tuple[int, Snapshot | None]:
+        """A new attempt at a source's batch, and what it is to be checked against; or the batch taken in, and None."""
+        seen, log = self.snapshot(), self._log()
+        done = self._standing(log, _key(source, number))
+        if done is not None:
+            return done, None
         given = [int(f.getPath().getName()) for f in self._listed("attempts")]
-        known = [*given, *self._committed(), *(up_to for _, up_to in self._runs().values())]
-        batch_id = max(known, default=-1) + 1
+        hidden = [int(e.parts[0]) for e in log if e.kind == "deletion"]
+        batch_id = max([*given, *hidden, seen.last_batch], default=-1) + 1
         while not self._create("", "attempts", str(batch_id)):
             batch_id += 1
-        return batch_id, False
+        return batch_id, seen
 
-    def commit(self, batch_id: int, source: str, number: str, ticks: int, rejected: int, uncovered: int) -> int:
-        """Make a written attempt stand for its source's batch, and visible; the one that stands.
+    def _standing(self, log: list[Entry], key: str) -> int | None:
+        """The batch that stands for a source's batch, if one does."""
+        for entry in log:
+            if entry.kind == "batch" and entry.parts[1] == key:
+                return int(entry.parts[0])
+        text = self._text("sources", key)
+        return int(text) if text else None
 
+    def commit(
+        self,
+        batch_id: int,
+        source: str,
+        number: str,
+        ticks: int,
+        rejected: int,
+        uncovered: int,
+        seen: Snapshot,
+        claimed: DataFrame,
+    ) -> int:
+        """Make a written attempt stand for its source's batch, and visible; the batch that stands.
+
+        ``seen`` is what the attempt was checked against and ``claimed`` has the symbols its requests named.
+        If another writer has changed one of these since, :class:`RegistryMovedError` is raised.
         ``uncovered``: Jalali ticks outside the date dimension, which are in no month or year.
         """
-        if batch_id <= max((up_to for _, up_to in self._runs().values()), default=-1):
-            raise RuntimeError(f"batch {batch_id} was written while later ones were compacted; run it again")
+        key = _key(source, number)
         entry = {
             "batch_id": batch_id, "source": source, "number": number, "ticks": ticks, "rejected": rejected,
             "uncovered": uncovered, "committed_at": dt.datetime.now(dt.timezone.utc).isoformat(),
         }
-        if not self._create(json.dumps(entry), "sources", _quoted(source), _quoted(number)):
-            return self.begin(source, number)[0]
-        self._show(entry)
-        return batch_id
-
-    def _show(self, entry: dict) -> None:
-        merged = max((up_to for _, up_to in self._runs().values()), default=-1)
-        if entry["batch_id"] > merged:
-            self._create(json.dumps(entry) + "\n", "commits", f"batch_id={entry['batch_id']}", "part-0.json")
+        checked = seen.version
+        while True:
+            log = self._log()
+            done = self._standing(log, key)
+            if done is not None:
+                return done
+            self._check_unmoved(batch_id, [e for e in log if e.version > checked], claimed)
+            checked = log[-1].version if log else -1
+            if self._publish(checked + 1, f"batch-{batch_id}-{key}.json", json.dumps(entry) + "\n"):
+                return batch_id
+
+    def _check_unmoved(self, batch_id: int, later: list[Entry], claimed: DataFrame) -> None:
+        if any(e.kind == "run" and int(e.parts[2]) >= batch_id for e in later):
+            raise RegistryMovedError(f"later batches than {batch_id} were merged meanwhile")
+        touched = []
+        batches = [f"batch_id={e.parts[0]}" for e in later if e.kind == "batch"]
+        if batches:
+            touched.append(self._load(_REGISTRY_DELTA, "symbols/delta", batches).select("symbol"))
+        deletions = [e.place for e in later if e.kind == "deletion"]
+        if deletions:
+            touched.append(self._deletions(deletions).select("symbol"))
+        for symbols in touched:
+            if not symbols.join(claimed.select("symbol").distinct(), "symbol", "left_semi").isEmpty():
+                raise RegistryMovedError(f"symbols of batch {batch_id} were registered or deleted meanwhile")
 
     def commits(self) -> DataFrame:
-        """What each visible batch took in."""
-        return self._read(_COMMITS, "commits", form="json")
+        """What each visible batch took in, as far as the log goes back."""
+        places = [self._at(e.place) for e in self._log() if e.kind == "batch"]
+        if not places:
+            return self.spark.createDataFrame([], _COMMITS)
+        return self.spark.read.schema(_COMMITS).json(places)
 
     # --- reads ------------------------------------------------------------
 
@@ -468,21 +591,31 @@ class Warehouse:
         requested = self.spark.createDataFrame([(s,) for s in sorted(set(symbols))], "symbol string")
         return symbol_lookup(requested, registry.filter(wanted))
 
-    def _routed(self, rows_of: Callable[[Sequence[str] | None], DataFrame], symbols: Sequence[str] | DataFrame, seen: Snapshot) -> tuple[DataFrame, tuple[str, ...]]:
-        """Rows of the symbols asked for, each in its registered calendar; and the unknown symbols.
+    def _routes(self, symbols: Sequence[str] | DataFrame, seen: Snapshot) -> tuple[DataFrame | dict[str, str], tuple[str, ...]]:
+        """Calendars of the symbols asked for; and the unknown symbols.
 
         A list becomes literals that scans skip files by. A DataFrame, however
         many symbols it has, is joined; its unknown symbols have no rows.
         """
         found = self.lookup(symbols, seen)
         if isinstance(symbols, DataFrame):
-            return routed(rows_of(None), found.filter("found")), ()
+            # stored, so that its size is known: if small it is broadcast, and buckets it does not lead to are not read
+            path = scratch_path(self.spark, "routes")
+            found.filter("found").withColumn("symbol_bucket", symbol_bucket(F.col("symbol"), self.buckets)).write.parquet(path)
+            schema = "symbol string, calendar string, symbol_bucket int"
+            return self.spark.read.schema(schema).parquet(path).filter(F.col("calendar").isin(GREGORIAN, JALALI)), ()
         # no more rows than the caller asked for
         routes = {r["symbol"]: r["calendar"] for r in found.collect()}
         unknown = tuple(sorted(s for s, c in routes.items() if c is None))
         if len(unknown) == len(routes):
             raise UnknownSymbolError("symbol not found: " + ", ".join(unknown))
-        return rows_of(symbols).filter(route_predicate({s: c for s, c in routes.items() if c})), unknown
+        return {s: c for s, c in routes.items() if c}, unknown
+
+    def _on(self, routes: DataFrame | dict[str, str], rows_of: Callable[..., DataFrame]) -> DataFrame:
+        """Rows of the symbols in ``routes``, each in its registered calendar."""
+        if isinstance(routes, DataFrame):
+            return routed(rows_of(None, more=("symbol_bucket",)), routes).drop("symbol_bucket")
+        return rows_of(list(routes)).filter(route_predicate(routes))
 
     def read_candles(
         self,
@@ -500,12 +633,21 @@ class Warehouse:
         counting pages. Symbols that are not registered are named in the page's
         ``unknown``; if none is, the read fails.
         """
-        candles, unknown = self.candles(symbols, from_, to, timeframe)
+        check_timeframe(timeframe)
+        days = parse_range(from_, to)
+        seen = self.snapshot()
+        routes, unknown = self._routes(symbols, seen)
+        states = self._on(routes, lambda names, **more: self.states([timeframe], names, seen, days, **more))
+        candles = read_candles(states, days, timeframe)
         order = ["symbol", "bucket_start"]
         if after is not None:
             found = page_after(candles, order, after, limit, self.max_limit, hold=True)
-        else:
+        elif isinstance(symbols, DataFrame):
             found = page_of(candles, order, page, limit, self.max_limit, hold=True)
+        else:
+            keys = candles_in_range(states.filter(F.col("timeframe") == timeframe), days).select("symbol", F.col("bucket_start").alias("day"))
+            counts = keys.distinct().withColumn("n", F.lit(1))
+            found, _ = page_in(candles, order, counts, F.col("bucket_start"), page, limit, self.max_limit)
         rows = with_jalali_labels(found.rows, label_calendar(self.spark)).orderBy(*order)
         return Page(format_candles(rows).drop("timeframe"), found.metadata, unknown)
 
@@ -514,7 +656,8 @@ class Warehouse:
         check_timeframe(timeframe)
         days = parse_range(from_, to)
         seen = self.snapshot()
-        states, unknown = self._routed(lambda names: self.states([timeframe], names, seen, days), symbols, seen)
+        routes, unknown = self._routes(symbols, seen)
+        states = self._on(routes, lambda names, **more: self.states([timeframe], names, seen, days, **more))
         return read_candles(states, days, timeframe), unknown
 
     def read_ticks(
@@ -534,15 +677,75 @@ class Warehouse:
         """
         days = parse_range(from_, to)
         seen = self.snapshot()
-        rows, unknown = self._routed(lambda names: self.ticks(names, days, seen), symbols, seen)
+        routes, unknown = self._routes(symbols, seen)
+        rows = self._on(routes, lambda names, **more: self.ticks(names, days, seen, **more))
         rows = ticks_in_range(rows, days).drop("batch_id")
         order = ["symbol", "ts", "value", "volume"]
         if after is not None:
             found = page_after(rows, order, after[:-1], limit, self.max_limit, copies=int(after[-1]), hold=True)
-        else:
+        elif isinstance(symbols, DataFrame):
             found = page_of(rows, order, page, limit, self.max_limit, hold=True)
+        else:
+            counts = self._day_counts(list(routes), seen, days).filter(route_predicate(routes))
+            day = local_date(F.col("ts"), F.col("calendar"))
+            found, _ = page_in(rows, order, counts, day, page, limit, self.max_limit)
         return Page(format_ticks(found.rows.orderBy(*order)), found.metadata, unknown)
 
+    def _day_counts(self, symbols: Sequence[str] | None, seen: Snapshot, days: DayRange | None = None) -> DataFrame:
+        """symbol, calendar, day, n: visible ticks of each day; from the day states, and where ticks expired from these."""
+        states = self.states(["1d"], symbols, seen, days)
+        if days is not None:
+            states = candles_in_range(states, days)
+        counts = states.select("symbol", "calendar", F.col("bucket_start").alias("day"), F.col("ticks").alias("n"))
+        if seen.cutoff is None:
+            return counts
+        # days of either calendar that begin after the cutoff are whole
+        whole = seen.cutoff.date() + dt.timedelta(days=2)
+        about = DayRange(whole - dt.timedelta(days=4), whole - dt.timedelta(days=1))
+        rest = self.ticks(symbols, about, seen).withColumn("day", local_date(F.col("ts"), F.col("calendar")))
+        if days is not None:
+            rest = rest.filter(F.col("day").between(F.lit(days.first), F.lit(days.last)))
+        rest = rest.filter(F.col("day") < F.lit(whole)).groupBy("symbol", "calendar", "day").agg(F.count(F.lit(1)).alias("n"))
+        return counts.filter(F.col("day") >= F.lit(whole)).unionByName(rest)
+
+    def latest_ticks(self, n: int, symbols: Sequence[str] | None = None) -> DataFrame:
+        """The ``n`` most recent ticks, newest first; ties by symbol, value and volume.
+
+        The day states tell from which day on there are enough, so older months are not read.
+        """
+        _, n = check_page(1, n, self.max_limit)
+        seen = self.snapshot()
+        counts = self._day_counts(symbols, seen)
+        day = newest_days(counts if symbols is None else counts.filter(symbols_predicate(symbols)), n)
+        if day is None:
+            return format_ticks(self.spark.createDataFrame([], TICKS))
+        # a day of one calendar begins hours before that of the other
+        rows = self.ticks(symbols, DayRange(day, dt.date(9000, 1, 1)), seen)
+        if symbols is not None:
+            rows = rows.filter(symbols_predicate(symbols))
+        return format_ticks(latest(rows, "ts", n, "symbol", "value", "volume"))
+
+    def latest_candles(self, n: int, timeframe: str, symbols: Sequence[str] | None = None, calendar: str | None = None) -> DataFrame:
+        """The ``n`` most recent candles of a timeframe, newest first, then by symbol; others are not merged."""
+        check_timeframe(timeframe)
+        _, n = check_page(1, n, self.max_limit)
+        seen = self.snapshot()
+        wanted = F.col("timeframe") == timeframe
+        if calendar is not None:
+            wanted = wanted & (F.col("calendar") == calendar)
+        if symbols is not None:
+            wanted = wanted & symbols_predicate(symbols)
+        keys = self.states([timeframe], symbols, seen).filter(wanted).select("symbol", "calendar", F.col("bucket_start").alias("day"))
+        day = newest_days(keys.distinct().withColumn("n", F.lit(1)), n)
+        if day is None:
+            states = self.spark.createDataFrame([], CANDLE_STATE)
+        else:
+            states = self.states([timeframe], symbols, seen, DayRange(day, dt.date(9000, 1, 1)))
+            states = states.filter(wanted & (F.col("bucket_start") >= F.lit(day)))
+        rows = latest(finish(merge_states(states)), "bucket_start", n, "symbol")
+        rows = with_jalali_labels(rows, label_calendar(self.spark)).orderBy(F.desc("bucket_start"), "symbol")
+        return format_candles(rows).drop("timeframe")
+
     def old_tick_count(self, as_of: dt.datetime, days: int = 6) -> int:
         """Early warning: how many stored ticks are older than ``days`` before ``as_of``."""
         return old_tick_count(self.ticks(), F.lit(_utc(as_of)), days).first()[0]
@@ -582,7 +785,8 @@ class Warehouse:
         if not counts:
             names = [*CANDLE_TABLES, "ticks", "symbols", "jalali_calendar"]
             return self.spark.createDataFrame([(n, n in stored, None) for n in names], "name string, exists boolean, rows long")
-        found = table_counts(self.ticks(seen=seen), self.states(seen=seen), self.registry(seen))
+        # of states the keys and the number of ticks are read, of ticks nothing unless some have expired
+        found = table_counts(self.states(seen=seen), None if seen.cutoff is None else self.ticks(seen=seen))
         days = calendar.agg(F.count(F.lit(1)).alias("rows"))
         found = found.unionByName(days.select(F.lit("jalali_calendar").alias("name"), "rows"))
         return found.select("name", F.col("name").isin(stored).alias("exists"), "rows")
@@ -600,18 +804,19 @@ class Warehouse:
         themselves leave the disk with the next complete compaction. A deleted
         symbol may register again with either calendar.
         """
-        seen = self.snapshot()
         wanted = symbols_predicate(symbols)
-        summary = delete_summary(
-            self.ticks(symbols, seen=seen),
-            self.states(symbols=symbols, seen=seen),
-            self.registry(seen).filter(wanted),
-        )
-        # ten rows, counted before the deletion takes effect
-        counted = [tuple(row) for row in summary.collect()]
-        now = dt.datetime.now(dt.timezone.utc)
-        self._append([(s, seen.last_batch, now) for s in sorted(set(symbols))], _DELETIONS, "deletions")
-        return self.spark.createDataFrame(counted, summary.schema)
+        gone = sorted(set(symbols))
+        while True:
+            seen = self.snapshot()
+            ticks = None if seen.cutoff is None else self.ticks(symbols, seen=seen).filter(wanted)
+            summary = delete_summary(self.states(symbols=symbols, seen=seen).filter(wanted), ticks)
+            # ten rows, counted before the deletion takes effect
+            counted = [tuple(row) for row in summary.collect()]
+            now = dt.datetime.now(dt.timezone.utc).isoformat()
+            marks = [json.dumps({"symbol": s, "since": seen.last_batch, "deleted_at": now}) for s in gone]
+            # a batch that came in between is counted too
+            if self._publish(seen.version + 1, f"deletion-{seen.last_batch}.json", "\n".join(marks) + "\n"):
+                return self.spark.createDataFrame(counted, summary.schema)
 
     def expire_ticks(self, days: int, as_of: dt.datetime) -> dt.datetime:
         """Hide ticks older than ``days`` before ``as_of``; candles and symbols stay.
@@ -628,19 +833,34 @@ class Warehouse:
         The usual run costs in proportion to the new batches; a ``complete`` one
         rewrites all visible rows and so drops deleted and expired ones.
         """
+        jobs = {"ticks": self._tick_run, "states": self._state_run, "symbols": self._symbol_run}
+        for table, rows_of in jobs.items():
+            while not self._merged(table, rows_of, complete):
+                pass
+
+    def _merged(self, table: str, rows_of: Callable, complete: bool) -> bool:
+        """Write and show one run; false if batches it should hold, or another run, came in between."""
         seen = self.snapshot()
         if not complete:
+            if seen.runs.get(table, ([], -1))[1] >= seen.last_batch:
+                return True
             # look at what no run holds yet
             seen = seen._replace(runs={t: ([], up_to) for t, (_, up_to) in seen.runs.items()})
-        jobs = {"ticks": self._tick_run, "states": self._state_run, "symbols": self._symbol_run}
-        for table, rows_of in jobs.items():
-            if not complete and seen.runs.get(table, ([], -1))[1] >= seen.last_batch:
-                continue
-            run = uuid.uuid4().hex
-            rows, partition_by = rows_of(seen)
-            rows.write.partitionBy(*partition_by).parquet(self._at(table, "base", f"run={run}"))
-            now = dt.datetime.now(dt.timezone.utc)
-            self._append([(table, run, seen.last_batch, complete, now)], _RUNS, "runs")
+        run = uuid.uuid4().hex
+        rows, partition_by = rows_of(seen)
+        rows.write.partitionBy(*partition_by).parquet(self._at(table, "base", f"run={run}"))
+        checked = seen.version
+        while True:
+            log = self._log()
+            later = [e for e in log if e.version > checked]
+            if any(e.kind == "batch" and int(e.parts[0]) <= seen.last_batch for e in later):
+                return False
+            if any(e.kind == "run" and e.parts[0] == table for e in later):
+                return False
+            checked = log[-1].version if log else -1
+            name = f"run-{table}-{run}-{seen.last_batch}-{seen.version}-{int(complete)}.json"
+            if self._publish(checked + 1, name, ""):
+                return True
 
     def _tick_run(self, seen: Snapshot) -> tuple[DataFrame, list[str]]:
         rows = (
@@ -672,21 +892,42 @@ class Warehouse:
         Only what was written more than ``min_age`` ago goes, so that readers that
         planned before can finish; name an age that is longer than any read.
         """
-        seen = self.snapshot()
+        log = self._log()
+        runs = self._runs(log)
         before = (dt.datetime.now(dt.timezone.utc) - min_age).timestamp() * 1000
-        merged = {table: up_to for table, (_, up_to) in seen.runs.items()}
-        for table, (runs, up_to) in seen.runs.items():
-            self._drop_batches(up_to, before, table, "delta")
-            self._drop(before, table, "base", keep={f"run={r}" for r in runs})
+        for table, found in runs.items():
+            self._drop_batches(found[-1].up_to, before, table, "delta")
+            self._drop(before, table, "base", keep={f"run={r.run}" for r in found})
         self._drop(before, "jalali_calendar", keep={f"version={max(self._versions(), default=0)}"})
-        if {"ticks", "states", "symbols"} <= merged.keys():
-            # a run stands for the batches it holds, their commits are not needed
-            self._drop_batches(min(merged.values()), before, "commits")
+        self._drop(before, "pending", keep=set())
+        if {"ticks", "states", "symbols"} <= runs.keys():
+            # a run stands for the batches it holds, their entries are not needed
+            merged = min(found[-1].up_to for found in runs.values())
+            self._drop_entries(log, runs, merged, before)
+            self._drop_batches(merged, before, "responses", "delta")
             for entry in self._listed("attempts"):
                 name = entry.getPath().getName()
-                if int(name) < min(merged.values()) and entry.getModificationTime() <= before:
+                if int(name) < merged and entry.getModificationTime() <= before:
                     self._delete("attempts", name)
 
+    def _drop_entries(self, log: list[Entry], runs: dict[str, list[Run]], merged: int, before: float) -> None:
+        """Remove entries that no reader needs; the last stays, so that versions go on from it."""
+        names = {r.run for found in runs.values() for r in found}
+        # what was written from a log with the deletion in it holds no row under its marks
+        clean = min(found[0].seen for found in runs.values())
+        for entry in log[:-1]:
+            folder = f"log/version={entry.version}"
+            fs, target = self._fs(folder)
+            if fs.getFileStatus(target).getModificationTime() > before:
+                continue
+            if entry.kind == "batch" and int(entry.parts[0]) <= merged:
+                self._create(entry.parts[0], "sources", entry.parts[1])
+                self._delete(folder)
+            elif entry.kind == "deletion" and entry.version <= clean:
+                self._delete(folder)
+            elif entry.kind == "run" and entry.parts[1] not in names:
+                self._delete(folder)
+
     def _drop(self, before: float, *parts: str, keep: set[str]) -> None:
         for entry in self._listed(*parts):
             name = entry.getPath().getName()
@@ -699,8 +940,8 @@ class Warehouse:
         self._drop(before, *parts, keep=later)
 
 
-def _quoted(name: str) -> str:
-    return urllib.parse.quote(str(name), safe="")
+def _key(source: str, number: str) -> str:
+    return hashlib.sha256(f"{source}\0{number}".encode()).hexdigest()
 
 
 def _utc(at: dt.datetime) -> dt.datetime:

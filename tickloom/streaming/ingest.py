@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tickloom.operators.registry import resolve
+from tickloom.operators.registry import registrations, settle
 from tickloom.operators.validation import (
-    accepted_counts,
     normalize,
-    split_batches,
+    request_marks,
+    request_verdicts,
+    told,
     validate,
 )
 from tickloom.sources.requests import parse_requests
-from tickloom.sources.warehouse import Warehouse
+from tickloom.sources.warehouse import RegistryMovedError, Snapshot, Warehouse
 
 
 def ingest_batch(
@@ -26,47 +27,76 @@ def ingest_batch(
 
     ``source`` and ``number`` name the batch: one that was taken in before is not taken
     in again. Without a number it is a new batch. Everything is checked before anything is
-    written: requests that fail write nothing but their response. Then symbols, ticks and
-    day states are stored, and the commit makes all of them visible together. Deliveries
+    shown: requests that fail leave nothing but their response. Responses, symbols, ticks and
+    day states are stored, and the commit makes all of them visible together. If another writer registered or
+    deleted one of the symbols meanwhile, the batch is resolved anew. Deliveries
     with one request id get one response: refused if any is, else with all their ticks.
     """
     number = uuid.uuid4().hex if number is None else str(number)
-    batch_id, done = warehouse.begin(source, number)
-    if done:
-        return batch_id
     checked = validate(parse_requests(requests)).persist()
+    marks = request_marks(checked).persist()
     try:
-        split = split_batches(checked)
-        registry = warehouse.registry(before_batch=batch_id)
-        resolution = resolve(split.claims, registry)
-
-        refused = split.rejected.unionByName(resolution.rejected)
-        counts = accepted_counts(checked.filter(F.col("pos").isNotNull()))
-        responses = (
-            requests.select("request_id")
-            .distinct()
-            .join(counts, "request_id", "left")
-            .join(refused, "request_id", "left")
-            .select(
-                "request_id",
-                F.when(F.col("code").isNull(), F.col("accepted")).otherwise(F.lit(0)).alias("accepted"),
-                "code",
-                "reason",
-            )
-        )
-        warehouse.write_batch("responses", batch_id, responses)
-        warehouse.write_batch("symbols", batch_id, resolution.new_symbols)
-
-        outcome = warehouse.read_batch("responses", batch_id)
-        void = outcome.filter(F.col("code").isNotNull()).select("request_id")
-        warehouse.write_ticks(normalize(checked.join(void, "request_id", "left_anti")), batch_id)
+        while True:
+            batch_id, seen = warehouse.begin(source, number)
+            if seen is None:
+                return batch_id
+            told = _store(warehouse, batch_id, seen, checked, marks)
+            try:
+                return warehouse.commit(batch_id, source, number, *told, seen=seen, claimed=marks)
+            except RegistryMovedError:
+                # every time another writer got on; the next attempt reads what it left
+                continue
     finally:
+        marks.unpersist()
         checked.unpersist()
-    warehouse.write_day_states(batch_id)
-    totals = outcome.agg(F.sum("accepted"), F.count("code")).first()
-    uncovered = warehouse.uncovered_ticks(batch_id)
-    standing = warehouse.commit(batch_id, source, number, totals[0] or 0, totals[1], uncovered)
-    return batch_id if standing is None else standing
+
+
+def _store(warehouse: Warehouse, batch_id: int, seen: Snapshot, checked: DataFrame, marks: DataFrame) -> tuple[int, int, int]:
+    """Write an attempt; its ticks, refused requests, and Jalali ticks outside the calendar.
+
+    Each job counts what it writes. Most batches are undisputed: their responses are those of the checks
+    alone, and their symbols are registered as they came. Where the counts say otherwise, these are written again.
+    """
+    verdicts = request_verdicts(marks)
+    counted = _respond(warehouse, batch_id, told(verdicts))
+    void = lambda: warehouse.read_batch("responses", batch_id).filter(F.col("code").isNotNull()).select("request_id")
+
+    claims = marks.filter(F.col("pos").isNotNull()).select("request_id", "received_at", "symbol", "calendar", "pos")
+    if counted["rejected"]:
+        claims = claims.join(void(), "request_id", "left_anti")
+    registry = warehouse.registry(seen)
+    asked = registrations(claims, registry).filter("fresh OR disputed")
+    disputes = warehouse.write_batch("symbols", batch_id, asked, disputed=F.count(F.when(F.col("disputed"), 1)))["disputed"]
+    responses = told(verdicts, marks) if counted["conflicts"] else told(verdicts)
+    if disputes:
+        resolution = settle(claims, registry)
+        warehouse.write_batch("symbols", batch_id, resolution.new_symbols)
+        late = resolution.rejected.select("request_id", F.col("code").alias("late_code"), F.col("reason").alias("late_reason"))
+        responses = responses.join(late, "request_id", "left").withColumns(
+            {name: F.coalesce(name, f"late_{name}") for name in ("code", "reason")}
+        )
+    if disputes or counted["conflicts"]:
+        counted = _respond(warehouse, batch_id, responses)
+
+    good = checked.filter(F.col("pos").isNotNull())
+    if counted["rejected"]:
+        good = good.join(void(), "request_id", "left_anti")
+    ticks = normalize(good)
+    warehouse.write_ticks(ticks, batch_id)
+    return counted["accepted"] or 0, counted["rejected"], warehouse.write_day_states(ticks, batch_id)
+
+
+def _respond(warehouse: Warehouse, batch_id: int, responses: DataFrame) -> dict:
+    """Store what each request is told, and count it."""
+    accepted = F.when(F.col("code").isNull(), F.col("ticks")).otherwise(F.lit(0))
+    return warehouse.write_batch(
+        "responses",
+        batch_id,
+        responses.withColumn("accepted", accepted),
+        accepted=F.sum("accepted"),
+        rejected=F.count("code"),
+        conflicts=F.count("conflict_pos"),
+    )
 
 
 def start_stream(
