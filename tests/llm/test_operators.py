@@ -367,10 +367,56 @@ def test_repeated_strings_as_by_brute_force(spark, monkeypatch, length, short, r
     docs = docs if length == 400 else [(d, t[:700]) for d, t in docs[:60]]
     docs += [(1000 + i, t[:4000]) for i, t in enumerate(ODD)] + [(2000, None), (2001, "line of text\n" * 200), (2002, "y" * 399), (2003, "z" * 400), (2004, "z" * 401)]
     frame = spark.createDataFrame([(d, t, "x", 1) for d, t in docs], "doc_id long, text string, digest string, runs int")
-    got = rows_of(repeats.removed(repeats.repeats(frame, length, short)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    got = rows_of(repeats.removed(repeats.repeats(frame, length, short), frame), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == brute_repeats(docs, length)
 
 
+def brute_passages(docs, length, words):
+    """Texts without stretches of more than ``words`` words whose strings stand in another text too."""
+    raw = [(d, (t or "").encode()) for d, t in docs]
+    holders = collections.defaultdict(set)
+    for d, b in raw:
+        for s in range(len(b) - length + 1):
+            holders[b[s : s + length]].add(d)
+    out = []
+    for d, b in raw:
+        cut = bytearray(len(b))
+        for s in range(len(b) - length + 1):
+            if len(holders[b[s : s + length]]) > 1:
+                cut[s : s + length] = b"\1" * length
+        left, at = [], 0
+        for m in re.finditer(b"\1+", bytes(cut)):
+            if len(b[m.start() : m.end()].split()) > words:
+                left.append(b[at : m.start()])
+                at = m.end()
+        out.append((d, "".join(p.decode(errors="ignore") for p in [*left, b[at:]])))
+    return sorted(out, key=repr)
+
+
+def test_passages_of_many_words_that_stand_in_several_texts(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghé"), rng.integers(2, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    long, short, page = text(60), text(45), text(30)
+    docs = [(i, f"{text(20)} {long if i % 3 == 0 else short if i % 3 == 1 else page} {text(int(rng.integers(0, 40)))}") for i in range(60)]
+    # one that repeats only itself stays whole, and so does what shares little
+    docs += [(100, " ".join([text(70)] * 2)), (101, "la " * 300), (102, text(400)), (103, ""), (104, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = rows_of(repeats.without_repeats(frame, 100, words=50, across=True).na.fill(""), "doc_id", "text")
+    want = brute_passages(docs, 100, 50)
+    assert got == want and sum(long in (t or "") for _, t in got) == 0
+    assert dict(got)[100] == docs[60][1] and dict(got)[1] == docs[1][1]
+
+
+def test_a_passage_in_a_third_of_all_texts(spark):
+    """Copies of the passage travel once for each slab; the result is that of brute force."""
+    passage = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(700))
+    docs = [(i, (passage if i % 3 == 0 else "") + f"{i}:" + str(i) * (i % 50)) for i in range(600)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    found = repeats.repeats(frame)
+    assert rows_of(repeats.removed(found, frame), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(docs, 400)
+
+
 def test_texts_without_their_repeated_strings(spark):
     passage = "é" * 300
     rows = [(1, "a" + passage + "b"), (2, "c" + passage + "d"), (3, "same " * 100), (3, "same " * 100), (None, None), (None, "x"), (4, "")]
@@ -492,8 +538,8 @@ def test_pipeline(spark):
             assert kept is None or {r["doc_id"] for r in docs.collect()} == kept
             before = [(r["doc_id"], r["text"]) for r in docs.collect()]
         if name == "repeated strings":
-            want = {d: n - m for d, n, m, *_ in brute_repeats(before, 400)}
-            assert all(len((r["text"] or "").encode()) <= want[r["doc_id"]] for r in docs.collect())
+            want = brute_passages(before, corpus_pipeline.PASSAGE_BYTES, corpus_pipeline.PASSAGE_WORDS)
+            assert rows_of(docs, "doc_id", "text") == want
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, MIDDLE)
     assert pieces.select("doc_id").distinct().count() == sizes[-1] == sizes[-2]
     empty = documents(spark).limit(0)

@@ -39,7 +39,8 @@ def all_oracles() -> dict[str, str]:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.repeats import removed, repeats
 
-    return removed(repeats(table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents")
+    return removed(repeats(docs), docs)
 
 
 @query("op6_minhash_forest")

@@ -7,7 +7,9 @@ in the round of length l every start s of a 400-byte string stands by the least
 l-byte name within [s, s + 400). Equal strings have equal least names, so a name
 that stands at one place only drops its starts for good; Spark groups the
 names and counts their places. In the last round l is the whole length and each
-surviving start stands by its own name.
+surviving start stands by its own name. There the strings of a run of starts travel
+together; equal runs of a slab of texts, as a passage has them that a third of all texts hold, travel once
+and are told apart again by where they stand, on rows without strings that are dealt to ``SALTS`` keys.
 """
 
 from __future__ import annotations
@@ -18,16 +20,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import binaries, lists, mix, pair, ranges, slabs, stored, whole_keys
+from tickloom.llm.common import binaries, buffers, lists, mix, pair, ranges, slabs, stored, whole_keys
 
 LENGTH = 400
 #: Length of the names in the thinned round.
 SHORT = 50
 #: Runs of one name dealt to a task; a more frequent name is split by the names of its strings.
 RUNS = 2048
+#: Keys that the places of one run are dealt to.
+SALTS = 16
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def names(data: np.ndarray, length: int) -> np.ndarray:
@@ -71,6 +78,17 @@ def _places(name: np.ndarray, low: np.ndarray, high: np.ndarray, short: np.ndarr
     return np.bincount(np.repeat(np.arange(len(name)), counts), hit, len(name)).astype(np.int64)
 
 
+def _words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many words, parted by white space, each text has."""
+    space = _SPACE[data]
+    first = ~space
+    first[1:] &= space[:-1]
+    inner = offsets[:-1][np.diff(offsets) > 0]
+    first[inner] = ~space[inner]
+    before = np.concatenate([[0], np.cumsum(first)])
+    return before[offsets[1:]] - before[offsets[:-1]]
+
+
 def _runs(length: int, short: int):
     """Of each text: the runs of starts with one least name."""
     width = length - short + 1
@@ -96,18 +114,30 @@ def _runs(length: int, short: int):
                         batch.column("doc_id").slice(first, end - first),
                         batch.column("digest").slice(first, end - first),
                         pa.array(np.diff(offsets), pa.int64()),
+                        pa.array(_words(data, offsets), pa.int64()),
                         lists(found[at].view(np.int64), bounds, pa.int64()),
                         lists((starts[at] - offsets[row[at]]).astype(np.int32), bounds, pa.int32()),
                         lists(places.astype(np.int32), bounds, pa.int32()),
                     ],
-                    ["doc_id", "digest", "n_bytes", "names", "starts", "places"],
+                    ["doc_id", "digest", "n_bytes", "n_words", "names", "starts", "places"],
                 )
 
     return run
 
 
-def _starts(length: int):
-    """Of each surviving run: the names of its strings, dealt out by name where there are many runs."""
+def _contents(strings: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit name of strings[bounds[i]:bounds[i + 1]], each list as a whole and in order."""
+    at = ranges(np.zeros(len(bounds) - 1, np.int64), np.diff(bounds)).astype(np.uint64)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(pair(strings, at + np.uint64(1)), dtype=np.uint64)])
+    return mix(sums[bounds[1:]] - sums[bounds[:-1]])
+
+
+def _starts(length: int, as_places: bool):
+    """Of each surviving run: the names of its strings, dealt out by name where there are many runs.
+
+    Equal ones of a slab are one row that tells whether there are several, and of several texts. Or, ``as_places``,
+    where each stands.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,10 +147,9 @@ def _starts(length: int):
                 at = part.column("runs")
                 of = np.repeat(np.arange(len(part)), np.diff(at.offsets.to_numpy()))
                 flat = at.flatten()
-                low, high, parts = (flat.field(k).to_numpy() for k in ("low", "high", "parts"))
-                counts = high - low
-                starts = ranges(low, counts)
-                run_of = np.repeat(np.arange(len(low)), counts)
+                name, low, high, parts = (flat.field(k).to_numpy() for k in ("name", "low", "high", "parts"))
+                starts = ranges(low, high - low)
+                run_of = np.repeat(np.arange(len(low)), high - low)
                 mine = found[starts + offsets[of[run_of]]]
                 sub = (mine >> np.uint64(7)) % parts[run_of].astype(np.uint64)
                 order = np.lexsort((starts, sub, run_of)) if (parts > 1).any() else np.arange(len(mine))
@@ -128,56 +157,105 @@ def _starts(length: int):
                 new = np.ones(len(mine), bool)
                 new[1:] = (run_of[1:] != run_of[:-1]) | (sub[1:] != sub[:-1])
                 cut = np.append(np.flatnonzero(new), len(mine))
-                head = run_of[cut[:-1]]
+                head, sub = run_of[cut[:-1]], sub[cut[:-1]].astype(np.int64)
+                content = _contents(mine, cut)
+                digests, keys = part.column("digest"), name[head]
+                if as_places:
+                    # where a run is whole its places follow from the first
+                    split = np.concatenate([[0], np.cumsum(np.where(parts[head] > 1, np.diff(cut), 0))])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            digests.take(pa.array(of[head])), pa.array(keys, pa.int64()), pa.array(sub), pa.array(content.view(np.int64)),
+                            pa.array(starts[cut[:-1]].astype(np.int32)), binaries(starts.astype(np.int32)[parts[run_of] > 1], split),
+                        ],
+                        ["digest", "name", "sub", "content", "low", "places"],
+                    )
+                    continue
+                order = np.lexsort((of[head], content, sub, keys))
+                same = (keys[order][1:] == keys[order][:-1]) & (sub[order][1:] == sub[order][:-1]) & (content[order][1:] == content[order][:-1])
+                group = np.append(np.flatnonzero(~np.concatenate([[False], same])), len(order)) if len(order) else np.zeros(1, np.int64)
+                one = order[group[:-1]]
+                last = order[group[1:] - 1] if len(one) else one
+                sizes = (cut[1:] - cut[:-1])[one]
+                bounds = np.concatenate([[0], np.cumsum(sizes)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("digest").take(pa.array(of[head])),
-                        pa.array(flat.field("name").to_numpy()[head], pa.int64()),
-                        pa.array(sub[cut[:-1]].astype(np.int64), pa.int64()),
-                        binaries(mine, cut),
-                        pa.array(starts[cut[:-1]].astype(np.int32)),
-                        # where a run is whole its places follow from the first
-                        binaries(starts.astype(np.int32)[parts[run_of] > 1], np.concatenate([[0], np.cumsum(np.where(parts[head] > 1, np.diff(cut), 0))])),
+                        digests.take(pa.array(of[head][one])), pa.array(keys[one], pa.int64()), pa.array(sub[one]), pa.array(content[one].view(np.int64)),
+                        binaries(mine[ranges(cut[:-1][one], sizes)], bounds), pa.array(np.diff(group) > 1), pa.array(of[head][one] != of[head][last]),
                     ],
-                    ["digest", "name", "sub", "strings", "low", "places"],
-                )
+                    ["digest", "name", "sub", "content", "strings", "several", "texts"],
+                )
 
     return run
 
 
-def _repeated(length: int):
-    """Of runs sorted by name: the bytes of each that lie in a string with the name of another."""
+def _repeated(across: bool):
+    """Of runs sorted by name: which strings of each stand elsewhere too, or, ``across``, in another text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_keys(batches, ["name", "sub"], 256):
             group = group.combine_chunks()
-            if not group.num_rows:
+            held = group["strings"].combine_chunks()
+            held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
+            offsets, data = buffers(held)
+            strings = np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), np.uint64)
+            if not len(strings):
                 continue
-            sizes = np.array([len(x) // 8 for x in group["strings"].to_pylist()])
-            strings = np.frombuffer(b"".join(group["strings"].to_pylist()), np.uint64)
+            sizes = np.diff(offsets) // 8
             row = np.repeat(np.arange(len(sizes)), sizes)
-            given = np.array([len(x) > 0 for x in group["places"].to_pylist()])
-            places = ranges(group["low"].to_numpy(), sizes)
-            places[given[row]] = np.frombuffer(b"".join(group["places"].to_pylist()), np.int32)
             order = np.argsort(strings, kind="stable")
-            same = strings[order[1:]] == strings[order[:-1]]
+            heads = np.flatnonzero(np.concatenate([[True], strings[order[1:]] != strings[order[:-1]]]))
+            if across:
+                text = group["digest"].combine_chunks().dictionary_encode()
+                text = (text.chunk(0) if isinstance(text, pa.ChunkedArray) else text).indices.to_numpy()[row[order]]
+                hit = np.maximum.reduceat(text, heads) != np.minimum.reduceat(text, heads)
+                hit |= np.logical_or.reduceat(group["texts"].to_numpy()[row[order]], heads)
+            else:
+                times = np.diff(np.append(heads, len(order)))
+                hit = (times > 1) | np.logical_or.reduceat(group["several"].to_numpy()[row[order]], heads)
             twice = np.zeros(len(strings), bool)
-            twice[order[1:]] |= same
-            twice[order[:-1]] |= same
-            row, places = row[twice], places[twice]
-            if not len(row):
+            twice[order] = np.repeat(hit, np.diff(np.append(heads, len(order))))
+            at = ranges(np.zeros(len(sizes), np.int64), sizes)[twice].astype(np.int32)
+            bounds = np.concatenate([[0], np.cumsum(np.bincount(row[twice], minlength=len(sizes)))])
+            some = np.flatnonzero(np.diff(bounds))
+            if len(some):
+                # one row for each content, though slabs may have sent it several times
+                key = [group[k].to_numpy()[some] for k in ("name", "sub", "content")]
+                order = np.lexsort(key[::-1])
+                new = np.ones(len(order), bool)
+                new[1:] = np.any([k[order][1:] != k[order][:-1] for k in key], axis=0)
+                kept = np.sort(order[new])
+                lengths = np.diff(bounds)[some[kept]]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(k[kept]) for k in key), binaries(at[ranges(bounds[some[kept]], lengths)], np.concatenate([[0], np.cumsum(lengths)]))],
+                    ["name", "sub", "content", "hits"],
+                )
+
+    return run
+
+
+def _ranges(length: int):
+    """Of runs with their repeated strings: the bytes of each text that these cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
+            (at, hits), (split, places) = (buffers(batch.column(k)) for k in ("hits", "places"))
+            at, split = at // 4, split // 4
+            sizes = np.diff(at)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            found = np.frombuffer(hits.tobytes(), np.int32)[at[0] : at[-1]].astype(np.int64)
+            there = np.frombuffer(places.tobytes(), np.int32)
+            start = batch.column("low").to_numpy().astype(np.int64)[row] + found
+            apart = (np.diff(split) > 0)[row]
+            start[apart] = there[split[:-1][row[apart]] + found[apart]]
             new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (places[1:] > places[:-1] + length)
-            at = np.flatnonzero(new)
-            last = np.append(at[1:], len(row)) - 1
-            of = pa.array(row[at])
+            new[1:] = (row[1:] != row[:-1]) | (start[1:] > start[:-1] + length)
+            head = np.flatnonzero(new)
+            last = np.append(head[1:], len(row)) - 1
             yield pa.RecordBatch.from_arrays(
-                [
-                    group["digest"].combine_chunks().take(of),
-                    pa.array(places[at].astype(np.int32)),
-                    pa.array((places[last] + length).astype(np.int32)),
-                ],
+                [batch.column("digest").take(pa.array(row[head])), pa.array(start[head].astype(np.int32)), pa.array((start[last] + length).astype(np.int32))],
                 ["digest", "low", "high"],
             )
 
@@ -195,8 +273,8 @@ def merged(low: list[int], high: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def _kept(as_text: bool):
-    """Of texts with ranges to remove: what is left, and the runs removed."""
+def _kept(words: int):
+    """Of texts with ranges to remove: what is left, and the runs removed; runs of up to ``words`` words stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,14 +282,14 @@ def _kept(as_text: bool):
             for digest, text, cut in zip(*(batch.column(k).to_pylist() for k in ("digest", "text", "cut")), strict=True):
                 raw = text.encode()
                 spans = merged([c["low"] for c in cut], [c["high"] for c in cut])
+                spans = [(a, b) for a, b in spans if not words or len(raw[a:b].split()) > words]
                 left, at = [], 0
                 for a, b in [*spans, (len(raw), len(raw))]:
-                    piece = raw[at:a]
-                    # halves of characters at a cut have no place in a text
-                    left.append(piece.decode(errors="ignore").encode() if as_text else piece)
+                    left.append(raw[at:a])
                     at = b
-                left = b"".join(left)
-                out.append((digest, sum(b - a for a, b in spans), len(spans), hashlib.sha256(left).hexdigest(), left.decode() if as_text else None))
+                # halves of characters at a cut have no place in a text
+                text = "".join(piece.decode(errors="ignore") for piece in left)
+                out.append((digest, sum(b - a for a, b in spans), len(spans), hashlib.sha256(b"".join(left)).hexdigest(), text))
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string())
             heads = ("digest", "n_removed", "n_spans", "kept_sha256", "kept_text")
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], list(heads))
@@ -221,16 +299,22 @@ def _kept(as_text: bool):
 
 @dataclass
 class Repeats:
-    """documents: doc_id, digest, n_bytes, copies (rows with that text).
-    cut: digest, text, cut (ranges to remove) of texts that have no copy."""
+    """documents: doc_id, digest, n_bytes, n_words, copies (rows with that text).
+    cut: digest, text, cut (ranges to remove) of texts that have no copy.
+    Runs of up to ``words`` words are left alone."""
 
     documents: DataFrame
     cut: DataFrame
     length: int
+    words: int
 
-    def kept(self, as_text: bool = False) -> DataFrame:
+    def kept(self) -> DataFrame:
         kind = "digest binary, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-        return self.cut.mapInArrow(_kept(as_text), kind)
+        return self.cut.mapInArrow(_kept(self.words), kind)
+
+    def whole(self) -> Column:
+        """Texts that go as a whole, as they have copies."""
+        return (F.col("copies") > 1) & (F.col("n_bytes") >= self.length) & (F.col("n_words") > self.words if self.words else F.lit(True))
 
 
 def _digested(docs: DataFrame) -> DataFrame:
@@ -238,16 +322,19 @@ def _digested(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, short: int = SHORT) -> Repeats:
+def repeats(docs: DataFrame, length: int = LENGTH, short: int = SHORT, words: int = 0, across: bool = False) -> Repeats:
     """Strings of ``length`` bytes of ``docs`` (doc_id, text) that start at two places or more.
 
+    With ``across`` these must be places in two texts. Of what such strings cover without a gap,
+    stretches of up to ``words`` words are left alone.
+
     Null texts are empty; texts shorter than ``length`` have no such string.
     Rows with one text are copies of each other: all of it is repeated if it is
     long enough, and one of them stands for it in the rounds. Rows may share a
     doc_id or lack one. Other columns are not looked at.
     """
     docs = _digested(docs)
-    kind = "doc_id long, digest binary, n_bytes long, names array<long>, starts array<int>, places array<int>"
+    kind = "doc_id long, digest binary, n_bytes long, n_words long, names array<long>, starts array<int>, places array<int>"
     first = stored(docs.mapInArrow(_runs(length, short), kind), "runs")
     copies = first.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"))
     rows = stored(first.join(copies, "digest"), "runs-of-texts")
@@ -264,36 +351,48 @@ def repeats(docs: DataFrame, length: int = LENGTH, short: int = SHORT) -> Repeat
     active = runs.join(frequent, "name").groupBy("digest", "rep").agg(F.collect_list(F.struct("name", "low", "high", parts)).alias("runs"))
     texts = docs.join(active, "digest").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("digest", "text", "runs")
     texts = stored(texts, "active-texts")
-    dealt = texts.mapInArrow(_starts(length), "digest binary, name long, sub long, strings binary, low int, places binary")
+    dealt = texts.mapInArrow(_starts(length, False), "digest binary, name long, sub long, content long, strings binary, several boolean, texts boolean")
     dealt = dealt.repartition("name", "sub").sortWithinPartitions("name", "sub")
-    found = dealt.mapInArrow(_repeated(length), "digest binary, low int, high int")
+    hits = dealt.mapInArrow(_repeated(across), "name long, sub long, content long, hits binary")
+    hits = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    places = texts.mapInArrow(_starts(length, True), "digest binary, name long, sub long, content long, low int, places binary")
+    places = places.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int"))
+    found = places.join(hits, ["name", "sub", "content", "salt"]).select("digest", "low", "places", "hits")
+    found = found.mapInArrow(_ranges(length), "digest binary, low int, high int")
     found = found.groupBy("digest").agg(F.collect_list(F.struct("low", "high")).alias("cut"))
     single = rows.filter("copies = 1").select("digest")
     cut = texts.drop("runs").join(found, "digest").join(single, "digest", "left_semi")
-    return Repeats(rows.select("doc_id", "digest", "n_bytes", "copies"), stored(cut, "cut-texts"), length)
+    return Repeats(rows.select("doc_id", "digest", "n_bytes", "n_words", "copies"), stored(cut, "cut-texts"), length, words)
 
 
-def removed(found: Repeats) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    kept = found.kept().select("digest", "n_removed", "n_spans", "kept_sha256")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= found.length)
-    return found.documents.join(kept, "digest", "left").select(
+def removed(found: Repeats, docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text of every row of ``docs``.
+
+    The hash is that of the bytes that are left; in the text halves of characters at a cut are left out.
+    """
+    whole = found.documents.filter(found.whole()).select("digest", F.col("n_bytes").alias("n_removed")).distinct()
+    whole = whole.select("digest", "n_removed", F.lit(1).cast("long"), F.sha2(F.lit("").cast("binary"), 256), F.lit(""))
+    changed = found.kept().unionByName(whole.toDF("digest", "n_removed", "n_spans", "kept_sha256", "kept_text"))
+    rows = _digested(docs).join(changed, "digest", "left")
+    none = F.lit(0).cast("long")
+    return rows.select(
         "doc_id",
-        "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"),
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.coalesce("n_removed", none).alias("n_removed"),
+        F.coalesce("n_spans", none).alias("n_spans"),
+        F.coalesce("kept_sha256", F.lower(F.hex("digest"))).alias("kept_sha256"),
+        F.coalesce("kept_text", "text").alias("kept_text"),
     )
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, words: int = 0, across: bool = False) -> DataFrame:
     """``docs`` with the repeated bytes taken out of ``text``; halves of characters at a cut go too.
 
-    A null text stays null. ``n_chars``, if there, is counted anew.
+    A null text stays null. ``n_chars``, if there, is counted anew. ``words`` and ``across`` as in :func:`repeats`.
     """
-    found = repeats(docs, length)
-    left = found.kept(as_text=True).select(F.lit(False).alias("whole"), "digest", "kept_text")
-    whole = found.documents.filter((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select(F.lit(True).alias("whole"), "digest").distinct()
+    found = repeats(docs, length, words=words, across=across)
+    left = found.kept().select("digest", "kept_text")
+    whole = found.documents.filter(found.whole()).select("digest").distinct()
     changed = left.unionByName(whole.withColumn("kept_text", F.lit("")))
     changed = changed.select(F.col("digest").alias("_text_digest"), F.col("kept_text").alias("_text_kept"))
     keyed = docs.withColumn("_text_digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
