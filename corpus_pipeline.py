@@ -17,6 +17,8 @@ from tickloom.llm.common import stored, table
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: A document whose main language has a smaller share goes.
 LEAST_SHARE = 0.35
+#: Passages of more words that stand in several texts are cut out. So many words have more bytes, four to a word with its space.
+PASSAGE_WORDS, PASSAGE_BYTES = 50, 200
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -53,8 +55,11 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 400-byte strings that occur twice are cut out of the texts."""
-    return repeats.without_repeats(docs)
+    """Passages of more than ``PASSAGE_WORDS`` words that stand in several texts are cut out of them.
+
+    A passage is what strings of ``PASSAGE_BYTES`` bytes cover that stand in another text too.
+    """
+    return repeats.without_repeats(docs, PASSAGE_BYTES, words=PASSAGE_WORDS, across=True)
 
 
 def in_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
