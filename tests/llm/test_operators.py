@@ -176,8 +176,7 @@ def test_languages_at_the_edges(spark):
 
 
 def test_search_equals_scoring_everything(spark, monkeypatch):
-    monkeypatch.setattr(search, "SHARD", 40)
-    monkeypatch.setattr(search, "QUERIES", 7)
+    monkeypatch.setattr(search, "POSTINGS", 2000)
     monkeypatch.setattr(search, "BLOCK", 4)
     docs = {r["doc_id"]: r["text"] for r in documents(spark).limit(120).collect()} | {900: "", 901: None, 902: "a A a b"}
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -342,6 +341,20 @@ def test_near_copies_at_the_edges(spark):
     assert minhash.near_duplicates(odd_documents(spark).limit(0)).count() == 0
 
 
+def test_search_with_one_giant_text_and_many_small_shards(spark, monkeypatch):
+    """Shards of few postings and blocks of few documents find what one of all does."""
+    rows = [(100, " ".join(str(i) for i in range(1_000_000)))] + [(i, f"{i} {i % 7} common {'word ' * (i % 5)}") for i in range(101, 700)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = rows_of(search.top_k(frame, F.col("doc_id") % 100 == 0), "query_id", "rank", "doc_id", "score")
+    for name, value in (("POSTINGS", 300), ("BLOCK", 4), ("FIRST", 1), ("COMMON", 3)):
+        monkeypatch.setattr(search, name, value)
+    frame = frame.filter("doc_id > 100")
+    few = rows_of(search.top_k(frame, F.col("doc_id") % 100 == 0), "query_id", "rank", "doc_id", "score")
+    monkeypatch.undo()
+    assert few == rows_of(search.top_k(frame, F.col("doc_id") % 100 == 0), "query_id", "rank", "doc_id", "score")
+    assert [w for w in want if w[0] == 100][0][:3] == (100, 1, 100) and len([w for w in want if w[0] == 100]) == 10
+
+
 # --- repeated strings ------------------------------------------------------------
 
 

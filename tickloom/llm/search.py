@@ -1,14 +1,16 @@
-"""Exact BM25 top-k search over an inverted index, term at a time with block-max bounds.
+"""Exact BM25 top-k search over an inverted index with block-max pruning.
 
 Terms are runs of letters and digits, A-Z lowered. Document frequencies, the number
 of documents and their mean length are taken over all rows. Rows are dealt to
-shards; a shard inverts its rows into posting lists with impacts in whole
-millionths, so that sums are exact in any order, and keeps the greatest impact of
-each common list in each block of documents. A query adds up its rare lists first,
-then the common ones from the heaviest to the lightest. The k-th best sum so far is
-a bar; what a block's greatest impacts of the lists still to come cannot lift over
-the bar is out, and once few documents are left those lists are looked up for these
-alone. Each shard's top k are merged. Queries come in blocks; every shard meets every block.
+shards of a bounded number of postings; the rows of a shard and then all queries come to it
+in one sorted stream, so it is built once and holds no more than itself and a batch of queries. A shard
+lays its documents out by their most frequent term and length, so that those alike
+are neighbours, and cuts its posting lists at every ``BLOCK`` documents. Of each piece of a list it knows the greatest
+impact. As in WAND a query skips what cannot reach the bar, its k-th best score so far: the greatest
+impacts of its lists bound each block of documents, blocks are opened from the highest bound down, the cursors of
+all lists jump to their pieces there, and it ends where the next bound lies below the bar. Lists of terms in more than one of
+``COMMON`` documents hold a number for every document, so that a piece needs no search. Impacts are whole
+millionths, so that sums are exact in any order. Each shard's top k are merged.
 """
 
 from __future__ import annotations
@@ -16,22 +18,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import binaries, ranges, slabs, stored
+from tickloom.llm.common import binaries, buffers, ranges, slabs, stored
 from tickloom.llm.minhash import words
 
 K1, B = 1.2, 0.75
 #: Whole units of score to one.
 UNIT = 1_000_000
-#: Documents of a shard, about; queries of a block, about; documents of a pruning block.
-SHARD, QUERIES, BLOCK = 16_384, 8_192, 128
-#: A term in more than one of so many documents is common; common lists between two looks at the bar.
-COMMON, LISTS = 16, 12
+#: Postings of a shard, about; documents of a block; blocks opened before the bar is looked at first.
+POSTINGS, BLOCK, FIRST = 1 << 21, 128, 8
+#: A term in more than one of so many documents is common: there are at most so many times the terms of a document.
+COMMON = 32
 
 _NO_TERM = np.ones(256, bool)
 _NO_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -80,88 +81,168 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Shard:
-    """Posting lists of a shard's rows for the terms of a block of queries."""
+    """Posting lists of a shard's rows, cut into pieces of ``BLOCK`` neighbouring documents; :meth:`weigh` comes before :meth:`top`.
 
-    def __init__(self, ids: np.ndarray, lengths: np.ndarray, terms: list[bytes], times: list[bytes], vocabulary: np.ndarray, weights: np.ndarray, mean: float):
-        order = np.lexsort((ids, lengths))
+    ``common`` are the sorted names of the common terms, ``heavy`` their weights.
+    """
+
+    def __init__(
+        self, ids: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, terms: np.ndarray, times: np.ndarray, mean: float, common: np.ndarray, heavy: np.ndarray
+    ):
+        n, self.common = len(ids), common
+        self.blocks = -(-n // BLOCK)
+        begin = np.cumsum(sizes) - sizes
+        # the most frequent term of each document, the first of equals
+        lead, some = np.zeros(n, np.int64), np.flatnonzero(sizes)
+        if len(some):
+            top = np.flatnonzero(times == np.repeat(np.maximum.reduceat(times, begin[some]), sizes[some]))
+            lead[some] = terms[top[np.searchsorted(top, begin[some])]]
+        order = np.lexsort((ids, lengths, lead))
         self.ids = ids[order]
-        n = len(ids)
-        sizes = np.array([len(terms[i]) // 8 for i in order], np.int64)
-        term = np.frombuffer(b"".join([terms[i] for i in order]), np.int64)
-        tf = np.frombuffer(b"".join([times[i] for i in order]), np.uint32)
-        doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
-        at = np.minimum(np.searchsorted(vocabulary, term), len(vocabulary) - 1)
-        known = vocabulary[at] == term
-        at, doc, tf = at[known], doc[known], tf[known].astype(np.float64)
         norm = K1 * (1 - B + B * lengths[order] / mean)
-        impact = np.floor(weights[at] * (tf * (K1 + 1) / (tf + norm[doc])) * UNIT + 0.5).astype(np.int64)
-        by = np.argsort(at, kind="stable")
-        self.doc, self.impact, at = doc[by], impact[by], at[by]
-        self.bounds = np.searchsorted(at, np.arange(len(vocabulary) + 1))
-        # lists of common terms as rows over all documents, with the greatest impact in each block of documents
-        sizes = np.diff(self.bounds)
-        common = np.flatnonzero(sizes * COMMON > n)
-        self.row = np.full(len(vocabulary), -1)
-        self.row[common] = np.arange(len(common))
-        self.rows = np.zeros((len(common), n))
-        for i, t in enumerate(common.tolist()):
-            low, high = self.bounds[t], self.bounds[t + 1]
-            self.rows[i, self.doc[low:high]] = self.impact[low:high]
-        heads = np.arange(0, n, BLOCK)
-        self.most = np.maximum.reduceat(self.rows, heads, axis=1) if n and len(common) else np.zeros((len(common), len(heads)))
+        by = ranges(begin[order], sizes[order])
+        terms, doc, tf = terms[by], np.repeat(np.arange(n, dtype=np.int32), sizes[order]), times[by].astype(np.float64)
+        part = tf * (K1 + 1) / (tf + norm[doc])
+        at = np.minimum(np.searchsorted(common, terms), max(len(common) - 1, 0))
+        is_common = common[at] == terms if len(common) else np.zeros(len(terms), bool)
+        self.dense = np.zeros((len(common), self.blocks * BLOCK), np.int32)
+        at = at[is_common]
+        self.dense[at, doc[is_common]] = np.floor(heavy[at] * part[is_common] * UNIT + 0.5)
+        self.dense = self.dense.reshape(len(common), self.blocks, BLOCK)
+        self.heights = self.dense.max(axis=2).astype(np.int64) if self.dense.size else np.zeros((len(common), self.blocks), np.int64)
+        terms, doc, part = terms[~is_common], doc[~is_common], part[~is_common]
+        by = np.argsort(terms, kind="stable")
+        terms, self.doc, self.part = terms[by], doc[by], part[by]
+        block = self.doc // BLOCK
+        new = np.ones(len(terms), bool)
+        new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
+        head = np.flatnonzero(new)
+        self.start = np.append(head, len(terms)).astype(np.int32)
+        self.block = block[head]
+        self.vocabulary, pieces = np.unique(terms[head], return_index=True)
+        self.pieces = np.append(pieces, len(head))
+        self.weighed = np.zeros(len(self.vocabulary), bool)
+        self.most = np.zeros(len(head))
+
+    def weigh(self, terms: np.ndarray, weights: np.ndarray) -> None:
+        """Turn the lists of these terms to impacts, those that are not yet."""
+        terms, first = np.unique(terms, return_index=True)
+        at = np.searchsorted(self.vocabulary, terms)
+        at[at == len(self.vocabulary)] = 0
+        new = (self.vocabulary[at] == terms) & ~self.weighed[at] if len(self.vocabulary) else np.zeros(len(terms), bool)
+        at, weights = at[new], weights[first[new]]
+        if not len(at):
+            return
+        self.weighed[at] = True
+        low, high = self.start[self.pieces[at]], self.start[self.pieces[at + 1]]
+        posting = ranges(low, high - low)
+        self.part[posting] = np.floor(np.repeat(weights, high - low) * self.part[posting] * UNIT + 0.5)
+        counts = self.pieces[at + 1] - self.pieces[at]
+        piece = ranges(self.pieces[at], counts)
+        sizes = self.start[piece + 1] - self.start[piece]
+        self.most[piece] = np.maximum.reduceat(self.part[posting], np.cumsum(sizes) - sizes)
 
     def top(self, terms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the best k rows; of equal scores the smaller ids.
+        """Ids and scores of the best k rows for weighed terms; of equal scores the smaller ids.
 
         Sums are whole numbers far below 2 ** 53, so doubles hold them exactly.
         """
-        n, row = len(self.ids), self.row[terms]
-        rare = terms[row < 0]
-        at = ranges(self.bounds[rare], self.bounds[rare + 1] - self.bounds[rare])
-        total = np.bincount(self.doc[at], self.impact[at], n).astype(np.float64)
-        row = row[row >= 0]
-        row = row[np.argsort(-self.most[row].max(axis=1), kind="stable")] if len(row) else row
-        left = None
-        for first in range(0, len(row), LISTS):
-            if n > k:
-                # the bar, and what the lists still to come can add in each block at most
-                bar = np.partition(total, n - k)[n - k]
-                bound = self.most[row[first:]].sum(axis=0)
-                may = np.flatnonzero(total + np.repeat(bound, BLOCK)[:n] >= bar)
-                if len(may) * 4 <= n:
-                    left = may
-                    total[left] += self.rows[row[first:, None], left].sum(axis=0)
-                    break
-            for r in row[first : first + LISTS].tolist():
-                total += self.rows[r]
-        if left is None:
-            left = np.flatnonzero(total)
-        if len(left) > k:
-            bar = np.partition(total[left], len(left) - k)[len(left) - k]
-            left = left[total[left] >= bar]
-        best = left[np.lexsort((self.ids[left], -total[left]))][:k]
-        best = best[total[best] > 0]
+        at = np.searchsorted(self.common, terms)
+        at[at == len(self.common)] = 0
+        dense = at[self.common[at] == terms] if len(self.common) else at[:0]
+        at = np.searchsorted(self.vocabulary, terms)
+        at[at == len(self.vocabulary)] = 0
+        known = self.vocabulary[at] == terms if len(self.vocabulary) else np.zeros(len(terms), bool)
+        at = at[known]
+        piece = ranges(self.pieces[at], self.pieces[at + 1] - self.pieces[at])
+        block = self.block[piece]
+        bound = np.bincount(block, self.most[piece], self.blocks) + self.heights[dense].sum(axis=0)
+        # pieces in the order their blocks are opened in
+        ranks = np.argsort(-bound, kind="stable")
+        rank = np.empty(self.blocks, np.uint16 if self.blocks < 1 << 16 else np.int64)
+        rank[ranks] = np.arange(self.blocks)
+        turn = rank[block]
+        by = np.argsort(turn, kind="stable")
+        piece, turn = piece[by], turn[by]
+        total = np.zeros(self.blocks * BLOCK)
+        opened, many, bar = 0, FIRST, 1.0
+        while opened < self.blocks and bound[ranks[opened]] >= bar:
+            # of the next blocks those that may reach the bar
+            end = min(opened + many, self.blocks)
+            end = opened + int(np.count_nonzero(bound[ranks[opened:end]] >= bar))
+            low, high = np.searchsorted(turn, [opened, end])
+            mine = piece[low:high]
+            sizes = self.start[mine + 1] - self.start[mine]
+            posting = ranges(self.start[mine], sizes)
+            total += np.bincount(self.doc[posting], self.part[posting], len(total))
+            near = np.sort(ranks[opened:end])
+            total.reshape(-1, BLOCK)[near] += self.dense[dense[:, None], near[None, :]].sum(axis=0, dtype=np.int64)
+            if len(total) > k:
+                bar = max(np.partition(total, len(total) - k)[len(total) - k], 1.0)
+            opened, many = end, many * 3
+        found = np.flatnonzero(total[: len(self.ids)] >= bar)
+        best = found[np.lexsort((self.ids[found], -total[found]))][:k]
         return self.ids[best], total[best].astype(np.int64)
 
 
-def _searched(k: int, mean: float):
-    def run(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(queries):
-            term = np.concatenate([np.asarray(t, np.int64) for t in queries["terms"]])
-            weight = np.concatenate([np.asarray(w, np.float64) for w in queries["weights"]])
-            vocabulary, first = np.unique(term, return_index=True)
-            shard = Shard(
-                rows["doc_id"].to_numpy(np.int64), rows["length"].to_numpy(np.float64), rows["terms"].tolist(), rows["times"].tolist(), vocabulary, weight[first], mean
-            )
-            for query, terms in zip(queries["query_id"], queries["terms"], strict=True):
-                ids, scores = shard.top(np.searchsorted(vocabulary, np.asarray(terms, np.int64)), k)
-                out.append(pd.DataFrame({"query_id": query, "doc_id": ids, "units": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "doc_id": [], "units": []}).astype("int64")
+_STREAM = "shard int, kind int, id long, length long, terms binary, values binary"
+_FOUND = "query_id long, doc_id long, units long"
+
+
+def _searched(k: int, mean: float, common: np.ndarray, heavy: np.ndarray):
+    """Of each shard's rows (kind 0) and the queries that follow them (kind 1): the best rows for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, shard, rows = None, None, []
+
+        def built() -> Shard:
+            ids, lengths = (np.concatenate([r[i] for r in rows]) if rows else np.empty(0, np.int64) for i in (0, 1))
+            sizes = np.concatenate([r[2] for r in rows]) if rows else np.empty(0, np.int64)
+            terms = np.concatenate([r[3] for r in rows]) if rows else np.empty(0, np.int64)
+            times = np.concatenate([r[4] for r in rows]) if rows else np.empty(0, np.uint32)
+            rows.clear()
+            return Shard(ids, lengths, sizes, terms, times, mean, common, heavy)
+
+        for batch in batches:
+            shards, kinds = (batch.column(c).to_numpy() for c in ("shard", "kind"))
+            cuts = np.flatnonzero((np.diff(shards) != 0) | (np.diff(kinds) != 0)) + 1
+            bounds = [0, *cuts.tolist(), batch.num_rows]
+            for low, high in zip(bounds, bounds[1:]):
+                if low == high:
+                    continue
+                part = batch.slice(low, high - low)
+                if shards[low] != at:
+                    at, shard = shards[low], None
+                    rows.clear()
+                ids = part.column("id").to_numpy()
+                terms, values = (buffers(part.column(c)) for c in ("terms", "values"))
+                flat = lambda column, kind: np.frombuffer(column[1][column[0][0] : column[0][-1]].tobytes(), kind)
+                starts = (terms[0] - terms[0][0]) // 8
+                if kinds[low] == 0:
+                    rows.append((ids, part.column("length").to_numpy(), np.diff(starts), flat(terms, np.int64), flat(values, np.uint32)))
+                    continue
+                shard = shard or built()
+                names, weights = flat(terms, np.int64), flat(values, np.float64)
+                shard.weigh(names, weights)
+                out = [shard.top(names[a:b], k) for a, b in zip(starts[:-1], starts[1:])]
+                sizes = [len(found) for found, _ in out]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids, sizes)), *(pa.array(np.concatenate([o[i] for o in out]).astype(np.int64)) for i in (0, 1))],
+                    ["query_id", "doc_id", "units"],
+                )
 
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of (term, weight), sorted, as bytes."""
+    for batch in batches:
+        t = batch.column("t")
+        bounds, flat = t.offsets.to_numpy() - t.offsets[0].as_py(), t.flatten()
+        columns = (binaries(flat.field(c).to_numpy(), bounds) for c in ("term", "weight"))
+        yield pa.RecordBatch.from_arrays([batch.column("query_id"), *columns], ["query_id", "terms", "weights"])
+
+
 def top_k(docs: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     """query_id, rank, doc_id, score: the best k rows for each row that ``queries`` (a condition on doc_id) holds for.
 
@@ -170,17 +251,26 @@ def top_k(docs: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     statistics but can't be found; rows that share one are found as they are.
     """
     rows = stored(index(docs), "index")
-    n, mean = rows.agg(F.count(F.lit(1)), F.avg("length")).first()
+    n, mean, postings = rows.agg(F.count(F.lit(1)), F.avg("length"), F.sum(F.octet_length("terms") / 8)).first()
     wanted = rows.filter(queries & F.col("doc_id").isNotNull()).select("doc_id", "terms").mapInArrow(_terms, "query_id long, term long").distinct()
     frequency = rows.select("terms").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
     weight = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    # so few that they travel with the job: their documents are at most all postings
+    often = frequency.filter(F.col("df") * COMMON > n).select("term", weight.alias("weight")).orderBy("term").toPandas()
+    common, heavy = often["term"].to_numpy(np.int64), often["weight"].to_numpy(np.float64)
     wanted = wanted.join(frequency, "term").select("query_id", "term", weight.alias("weight")).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("t"))
-    wanted = stored(wanted.select("query_id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights")), "queries")
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-wanted.count() // QUERIES))
-    every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
-    left = rows.filter("doc_id IS NOT NULL").withColumn("shard", F.pmod(F.xxhash64("doc_id", "length"), F.lit(shards)).cast("int")).withColumn("block", every(blocks))
-    right = wanted.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_searched(k, mean or 1.0), "query_id long, doc_id long, units long")
+    wanted = stored(wanted.mapInArrow(_packed, "query_id long, terms binary, weights binary"), "queries")
+    shards = max(1, -(-int(postings or 0) // POSTINGS))
+    left = rows.filter("doc_id IS NOT NULL").select(
+        F.pmod(F.xxhash64("doc_id", "length"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"),
+        F.col("doc_id").alias("id"), "length", "terms", F.col("times").alias("values"),
+    )
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    right = wanted.select(
+        every.alias("shard"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.lit(0).cast("long").alias("length"), "terms", F.col("weights").alias("values"),
+    )
+    stream = left.unionByName(right).repartition("shard").sortWithinPartitions("shard", "kind")
+    found = stream.mapInArrow(_searched(k, mean or 1.0, common, heavy), _FOUND)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("units"), "doc_id"))
     best = found.withColumn("rank", rank).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "doc_id", (F.col("units") / UNIT).alias("score"))
