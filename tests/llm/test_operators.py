@@ -346,7 +346,7 @@ def test_search_with_one_giant_text_and_many_small_shards(spark, monkeypatch):
     rows = [(100, " ".join(str(i) for i in range(1_000_000)))] + [(i, f"{i} {i % 7} common {'word ' * (i % 5)}") for i in range(101, 700)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     want = rows_of(search.top_k(frame, F.col("doc_id") % 100 == 0), "query_id", "rank", "doc_id", "score")
-    for name, value in (("POSTINGS", 300), ("BLOCK", 4), ("FIRST", 1), ("COMMON", 3)):
+    for name, value in (("POSTINGS", 300), ("BLOCK", 4), ("FIRST", 1), ("COMMON", 3), ("BLOCK_TERMS", 20)):
         monkeypatch.setattr(search, name, value)
     frame = frame.filter("doc_id > 100")
     few = rows_of(search.top_k(frame, F.col("doc_id") % 100 == 0), "query_id", "rank", "doc_id", "score")
@@ -380,7 +380,7 @@ def test_repeated_strings_as_by_brute_force(spark, monkeypatch, length, short, r
     docs = docs if length == 400 else [(d, t[:700]) for d, t in docs[:60]]
     docs += [(1000 + i, t[:4000]) for i, t in enumerate(ODD)] + [(2000, None), (2001, "line of text\n" * 200), (2002, "y" * 399), (2003, "z" * 400), (2004, "z" * 401)]
     frame = spark.createDataFrame([(d, t, "x", 1) for d, t in docs], "doc_id long, text string, digest string, runs int")
-    got = rows_of(repeats.removed(repeats.repeats(frame, length, short), frame), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    got = rows_of(repeats.removed(repeats.repeats(frame, length, short)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == brute_repeats(docs, length)
 
 
@@ -427,7 +427,7 @@ def test_a_passage_in_a_third_of_all_texts(spark):
     docs = [(i, (passage if i % 3 == 0 else "") + f"{i}:" + str(i) * (i % 50)) for i in range(600)]
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     found = repeats.repeats(frame)
-    assert rows_of(repeats.removed(found, frame), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(docs, 400)
+    assert rows_of(repeats.removed(found), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(docs, 400)
 
 
 def test_texts_without_their_repeated_strings(spark):

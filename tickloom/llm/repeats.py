@@ -159,16 +159,16 @@ def _starts(length: int, as_places: bool):
                 cut = np.append(np.flatnonzero(new), len(mine))
                 head, sub = run_of[cut[:-1]], sub[cut[:-1]].astype(np.int64)
                 content = _contents(mine, cut)
-                digests, keys = part.column("digest"), name[head]
+                texts, keys = part.column("text_id"), name[head]
                 if as_places:
                     # where a run is whole its places follow from the first
                     split = np.concatenate([[0], np.cumsum(np.where(parts[head] > 1, np.diff(cut), 0))])
                     yield pa.RecordBatch.from_arrays(
                         [
-                            digests.take(pa.array(of[head])), pa.array(keys, pa.int64()), pa.array(sub), pa.array(content.view(np.int64)),
+                            texts.take(pa.array(of[head])), pa.array(keys, pa.int64()), pa.array(sub), pa.array(content.view(np.int64)),
                             pa.array(starts[cut[:-1]].astype(np.int32)), binaries(starts.astype(np.int32)[parts[run_of] > 1], split),
                         ],
-                        ["digest", "name", "sub", "content", "low", "places"],
+                        ["text_id", "name", "sub", "content", "low", "places"],
                     )
                     continue
                 order = np.lexsort((of[head], content, sub, keys))
@@ -180,10 +180,10 @@ def _starts(length: int, as_places: bool):
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        digests.take(pa.array(of[head][one])), pa.array(keys[one], pa.int64()), pa.array(sub[one]), pa.array(content[one].view(np.int64)),
+                        texts.take(pa.array(of[head][one])), pa.array(keys[one], pa.int64()), pa.array(sub[one]), pa.array(content[one].view(np.int64)),
                         binaries(mine[ranges(cut[:-1][one], sizes)], bounds), pa.array(np.diff(group) > 1), pa.array(of[head][one] != of[head][last]),
                     ],
-                    ["digest", "name", "sub", "content", "strings", "several", "texts"],
+                    ["text_id", "name", "sub", "content", "strings", "several", "texts"],
                 )
 
     return run
@@ -206,8 +206,7 @@ def _repeated(across: bool):
             order = np.argsort(strings, kind="stable")
             heads = np.flatnonzero(np.concatenate([[True], strings[order[1:]] != strings[order[:-1]]]))
             if across:
-                text = group["digest"].combine_chunks().dictionary_encode()
-                text = (text.chunk(0) if isinstance(text, pa.ChunkedArray) else text).indices.to_numpy()[row[order]]
+                text = group["text_id"].to_numpy()[row[order]]
                 hit = np.maximum.reduceat(text, heads) != np.minimum.reduceat(text, heads)
                 hit |= np.logical_or.reduceat(group["texts"].to_numpy()[row[order]], heads)
             else:
@@ -255,8 +254,8 @@ def _ranges(length: int):
             head = np.flatnonzero(new)
             last = np.append(head[1:], len(row)) - 1
             yield pa.RecordBatch.from_arrays(
-                [batch.column("digest").take(pa.array(row[head])), pa.array(start[head].astype(np.int32)), pa.array((start[last] + length).astype(np.int32))],
-                ["digest", "low", "high"],
+                [batch.column("text_id").take(pa.array(row[head])), pa.array(start[head].astype(np.int32)), pa.array((start[last] + length).astype(np.int32))],
+                ["text_id", "low", "high"],
             )
 
     return run
@@ -289,9 +288,10 @@ def _kept(words: int):
                     at = b
                 # halves of characters at a cut have no place in a text
                 text = "".join(piece.decode(errors="ignore") for piece in left)
-                out.append((digest, sum(b - a for a, b in spans), len(spans), hashlib.sha256(b"".join(left)).hexdigest(), text))
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            heads = ("digest", "n_removed", "n_spans", "kept_sha256", "kept_text")
+                out.append((digest, sum(b - a for a, b in spans), [{"low": a, "high": b} for a, b in spans], hashlib.sha256(b"".join(left)).hexdigest(), text))
+            span = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
+            kinds = (pa.binary(), pa.int64(), span, pa.string(), pa.string())
+            heads = ("digest", "n_removed", "spans", "kept_sha256", "kept_text")
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], list(heads))
 
     return run
@@ -309,7 +309,7 @@ class Repeats:
     words: int
 
     def kept(self) -> DataFrame:
-        kind = "digest binary, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+        kind = "digest binary, n_removed long, spans array<struct<low: long, high: long>>, kept_sha256 string, kept_text string"
         return self.cut.mapInArrow(_kept(self.words), kind)
 
     def whole(self) -> Column:
@@ -337,51 +337,51 @@ def repeats(docs: DataFrame, length: int = LENGTH, short: int = SHORT, words: in
     kind = "doc_id long, digest binary, n_bytes long, n_words long, names array<long>, starts array<int>, places array<int>"
     first = stored(docs.mapInArrow(_runs(length, short), kind), "runs")
     copies = first.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"))
-    rows = stored(first.join(copies, "digest"), "runs-of-texts")
-    # one row stands for each text; the others are copies of it
-    runs = rows.filter((F.col("n_bytes") >= length) & F.col("doc_id").eqNullSafe(F.col("rep"))).select(
-        "digest", "rep", "n_bytes", F.explode(F.arrays_zip("names", "starts", "places", F.slice("starts", 2, F.size("starts")).alias("ends"))).alias("r")
+    rows = first.join(copies, "digest")
+    # one row stands for each text; the others are copies of it. In the rounds a text goes by 64 bits of its digest
+    own = F.col("doc_id").eqNullSafe(F.col("rep"))
+    text_id = F.xxhash64("digest").alias("text_id")
+    runs = rows.filter((F.col("n_bytes") >= length) & own).select(
+        text_id, "n_bytes", F.explode(F.arrays_zip("names", "starts", "places", F.slice("starts", 2, F.size("starts")).alias("ends"))).alias("r")
     )
     runs = runs.select(
-        "digest", "rep", F.col("r.names").alias("name"), F.col("r.starts").alias("low"), F.col("r.places").alias("places"),
+        "text_id", F.col("r.names").alias("name"), F.col("r.starts").alias("low"), F.col("r.places").alias("places"),
         F.coalesce(F.col("r.ends"), (F.col("n_bytes") - (length - 1)).cast("int")).alias("high"),
     )
     frequent = runs.groupBy("name").agg(F.sum("places").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / RUNS).cast("long").alias("parts")
-    active = runs.join(frequent, "name").groupBy("digest", "rep").agg(F.collect_list(F.struct("name", "low", "high", parts)).alias("runs"))
-    texts = docs.join(active, "digest").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("digest", "text", "runs")
-    texts = stored(texts, "active-texts")
-    dealt = texts.mapInArrow(_starts(length, False), "digest binary, name long, sub long, content long, strings binary, several boolean, texts boolean")
+    active = runs.drop("places").join(frequent, "name").groupBy("text_id").agg(F.collect_list(F.struct("name", "low", "high", parts)).alias("runs"))
+    single = rows.filter("copies = 1").select(text_id, F.lit(True).alias("single"))
+    # of a text with copies one row is enough
+    texts = docs.select(text_id, "digest", "text").join(active, "text_id").join(single, "text_id", "left")
+    several = texts.filter("single IS NULL").dropDuplicates(["text_id"])
+    texts = stored(texts.filter("single").unionByName(several), "active-texts")
+    dealt = texts.mapInArrow(_starts(length, False), "text_id long, name long, sub long, content long, strings binary, several boolean, texts boolean")
     dealt = dealt.repartition("name", "sub").sortWithinPartitions("name", "sub")
     hits = dealt.mapInArrow(_repeated(across), "name long, sub long, content long, hits binary")
     hits = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    places = texts.mapInArrow(_starts(length, True), "digest binary, name long, sub long, content long, low int, places binary")
-    places = places.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int"))
-    found = places.join(hits, ["name", "sub", "content", "salt"]).select("digest", "low", "places", "hits")
-    found = found.mapInArrow(_ranges(length), "digest binary, low int, high int")
-    found = found.groupBy("digest").agg(F.collect_list(F.struct("low", "high")).alias("cut"))
-    single = rows.filter("copies = 1").select("digest")
-    cut = texts.drop("runs").join(found, "digest").join(single, "digest", "left_semi")
+    places = texts.mapInArrow(_starts(length, True), "text_id long, name long, sub long, content long, low int, places binary")
+    places = places.withColumn("salt", F.pmod(F.xxhash64("text_id"), F.lit(SALTS)).cast("int"))
+    found = places.join(hits, ["name", "sub", "content", "salt"]).select("text_id", "low", "places", "hits")
+    found = found.mapInArrow(_ranges(length), "text_id long, low int, high int")
+    found = found.groupBy("text_id").agg(F.collect_list(F.struct("low", "high")).alias("cut"))
+    cut = texts.filter("single").select("text_id", "digest", "text").join(found, "text_id").drop("text_id")
     return Repeats(rows.select("doc_id", "digest", "n_bytes", "n_words", "copies"), stored(cut, "cut-texts"), length, words)
 
 
-def removed(found: Repeats, docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text of every row of ``docs``.
-
-    The hash is that of the bytes that are left; in the text halves of characters at a cut are left out.
-    """
-    whole = found.documents.filter(found.whole()).select("digest", F.col("n_bytes").alias("n_removed")).distinct()
-    whole = whole.select("digest", "n_removed", F.lit(1).cast("long"), F.sha2(F.lit("").cast("binary"), 256), F.lit(""))
-    changed = found.kept().unionByName(whole.toDF("digest", "n_removed", "n_spans", "kept_sha256", "kept_text"))
-    rows = _digested(docs).join(changed, "digest", "left")
-    none = F.lit(0).cast("long")
-    return rows.select(
+def removed(found: Repeats) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans, the bytes removed as [low, high), of every row."""
+    kept = found.kept().select("digest", "n_removed", "spans", "kept_sha256")
+    whole, none = found.whole(), F.lit(0).cast("long")
+    all_of_it = F.array(F.struct(none.alias("low"), F.col("n_bytes").alias("high")))
+    spans = F.when(whole, all_of_it).otherwise(F.coalesce("spans", F.array().cast("array<struct<low: long, high: long>>")))
+    return found.documents.join(kept, "digest", "left").select(
         "doc_id",
-        F.octet_length("text").cast("long").alias("n_bytes"),
-        F.coalesce("n_removed", none).alias("n_removed"),
-        F.coalesce("n_spans", none).alias("n_spans"),
-        F.coalesce("kept_sha256", F.lower(F.hex("digest"))).alias("kept_sha256"),
-        F.coalesce("kept_text", "text").alias("kept_text"),
+        "n_bytes",
+        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", none)).alias("n_removed"),
+        F.size(spans).cast("long").alias("n_spans"),
+        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"),
+        spans.alias("spans"),
     )
 
 
