@@ -2,8 +2,8 @@
 
 Terms are runs of letters and digits, A-Z lowered. Document frequencies, the number
 of documents and their mean length are taken over all rows. Rows are dealt to
-shards of a bounded number of postings; the rows of a shard and then all queries come to it
-in one sorted stream, so it is built once and holds no more than itself and a batch of queries. A shard
+shards of a bounded number of postings, inverted once and written. Queries come in blocks of bounded size, which travel to
+the shards; no shard is shuffled again. A shard
 lays its documents out by their most frequent term and length, so that those alike
 are neighbours, and cuts its posting lists at every ``BLOCK`` documents. Of each piece of a list it knows the greatest
 impact. As in WAND a query skips what cannot reach the bar, its k-th best score so far: the greatest
@@ -30,7 +30,9 @@ K1, B = 1.2, 0.75
 #: Whole units of score to one.
 UNIT = 1_000_000
 #: Postings of a shard, about; documents of a block; blocks opened before the bar is looked at first.
-POSTINGS, BLOCK, FIRST = 1 << 21, 128, 8
+POSTINGS, BLOCK, FIRST = 1 << 20, 128, 8
+#: Terms of a block of queries, about: what the driver holds and sends to the shards at once.
+BLOCK_TERMS = 1 << 21
 #: A term in more than one of so many documents is common: there are at most so many times the terms of a document.
 COMMON = 32
 
@@ -68,9 +70,13 @@ def _flat(column: pa.Array, kind: type) -> np.ndarray:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many rows each term occurs; and, without a term, the number of rows and their length."""
     for batch in batches:
         term, n = np.unique(_flat(batch.column("terms"), np.int64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n)], ["term", "n"])
+        zeros = pa.array(np.zeros(len(term), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n), zeros, zeros], ["term", "n", "docs", "length"])
+        total = [pa.array([x], pa.int64()) for x in (None, 0, batch.num_rows, int(batch.column("length").to_numpy().sum()))]
+        yield pa.RecordBatch.from_arrays(total, ["term", "n", "docs", "length"])
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,47 +86,59 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), pa.array(_flat(batch.column("terms"), np.int64))], ["query_id", "term"])
 
 
+def inverted(ids: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, terms: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Posting lists of documents: ids and lengths in their order in the shard, names of terms and where each list ends, its documents and times."""
+    n = len(ids)
+    begin = np.cumsum(sizes) - sizes
+    # the most frequent term of each document, the first of equals
+    lead, some = np.zeros(n, np.int64), np.flatnonzero(sizes)
+    if len(some):
+        top = np.flatnonzero(times == np.repeat(np.maximum.reduceat(times, begin[some]), sizes[some]))
+        lead[some] = terms[top[np.searchsorted(top, begin[some])]]
+    order = np.lexsort((ids, lengths, lead))
+    by = ranges(begin[order], sizes[order])
+    terms, times = terms[by], times[by]
+    doc = np.repeat(np.arange(n, dtype=np.int32), sizes[order])
+    by = np.argsort(terms, kind="stable")
+    terms = terms[by]
+    head = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.empty(0, np.int64)
+    return ids[order], lengths[order], terms[head], np.append(head[1:], len(terms))[: len(head)].astype(np.int32), doc[by], times[by]
+
+
 class Shard:
-    """Posting lists of a shard's rows, cut into pieces of ``BLOCK`` neighbouring documents; :meth:`weigh` comes before :meth:`top`.
+    """Posting lists of a shard, cut into pieces of ``BLOCK`` neighbouring documents; :meth:`weigh` comes before :meth:`top`.
 
     ``common`` are the sorted names of the common terms, ``heavy`` their weights.
     """
 
-    def __init__(
-        self, ids: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, terms: np.ndarray, times: np.ndarray, mean: float, common: np.ndarray, heavy: np.ndarray
-    ):
-        n, self.common = len(ids), common
+    def __init__(self, lists: tuple[np.ndarray, ...], mean: float, common: np.ndarray, heavy: np.ndarray):
+        self.ids, lengths, names, ends, doc, times = lists
+        n, self.common = len(self.ids), common
         self.blocks = -(-n // BLOCK)
-        begin = np.cumsum(sizes) - sizes
-        # the most frequent term of each document, the first of equals
-        lead, some = np.zeros(n, np.int64), np.flatnonzero(sizes)
-        if len(some):
-            top = np.flatnonzero(times == np.repeat(np.maximum.reduceat(times, begin[some]), sizes[some]))
-            lead[some] = terms[top[np.searchsorted(top, begin[some])]]
-        order = np.lexsort((ids, lengths, lead))
-        self.ids = ids[order]
-        norm = K1 * (1 - B + B * lengths[order] / mean)
-        by = ranges(begin[order], sizes[order])
-        terms, doc, tf = terms[by], np.repeat(np.arange(n, dtype=np.int32), sizes[order]), times[by].astype(np.float64)
-        part = tf * (K1 + 1) / (tf + norm[doc])
-        at = np.minimum(np.searchsorted(common, terms), max(len(common) - 1, 0))
-        is_common = common[at] == terms if len(common) else np.zeros(len(terms), bool)
+        norm = K1 * (1 - B + B * lengths / mean)
+        sizes = np.diff(np.concatenate([[0], ends]))
+        part = times.astype(np.float64)
+        part = part * (K1 + 1) / (part + norm[doc])
+        at = np.searchsorted(common, names)
+        at[at == len(common)] = 0
+        is_common = common[at] == names if len(common) else np.zeros(len(names), bool)
+        mine = np.repeat(is_common, sizes)
         self.dense = np.zeros((len(common), self.blocks * BLOCK), np.int32)
-        at = at[is_common]
-        self.dense[at, doc[is_common]] = np.floor(heavy[at] * part[is_common] * UNIT + 0.5)
+        row = np.repeat(at[is_common], sizes[is_common])
+        self.dense[row, doc[mine]] = np.floor(heavy[row] * part[mine] * UNIT + 0.5)
         self.dense = self.dense.reshape(len(common), self.blocks, BLOCK)
         self.heights = self.dense.max(axis=2).astype(np.int64) if self.dense.size else np.zeros((len(common), self.blocks), np.int64)
-        terms, doc, part = terms[~is_common], doc[~is_common], part[~is_common]
-        by = np.argsort(terms, kind="stable")
-        terms, self.doc, self.part = terms[by], doc[by], part[by]
+        self.vocabulary, self.doc, self.part = names[~is_common], doc[~mine], part[~mine]
+        # where a list or a block begins a piece does
+        first = np.cumsum(sizes[~is_common]) - sizes[~is_common]
         block = self.doc // BLOCK
-        new = np.ones(len(terms), bool)
-        new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
+        new = np.ones(len(block), bool)
+        new[1:] = block[1:] != block[:-1]
+        new[first] = True
         head = np.flatnonzero(new)
-        self.start = np.append(head, len(terms)).astype(np.int32)
+        self.start = np.append(head, len(block)).astype(np.int32)
         self.block = block[head]
-        self.vocabulary, pieces = np.unique(terms[head], return_index=True)
-        self.pieces = np.append(pieces, len(head))
+        self.pieces = np.append(np.searchsorted(head, first), len(head))
         self.weighed = np.zeros(len(self.vocabulary), bool)
         self.most = np.zeros(len(head))
 
@@ -185,64 +203,61 @@ class Shard:
         return self.ids[best], total[best].astype(np.int64)
 
 
-_STREAM = "shard int, kind int, id long, length long, terms binary, values binary"
+_SHARD = "ids binary, lengths binary, terms binary, ends binary, docs binary, times binary"
+_KINDS = (np.int64, np.int64, np.int64, np.int32, np.int32, np.uint32)
 _FOUND = "query_id long, doc_id long, units long"
 
 
-def _searched(k: int, mean: float, common: np.ndarray, heavy: np.ndarray):
-    """Of each shard's rows (kind 0) and the queries that follow them (kind 1): the best rows for each query."""
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each shard out of rows sorted by shard."""
+
+    def done(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        lists = inverted(*(np.concatenate(column) for column in zip(*rows, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in lists], [c.split()[0] for c in _SHARD.split(", ")])
+
+    at, rows = None, []
+    for batch in batches:
+        shards = batch.column("shard").to_numpy()
+        bounds = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(bounds, bounds[1:]):
+            if low == high:
+                continue
+            if rows and shards[low] != at:
+                yield done(rows)
+                rows = []
+            at, part = shards[low], batch.slice(low, high - low)
+            (starts, terms), (_, times) = (buffers(part.column(c)) for c in ("terms", "times"))
+            first, last = int(starts[0]), int(starts[-1])
+            rows.append(
+                (
+                    part.column("doc_id").to_numpy(), part.column("length").to_numpy(), np.diff(starts) // 8,
+                    np.frombuffer(terms[first:last].tobytes(), np.int64), np.frombuffer(times[first // 2 : last // 2].tobytes(), np.uint32),
+                )
+            )
+    if rows:
+        yield done(rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, shard, rows = None, None, []
 
-        def built() -> Shard:
-            ids, lengths = (np.concatenate([r[i] for r in rows]) if rows else np.empty(0, np.int64) for i in (0, 1))
-            sizes = np.concatenate([r[2] for r in rows]) if rows else np.empty(0, np.int64)
-            terms = np.concatenate([r[3] for r in rows]) if rows else np.empty(0, np.int64)
-            times = np.concatenate([r[4] for r in rows]) if rows else np.empty(0, np.uint32)
-            rows.clear()
-            return Shard(ids, lengths, sizes, terms, times, mean, common, heavy)
+def _searched(k: int, mean: float, common: np.ndarray, heavy: np.ndarray, block):
+    """Of each shard: the best rows for each query of a block (ids, where their terms end, terms, weights)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, ends, names, weights = block.value
         for batch in batches:
-            shards, kinds = (batch.column(c).to_numpy() for c in ("shard", "kind"))
-            cuts = np.flatnonzero((np.diff(shards) != 0) | (np.diff(kinds) != 0)) + 1
-            bounds = [0, *cuts.tolist(), batch.num_rows]
-            for low, high in zip(bounds, bounds[1:]):
-                if low == high:
-                    continue
-                part = batch.slice(low, high - low)
-                if shards[low] != at:
-                    at, shard = shards[low], None
-                    rows.clear()
-                ids = part.column("id").to_numpy()
-                terms, values = (buffers(part.column(c)) for c in ("terms", "values"))
-                flat = lambda column, kind: np.frombuffer(column[1][column[0][0] : column[0][-1]].tobytes(), kind)
-                starts = (terms[0] - terms[0][0]) // 8
-                if kinds[low] == 0:
-                    rows.append((ids, part.column("length").to_numpy(), np.diff(starts), flat(terms, np.int64), flat(values, np.uint32)))
-                    continue
-                shard = shard or built()
-                names, weights = flat(terms, np.int64), flat(values, np.float64)
+            for i in range(batch.num_rows):
+                lists = tuple(np.frombuffer(c[i].as_buffer(), kind) for c, kind in zip(batch.columns, _KINDS, strict=True))
+                shard = Shard(lists, mean, common, heavy)
                 shard.weigh(names, weights)
-                out = [shard.top(names[a:b], k) for a, b in zip(starts[:-1], starts[1:])]
+                out = [shard.top(names[a:b], k) for a, b in zip(ends[:-1], ends[1:])]
                 sizes = [len(found) for found, _ in out]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, sizes)), *(pa.array(np.concatenate([o[i] for o in out]).astype(np.int64)) for i in (0, 1))],
+                    [pa.array(np.repeat(ids, sizes)), *(pa.array(np.concatenate([o[j] for o in out]).astype(np.int64)) for j in (0, 1))],
                     ["query_id", "doc_id", "units"],
                 )
 
     return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of (term, weight), sorted, as bytes."""
-    for batch in batches:
-        t = batch.column("t")
-        bounds, flat = t.offsets.to_numpy() - t.offsets[0].as_py(), t.flatten()
-        columns = (binaries(flat.field(c).to_numpy(), bounds) for c in ("term", "weight"))
-        yield pa.RecordBatch.from_arrays([batch.column("query_id"), *columns], ["query_id", "terms", "weights"])
-
-
 def top_k(docs: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     """query_id, rank, doc_id, score: the best k rows for each row that ``queries`` (a condition on doc_id) holds for.
 
@@ -250,27 +265,43 @@ def top_k(docs: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     doc_id. Rows without a shared term are not found. Rows without a doc_id count for the
     statistics but can't be found; rows that share one are found as they are.
     """
-    rows = stored(index(docs), "index")
-    n, mean, postings = rows.agg(F.count(F.lit(1)), F.avg("length"), F.sum(F.octet_length("terms") / 8)).first()
-    wanted = rows.filter(queries & F.col("doc_id").isNotNull()).select("doc_id", "terms").mapInArrow(_terms, "query_id long, term long").distinct()
-    frequency = rows.select("terms").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
-    weight = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    spark = docs.sparkSession
+    rows = index(docs)
+    # texts are taken apart twice rather than written as terms
+    counts = stored(rows.mapInArrow(_frequencies, "term long, n long, docs long, length long"), "frequencies")
+    n, length, postings = counts.agg(F.sum("docs"), F.sum("length"), F.sum("n")).first()
+    n, mean, shards = n or 0, (length or 0) / (n or 1) or 1.0, max(1, -(-(postings or 0) // POSTINGS))
+    frequency = counts.filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("df"))
+    weight = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("weight")
     # so few that they travel with the job: their documents are at most all postings
-    often = frequency.filter(F.col("df") * COMMON > n).select("term", weight.alias("weight")).orderBy("term").toPandas()
+    often = frequency.filter(F.col("df") * COMMON > n).select("term", weight).orderBy("term").toPandas()
     common, heavy = often["term"].to_numpy(np.int64), often["weight"].to_numpy(np.float64)
-    wanted = wanted.join(frequency, "term").select("query_id", "term", weight.alias("weight")).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("t"))
-    wanted = stored(wanted.mapInArrow(_packed, "query_id long, terms binary, weights binary"), "queries")
-    shards = max(1, -(-int(postings or 0) // POSTINGS))
-    left = rows.filter("doc_id IS NOT NULL").select(
-        F.pmod(F.xxhash64("doc_id", "length"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"),
-        F.col("doc_id").alias("id"), "length", "terms", F.col("times").alias("values"),
-    )
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    right = wanted.select(
-        every.alias("shard"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.lit(0).cast("long").alias("length"), "terms", F.col("weights").alias("values"),
-    )
-    stream = left.unionByName(right).repartition("shard").sortWithinPartitions("shard", "kind")
-    found = stream.mapInArrow(_searched(k, mean or 1.0, common, heavy), _FOUND)
+
+    dealt = F.pmod(F.xxhash64("doc_id", "length"), F.lit(shards)).cast("int")
+    lists = rows.filter("doc_id IS NOT NULL").withColumn("shard", dealt).repartition("shard").sortWithinPartitions("shard")
+    lists = stored(lists.mapInArrow(_inverted, _SHARD), "shards")
+
+    wanted = index(docs.filter(queries & F.col("doc_id").isNotNull())).select("doc_id", "terms")
+    wanted = wanted.mapInArrow(_terms, "query_id long, term long").distinct().join(frequency, "term")
+    wanted = wanted.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", weight))).alias("t"))
+    blocks = max(1, -(-int(wanted.agg(F.sum(F.size("t"))).first()[0] or 0) // BLOCK_TERMS))
+    wanted = stored(wanted.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "queries")
+    best = None
+    for number in range(blocks):
+        # a block's terms, a bounded number, go to all shards
+        part = wanted.filter(F.col("block") == number).select("query_id", "t").orderBy("query_id").toArrow()
+        found = lists.mapInArrow(_searched(k, mean, common, heavy, spark.sparkContext.broadcast(_block(part))), _FOUND)
+        best = found if best is None else best.unionByName(found)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("units"), "doc_id"))
-    best = found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    best = best.withColumn("rank", rank).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "doc_id", (F.col("units") / UNIT).alias("score"))
+
+
+def _block(part: pa.Table) -> tuple[np.ndarray, ...]:
+    part = part.combine_chunks()
+    if not part.num_rows:
+        return np.empty(0, np.int64), np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0)
+    t = part["t"].chunk(0)
+    ends = t.offsets.to_numpy().astype(np.int64)
+    flat = t.flatten()
+    return part["query_id"].to_numpy(), ends - ends[0], flat.field("term").to_numpy(), flat.field("weight").to_numpy()
