@@ -322,6 +322,15 @@ def _digested(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
 
 
+def _among(rows: DataFrame, ids: DataFrame, name: str, how: str = "left_semi") -> DataFrame:
+    """Rows with one of the ``ids``, or with none.
+
+    These are written by themselves, so that their size is known: Spark broadcasts them up to its own limit,
+    and then texts stay where they are; beyond it both sides are shuffled.
+    """
+    return rows.join(stored(ids.distinct(), name), ids.columns, how)
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, short: int = SHORT, words: int = 0, across: bool = False) -> Repeats:
     """Strings of ``length`` bytes of ``docs`` (doc_id, text) that start at two places or more.
 
@@ -342,20 +351,19 @@ def repeats(docs: DataFrame, length: int = LENGTH, short: int = SHORT, words: in
     own = F.col("doc_id").eqNullSafe(F.col("rep"))
     text_id = F.xxhash64("digest").alias("text_id")
     runs = rows.filter((F.col("n_bytes") >= length) & own).select(
-        text_id, "n_bytes", F.explode(F.arrays_zip("names", "starts", "places", F.slice("starts", 2, F.size("starts")).alias("ends"))).alias("r")
+        text_id, "rep", "n_bytes", F.explode(F.arrays_zip("names", "starts", "places", F.slice("starts", 2, F.size("starts")).alias("ends"))).alias("r")
     )
     runs = runs.select(
-        "text_id", F.col("r.names").alias("name"), F.col("r.starts").alias("low"), F.col("r.places").alias("places"),
+        "text_id", "rep", F.col("r.names").alias("name"), F.col("r.starts").alias("low"), F.col("r.places").alias("places"),
         F.coalesce(F.col("r.ends"), (F.col("n_bytes") - (length - 1)).cast("int")).alias("high"),
     )
     frequent = runs.groupBy("name").agg(F.sum("places").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / RUNS).cast("long").alias("parts")
-    active = runs.drop("places").join(frequent, "name").groupBy("text_id").agg(F.collect_list(F.struct("name", "low", "high", parts)).alias("runs"))
-    single = rows.filter("copies = 1").select(text_id, F.lit(True).alias("single"))
-    # of a text with copies one row is enough
-    texts = docs.select(text_id, "digest", "text").join(active, "text_id").join(single, "text_id", "left")
-    several = texts.filter("single IS NULL").dropDuplicates(["text_id"])
-    texts = stored(texts.filter("single").unionByName(several), "active-texts")
+    active = runs.drop("places").join(frequent, "name").groupBy("text_id", "rep").agg(F.collect_list(F.struct("name", "low", "high", parts)).alias("runs"))
+    active = stored(active, "active-runs")
+    texts = _among(docs.select("doc_id", text_id, "digest", "text"), active.select("text_id"), "active-ids")
+    texts = texts.join(active, "text_id").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).drop("doc_id", "rep")
+    texts = stored(texts, "active-texts")
     dealt = texts.mapInArrow(_starts(length, False), "text_id long, name long, sub long, content long, strings binary, several boolean, texts boolean")
     dealt = dealt.repartition("name", "sub").sortWithinPartitions("name", "sub")
     hits = dealt.mapInArrow(_repeated(across), "name long, sub long, content long, hits binary")
@@ -365,7 +373,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, short: int = SHORT, words: in
     found = places.join(hits, ["name", "sub", "content", "salt"]).select("text_id", "low", "places", "hits")
     found = found.mapInArrow(_ranges(length), "text_id long, low int, high int")
     found = found.groupBy("text_id").agg(F.collect_list(F.struct("low", "high")).alias("cut"))
-    cut = texts.filter("single").select("text_id", "digest", "text").join(found, "text_id").drop("text_id")
+    single = rows.filter("copies = 1").select(text_id)
+    found = stored(found.join(single, "text_id", "left_semi"), "cuts")
+    cut = _among(texts.drop("runs"), found.select("text_id"), "cut-ids").join(found, "text_id").drop("text_id")
     return Repeats(rows.select("doc_id", "digest", "n_bytes", "n_words", "copies"), stored(cut, "cut-texts"), length, words)
 
 
@@ -396,6 +406,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, words: int = 0, acros
     changed = left.unionByName(whole.withColumn("kept_text", F.lit("")))
     changed = changed.select(F.col("digest").alias("_text_digest"), F.col("kept_text").alias("_text_kept"))
     keyed = docs.withColumn("_text_digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
-    text = F.coalesce(F.col("_text_kept"), F.col("text"))
-    columns = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return keyed.join(changed, "_text_digest", "left").select(*(columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+    same = _among(keyed, changed.select("_text_digest"), "changed-ids", "left_anti").drop("_text_digest")
+    count = lambda text: {"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    same = same.withColumns(count("text"))
+    columns = {"text": F.col("_text_kept")} | count("_text_kept")
+    new = keyed.drop("text", "n_chars").join(changed, "_text_digest")
+    return same.unionByName(new.select(*(columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns)))
