@@ -9,7 +9,7 @@ that stands at one place only drops its starts for good; Spark groups the
 names and counts their places. In the last round l is the whole length and each
 surviving start stands by its own name. There the strings of a run of starts travel
 together; equal runs of a slab of texts, as a passage has them that a third of all texts hold, travel once
-and are told apart again by where they stand, on rows without strings that are dealt to ``SALTS`` keys.
+and are told apart again by where they stand, on rows without strings. Those of a frequent name are dealt to up to ``SALTS`` keys.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ LENGTH = 400
 SHORT = 50
 #: Runs of one name dealt to a task; a more frequent name is split by the names of its strings.
 RUNS = 2048
-#: Keys that the places of one run are dealt to.
+#: Keys that the places of a run are dealt to at most, one for each ``RUNS`` runs of its name.
 SALTS = 16
 
 _SPACE = np.zeros(256, bool)
@@ -166,9 +166,9 @@ def _starts(length: int, as_places: bool):
                     yield pa.RecordBatch.from_arrays(
                         [
                             texts.take(pa.array(of[head])), pa.array(keys, pa.int64()), pa.array(sub), pa.array(content.view(np.int64)),
-                            pa.array(starts[cut[:-1]].astype(np.int32)), binaries(starts.astype(np.int32)[parts[run_of] > 1], split),
+                            pa.array(starts[cut[:-1]].astype(np.int32)), binaries(starts.astype(np.int32)[parts[run_of] > 1], split), pa.array(parts[head]),
                         ],
-                        ["text_id", "name", "sub", "content", "low", "places"],
+                        ["text_id", "name", "sub", "content", "low", "places", "parts"],
                     )
                     continue
                 order = np.lexsort((of[head], content, sub, keys))
@@ -181,16 +181,19 @@ def _starts(length: int, as_places: bool):
                 yield pa.RecordBatch.from_arrays(
                     [
                         texts.take(pa.array(of[head][one])), pa.array(keys[one], pa.int64()), pa.array(sub[one]), pa.array(content[one].view(np.int64)),
-                        binaries(mine[ranges(cut[:-1][one], sizes)], bounds), pa.array(np.diff(group) > 1), pa.array(of[head][one] != of[head][last]),
+                        binaries(mine[ranges(cut[:-1][one], sizes)], bounds), pa.array(np.diff(group) > 1), pa.array(of[head][one] != of[head][last]), pa.array(parts[head][one]),
                     ],
-                    ["text_id", "name", "sub", "content", "strings", "several", "texts"],
+                    ["text_id", "name", "sub", "content", "strings", "several", "texts", "parts"],
                 )
 
     return run
 
 
 def _repeated(across: bool):
-    """Of runs sorted by name: which strings of each stand elsewhere too, or, ``across``, in another text."""
+    """Of runs sorted by name: which strings of each stand elsewhere too, or, ``across``, in another text.
+
+    ``hits`` are stretches of these, each the number of its first string and of that behind its last.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_keys(batches, ["name", "sub"], 256):
@@ -214,20 +217,25 @@ def _repeated(across: bool):
                 hit = (times > 1) | np.logical_or.reduceat(group["several"].to_numpy()[row[order]], heads)
             twice = np.zeros(len(strings), bool)
             twice[order] = np.repeat(hit, np.diff(np.append(heads, len(order))))
-            at = ranges(np.zeros(len(sizes), np.int64), sizes)[twice].astype(np.int32)
-            bounds = np.concatenate([[0], np.cumsum(np.bincount(row[twice], minlength=len(sizes)))])
+            at, row = ranges(np.zeros(len(sizes), np.int64), sizes)[twice], row[twice]
+            new = np.ones(len(at), bool)
+            new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
+            head = np.flatnonzero(new)
+            last = np.append(head[1:], len(at))[: len(head)] - 1
+            stretches = np.stack([at[head], at[last] + 1], axis=1).astype(np.int32).ravel()
+            bounds = np.concatenate([[0], 2 * np.cumsum(np.bincount(row[head], minlength=len(sizes)))])
             some = np.flatnonzero(np.diff(bounds))
             if len(some):
                 # one row for each content, though slabs may have sent it several times
-                key = [group[k].to_numpy()[some] for k in ("name", "sub", "content")]
+                key = [group[k].to_numpy()[some] for k in ("name", "sub", "content", "parts")]
                 order = np.lexsort(key[::-1])
                 new = np.ones(len(order), bool)
                 new[1:] = np.any([k[order][1:] != k[order][:-1] for k in key], axis=0)
                 kept = np.sort(order[new])
                 lengths = np.diff(bounds)[some[kept]]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(k[kept]) for k in key), binaries(at[ranges(bounds[some[kept]], lengths)], np.concatenate([[0], np.cumsum(lengths)]))],
-                    ["name", "sub", "content", "hits"],
+                    [*(pa.array(k[kept]) for k in key), binaries(stretches[ranges(bounds[some[kept]], lengths)], np.concatenate([[0], np.cumsum(lengths)]))],
+                    ["name", "sub", "content", "parts", "hits"],
                 )
 
     return run
@@ -242,9 +250,9 @@ def _ranges(length: int):
                 continue
             (at, hits), (split, places) = (buffers(batch.column(k)) for k in ("hits", "places"))
             at, split = at // 4, split // 4
-            sizes = np.diff(at)
-            row = np.repeat(np.arange(batch.num_rows), sizes)
-            found = np.frombuffer(hits.tobytes(), np.int32)[at[0] : at[-1]].astype(np.int64)
+            first, end = np.frombuffer(hits.tobytes(), np.int32)[at[0] : at[-1]].astype(np.int64).reshape(-1, 2).T
+            found = ranges(first, end - first)
+            row = np.repeat(np.repeat(np.arange(batch.num_rows), np.diff(at) // 2), end - first)
             there = np.frombuffer(places.tobytes(), np.int32)
             start = batch.column("low").to_numpy().astype(np.int64)[row] + found
             apart = (np.diff(split) > 0)[row]
@@ -364,12 +372,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, short: int = SHORT, words: in
     texts = _among(docs.select("doc_id", text_id, "digest", "text"), active.select("text_id"), "active-ids")
     texts = texts.join(active, "text_id").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).drop("doc_id", "rep")
     texts = stored(texts, "active-texts")
-    dealt = texts.mapInArrow(_starts(length, False), "text_id long, name long, sub long, content long, strings binary, several boolean, texts boolean")
+    dealt = texts.mapInArrow(_starts(length, False), "text_id long, name long, sub long, content long, strings binary, several boolean, texts boolean, parts long")
     dealt = dealt.repartition("name", "sub").sortWithinPartitions("name", "sub")
-    hits = dealt.mapInArrow(_repeated(across), "name long, sub long, content long, hits binary")
-    hits = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    places = texts.mapInArrow(_starts(length, True), "text_id long, name long, sub long, content long, low int, places binary")
-    places = places.withColumn("salt", F.pmod(F.xxhash64("text_id"), F.lit(SALTS)).cast("int"))
+    hits = dealt.mapInArrow(_repeated(across), "name long, sub long, content long, parts long, hits binary")
+    salts = F.least(F.col("parts"), F.lit(SALTS))
+    hits = hits.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("parts")
+    places = texts.mapInArrow(_starts(length, True), "text_id long, name long, sub long, content long, low int, places binary, parts long")
+    places = places.withColumn("salt", F.pmod(F.xxhash64("text_id"), salts)).drop("parts")
     found = places.join(hits, ["name", "sub", "content", "salt"]).select("text_id", "low", "places", "hits")
     found = found.mapInArrow(_ranges(length), "text_id long, low int, high int")
     found = found.groupBy("text_id").agg(F.collect_list(F.struct("low", "high")).alias("cut"))
