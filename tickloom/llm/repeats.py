@@ -369,9 +369,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, short: int = SHORT, words: in
     parts = F.ceil(F.col("n") / RUNS).cast("long").alias("parts")
     active = runs.drop("places").join(frequent, "name").groupBy("text_id", "rep").agg(F.collect_list(F.struct("name", "low", "high", parts)).alias("runs"))
     active = stored(active, "active-runs")
-    texts = _among(docs.select("doc_id", text_id, "digest", "text"), active.select("text_id"), "active-ids")
-    texts = texts.join(active, "text_id").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).drop("doc_id", "rep")
-    texts = stored(texts, "active-texts")
+    # the key holds the doc_id, so that copies of one text go to many tasks; the plan is the same at every size
+    active, all_texts = active.withColumnRenamed("text_id", "id").hint("merge"), docs.select("doc_id", text_id, "digest", "text")
+    texts = all_texts.join(active, (F.col("text_id") == F.col("id")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    texts = stored(texts.drop("id", "doc_id", "rep"), "active-texts")
     dealt = texts.mapInArrow(_starts(length, False), "text_id long, name long, sub long, content long, strings binary, several boolean, texts boolean, parts long")
     dealt = dealt.repartition("name", "sub").sortWithinPartitions("name", "sub")
     hits = dealt.mapInArrow(_repeated(across), "name long, sub long, content long, parts long, hits binary")
@@ -384,7 +385,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, short: int = SHORT, words: in
     found = found.groupBy("text_id").agg(F.collect_list(F.struct("low", "high")).alias("cut"))
     single = rows.filter("copies = 1").select(text_id)
     found = stored(found.join(single, "text_id", "left_semi"), "cuts")
-    cut = _among(texts.drop("runs"), found.select("text_id"), "cut-ids").join(found, "text_id").drop("text_id")
+    cut = texts.drop("runs").join(found.hint("merge"), "text_id").drop("text_id")
     return Repeats(rows.select("doc_id", "digest", "n_bytes", "n_words", "copies"), stored(cut, "cut-texts"), length, words)
 
 
