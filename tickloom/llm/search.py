@@ -31,6 +31,8 @@ K1, B = 1.2, 0.75
 UNIT = 1_000_000
 #: Postings of a shard, about; documents of a block; blocks opened before the bar is looked at first.
 POSTINGS, BLOCK, FIRST = 1 << 20, 128, 8
+#: Bytes of a slice: a shard is one row on disk, but Spark counts the rows it passes on at once, not their bytes alone.
+SLICE = 1 << 10
 #: Terms of a block of queries, about: what the driver holds and sends to the shards at once.
 BLOCK_TERMS = 1 << 21
 #: A term in more than one of so many documents is common: there are at most so many times the terms of a document.
@@ -203,17 +205,41 @@ class Shard:
         return self.ids[best], total[best].astype(np.int64)
 
 
-_SHARD = "ids binary, lengths binary, terms binary, ends binary, docs binary, times binary"
-_KINDS = (np.int64, np.int64, np.int64, np.int32, np.int32, np.uint32)
+_SHARD = "slices array<binary>"
+_KINDS = (np.int64, np.int64, np.int64, np.int32)
 _FOUND = "query_id long, doc_id long, units long"
 
 
+def _small(values: np.ndarray) -> np.ndarray:
+    """The numbers, in as few bytes as hold the greatest."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
+def _sliced(lists: tuple[np.ndarray, ...]) -> list[bytes]:
+    """The arrays of :func:`inverted` one after the other, in slices of ``SLICE`` bytes; their sizes come first."""
+    lists = (*lists[:4], *(_small(x) for x in lists[4:]))
+    sizes = np.array([len(lists[0]), len(lists[2]), len(lists[4]), *(x.itemsize for x in lists[4:])], np.int64)
+    whole = b"".join(x.tobytes() for x in (sizes, *lists))
+    return [whole[at : at + SLICE] for at in range(0, len(whole), SLICE)]
+
+
+def _joined(slices: list[bytes]) -> tuple[np.ndarray, ...]:
+    """The arrays out of their slices."""
+    whole = b"".join(slices)
+    docs, terms, postings, *widths = np.frombuffer(whole, np.int64, 5).tolist()
+    out, at = [], 40
+    for kind, n in zip((*_KINDS, *(f"u{w}" for w in widths)), (docs, docs, terms, terms, postings, postings), strict=True):
+        out.append(np.frombuffer(whole, kind, n, at))
+        at += out[-1].nbytes
+    return tuple(out)
+
+
 def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each shard out of rows sorted by shard."""
 
     def done(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         lists = inverted(*(np.concatenate(column) for column in zip(*rows, strict=True)))
-        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in lists], [c.split()[0] for c in _SHARD.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array([_sliced(lists)], pa.list_(pa.binary()))], ["slices"])
 
     at, rows = None, []
     for batch in batches:
@@ -241,19 +267,26 @@ def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _searched(k: int, mean: float, common: np.ndarray, heavy: np.ndarray, block):
     """Of each shard: the best rows for each query of a block (ids, where their terms end, terms, weights)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def searched(slices: list[bytes]) -> pa.RecordBatch:
         ids, ends, names, weights = block.value
+        shard = Shard(_joined(slices), mean, common, heavy)
+        shard.weigh(names, weights)
+        out = [shard.top(names[a:b], k) for a, b in zip(ends[:-1], ends[1:])]
+        columns = (np.concatenate([o[j] for o in out]).astype(np.int64) if out else np.empty(0, np.int64) for j in (0, 1))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(ids, np.array([len(found) for found, _ in out], np.int64))), *(pa.array(c) for c in columns)], ["query_id", "doc_id", "units"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
         for batch in batches:
-            for i in range(batch.num_rows):
-                lists = tuple(np.frombuffer(c[i].as_buffer(), kind) for c, kind in zip(batch.columns, _KINDS, strict=True))
-                shard = Shard(lists, mean, common, heavy)
-                shard.weigh(names, weights)
-                out = [shard.top(names[a:b], k) for a, b in zip(ends[:-1], ends[1:])]
-                sizes = [len(found) for found, _ in out]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, sizes)), *(pa.array(np.concatenate([o[j] for o in out]).astype(np.int64)) for j in (0, 1))],
-                    ["query_id", "doc_id", "units"],
-                )
+            for number, part in zip(batch.column("number").to_pylist(), batch.column("slice").to_pylist(), strict=True):
+                if held and not number:
+                    yield searched(held)
+                    held = []
+                held.append(part)
+        if held:
+            yield searched(held)
 
     return run
 
@@ -279,7 +312,7 @@ def top_k(docs: DataFrame, queries: Column, k: int = 10) -> DataFrame:
 
     dealt = F.pmod(F.xxhash64("doc_id", "length"), F.lit(shards)).cast("int")
     lists = rows.filter("doc_id IS NOT NULL").withColumn("shard", dealt).repartition("shard").sortWithinPartitions("shard")
-    lists = stored(lists.mapInArrow(_inverted, _SHARD), "shards")
+    lists = stored(lists.mapInArrow(_inverted, _SHARD), "shards").select(F.posexplode("slices").alias("number", "slice"))
 
     wanted = index(docs.filter(queries & F.col("doc_id").isNotNull())).select("doc_id", "terms")
     wanted = wanted.mapInArrow(_terms, "query_id long, term long").distinct().join(frequency, "term")
