@@ -178,6 +178,7 @@ def test_languages_at_the_edges(spark):
 def test_search_equals_scoring_everything(spark, monkeypatch):
     monkeypatch.setattr(search, "POSTINGS", 2000)
     monkeypatch.setattr(search, "BLOCK", 4)
+    monkeypatch.setattr(search, "ROUND", 1)
     docs = {r["doc_id"]: r["text"] for r in documents(spark).limit(120).collect()} | {900: "", 901: None, 902: "a A a b"}
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     terms = {d: collections.Counter(re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").translate(lower))) for d, t in docs.items()}
@@ -346,7 +347,7 @@ def test_search_with_one_giant_text_and_many_small_shards(spark, monkeypatch):
     rows = [(100, " ".join(str(i) for i in range(1_000_000)))] + [(i, f"{i} {i % 7} common {'word ' * (i % 5)}") for i in range(101, 700)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     want = rows_of(search.top_k(frame, F.col("doc_id") % 100 == 0), "query_id", "rank", "doc_id", "score")
-    for name, value in (("POSTINGS", 300), ("BLOCK", 4), ("FIRST", 1), ("COMMON", 3), ("BLOCK_TERMS", 20)):
+    for name, value in (("POSTINGS", 300), ("BLOCK", 4), ("FIRST", 1), ("COMMON", 3), ("BLOCK_TERMS", 20), ("ROUND", 2), ("WIDER", 2)):
         monkeypatch.setattr(search, name, value)
     frame = frame.filter("doc_id > 100")
     few = rows_of(search.top_k(frame, F.col("doc_id") % 100 == 0), "query_id", "rank", "doc_id", "score")

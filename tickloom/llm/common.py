@@ -23,11 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written to the shared folder and read again: survives lost executors."""
+def stored(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """The rows, written to the shared folder and read again: survives lost executors. ``folders`` are columns to part them by."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path) if folders else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,7 +3,8 @@
 Terms are runs of letters and digits, A-Z lowered. Document frequencies, the number
 of documents and their mean length are taken over all rows. Rows are dealt to
 shards of a bounded number of postings, inverted once and written. Queries come in blocks of bounded size, which travel to
-the shards; no shard is shuffled again. A shard
+the shards; no shard is shuffled again. They come in rounds: a few shards first, then ``WIDER`` times as many; a round
+starts from the bars that the rounds before it left, so that what shards find does not grow with their number. A shard
 lays its documents out by their most frequent term and length, so that those alike
 are neighbours, and cuts its posting lists at every ``BLOCK`` documents. Of each piece of a list it knows the greatest
 impact. As in WAND a query skips what cannot reach the bar, its k-th best score so far: the greatest
@@ -31,6 +32,8 @@ K1, B = 1.2, 0.75
 UNIT = 1_000_000
 #: Postings of a shard, about; documents of a block; blocks opened before the bar is looked at first.
 POSTINGS, BLOCK, FIRST = 1 << 20, 128, 8
+#: Shards of the first round, and how many times as many have been searched after each next one.
+ROUND, WIDER = 8, 8
 #: Bytes of a slice: a shard is one row on disk, but Spark counts the rows it passes on at once, not their bytes alone.
 SLICE = 1 << 10
 #: Terms of a block of queries, about: what the driver holds and sends to the shards at once.
@@ -162,8 +165,8 @@ class Shard:
         sizes = self.start[piece + 1] - self.start[piece]
         self.most[piece] = np.maximum.reduceat(self.part[posting], np.cumsum(sizes) - sizes)
 
-    def top(self, terms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the best k rows for weighed terms; of equal scores the smaller ids.
+    def top(self, terms: np.ndarray, k: int, bar: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the best k rows for weighed terms that reach the bar; of equal scores the smaller ids.
 
         Sums are whole numbers far below 2 ** 53, so doubles hold them exactly.
         """
@@ -185,7 +188,7 @@ class Shard:
         by = np.argsort(turn, kind="stable")
         piece, turn = piece[by], turn[by]
         total = np.zeros(self.blocks * BLOCK)
-        opened, many, bar = 0, FIRST, 1.0
+        opened, many = 0, FIRST
         while opened < self.blocks and bound[ranks[opened]] >= bar:
             # of the next blocks those that may reach the bar
             end = min(opened + many, self.blocks)
@@ -198,14 +201,14 @@ class Shard:
             near = np.sort(ranks[opened:end])
             total.reshape(-1, BLOCK)[near] += self.dense[dense[:, None], near[None, :]].sum(axis=0, dtype=np.int64)
             if len(total) > k:
-                bar = max(np.partition(total, len(total) - k)[len(total) - k], 1.0)
+                bar = max(np.partition(total, len(total) - k)[len(total) - k], bar)
             opened, many = end, many * 3
         found = np.flatnonzero(total[: len(self.ids)] >= bar)
         best = found[np.lexsort((self.ids[found], -total[found]))][:k]
         return self.ids[best], total[best].astype(np.int64)
 
 
-_SHARD = "slices array<binary>"
+_SHARD = "shard int, slices array<binary>"
 _KINDS = (np.int64, np.int64, np.int64, np.int32)
 _FOUND = "query_id long, doc_id long, units long"
 
@@ -237,9 +240,9 @@ def _joined(slices: list[bytes]) -> tuple[np.ndarray, ...]:
 def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each shard out of rows sorted by shard."""
 
-    def done(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    def done(shard: int, rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         lists = inverted(*(np.concatenate(column) for column in zip(*rows, strict=True)))
-        return pa.RecordBatch.from_arrays([pa.array([_sliced(lists)], pa.list_(pa.binary()))], ["slices"])
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([_sliced(lists)], pa.list_(pa.binary()))], ["shard", "slices"])
 
     at, rows = None, []
     for batch in batches:
@@ -249,7 +252,7 @@ def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if low == high:
                 continue
             if rows and shards[low] != at:
-                yield done(rows)
+                yield done(int(at), rows)
                 rows = []
             at, part = shards[low], batch.slice(low, high - low)
             (starts, terms), (_, times) = (buffers(part.column(c)) for c in ("terms", "times"))
@@ -261,17 +264,17 @@ def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
             )
     if rows:
-        yield done(rows)
+        yield done(int(at), rows)
 
 
-def _searched(k: int, mean: float, common: np.ndarray, heavy: np.ndarray, block):
-    """Of each shard: the best rows for each query of a block (ids, where their terms end, terms, weights)."""
+def _searched(k: int, mean: float, common: np.ndarray, heavy: np.ndarray, block, bars):
+    """Of each shard: the best rows that reach its bar for each query of a block (ids, where their terms end, terms, weights)."""
 
     def searched(slices: list[bytes]) -> pa.RecordBatch:
         ids, ends, names, weights = block.value
         shard = Shard(_joined(slices), mean, common, heavy)
         shard.weigh(names, weights)
-        out = [shard.top(names[a:b], k) for a, b in zip(ends[:-1], ends[1:])]
+        out = [shard.top(names[a:b], k, bar) for a, b, bar in zip(ends[:-1], ends[1:], bars.value.tolist(), strict=True)]
         columns = (np.concatenate([o[j] for o in out]).astype(np.int64) if out else np.empty(0, np.int64) for j in (0, 1))
         return pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(ids, np.array([len(found) for found, _ in out], np.int64))), *(pa.array(c) for c in columns)], ["query_id", "doc_id", "units"]
@@ -310,23 +313,34 @@ def top_k(docs: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     often = frequency.filter(F.col("df") * COMMON > n).select("term", weight).orderBy("term").toPandas()
     common, heavy = often["term"].to_numpy(np.int64), often["weight"].to_numpy(np.float64)
 
-    dealt = F.pmod(F.xxhash64("doc_id", "length"), F.lit(shards)).cast("int")
+    rounds, dealt = 1, F.pmod(F.xxhash64("doc_id", "length"), F.lit(shards)).cast("int")
+    turn = F.lit(0)
+    while ROUND * WIDER ** (rounds - 1) < shards:
+        turn, rounds = turn + (F.col("shard") >= ROUND * WIDER ** (rounds - 1)).cast("int"), rounds + 1
     lists = rows.filter("doc_id IS NOT NULL").withColumn("shard", dealt).repartition("shard").sortWithinPartitions("shard")
-    lists = stored(lists.mapInArrow(_inverted, _SHARD), "shards").select(F.posexplode("slices").alias("number", "slice"))
+    lists = stored(lists.mapInArrow(_inverted, _SHARD).withColumn("round", turn), "shards", "round")
 
     wanted = index(docs.filter(queries & F.col("doc_id").isNotNull())).select("doc_id", "terms")
     wanted = wanted.mapInArrow(_terms, "query_id long, term long").distinct().join(frequency, "term")
     wanted = wanted.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", weight))).alias("t"))
     blocks = max(1, -(-int(wanted.agg(F.sum(F.size("t"))).first()[0] or 0) // BLOCK_TERMS))
     wanted = stored(wanted.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "queries")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("units"), "doc_id"))
     best = None
     for number in range(blocks):
         # a block's terms, a bounded number, go to all shards
-        part = wanted.filter(F.col("block") == number).select("query_id", "t").orderBy("query_id").toArrow()
-        found = lists.mapInArrow(_searched(k, mean, common, heavy, spark.sparkContext.broadcast(_block(part))), _FOUND)
-        best = found if best is None else best.unionByName(found)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("units"), "doc_id"))
-    best = best.withColumn("rank", rank).filter(F.col("rank") <= k)
+        block = _block(wanted.filter(F.col("block") == number).select("query_id", "t").orderBy("query_id").toArrow())
+        sent, bars, mine = spark.sparkContext.broadcast(block), np.ones(len(block[0]), np.int64), None
+        for at in range(rounds):
+            part = lists.filter(F.col("round") == at).select(F.posexplode("slices").alias("number", "slice"))
+            found = part.mapInArrow(_searched(k, mean, common, heavy, sent, spark.sparkContext.broadcast(bars)), _FOUND)
+            found = found if mine is None else mine.drop("rank").unionByName(found)
+            mine = stored(found.withColumn("rank", rank).filter(F.col("rank") <= k), "found")
+            # a number for each query of the block that found k rows
+            bar = mine.filter(F.col("rank") == k).select("query_id", "units").toPandas()
+            bars = bars.copy()
+            bars[np.searchsorted(block[0], bar["query_id"].to_numpy(np.int64))] = bar["units"].to_numpy(np.int64)
+        best = mine if best is None else best.unionByName(mine)
     return best.select("query_id", "rank", "doc_id", (F.col("units") / UNIT).alias("score"))
 
 
