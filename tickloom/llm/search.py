@@ -36,6 +36,8 @@ POSTINGS, BLOCK, FIRST = 1 << 20, 128, 8
 ROUND, WIDER = 8, 8
 #: Bytes of a slice: a shard is one row on disk, but Spark counts the rows it passes on at once, not their bytes alone.
 SLICE = 1 << 10
+#: Terms that are counted at once in a task.
+HELD_TERMS = 1 << 21
 #: Terms of a block of queries, about: what the driver holds and sends to the shards at once.
 BLOCK_TERMS = 1 << 21
 #: A term in more than one of so many documents is common: there are at most so many times the terms of a document.
@@ -64,10 +66,13 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def index(docs: DataFrame) -> DataFrame:
     """doc_id, length, terms (sorted 64-bit names) and times of every row of ``docs`` (doc_id, text); null texts are empty."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_indexed, "doc_id long, length long, terms binary, times binary")
+    return _texts(docs).mapInArrow(_indexed, "doc_id long, length long, terms binary, times binary")
 
 
 def _flat(column: pa.Array, kind: type) -> np.ndarray:
@@ -75,17 +80,28 @@ def _flat(column: pa.Array, kind: type) -> np.ndarray:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many rows each term occurs; and, without a term, the number of rows and their length."""
-    for batch in batches:
-        term, n = np.unique(_flat(batch.column("terms"), np.int64), return_counts=True)
-        zeros = pa.array(np.zeros(len(term), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n), zeros, zeros], ["term", "n", "docs", "length"])
-        total = [pa.array([x], pa.int64()) for x in (None, 0, batch.num_rows, int(batch.column("length").to_numpy().sum()))]
-        yield pa.RecordBatch.from_arrays(total, ["term", "n", "docs", "length"])
+    """Of texts: in how many rows each term occurs; and, without a term, the number of rows and their length."""
+
+    def counted(held: list[np.ndarray], docs: int, length: int) -> pa.RecordBatch:
+        term, n = np.unique(np.concatenate(held), return_counts=True)
+        none, zeros = np.append(np.zeros(len(term), bool), True), np.zeros(len(term), np.int64)
+        columns = (pa.array(np.append(x, y)) for x, y in ((n, 0), (zeros, docs), (zeros, length)))
+        return pa.RecordBatch.from_arrays([pa.array(np.append(term, 0), mask=none), *columns], ["term", "n", "docs", "length"])
+
+    held, docs, length = [], 0, 0
+    for batch in _indexed(batches):
+        held.append(_flat(batch.column("terms"), np.int64))
+        docs, length = docs + batch.num_rows, length + int(batch.column("length").to_numpy().sum())
+        if sum(map(len, held)) >= HELD_TERMS:
+            yield counted(held, docs, length)
+            held, docs, length = [], 0, 0
+    if held:
+        yield counted(held, docs, length)
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    """Of texts: a row for each of their distinct terms."""
+    for batch in _indexed(batches):
         sizes = np.array([len(x) // 8 for x in batch.column("terms").to_pylist()], np.int64)
         of = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), pa.array(_flat(batch.column("terms"), np.int64))], ["query_id", "term"])
@@ -304,7 +320,7 @@ def top_k(docs: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     spark = docs.sparkSession
     rows = index(docs)
     # texts are taken apart twice rather than written as terms
-    counts = stored(rows.mapInArrow(_frequencies, "term long, n long, docs long, length long"), "frequencies")
+    counts = stored(_texts(docs).mapInArrow(_frequencies, "term long, n long, docs long, length long"), "frequencies")
     n, length, postings = counts.agg(F.sum("docs"), F.sum("length"), F.sum("n")).first()
     n, mean, shards = n or 0, (length or 0) / (n or 1) or 1.0, max(1, -(-(postings or 0) // POSTINGS))
     frequency = counts.filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("df"))
@@ -320,7 +336,7 @@ def top_k(docs: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     lists = rows.filter("doc_id IS NOT NULL").withColumn("shard", dealt).repartition("shard").sortWithinPartitions("shard")
     lists = stored(lists.mapInArrow(_inverted, _SHARD).withColumn("round", turn), "shards", "round")
 
-    wanted = index(docs.filter(queries & F.col("doc_id").isNotNull())).select("doc_id", "terms")
+    wanted = _texts(docs.filter(queries & F.col("doc_id").isNotNull()))
     wanted = wanted.mapInArrow(_terms, "query_id long, term long").distinct().join(frequency, "term")
     wanted = wanted.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", weight))).alias("t"))
     blocks = max(1, -(-int(wanted.agg(F.sum(F.size("t"))).first()[0] or 0) // BLOCK_TERMS))
