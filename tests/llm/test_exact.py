@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from oracle import connect, duck_digest, spark_digest
@@ -62,6 +63,14 @@ def test_the_state_goes_on_with_new_files(spark, folder):
     assert remember(spark, path, state).agg(F.sum("n")).first()[0] == len(ROWS)
 
 
+def test_a_small_state_takes_little_disk_however_many_partitions_it_has(spark, folder):
+    path = written(spark, folder, ROWS)
+    assert remember(spark, path, f"{folder}/state").agg(F.sum("n")).first()[0] == len(ROWS)
+    local = Path(spark._jvm.org.apache.spark.util.Utils.getLocalDir(spark._jsc.sc().getConf()))
+    taken = [f.lstat().st_blocks * 512 for f in local.rglob("*") if "StateStore" in str(f) and f.is_file()]
+    assert taken and max(taken) < 500_000
+
+
 def test_empty_table(spark, folder):
     path = written(spark, folder, [], 1)
     assert exact_duplicates(spark, path).columns == ["doc_id", "digest", "keep_id", "group_size", "kept"]
