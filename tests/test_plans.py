@@ -40,6 +40,12 @@ def test_all_timeframes_share_one_scan_and_two_shuffles(spark):
     assert text.count("Exchange hashpartitioning") == 2
 
 
+def test_a_rollup_shuffles_a_day_once_for_all_timeframes(spark):
+    text = plan(spark, "rollup_from_days")
+    # from the top: days are repeated for the timeframes behind the last shuffle, not before it
+    assert text.index("Generate") < text.index("Exchange hashpartitioning")
+
+
 def test_direct_candles_shuffle_once(spark):
     for name in ("candles_1d_gregorian", "candles_1m_jalali"):
         assert plan(spark, name).count("Exchange hashpartitioning") == 1

@@ -162,9 +162,12 @@ def rollup(
 ) -> DataFrame:
     """Day states of both calendars rolled up to ``timeframes``.
 
-    One scan and one shuffle serve all timeframes; map-side merging collapses
-    months and years before the shuffle.
+    One scan and one shuffle serve all timeframes. Several are merged where the days of a symbol
+    lie together, a day once: shuffled by bucket, a day would go once for each timeframe, as tasks hold too few days of
+    a symbol to collapse. A single timeframe merges before the shuffle what it can.
     """
+    if len(timeframes) > 1:
+        days = days.repartition("symbol", "calendar")
     return merge_states(rebucket(days, dim, timeframes))
 
 
