@@ -555,7 +555,9 @@ def stream_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests.withColumn("half", halves).write.partitionBy("half").parquet(f"{source}/parts")
     source = f"{source}/parts/*"
     Warehouse.create(spark, path, buckets=4)
-    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    # a file is one task's work: a micro-batch has one for each core, if that leaves several micro-batches
+    files = min(spark.sparkContext.defaultParallelism, len(spark.read.parquet(source).inputFiles()) // 2)
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", max(1, files)).parquet(source)
     run = start_stream(stream, path, scratch_path(spark, "stream"), availableNow=True)
     run.awaitTermination()
     return _served(Warehouse(spark, path))
