@@ -269,3 +269,19 @@ def test_deliveries_with_one_id_are_one_request(spark):
     both = spark.createDataFrame([("r", at + dt.timedelta(seconds=i), t) for i, t in enumerate(texts)], REQUESTS)
     split = V.split_batches(V.validate(parse_requests(both)))
     assert [r["code"] for r in split.rejected.collect()] == [V.CALENDAR_MISMATCH] and split.claims.isEmpty()
+
+
+def test_what_a_batch_holds_has_no_more_partitions_than_its_size_calls_for(spark):
+    from tickloom.streaming import ingest
+
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning")
+    before = [spark.conf.get(key, None) for key in keys]
+    spark.conf.set(keys[0], 64)
+    held = ingest._held(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count())
+    try:
+        assert held.count() == 100
+        assert held.rdd.getNumPartitions() < 64
+    finally:
+        held.unpersist()
+        spark.conf.set(keys[0], before[0])
+    assert [spark.conf.get(key, None) for key in keys] == before

@@ -33,8 +33,8 @@ def ingest_batch(
     with one request id get one response: refused if any is, else with all their ticks.
     """
     number = uuid.uuid4().hex if number is None else str(number)
-    checked = validate(parse_requests(requests)).persist()
-    marks = request_marks(checked).persist()
+    checked = _held(validate(parse_requests(requests)))
+    marks = _held(request_marks(checked))
     try:
         while True:
             batch_id, seen = warehouse.begin(source, number)
@@ -51,6 +51,20 @@ def ingest_batch(
         checked.unpersist()
 
 
+def _held(rows: DataFrame) -> DataFrame:
+    """``rows`` persisted in as many partitions as their size calls for.
+
+    Spark keeps a persisted result in all its shuffle partitions by default, and every job over it has as many tasks.
+    """
+    conf, key = rows.sparkSession.conf, "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return rows.persist()
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 def _store(warehouse: Warehouse, batch_id: int, seen: Snapshot, checked: DataFrame, marks: DataFrame) -> tuple[int, int, int]:
     """Write an attempt; its ticks, refused requests, and Jalali ticks outside the calendar.
 
