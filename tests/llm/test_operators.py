@@ -8,11 +8,14 @@ import math
 import os
 import re
 import tempfile
+import unicodedata
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 from oracle import connect, duck_digest, spark_digest
 from pyspark.sql import functions as F
@@ -516,6 +519,31 @@ def test_added_tokens_are_ids_as_in_the_library(spark):
     assert dict(got) == {i: len(w) + 1 for i, w in enumerate(wanted)}
 
 
+def test_words_are_split_and_numbered_in_bulk(monkeypatch):
+    """The words of many texts are one Arrow array, as by the library's expression, and keep their numbers between blocks."""
+    exact = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    rng = np.random.default_rng(8)
+    letters = [*"'smtdrevlab  \n\t19!._-é²日Ⅷ٣😀", "'", "'", "́", "\x1c", "\x85", "'re", "'ll", "<|endoftext|>", "<|end"]
+    texts = ["".join(rng.choice(letters, n)) for n in rng.integers(0, 30, 3000)] + [*ODD, "'", "x'", "'s's", "''s", "'r", "'"]
+    monkeypatch.setattr(packing, "SPLIT", 500)
+    found, bounds = packing.word_bpe(WORDS).words(texts)
+    assert isinstance(found, pa.Array)
+    for t, low, high in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        folded = unicodedata.normalize("NFC", t).replace("Σ", "σ").lower()
+        assert [w.decode() for w in found[low:high].to_pylist()] == exact.findall(folded)
+    tokenizer = Tokenizer.from_file(WORDS)
+    wanted = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for kept in (0, 1_000_000):
+        monkeypatch.setattr(packing, "KEPT_WORDS", kept)
+        words, got = packing.word_bpe(WORDS, added=True), []
+        for at in range(0, len(texts), 700):
+            ids, ends = words.encode(texts[at : at + 700])
+            got += [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        assert got == wanted
+        assert len(words.known) == len(words.bounds) - 1 == len(words.known.unique()) and (len(words.known) > 0) == (kept > 0)
+    assert [len(x) for x in words.encode([])] == [0, 1]
+
+
 def test_differencing_keeps_every_item_and_evens_out():
     rng = np.random.default_rng(7)
     for n, windows in ((1, 1), (1, 4), (5, 2), (40, 7), (300, 31)):

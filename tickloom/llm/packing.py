@@ -16,6 +16,7 @@ import heapq
 import json
 import math
 import re
+import sys
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -23,12 +24,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.bpe import Merges, Words, splitter, text_blocks
-from tickloom.llm.common import carried, lists, once_per_worker, stored
+from tickloom.llm.bpe import Merges, replay, text_blocks
+from tickloom.llm.common import buffers, carried, lists, once_per_worker, ranges, stored
 
 WINDOW = 2048
 #: Documents of a group, about.
@@ -37,12 +39,15 @@ GROUP = 2048
 GRAIN = 192
 #: Characters of text whose words are merged together.
 TEXT = 24 << 20
+#: Characters of text split into words at once.
+SPLIT = 1 << 18
+#: Words kept with their ids between blocks of a task.
+KEPT_WORDS = 1_000_000
 #: The id that ends every document.
 END = 1
 
-#: Splits of the word vocabulary, for all texts and for those without odd characters.
-_EXACT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_PLAIN = r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
+#: Kinds of characters. An added token has a kind of its own.
+_OTHER, _SPACE, _LETTER, _NUMBER, _ADDED = range(5)
 
 
 def byte_letters() -> list[str]:
@@ -52,7 +57,138 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
-def word_bpe(path: str, added: bool = False) -> Words:
+def kinds() -> np.ndarray:
+    """The kind of each character."""
+    out = np.full(sys.maxunicode + 1, _OTHER, np.uint8)
+    every = "".join(map(chr, range(len(out))))
+    for kind, pattern in ((_SPACE, r"\s+"), (_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+")):
+        for hit in regex.finditer(pattern, every):
+            out[hit.start() : hit.end()] = kind
+    # letters of the first plane that the standard library does not know yet are signs
+    out[[c for c in range(0x10000) if unicodedata.category(every[c]) == "Cn"]] = _OTHER
+    return out
+
+
+def _starts(points: np.ndarray, kind: np.ndarray, added: list[int]) -> np.ndarray:
+    """Whether a word begins at each character, as by 's|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+, or an added token."""
+    out = np.ones(len(kind), bool)
+    out[1:] = kind[1:] != kind[:-1]
+    out |= kind == _NUMBER
+    out &= kind != _SPACE
+    out[added] = True
+    # signs that begin with a quote and go on with a letter are that quote alone
+    quote = np.flatnonzero((points[:-1] == ord("'")) & out[:-1] & (kind[1:] == _LETTER))
+    first = points[quote + 1]
+    two = np.minimum(quote + 2, len(points) - 1)
+    second = np.where((two == quote + 2) & (kind[two] == _LETTER), points[two], 0)
+    pairs = [(first == ord(a)) & (second == ord(b)) for a, b in ("re", "ve", "ll")]
+    length = np.where(np.logical_or.reduce(pairs), 3, np.where(np.isin(first, [*map(ord, "stmd")]), 2, 0))
+    quote, length = quote[length > 0], length[length > 0]
+    out[quote + 1] = False
+    rest = (quote + length)[quote + length < len(kind)]
+    out[rest[kind[rest] == _LETTER]] = True
+    return out
+
+
+class WordIds:
+    """Ids of texts by a BPE vocabulary with word ends: the distinct words of many texts are found by Arrow and merged once.
+
+    inner, last: the symbol of each byte within and at the end of a word. special: the ids of added tokens.
+    """
+
+    def __init__(self, inner: np.ndarray, last: np.ndarray, special: dict[str, int], merges: Merges):
+        self.inner, self.last, self.special, self.merges, self.kinds = inner, last, special, merges, kinds()
+        self.between = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.clear()
+
+    def clear(self) -> None:
+        self.known = pa.array([], pa.binary())
+        self.ids, self.bounds = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def folded(self, text: str) -> tuple[str, list[tuple[int, int]]]:
+        """The text in lower case, and where added tokens stand in it."""
+        # a last sigma is no exception for this vocabulary
+        lower = lambda t: t.lower() if t.isascii() else unicodedata.normalize("NFC", t).replace("Σ", "σ").lower()
+        if not any(t in text for t in self.special):
+            return lower(text), []
+        out, spans, n, at = [], [], 0, 0
+        for hit in self.between.finditer(text):
+            out += [lower(text[at : hit.start()]), hit.group()]
+            n += len(out[-2]) + len(out[-1])
+            spans.append((n - len(out[-1]), n))
+            at = hit.end()
+        return "".join([*out, lower(text[at:])]), spans
+
+    def words(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts one after the other, and the bounds of each text's."""
+        folded = [self.folded(t) for t in texts]
+        # no word goes over white space
+        joined = "\n".join(t for t, _ in folded) + "\n"
+        begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t, _ in folded])])
+        plain = joined.isascii()
+        points = np.frombuffer(joined.encode(), np.uint8) if plain else np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        kind = self.kinds[points]
+        spans = [(a + int(b), e + int(b)) for (_, some), b in zip(folded, begin[:-1], strict=True) if some for a, e in some]
+        for a, e in spans:
+            kind[a:e] = _ADDED
+        starts = _starts(points, kind, [a for a, _ in spans])
+        bounds = np.searchsorted(np.flatnonzero(starts), begin)
+        full = kind != _SPACE
+        points, at = points[full], np.flatnonzero(starts[full])
+        at = np.append(at, len(points))
+        data, more = points.tobytes(), 0
+        if not plain:
+            data = data.decode("utf-32-le").encode()
+            # characters of two, three and four bytes
+            for least in (0x80, 0x800, 0x10000):
+                wide = np.zeros(len(points) + 1, np.int32)
+                np.cumsum(points >= least, out=wide[1:])
+                if not wide[-1]:
+                    break
+                more = more + wide[at]
+            at = at + more
+        return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data)]), bounds
+
+    def spell(self, found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of words, and their bounds."""
+        own = [(i, id) for t, id in self.special.items() if (i := found.index(t.encode()).as_py()) >= 0]
+        if own:
+            # an added token is one symbol: no other word has letters and signs
+            found = pa.compute.replace_with_mask(found, pa.array(np.isin(np.arange(len(found)), [i for i, _ in own])), pa.scalar(b" ", pa.binary()))
+        bounds, data = buffers(found)
+        data, bounds = data[bounds[0] : bounds[-1]], bounds - bounds[0]
+        symbols = self.inner[data]
+        symbols[bounds[1:] - 1] = self.last[data[bounds[1:] - 1]]
+        for i, id in own:
+            symbols[bounds[i]] = id
+        return symbols, bounds
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and their bounds."""
+        ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+        cuts = np.flatnonzero(np.diff(ends // SPLIT, prepend=0, append=-1)).tolist()
+        parts = [self.words(texts[a:b]) for a, b in zip([0, *cuts], cuts, strict=False) if a < b]
+        # the words met before keep their numbers
+        coded = pa.chunked_array([self.known, *(found for found, _ in parts)], pa.binary()).dictionary_encode()
+        every = coded.chunk(0).dictionary if len(coded) else self.known
+        if len(every) > len(self.known):
+            symbols, bounds = replay(*self.spell(every.slice(len(self.known))), self.merges)
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + bounds[1:]])
+            self.ids = np.concatenate([self.ids, symbols])
+        sizes = np.diff(self.bounds)
+        out, counts, at = [np.empty(0, np.int32)], [np.zeros(1, np.int64)], len(self.known)
+        for found, bounds in parts:
+            mine = np.concatenate([np.empty(0, np.int32), *(c.indices.to_numpy() for c in coded.slice(at, len(found)).chunks)])
+            out.append(self.ids[ranges(self.bounds[mine], sizes[mine])])
+            counts.append(np.diff(np.concatenate([[0], np.cumsum(sizes[mine])])[bounds]))
+            at += len(found)
+        self.known = every
+        if len(self.known) > KEPT_WORDS:
+            self.clear()
+        return np.concatenate(out), np.cumsum(np.concatenate(counts))
+
+
+def word_bpe(path: str, added: bool = False) -> WordIds:
     """Ids of a BPE vocabulary with word ends (a tokenizers JSON file): lower case, white space dropped.
 
     added: the file's added tokens are found in the text as they stand, and are ids of their own.
@@ -63,40 +199,12 @@ def word_bpe(path: str, added: bool = False) -> Words:
     special = {t["content"]: t["id"] for t in whole["added_tokens"]} if added else {}
     if any(t[k] for t in whole["added_tokens"] if added for k in ("single_word", "lstrip", "rstrip", "normalized")):
         raise ValueError("added tokens are matched as they stand only")
-    between = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
     vocabulary, suffix = model["vocab"], model["end_of_word_suffix"]
     joined = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     left, right, merged = (np.array([vocabulary[f(m)] for m in joined]) for f in (lambda m: m[0], lambda m: m[1], "".join))
     letters = byte_letters()
     inner, last = (np.array([vocabulary[c + s] for c in letters], np.int32) for s in ("", suffix))
-    split = splitter(_PLAIN, _EXACT)
-
-    def plain(text: str) -> list[str]:
-        # a last sigma is no exception for this vocabulary
-        return split(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
-
-    def words(text: str) -> list[str]:
-        if not any(t in text for t in special):
-            return plain(text)
-        out, at = [], 0
-        for hit in between.finditer(text):
-            out += [*plain(text[at : hit.start()]), hit.group()]
-            at = hit.end()
-        return out + plain(text[at:])
-
-    def spell(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        # an added token is one symbol: no other word has letters and signs
-        raw = [b" " if w in special else w.encode() for w in found]
-        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))])
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        symbols = inner[data]
-        symbols[bounds[1:] - 1] = last[data[bounds[1:] - 1]]
-        for i, w in enumerate(found) if special else ():
-            if w in special:
-                symbols[bounds[i]] = special[w]
-        return symbols, bounds
-
-    return Words(words, spell, Merges.of(max([*vocabulary.values(), *special.values()]) + 1, left, right, np.arange(len(joined)), merged))
+    return WordIds(inner, last, special, Merges.of(max([*vocabulary.values(), *special.values()]) + 1, left, right, np.arange(len(joined)), merged))
 
 
 def stretches(tokens: int, window: int = WINDOW) -> list[int]:
