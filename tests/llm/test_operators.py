@@ -388,6 +388,26 @@ def test_repeated_strings_as_by_brute_force(spark, monkeypatch, length, short, r
     assert got == brute_repeats(docs, length)
 
 
+def test_removal_gives_the_text_that_is_left(spark):
+    """Every row gives the text that is left: copies, null ids, rows that come twice, cuts within characters."""
+    passage = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(450))
+    docs = [(1, f"one,{passage} two"), (2, f"three:{passage}"), (3, passage[:399]), (4, "same " * 90), (4, "same " * 90), (5, "same " * 90)]
+    docs += [(None, f"{passage};four"), (None, None), (6, None), (7, ""), (7, "short"), (8, "short"), (None, "short"), (9, "ab\u00e9" + "x" * 399), (10, "b\u0129" + "x" * 399)]
+    docs += [(None, "same " * 90), (None, "same " * 90)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = rows_of(repeats.removed(repeats.repeats(frame)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text")
+    assert [r[:5] for r in got] == brute_repeats(docs, 400) and len(got) == len(docs)
+    texts = collections.Counter((r[0], r[-1]) for r in got)
+    want = [(1, "one, two"), (2, "three:"), (3, passage[:399]), (4, ""), (4, ""), (5, ""), (None, ";four"), (None, ""), (6, ""), (7, ""), (7, "short"), (8, "short")]
+    # é and ĩ end in the same byte, which goes with the 399 after it; their first bytes are no text
+    want += [(None, "short"), (9, "ab"), (10, "b"), (None, ""), (None, "")]
+    assert texts == collections.Counter(want)
+    halves = {(9, "ab"): 1, (10, "b"): 1}
+    for _, n_bytes, n_removed, n_spans, digest, spans, text in (r for r in got if (r[0], r[-1]) not in halves):
+        assert hashlib.sha256(text.encode()).hexdigest() == digest and len(text.encode()) == n_bytes - n_removed
+        assert sum(b - a for a, b in spans) == n_removed and len(spans) == n_spans
+
+
 def brute_passages(docs, length, words):
     """Texts without stretches of more than ``words`` words whose strings stand in another text too."""
     raw = [(d, (t or "").encode()) for d, t in docs]
