@@ -8,6 +8,7 @@ import math
 import os
 import re
 import tempfile
+import tracemalloc
 import unicodedata
 import zlib
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tickloom.llm import bpe, langid, lattice, minhash, packing, quality, queries, repeats, search, toxicity, warc
-from tickloom.llm.common import components, crc_of, table
+from tickloom.llm.common import components, crc_of, once_per_worker, table
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 RANKS, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.tiktoken", "word_bpe_49k.json"))
@@ -564,6 +565,32 @@ def test_words_are_split_and_numbered_in_bulk(monkeypatch):
     assert [len(x) for x in words.encode([])] == [0, 1]
 
 
+def test_a_large_batch_is_cut_in_bounded_memory(monkeypatch):
+    """Spark hands over 10,000 rows at once: what is held follows blocks of text, not the batch, and blocks don't show in the result."""
+    rng = np.random.default_rng(9)
+    known = np.array(["".join(rng.choice(list("etaoinshr'd1"), n)) for n in rng.integers(1, 9, 20_000)])
+    texts = [" ".join(rng.choice(known, 700)) for _ in range(4_500)]
+    size = sum(map(len, texts))
+    batch = pa.record_batch({"row": pa.array(range(len(texts))), "text": pa.array(texts)})
+    del texts
+    cut = lambda b: [r for out in packing._cut(WORDS, 2048, True)([b]) for r in out.to_pylist()]
+    head, got = batch.slice(0, 300), []
+    for block in (1 << 14, 1 << 30):
+        with monkeypatch.context() as m:
+            m.setattr(packing, "TEXT", block)
+            got.append(cut(head))
+    assert got[0] == got[1] == cut(head)
+    tracemalloc.start()
+    try:
+        n = sum(out.num_rows for out in packing._cut(WORDS, 2048, True)([batch]))
+        left, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    print(f"{size >> 20} MB of text: peak {peak >> 20} MB, left {left >> 20} MB")
+    assert n == 4_500 and size > 12 << 20 and peak < 4 * size
+    assert not len(once_per_worker(f"words {WORDS} True", None).known)
+
+
 def test_differencing_keeps_every_item_and_evens_out():
     rng = np.random.default_rng(7)
     for n, windows in ((1, 1), (1, 4), (5, 2), (40, 7), (300, 31)):

@@ -37,8 +37,8 @@ WINDOW = 2048
 GROUP = 2048
 #: Small items hold at most so many ids.
 GRAIN = 192
-#: Characters of text whose words are merged together.
-TEXT = 24 << 20
+#: Characters of text whose words are merged together: a worker takes some 8 bytes for each, and keeps much of that for later tasks.
+TEXT = 4 << 20
 #: Characters of text split into words at once.
 SPLIT = 1 << 18
 #: Words kept with their ids between blocks of a task.
@@ -238,6 +238,8 @@ def _cut(path: str, window: int, added: bool):
                 ["row", "place", "doc_tokens", "crcs"],
             )
             at += len(n)
+        # the worker goes on to other stages
+        words.clear()
 
     return run
 
