@@ -17,13 +17,14 @@ up anew. Impacts are whole millionths, so that sums are exact in any order. Each
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import types
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ K1, B = 1.2, 0.75
 #: Whole units of score to one.
 UNIT = 1_000_000
 #: Postings of a shard, about; documents of a block of alike ones at most, unless that gave more than about ``BLOCKS`` blocks.
-POSTINGS, BLOCK, BLOCKS = 5 << 19, 4096, 16
+POSTINGS, BLOCK, BLOCKS = 1 << 21, 4096, 16
 #: Parts of a block that have bounds of their own, looked at if the block's is less than so many times the bar.
 PARTS, NEAR = 8, 2.5
 #: Groups of alike documents of a shard at most, documents of one at least, frequent terms they are told by.
@@ -44,6 +45,8 @@ FIRST = 4
 ROUND, WIDER = 8, 8
 #: Bytes of a slice: a shard is one row on disk, but Spark counts the rows it passes on at once, not their bytes alone.
 SLICE = 1 << 10
+#: Rows that Spark passes on to Python at once: texts and terms of ten times as many take tens of megabytes on either side.
+ROWS = 1000
 #: Terms that are counted at once in a task.
 HELD_TERMS = 1 << 21
 #: Terms of queries whose bounds are held at once, numbers of a product of matrices, postings and sums.
@@ -544,6 +547,18 @@ def _searched(k: int, mean: float, block, bars):
     return run
 
 
+@contextlib.contextmanager
+def _batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run meanwhile pass ``ROWS`` rows on at once, or as few as the session says."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(ROWS if int(before) <= 0 else min(ROWS, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def top_k(docs: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     """query_id, rank, doc_id, score: the best k rows for each row that ``queries`` (a condition on doc_id) holds for.
 
@@ -551,6 +566,11 @@ def top_k(docs: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     doc_id. Rows without a shared term are not found. Rows without a doc_id count for the
     statistics but can't be found; rows that share one are found as they are.
     """
+    with _batches(docs.sparkSession):
+        return _top_k(docs, queries, k)
+
+
+def _top_k(docs: DataFrame, queries: Column, k: int) -> DataFrame:
     spark = docs.sparkSession
     rows = index(docs)
     # texts are taken apart twice rather than written as terms
